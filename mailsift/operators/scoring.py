@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import vocabulary as V
 from mailsift.functions import numeric
-from mailsift.functions.tiers import lookup, most_severe, severity, tier_name
+from mailsift.functions.tiers import lookup, most_severe, severity
 from mailsift.operators.rules import floor_at_rule
 
 MAX_INLINE_POLICIES = 256
@@ -100,29 +100,34 @@ def routing_reasons(
     )
 
 
-def score_policies(scored: DataFrame, policies: Sequence[Policy]) -> DataFrame:
-    """Tier, route and reasons of every message under every policy, without bursts or side effects.
+def scored_under(policy: Column) -> Column:
+    """Decision, route and reasons of a scored row under one policy, as a struct.
 
-    Reads email_id, hard_rule_decision, reason_codes, calibrated_confidence, posterior,
-    uncertainty_band and sender_uncertainty.
+    Reads hard_rule_decision, calibrated_confidence, posterior, uncertainty_band and sender_uncertainty.
     """
-    p, c = F.col("policy"), F.col
-    eligible = c("hard_rule_decision").isNull() & c("posterior").isNotNull()
-    reasons = routing_reasons(
-        p, c("calibrated_confidence"), c("posterior"), c("uncertainty_band"), c("sender_uncertainty")
+    c = F.col
+    ruled = c("hard_rule_decision").isNotNull()
+    reasons = F.when(
+        ~ruled & c("posterior").isNotNull(),
+        routing_reasons(
+            policy, c("calibrated_confidence"), c("posterior"), c("uncertainty_band"), c("sender_uncertainty")
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    route = F.when(ruled, F.lit("HARD_RULE")).when(F.size(reasons) > 0, F.lit("LLM")).otherwise(F.lit("MODEL"))
+    return F.struct(
+        base_tier(policy, c("hard_rule_decision"), c("posterior")).alias("decision"),
+        route.alias("route_used"),
+        reasons.alias("routing_reasons"),
+        policy["version"].alias("policy_version"),
     )
-    none = F.array().cast("array<string>")
+
+
+def score_policies(scored: DataFrame, policies: Sequence[Policy]) -> DataFrame:
+    """Tier, route and reasons of every message under every policy, without bursts or side effects."""
     return (
         under_policies(scored, policies)
-        .withColumn("decision", base_tier(p, c("hard_rule_decision"), c("posterior")))
-        .withColumn("routing_reasons", F.when(eligible, reasons).otherwise(none))
-        .withColumn(
-            "route_used",
-            F.when(c("hard_rule_decision").isNotNull(), F.lit("HARD_RULE"))
-            .when(F.size("routing_reasons") > 0, F.lit("LLM"))
-            .otherwise(F.lit("MODEL")),
-        )
-        .withColumn("policy_version", p["version"])
+        .withColumn("_outcome", scored_under(F.col("policy")))
+        .select(*scored.columns, "_outcome.*")
     )
 
 
@@ -181,26 +186,19 @@ def decision_diff(active: Column, shadow: Column) -> Column:
 
 
 def shadow_decisions(scored: DataFrame, active: Policy, shadow: Policy | None) -> DataFrame:
-    """The same scores tiered under both policies, side by side; empty when there is nothing to compare."""
-    both = score_policies(scored, [active, shadow or active])
-    if shadow is None or shadow.version == active.version:
-        both = both.limit(0)
-    side = lambda policy, prefix: [
-        F.max(F.when(F.col("policy_version") == policy.version, F.col(name))).alias(f"{prefix}_{name}")
-        for name in ("decision", "route_used")
-    ]
+    """The same scores tiered under both policies in one projection; empty when there is nothing to compare."""
     other = shadow or active
-    paired = both.groupBy("email_id").agg(
-        *side(active, "active"), *side(other, "shadow"), F.max("posterior").alias("posterior")
-    )
-    diff = decision_diff(F.col("active_decision"), F.col("shadow_decision"))
-    return paired.select(
-        "*", F.lit(active.version).alias("active_version"), F.lit(other.version).alias("shadow_version"),
-        diff["agreement"].alias("agreement"), diff["direction"].alias("direction"),
+    live, tried = F.col("_live"), F.col("_tried")
+    diff = decision_diff(live["decision"], tried["decision"])
+    paired = (
+        scored.withColumn("_live", scored_under(active.as_column()))
+        .withColumn("_tried", scored_under(other.as_column()))
+        .select(
+            "email_id", "posterior",
+            F.lit(active.version).alias("active_version"), F.lit(other.version).alias("shadow_version"),
+            live["decision"].alias("active_decision"), tried["decision"].alias("shadow_decision"),
+            live["route_used"].alias("active_route"), tried["route_used"].alias("shadow_route"),
+            diff["agreement"].alias("agreement"), diff["direction"].alias("direction"),
+        )
     )
-
-
-__all__ = [
-    "Policy", "base_tier", "burst_trigger", "decision_diff", "escalate_bursts", "fuse", "resolve_pending",
-    "routing_reasons", "score_policies", "shadow_decisions", "tier_for", "tier_name", "under_policies",
-]
+    return paired if other.version != active.version else paired.limit(0)
