@@ -60,7 +60,7 @@ def campaign_leaders(
         if head.empty:
             return state.select(F.col("leader").alias("cluster_id"), key, "similarity", vector)
         names, rows = _greedy(head[key].tolist(), _unit_rows(np.stack(head[vector].to_numpy())), threshold)
-        leader_ids = np.array(names)
+        leader_ids = np.array(names, dtype=None if key_type in ("int", "bigint") else object)
 
         def adopt(batches: Iterator[pd.DataFrame], ids=leader_ids, rows=rows) -> Iterator[pd.DataFrame]:
             for pdf in batches:

@@ -143,10 +143,18 @@ def recent_near_duplicates(
     return counted.unionByName(silent)
 
 
-def _top_per_query(scores: np.ndarray, k: int) -> np.ndarray:
+def _best_per_query(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, column) of the best ``k`` columns per row; ties go to the lower column."""
     if scores.shape[1] <= k:
-        return np.argsort(-scores, axis=1, kind="stable")
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        q, c = np.nonzero(np.ones(scores.shape, bool))
+        return q, c
+    kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    q, c = np.nonzero(scores >= kth)
+    order = np.lexsort((c, -scores[q, c], q))
+    q, c = q[order], c[order]
+    first = np.searchsorted(q, np.arange(len(scores)))
+    keep = np.arange(len(q)) - first[q] < k
+    return q[keep], c[keep]
 
 
 def nearest_vectors(
@@ -156,7 +164,7 @@ def nearest_vectors(
     """Exact ``k`` nearest rows by cosine for each query vector, similarity rounded to 1e-9 for ties.
 
     Query vectors travel with the tasks in checked blocks; each Arrow batch of the corpus keeps only its
-    own best ``k`` per query (plus ties), so what is shuffled does not grow with the corpus.
+    own best ``k`` per query, so what is shuffled does not grow with the corpus.
     """
     total = queries.count()
     blocks = max(1, -(-total // max_broadcast))
@@ -177,10 +185,10 @@ def nearest_vectors(
             for pdf in batches:
                 if pdf.empty:
                     continue
+                pdf = pdf.sort_values(key)
                 scores = np.round(matrix @ _unit_rows(np.stack(pdf[vector].to_numpy())).T, 9)
                 ids = pdf[key].to_numpy()
-                floor = np.take_along_axis(scores, _top_per_query(scores, k), axis=1).min(axis=1, keepdims=True)
-                q, c = np.nonzero(scores >= floor)
+                q, c = _best_per_query(scores, k)
                 yield pd.DataFrame({query_key: names[q], key: ids[c], "similarity": scores[q, c]})
 
         part = corpus.select(key, vector).mapInPandas(

@@ -70,13 +70,16 @@ def admit_calls(
     day_ok = by_day.withColumn("in_day", F.col("day_before") + lit(reservation) <= lit(daily))
     charged = F.when(F.col("in_day"), spent).otherwise(lit(0))
     by_month = running_totals(day_ok, {"month_before": charged}, order, ["month"], inclusive=False)
-    in_month = F.col("month_before") + lit(reservation) <= lit(monthly)
-    outcome = (
-        F.when(F.col("in_day") & in_month, F.lit("granted"))
-        .when(~in_month & (F.col("month_before") + lit(reservation) > lit(monthly)) & F.col("in_day"), F.lit("monthly"))
-        .otherwise(F.lit("daily"))
+    granted = F.col("in_day") & (F.col("month_before") + lit(reservation) <= lit(monthly))
+    marked = by_month.withColumn("granted", granted)
+    # What a day really spent decides the scope of its denials: its own cap, or a month already used up.
+    spent_by_day = marked.groupBy("day").agg(
+        F.coalesce(F.sum(F.when(F.col("granted"), spent)), lit(0)).alias("day_granted")
+    )
+    scope = F.when(F.col("day_granted") + lit(reservation) > lit(daily), F.lit("daily")).otherwise(F.lit("monthly"))
+    return marked.join(spent_by_day, "day").select(
+        key, moment, cost, "day", "month", F.when(F.col("granted"), F.lit("granted")).otherwise(scope).alias("outcome")
     )
-    return by_month.withColumn("outcome", outcome).select(key, moment, cost, "day", "month", "outcome")
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
