@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Normalizer, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix, Vectors, VectorUDT
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import vector_to_array
+from pyspark.mllib.linalg import Vectors as MllibVectors
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from mailsift import vocabulary as V
 from mailsift.functions.hashing import hash_ngrams
@@ -106,50 +111,47 @@ def score_classes(model: PipelineModel, messages: DataFrame) -> DataFrame:
     )
 
 
-@F.udf(VectorUDT())
-def _sparse(counts):
-    return Vectors.sparse(V.HASH_DIMENSION, [(c["bucket"], float(c["count"])) for c in counts])
-
-
 def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> DataFrame:
-    """Unit-length sparse n-gram counts per message."""
-    counted = messages.select(key, _sparse(hash_ngrams(F.col(text))).alias("_counts"))
-    return Normalizer(inputCol="_counts", outputCol="hashed", p=2.0).transform(counted).drop("_counts")
+    """Unit-length n-gram counts per message, as a sparse array of (bucket, value)."""
+    counts = F.col("_counts")
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["count"] * c["count"]))
+    scaled = F.transform(
+        counts, lambda c: F.struct(c["bucket"].alias("bucket"), (c["count"] / F.col("_length")).alias("value"))
+    )
+    return (
+        messages.select(key, hash_ngrams(F.col(text)).alias("_counts"))
+        .withColumn("_length", F.nullif(length, F.lit(0.0)))
+        .select(key, scaled.alias("hashed"))
+    )
 
 
-def fit_encoder(hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION) -> DenseMatrix:
+def fit_encoder(hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION) -> np.ndarray:
     """Right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
 
-    The Gramian is summed on the executors; only its fixed-size factor comes back.
+    The decomposition runs on the executors; its result has a fixed size whatever the corpus.
     """
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = hashed.select("hashed").rdd.map(lambda r: OldVectors.fromML(r["hashed"]))
-    matrix = RowMatrix(rows)
-    k = min(dimension, matrix.numRows(), V.HASH_DIMENSION)
-    v = matrix.computeSVD(k, computeU=False).V
-    return DenseMatrix(v.numRows, v.numCols, v.toArray().T.reshape(-1))
-
+    rows = hashed.select("hashed").rdd.map(
+        lambda r: MllibVectors.sparse(V.HASH_DIMENSION, [(c["bucket"], c["value"]) for c in r["hashed"]])
+    )
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        matrix = RowMatrix(rows)
+        k = min(dimension, matrix.numRows(), V.HASH_DIMENSION)
+        return matrix.computeSVD(k, computeU=False).V.toArray()
+    finally:
+        rows.unpersist()
 
-def encode(hashed: DataFrame, encoder: DenseMatrix, key: str = "email_id", out: str = "embedding") -> DataFrame:
-    """Unit vectors of each message under a fitted encoder (fixed size: buckets by dimensions)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, DoubleType
 
-    matrix = encoder.toArray()
+def encode(hashed: DataFrame, encoder: np.ndarray, key: str = "email_id", out: str = "embedding") -> DataFrame:
+    """Unit vectors of each message under a fitted encoder, which is broadcast (fixed size)."""
+    shared = hashed.sparkSession.sparkContext.broadcast(encoder)
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
+    def project(buckets: pd.Series, values: pd.Series) -> pd.Series:
+        matrix = shared.value
         return pd.Series(
-            [np.asarray(v, float) @ matrix[np.asarray(i, int)] if len(i) else np.zeros(matrix.shape[1])
-             for i, v in zip(indices, values)]
+            [np.asarray(v, float) @ matrix[np.asarray(b, np.int64)] for b, v in zip(buckets, values)]
         ).map(list)
 
-    from pyspark.ml.functions import vector_to_array as dense
-
-    listed = hashed.withColumn("_dense", dense("hashed")).withColumn(
-        "_at", F.filter(F.transform("_dense", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
-    ).withColumn("_values", F.transform("_at", lambda i: F.col("_dense")[i]))
-    return listed.select(key, unit(project("_at", "_values")).alias(out))
+    encoded = project(F.col("hashed.bucket"), F.col("hashed.value"))
+    return hashed.select(key, encoded.alias("_encoded")).select(key, unit(F.col("_encoded")).alias(out))
