@@ -36,23 +36,43 @@ def band_plan(distinct: int, radius: int, bits: int = 64) -> tuple[int, int]:
     return blocks, agreeing
 
 
-def band_keys(fingerprint: Column, blocks: int, agreeing: int, bits: int = 64) -> Column:
-    """Array of (combination, value) keys of one fingerprint."""
+def _block_masks(blocks: int, bits: int = 64) -> list[int]:
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    return [m - (1 << bits) if m >= 1 << (bits - 1) else m for m in masks]
 
-    def key(number: int, chosen: tuple[int, ...]) -> Column:
-        mask = sum(masks[i] for i in chosen)
-        signed = mask - (1 << bits) if mask >= 1 << (bits - 1) else mask
-        return F.struct(F.lit(number).alias("combo"), fingerprint.bitwiseAND(F.lit(signed).cast("bigint")).alias("value"))
 
-    return F.array(*[key(n, c) for n, c in enumerate(combinations(range(blocks), agreeing))])
+def band_keys(fingerprint: Column, blocks: int, agreeing: int) -> Column:
+    """Array of (combo, value) keys; ``combo`` has one bit set per block the key is made of."""
+    masks = _block_masks(blocks)
+
+    def key(chosen: tuple[int, ...]) -> Column:
+        mask = 0
+        for i in chosen:
+            mask |= masks[i]
+        combo = sum(1 << i for i in chosen)
+        return F.struct(F.lit(combo).alias("combo"), fingerprint.bitwiseAND(F.lit(mask).cast("bigint")).alias("value"))
+
+    return F.array(*[key(chosen) for chosen in combinations(range(blocks), agreeing)])
+
+
+def _first_shared_key(a: Column, b: Column, combo: Column, blocks: int) -> Column:
+    """True for the first key two fingerprints share, so that a pair is met once without a distinct.
+
+    The first key is made of the lowest blocks that agree: below its highest block no other block agrees.
+    """
+    xor = a.bitwiseXOR(b)
+    agree = F.lit(0)
+    for i, mask in enumerate(_block_masks(blocks)):
+        agree = agree.bitwiseOR(F.when(xor.bitwiseAND(F.lit(mask).cast("bigint")) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
+    below = F.pow(F.lit(2), F.length(F.bin(combo))).cast("int") - 1
+    return agree.bitwiseAND(below) == combo
 
 
 def close_fingerprints(
     prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 4096
 ) -> DataFrame:
-    """Pairs of different fingerprints within ``radius`` bits, each with its copies.
+    """Ordered pairs of different fingerprints within ``radius`` bits, each side with its copies.
 
     Copies of one fingerprint are folded first, so a group of copies of any size is one row and no
     pairs inside it are formed. Buckets that stay crowded are not joined; their members are keyed
@@ -63,39 +83,50 @@ def close_fingerprints(
             F.count(F.lit(1)).alias("copies"), F.min("email_id").alias("first_id")
         )
     )
-    blocks, agreeing = band_plan(folded.count(), radius)
+    plan = band_plan(folded.count(), radius)
+    columns = ("fingerprint", "copies", "first_id", "crowded")
 
-    def keyed(rows: DataFrame, plan: tuple[int, int]) -> DataFrame:
-        return rows.select("fingerprint", F.explode(band_keys(F.col("fingerprint"), *plan)).alias("k")).select(
-            "fingerprint", "k.combo", "k.value"
+    def keyed(rows: DataFrame, blocks: int, agreeing: int) -> DataFrame:
+        return rows.withColumn("k", F.explode(band_keys(F.col("fingerprint"), blocks, agreeing))).select(
+            *[c for c in columns if c in rows.columns], "k.combo", "k.value"
         )
 
-    def pairs(buckets: DataFrame) -> DataFrame:
-        left = buckets.withColumnRenamed("fingerprint", "fingerprint_a")
-        right = buckets.withColumnRenamed("fingerprint", "fingerprint_b")
-        near = (F.col("fingerprint_a") < F.col("fingerprint_b")) & (
-            hamming(F.col("fingerprint_a"), F.col("fingerprint_b")) <= radius
+    def pairs(buckets: DataFrame, blocks: int, skip_crowded: bool) -> DataFrame:
+        left = buckets.select("combo", "value", *[F.col(n).alias(f"{n}_a") for n in columns])
+        right = buckets.select("combo", "value", *[F.col(n).alias(f"{n}_b") for n in columns])
+        a, b = F.col("fingerprint_a"), F.col("fingerprint_b")
+        near = (a != b) & (hamming(a, b) <= radius) & _first_shared_key(a, b, F.col("combo"), blocks)
+        if skip_crowded:
+            near = near & ~(F.col("crowded_a") & F.col("crowded_b"))
+        return left.join(right, ["combo", "value"]).filter(near).select(
+            "fingerprint_a", "fingerprint_b", "copies_a", "copies_b", "first_id_a", "first_id_b",
+            hamming(a, b).alias("distance"),
         )
-        return left.join(right, ["combo", "value"]).filter(near).select("fingerprint_a", "fingerprint_b")
 
-    first = keyed(folded, (blocks, agreeing))
+    first = keyed(folded.withColumn("crowded", F.lit(False)), *plan)
     crowded = first.groupBy("combo", "value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > hot_bucket)
     crowded = cut_lineage(crowded.select("combo", "value"))
     if crowded.isEmpty():
-        found = pairs(first)
-    else:
-        calm = first.join(crowded, ["combo", "value"], "left_anti")
-        again = first.join(crowded, ["combo", "value"], "left_semi").select("fingerprint").distinct()
-        wider = (radius + 2 * agreeing, 2 * agreeing)
-        found = pairs(calm).union(pairs(keyed(again, wider)))
-    side = lambda tag: folded.select(
-        F.col("fingerprint").alias(f"fingerprint_{tag}"), F.col("copies").alias(f"copies_{tag}"),
-        F.col("first_id").alias(f"first_id_{tag}"),
-    )
-    return (
-        found.distinct().join(side("a"), "fingerprint_a").join(side("b"), "fingerprint_b")
-        .withColumn("distance", hamming(F.col("fingerprint_a"), F.col("fingerprint_b")))
-    )
+        return pairs(first, plan[0], False)
+    members = first.join(crowded, ["combo", "value"], "left_semi").select("fingerprint").distinct()
+    members = cut_lineage(members.withColumn("crowded", F.lit(True)))
+    marked = folded.join(members, "fingerprint", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    calm = keyed(marked, *plan).join(crowded, ["combo", "value"], "left_anti")
+    wider = (radius + 2 * plan[1], 2 * plan[1])
+    again = keyed(marked.filter("crowded"), *wider)
+    return pairs(calm, plan[0], True).unionByName(pairs(again, wider[0], False))
+
+
+def near_duplicate_neighbours(prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 4096) -> DataFrame:
+    """Per fingerprint: how many other fingerprints and messages are close, how close, and the first of them.
+
+    Pairs are summed where they are found; only one partial row per fingerprint and task is shuffled.
+    """
+    return close_fingerprints(prints, radius, hot_bucket).groupBy("fingerprint_a").agg(
+        F.first("first_id_a").alias("first_id"), F.first("copies_a").alias("copies"),
+        F.count(F.lit(1)).alias("neighbours"), F.sum("copies_b").alias("near_messages"),
+        F.min("distance").alias("closest"), F.min("first_id_b").alias("first_neighbour"),
+    ).withColumnRenamed("fingerprint_a", "fingerprint")
 
 
 def _count_back(times: np.ndarray, prints: np.ndarray, window_ms: int, radius: int, recent: int) -> np.ndarray:
