@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors as MllibVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -89,15 +90,19 @@ def fit_classifier(examples: DataFrame, vector: str = "feature_vector", strength
 
     ``strength`` is the inverse penalty on the summed loss; Spark penalises the mean loss.
     """
-    labelled = examples.withColumn("_label", label_index(F.col("label")))
-    weight = labelled.agg(F.sum("weight")).first()[0]
-    scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True)
-    model = LogisticRegression(
-        featuresCol="_scaled", labelCol="_label", weightCol="weight", family="multinomial",
-        regParam=1.0 / (strength * weight), standardization=False, maxIter=iterations, probabilityCol="_probability",
-        predictionCol="_prediction", rawPredictionCol="_raw",
-    )
-    return Pipeline(stages=[scaler, model]).fit(labelled)
+    needed = examples.select(vector, "weight", label_index(F.col("label")).alias("_label"))
+    labelled = needed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        weight = labelled.agg(F.sum("weight")).first()[0]
+        scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True)
+        model = LogisticRegression(
+            featuresCol="_scaled", labelCol="_label", weightCol="weight", family="multinomial",
+            regParam=1.0 / (strength * weight), standardization=False, maxIter=iterations,
+            probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw",
+        )
+        return Pipeline(stages=[scaler, model]).fit(labelled)
+    finally:
+        labelled.unpersist()
 
 
 def score_classes(model: PipelineModel, messages: DataFrame) -> DataFrame:
@@ -125,21 +130,50 @@ def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> Dat
     )
 
 
-def fit_encoder(hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION) -> np.ndarray:
-    """Right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
+def fit_encoder(
+    hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION, passes: int = 6, oversample: int = 8, seed: int = V.EVAL_SEED
+) -> np.ndarray:
+    """Leading right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
 
-    The decomposition runs on the executors; its result has a fixed size whatever the corpus.
+    Randomised subspace iteration: every pass multiplies the corpus with a basis of fixed size on the
+    executors and sums one partial product per task, so neither rows nor pairs of rows reach the driver.
     """
-    rows = hashed.select("hashed").rdd.map(
-        lambda r: MllibVectors.sparse(V.HASH_DIMENSION, [(c["bucket"], c["value"]) for c in r["hashed"]])
-    )
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    width = min(dimension + oversample, V.HASH_DIMENSION)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((V.HASH_DIMENSION, width)))
+    corpus = hashed.select(F.col("hashed.bucket").alias("buckets"), F.col("hashed.value").alias("values"))
+    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        matrix = RowMatrix(rows)
-        k = min(dimension, matrix.numRows(), V.HASH_DIMENSION)
-        return matrix.computeSVD(k, computeU=False).V.toArray()
+        for _ in range(passes):
+            basis, strength, _ = np.linalg.svd(_gram_times(corpus, basis), full_matrices=False)
     finally:
-        rows.unpersist()
+        corpus.unpersist()
+    found = int((strength > strength[0] * 1e-9).sum())
+    return basis[:, : min(dimension, found)]
+
+
+def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """``A' A basis`` for the sparse corpus ``A``."""
+    shared = corpus.sparkSession.sparkContext.broadcast(basis)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matrix, total = shared.value, None
+        for pdf in batches:
+            total = np.zeros_like(matrix) if total is None else total
+            for buckets, values in zip(pdf["buckets"], pdf["values"]):
+                at, row = np.asarray(buckets, np.int64), np.asarray(values, float)
+                total[at] += np.outer(row, row @ matrix[at])
+        if total is not None:
+            touched = np.flatnonzero(total.any(axis=1))
+            yield pd.DataFrame({"bucket": touched, "partial": list(total[touched])})
+
+    partials = corpus.mapInPandas(multiply, "bucket bigint, partial array<double>")
+    # Bounded: at most HASH_DIMENSION rows of fixed width come back.
+    summed = partials.groupBy("bucket").agg(vector_to_array(Summarizer.sum(array_to_vector("partial"))).alias("row"))
+    product = np.zeros_like(basis)
+    for bucket, row in summed.toPandas().itertuples(index=False):
+        product[bucket] = row
+    shared.unpersist()
+    return product
 
 
 def encode(hashed: DataFrame, encoder: np.ndarray, key: str = "email_id", out: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from mailsift.plans import (  # noqa: F401
     evaluation_queries,
+    pipeline_queries,
     policy_queries,
     sender_queries,
     similarity_queries,

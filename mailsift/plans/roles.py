@@ -29,7 +29,17 @@ def prop_k() -> Column:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+    return as_events(table(spark, folder, "events"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table as a stream of its files."""
+    schema = table(spark, folder, "events").schema
+    return as_events(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
+
+
+def as_events(raw: DataFrame) -> DataFrame:
+    return raw.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", prop_k().alias("k")
     )
 
@@ -77,8 +87,12 @@ def truth(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reputation_events(spark: SparkSession, folder: str) -> DataFrame:
+    return as_reputation_events(events(spark, folder))
+
+
+def as_reputation_events(rows: DataFrame) -> DataFrame:
     """Views say nothing about a sender; errors speak against it, all else for it."""
-    return events(spark, folder).filter("event_type <> 'view'").select(
+    return rows.filter("event_type <> 'view'").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender_key"),
         F.when(F.col("event_type") == "error", F.lit("BAD")).otherwise(F.lit("GOOD")).alias("signal"),
         F.least(F.col("value") / 500.0, F.lit(1.0)).alias("weight"),
@@ -89,6 +103,10 @@ def reputation_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return as_scored(events(spark, folder))
+
+
+def as_scored(rows: DataFrame) -> DataFrame:
     """Events as scored messages: rule hits, model confidence and fused posterior come from type, k and value."""
     k, value = F.col("k"), F.col("value")
     error = F.col("event_type") == "error"
@@ -99,7 +117,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     fused = ~(error & (k >= 75)) & (F.col("event_type") != "view")
-    return events(spark, folder).select(
+    return rows.select(
         F.col("event_id").alias("email_id"), F.col("user_id"), F.col("ts"),
         rule.alias("hard_rule_decision"), reasons.alias("reason_codes"),
         F.when(fused, k / 99.0).alias("calibrated_confidence"),

@@ -284,12 +284,12 @@ def vector_literals(spark, folder):
     )
 
 
-@query("stream_cards", f"""
+@query("display_cards", f"""
     WITH flat AS (SELECT email_id, sender, subject, ingest_source, trim(regexp_replace(body, '\\s+', ' ', 'g'), {WS}) AS t FROM messages)
     SELECT email_id, CASE WHEN email_id % 2 = 0 THEN 'Sender ' || email_id ELSE sender END AS sender_display, subject,
            CASE WHEN length(t) = 0 THEN NULL WHEN length(t) <= 140 THEN t ELSE rtrim(substr(t, 1, 139)) || '…' END AS preview
     FROM flat WHERE starts_with(ingest_source, 'click-') OR starts_with(ingest_source, 'error-')""", ("messages",))
-def stream_cards(spark, folder):
+def display_cards(spark, folder):
     name = F.when(c("email_id") % 2 == 0, F.concat(F.lit('"Sender '), c("email_id").cast("string"), F.lit('" <a@b.example>'))).otherwise(F.lit("plain@b.example"))
     raw = F.concat(F.lit("X-Hop: 1\nFrom: "), name, F.lit("\n\n"), c("body_raw"))
     return lookups.stream_cards(R.messages(spark, folder), raw, c("body_display"), ("click-", "error-"))

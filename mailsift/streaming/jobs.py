@@ -16,7 +16,9 @@ from mailsift.functions.numeric import month_key
 from mailsift.operators.features import extract_features
 from mailsift.operators.reputation import COUNTS
 from mailsift.operators.scoring import Policy, resolve_pending, score_policies, shadow_decisions
+from mailsift.operators.similarity import recent_near_duplicates
 from mailsift.sources import sinks
+from mailsift.sources.events import good_records, poison_records
 
 
 def run_available(df: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -107,18 +109,30 @@ def sender_velocity(events: DataFrame, moment: str, sender: str, window: str = "
     )
 
 
-def near_duplicate_windows(events: DataFrame, moment: str, text: str, window: str = "60 seconds", slide: str = "30 seconds", lateness: str = "60 seconds") -> DataFrame:
-    """Copies per fingerprint in sliding windows.
+def near_duplicate_batches(
+    path: str, state_path: str, moment: str, text: str, window_ms: int = V.BURST_WINDOW_MS,
+    radius: int = V.NEAR_DUPLICATE_RADIUS, recent: int = V.NEAR_DUPLICATE_RECENT,
+) -> Callable[[DataFrame, int], None]:
+    """Sink that stores each message's near-duplicate count on arrival.
 
-    Counting by fingerprint keeps state to one number per text and window; close but different
-    fingerprints are joined afterwards by ``close_fingerprints`` on the closed windows.
+    Between batches only the last ``recent`` fingerprints younger than the window are kept, in one
+    folder per batch: a replayed batch reads the state it read before and writes the same rows again.
     """
-    return (
-        events.withColumn("fingerprint", simhash64(F.col(text))).filter("fingerprint <> 0")
-        .withWatermark(moment, lateness).groupBy(F.window(moment, window, slide), "fingerprint")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .select(F.col("window.end").alias("window_end"), "fingerprint", "copies")
-    )
+
+    def write(batch: DataFrame, number: int) -> None:
+        prints = batch.select("email_id", moment, simhash64(F.col(text)).alias("fingerprint")).persist()
+        try:
+            before = sinks.read_or_empty(batch.sparkSession, f"{state_path}/batch={number - 1}", prints)
+            together = before.unionByName(prints)
+            counted = recent_near_duplicates(together, moment, window_ms, radius, recent)
+            fresh = counted.join(prints.select("email_id"), "email_id", "left_semi")
+            fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            young = together.filter("fingerprint <> 0").orderBy(F.desc(moment), F.desc("email_id")).limit(recent)
+            young.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        finally:
+            prints.unpersist()
+
+    return write
 
 
 def replay_scoring(replay: DataFrame, scored: DataFrame, policies: Sequence[Policy]) -> DataFrame:
@@ -184,10 +198,41 @@ def resolutions(pending: DataFrame, verdicts: DataFrame, sla_seconds: int = V.SL
     return resolve_pending(p.join(v, on_time, "left_outer")).drop("verdict_email")
 
 
-def decision_card_state(decisions: DataFrame, moment: str, horizon: str) -> DataFrame:
-    """Live cards: repeated deliveries dropped, then the newest decision and count per message."""
-    once = once_per_message(decisions, moment, ["email_id", "classification_id"], horizon)
-    return once.groupBy("email_id").agg(
-        F.max_by(F.struct("tier", "route_used"), F.struct(moment, "classification_id")).alias("latest"),
-        F.count(F.lit(1)).alias("folded"), F.min(moment).alias("first_seen"),
-    ).select("email_id", "latest.*", (F.col("folded") > 1).alias("resolved"), "first_seen")
+def overwrite_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for complete-mode results: the last batch is the whole table."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return write
+
+
+def append_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for append-mode results: one folder per batch, so a replayed batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def divert_poison(path: str, poison_path: str) -> Callable[[DataFrame, int], None]:
+    """Sink that stores parsed records and puts lines that are none aside; the stream goes on."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            good_records(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            poison_records(batch).write.mode("overwrite").parquet(f"{poison_path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def decision_log(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink behind the live cards: every classification once, however often it is delivered.
+
+    ``windows.decision_cards`` folds the stored log to cards, so a replay can neither double nor retract one.
+    """
+    return insert_absent_batches(path, ["email_id", "classification_id"], ["at"])
