@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from mailsift import vocabulary as V
 
@@ -24,43 +24,49 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _fnv1a(tokens: list[str]) -> np.ndarray:
-    """FNV-1a of many ASCII tokens at once, one column of characters at a time."""
+def _fold_characters(tokens: list[str], start: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Character-wise hash of many ASCII tokens at once, one column of characters at a time."""
     lengths = np.fromiter((len(t) for t in tokens), np.int64, len(tokens))
     order = np.argsort(-lengths, kind="stable")
     ranked = lengths[order]
-    flat = np.frombuffer("".join(tokens[i] for i in order).encode("ascii"), np.uint8)
+    flat = np.frombuffer("".join(tokens[i] for i in order).encode("ascii"), np.uint8).astype(np.uint64)
     starts = np.concatenate(([0], np.cumsum(ranked)[:-1]))
-    hashes = np.full(len(tokens), FNV_OFFSET, np.uint64)
-    prime = np.uint64(FNV_PRIME)
+    hashes = np.full(len(tokens), start, np.uint64)
     for position in range(int(ranked[0])):
         live = int(np.searchsorted(-ranked, -position, side="left"))
-        hashes[:live] = (hashes[:live] ^ flat[starts[:live] + position]) * prime
+        hashes[:live] = step(hashes[:live], flat[starts[:live] + position])
     out = np.empty_like(hashes)
     out[order] = hashes
     return out
 
 
-def simhash_batch(texts: pd.Series) -> pd.Series:
+def _fnv1a(tokens: list[str]) -> np.ndarray:
+    return _fold_characters(tokens, FNV_OFFSET, lambda h, ch: (h ^ ch) * np.uint64(FNV_PRIME))
+
+
+def _numbered(tokens_per_text: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(token numbers in order, distinct tokens, number of tokens per text) of one batch."""
+    sizes = np.fromiter((len(t) for t in tokens_per_text), np.int64, len(tokens_per_text))
+    codes, distinct = pd.factorize(np.array([t for tokens in tokens_per_text for t in tokens], dtype=object))
+    return codes, list(distinct), sizes
+
+
+def simhash_batch(texts: pd.Series, chunk: int = 256) -> pd.Series:
     """64-bit SimHash of every text in one Arrow batch, as signed longs; 0 without a token."""
-    tokens_per_text = [_TOKEN.findall(t.lower()) if t else [] for t in texts]
-    vocabulary: dict[str, int] = {}
-    for tokens in tokens_per_text:
-        for token in tokens:
-            vocabulary.setdefault(token, len(vocabulary))
+    codes, distinct, sizes = _numbered([_TOKEN.findall(t.lower()) if t else [] for t in texts])
     result = np.zeros(len(texts), np.uint64)
-    if vocabulary:
-        hashes = _fnv1a(list(vocabulary)).astype("<u8")
+    if distinct:
+        hashes = _fnv1a(distinct).astype("<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes = bits.astype(np.int8) * 2 - 1
         weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        for row, tokens in enumerate(tokens_per_text):
-            if tokens:
-                index = np.fromiter((vocabulary[t] for t in tokens), np.int64, len(tokens))
-                counts = np.bincount(index)
-                seen = np.flatnonzero(counts)
-                total = counts[seen] @ votes[seen].astype(np.int64)
-                result[row] = weights[total > 0].sum(dtype=np.uint64)
+        ends = np.cumsum(sizes)
+        filled = np.flatnonzero(sizes)
+        for part in np.array_split(filled, max(1, -(-len(filled) // chunk))):
+            begin, end = ends[part[0]] - sizes[part[0]], ends[part[-1]]
+            offsets = ends[part] - sizes[part] - begin
+            total = np.add.reduceat(votes[codes[begin:end]], offsets, axis=0, dtype=np.int32)
+            result[part] = np.where(total > 0, weights, np.uint64(0)).sum(axis=1, dtype=np.uint64)
     return pd.Series(result.view(np.int64))
 
 
@@ -74,39 +80,56 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-SPARSE_COUNTS = ArrayType(
-    StructType([StructField("bucket", IntegerType(), False), StructField("count", IntegerType(), False)]), False
-)
-
-
-def _java_string_hash(text: str) -> int:
-    value = 0
-    for byte in text.encode("ascii"):
-        value = (31 * value + byte) & 0xFFFFFFFF
-    return value - (1 << 32) if value >= 1 << 31 else value
-
-
-def ngram_counts(text: str | None, cache: dict[str, int]) -> list[tuple[int, int]]:
-    """Signed bucket counts of the 1- and 2-grams of one text, zero sums dropped."""
-    tokens = [t.lower() for t in _ASCII_TOKEN.findall(text or "")]
-    sums: dict[int, int] = {}
-    for gram in tokens + [f"{a} {b}" for a, b in zip(tokens, tokens[1:])]:
-        value = cache.get(gram)
-        if value is None:
-            value = cache[gram] = _java_string_hash(gram)
-        bucket = value % V.HASH_DIMENSION
-        sums[bucket] = sums.get(bucket, 0) + (-1 if value < 0 else 1)
-    return sorted((b, c) for b, c in sums.items() if c)
+SPARSE_COUNTS = StructType().add("buckets", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
+_WORD = np.uint64(0xFFFFFFFF)
+
+
+def _java_hash(tokens: list[str]) -> np.ndarray:
+    """31-polynomial string hash, as unsigned 32-bit values."""
+    return _fold_characters(tokens, 0, lambda h, ch: (h * np.uint64(31) + ch) & _WORD)
+
+
+def ngram_counts(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Signed bucket counts of the 1- and 2-grams of each text, ordered by bucket, zero sums dropped.
+
+    The hash of ``"a b"`` is put together from the hashes of ``a`` and ``b``, so only distinct tokens are
+    hashed character by character.
+    """
+    codes, distinct, sizes = _numbered([[t.lower() for t in _ASCII_TOKEN.findall(t or "")] for t in texts])
+    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32))
+    if not distinct:
+        return [nothing] * len(texts)
+    lengths = np.fromiter((len(t) for t in distinct), np.int64, len(distinct))
+    powers = np.ones(int(lengths.max()) + 2, np.uint64)
+    for i in range(1, len(powers)):
+        powers[i] = powers[i - 1] * np.uint64(31) & _WORD
+    hashes = _java_hash(distinct)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    first, second = codes[:-1], codes[1:]
+    joined = (
+        hashes[first] * powers[lengths[second] + 1]
+        + np.uint64(ord(" ")) * powers[lengths[second]]
+        + hashes[second]
+    ) & _WORD
+    together = rows[:-1] == rows[1:]
+    grams = np.concatenate([hashes[codes], joined[together]])
+    owners = np.concatenate([rows, rows[:-1][together]])
+    slots = owners * V.HASH_DIMENSION + (grams % np.uint64(V.HASH_DIMENSION)).astype(np.int64)
+    signs = np.where(grams >= np.uint64(1 << 31), -1, 1)
+    used, where = np.unique(slots, return_inverse=True)
+    sums = np.bincount(where, weights=signs).astype(np.int32)
+    used, sums = used[sums != 0], sums[sums != 0]
+    edges = np.searchsorted(used, np.arange(len(texts) + 1) * V.HASH_DIMENSION)
+    buckets = (used % V.HASH_DIMENSION).astype(np.int32)
+    return [(buckets[a:b], sums[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
 
 @F.pandas_udf(SPARSE_COUNTS)
-def hash_ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Signed feature hashing into ``HASH_DIMENSION`` buckets, sparse and ordered by bucket."""
+def hash_ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Signed feature hashing into ``HASH_DIMENSION`` buckets, as parallel sparse arrays."""
     for texts in batches:
-        cache: dict[str, int] = {}
-        yield pd.Series(
-            [[{"bucket": b, "count": c} for b, c in ngram_counts(t, cache)] for t in texts], dtype=object
-        )
+        found = ngram_counts(texts)
+        yield pd.DataFrame({"buckets": [b for b, _ in found], "counts": [c for _, c in found]})
 
 
 def name_uuid(name: Column) -> Column:

@@ -43,10 +43,13 @@ def count_char(text: Column, char: str) -> Column:
 
 
 def uppercase_ratio(text: Column) -> Column:
-    """Share of letters that are upper case, six decimals; zero when there is no letter."""
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}"))
-    share = upper / F.nullif(letters, F.lit(0))
+    """Share of letters that are upper case, six decimals; zero when there is no letter.
+
+    Everything else is cut out run by run, which is far cheaper than a match per letter.
+    """
+    letters = F.regexp_replace(text, r"\P{L}+", "")
+    upper = F.regexp_replace(letters, r"\P{Lu}+", "")
+    share = F.length(upper) / F.nullif(F.length(letters), F.lit(0))
     return F.coalesce(F.floor(share * 1e6 + 0.5) / 1e6, F.lit(0.0))
 
 

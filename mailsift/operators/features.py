@@ -56,9 +56,9 @@ def link_features(body: Column) -> Column:
 def text_features(body: Column) -> Column:
     """Words are counted by their gaps, so long bodies never become arrays of words."""
     text = F.coalesce(body, F.lit(""))
-    trimmed = strip(text)
-    words = F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(r"\s+")) + 1)
-    word_chars = F.length(F.regexp_replace(trimmed, r"\s+", ""))
+    spaced = F.regexp_replace(strip(text), r"\s+", " ")
+    word_chars = F.length(F.replace(spaced, F.lit(" "), F.lit("")))
+    words = F.when(F.length(spaced) == 0, F.lit(0)).otherwise(F.length(spaced) - word_chars + 1)
     mean = F.coalesce(round6(word_chars / F.nullif(words, F.lit(0))), F.lit(0.0))
     return F.struct(
         F.length(text).alias("charCount"),

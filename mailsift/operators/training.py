@@ -117,16 +117,16 @@ def score_classes(model: PipelineModel, messages: DataFrame) -> DataFrame:
 
 
 def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> DataFrame:
-    """Unit-length n-gram counts per message, as a sparse array of (bucket, value)."""
-    counts = F.col("_counts")
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["count"] * c["count"]))
-    scaled = F.transform(
-        counts, lambda c: F.struct(c["bucket"].alias("bucket"), (c["count"] / F.col("_length")).alias("value"))
-    )
+    """Unit-length n-gram counts per message, as parallel sparse arrays ``buckets`` and ``values``."""
+    counts = F.col("_counts.counts")
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n * n))
     return (
         messages.select(key, hash_ngrams(F.col(text)).alias("_counts"))
         .withColumn("_length", F.nullif(length, F.lit(0.0)))
-        .select(key, scaled.alias("hashed"))
+        .select(
+            key, F.col("_counts.buckets").alias("buckets"),
+            F.transform(counts, lambda n: n / F.col("_length")).alias("values"),
+        )
     )
 
 
@@ -140,8 +140,7 @@ def fit_encoder(
     """
     width = min(dimension + oversample, V.HASH_DIMENSION)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((V.HASH_DIMENSION, width)))
-    corpus = hashed.select(F.col("hashed.bucket").alias("buckets"), F.col("hashed.value").alias("values"))
-    corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = hashed.select("buckets", "values").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for _ in range(passes):
             basis, strength, _ = np.linalg.svd(_gram_times(corpus, basis), full_matrices=False)
@@ -151,6 +150,33 @@ def fit_encoder(
     return basis[:, : min(dimension, found)]
 
 
+def _project_rows(buckets: pd.Series, values: pd.Series, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(projection of each row, flat buckets, flat values, row of each flat entry) of sparse rows."""
+    sizes = buckets.map(len).to_numpy()
+    projected = np.zeros((len(sizes), matrix.shape[1]))
+    if not sizes.sum():
+        return projected, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+    at = np.concatenate(buckets.to_numpy()).astype(np.int64)
+    flat = np.concatenate(values.to_numpy()).astype(float)
+    filled = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[filled]
+    projected[filled] = np.add.reduceat(flat[:, None] * matrix[at], starts, axis=0)
+    return projected, at, flat, np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _gram_of_rows(buckets: pd.Series, values: pd.Series, matrix: np.ndarray, chunk: int = 512) -> np.ndarray:
+    total = np.zeros_like(matrix)
+    for begin in range(0, len(buckets), chunk):
+        part = slice(begin, begin + chunk)
+        projected, at, flat, row = _project_rows(buckets.iloc[part], values.iloc[part], matrix)
+        if len(at):
+            order = np.argsort(at, kind="stable")
+            ordered = at[order]
+            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            total[ordered[starts]] += np.add.reduceat(flat[order, None] * projected[row[order]], starts, axis=0)
+    return total
+
+
 def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
     """``A' A basis`` for the sparse corpus ``A``."""
     shared = corpus.sparkSession.sparkContext.broadcast(basis)
@@ -159,9 +185,7 @@ def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
         matrix, total = shared.value, None
         for pdf in batches:
             total = np.zeros_like(matrix) if total is None else total
-            for buckets, values in zip(pdf["buckets"], pdf["values"]):
-                at, row = np.asarray(buckets, np.int64), np.asarray(values, float)
-                total[at] += np.outer(row, row @ matrix[at])
+            total += _gram_of_rows(pdf["buckets"], pdf["values"], matrix)
         if total is not None:
             touched = np.flatnonzero(total.any(axis=1))
             yield pd.DataFrame({"bucket": touched, "partial": list(total[touched])})
@@ -182,10 +206,7 @@ def encode(hashed: DataFrame, encoder: np.ndarray, key: str = "email_id", out: s
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def project(buckets: pd.Series, values: pd.Series) -> pd.Series:
-        matrix = shared.value
-        return pd.Series(
-            [np.asarray(v, float) @ matrix[np.asarray(b, np.int64)] for b, v in zip(buckets, values)]
-        ).map(list)
+        return pd.Series(list(_project_rows(buckets, values, shared.value)[0]))
 
-    encoded = project(F.col("hashed.bucket"), F.col("hashed.value"))
+    encoded = project(F.col("buckets"), F.col("values"))
     return hashed.select(key, encoded.alias("_encoded")).select(key, unit(F.col("_encoded")).alias(out))

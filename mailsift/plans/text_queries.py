@@ -265,11 +265,13 @@ def simhash_fingerprints(spark, folder):
     FROM documents d LEFT JOIN buckets b ON d.doc_id = b.doc_id GROUP BY d.doc_id""")
 def hashed_ngrams(spark, folder):
     counts = R.table(spark, folder, "documents").select("doc_id", hashing.hash_ngrams(c("text")).alias("n"))
-    total = lambda f: F.aggregate("n", F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
+    zero = F.lit(0).cast("bigint")
+    total = lambda values: F.aggregate(values, zero, lambda acc, x: acc + x)
+    n, at = c("n.counts"), c("n.buckets")
     return counts.select(
-        "doc_id", F.size("n").cast("bigint").alias("buckets"), total(lambda x: x["count"]).alias("total"),
-        total(lambda x: x["count"].cast("bigint") * x["bucket"]).alias("weighted"),
-        total(lambda x: x["count"].cast("bigint") * x["count"]).alias("energy"),
+        "doc_id", F.size(n).cast("bigint").alias("buckets"), total(n).alias("total"),
+        total(F.zip_with(n, at, lambda x, b: x.cast("bigint") * b)).alias("weighted"),
+        total(F.transform(n, lambda x: x.cast("bigint") * x)).alias("energy"),
     )
 
 
