@@ -17,19 +17,21 @@ FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
 
 _TOKEN = re.compile("[a-z0-9]+")
-_ASCII_TOKEN = re.compile("[A-Za-z0-9]+")
+_ASCII_TOKEN = re.compile(b"[a-z0-9]+")
 
 
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def _fold_characters(tokens: list[str], start: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def _fold_characters(tokens: list[str] | list[bytes], start: int, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Character-wise hash of many ASCII tokens at once, one column of characters at a time."""
     lengths = np.fromiter((len(t) for t in tokens), np.int64, len(tokens))
     order = np.argsort(-lengths, kind="stable")
     ranked = lengths[order]
-    flat = np.frombuffer("".join(tokens[i] for i in order).encode("ascii"), np.uint8).astype(np.uint64)
+    empty = tokens[0][:0]
+    joined = empty.join(tokens[i] for i in order)
+    flat = np.frombuffer(joined if isinstance(joined, bytes) else joined.encode("ascii"), np.uint8).astype(np.uint64)
     starts = np.concatenate(([0], np.cumsum(ranked)[:-1]))
     hashes = np.full(len(tokens), start, np.uint64)
     for position in range(int(ranked[0])):
@@ -44,10 +46,12 @@ def _fnv1a(tokens: list[str]) -> np.ndarray:
     return _fold_characters(tokens, FNV_OFFSET, lambda h, ch: (h ^ ch) * np.uint64(FNV_PRIME))
 
 
-def _numbered(tokens_per_text: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+def _numbered(tokens_per_text: list[list]) -> tuple[np.ndarray, list, np.ndarray]:
     """(token numbers in order, distinct tokens, number of tokens per text) of one batch."""
     sizes = np.fromiter((len(t) for t in tokens_per_text), np.int64, len(tokens_per_text))
-    codes, distinct = pd.factorize(np.array([t for tokens in tokens_per_text for t in tokens], dtype=object))
+    flat = np.empty(int(sizes.sum()), dtype=object)
+    flat[:] = [t for tokens in tokens_per_text for t in tokens]
+    codes, distinct = pd.factorize(flat)
     return codes, list(distinct), sizes
 
 
@@ -95,7 +99,9 @@ def ngram_counts(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     The hash of ``"a b"`` is put together from the hashes of ``a`` and ``b``, so only distinct tokens are
     hashed character by character.
     """
-    codes, distinct, sizes = _numbered([[t.lower() for t in _ASCII_TOKEN.findall(t or "")] for t in texts])
+    codes, distinct, sizes = _numbered(
+        [_ASCII_TOKEN.findall(t.encode("ascii", "replace").lower()) if t else [] for t in texts]
+    )
     nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32))
     if not distinct:
         return [nothing] * len(texts)

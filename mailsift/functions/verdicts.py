@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import vocabulary as V
 from mailsift.functions.text import is_present, strip
@@ -20,15 +20,16 @@ def strip_code_fence(text: Column) -> Column:
     return F.when(bare.startswith("```"), strip(F.regexp_replace(opened, r"```\z", ""))).otherwise(bare)
 
 
-def parse_verdict(response: Column) -> Column:
-    """The response as a struct, or null unless every field is present, known and in range."""
-    body = strip_code_fence(response)
-    parsed = F.from_json(body, RESPONSE_SCHEMA)
-    keys = F.json_object_keys(body)
+def with_verdict(df: DataFrame, response: str, out: str = "verdict") -> DataFrame:
+    """Adds the response as a struct, null unless every field is present, known and in range.
+
+    The text is cleaned, parsed and judged in projections of their own, so it is parsed once.
+    """
+    parsed = F.col("_parsed")
     unit_interval = lambda c: c.isNotNull() & c.between(0.0, 1.0)
     known_reasons = F.array(*[F.lit(r) for r in V.MODEL_RESPONSE_REASONS])
     valid = (
-        (F.array_sort(keys) == F.array_sort(F.array(*[F.lit(f) for f in RESPONSE_FIELDS])))
+        (F.sort_array("_keys") == F.array(*[F.lit(f) for f in sorted(RESPONSE_FIELDS)]))
         & parsed["verdict"].isin(*V.VERDICT_TIERS)
         & unit_interval(parsed["spam_prob"])
         & unit_interval(parsed["phishing_prob"])
@@ -37,7 +38,12 @@ def parse_verdict(response: Column) -> Column:
         & is_present(parsed["explanation_short"])
         & (F.length(parsed["explanation_short"]) <= V.MAX_EXPLANATION_CHARS)
     )
-    return F.when(F.coalesce(valid, F.lit(False)), parsed)
+    return (
+        df.withColumn("_body", strip_code_fence(F.col(response)))
+        .withColumns({"_parsed": F.from_json("_body", RESPONSE_SCHEMA), "_keys": F.json_object_keys("_body")})
+        .withColumn(out, F.when(F.coalesce(valid, F.lit(False)), parsed))
+        .drop("_body", "_parsed", "_keys")
+    )
 
 
 def grounded_context(features: Column, reputation: Column, reasons: Column, version: int = V.FEATURE_VERSION) -> Column:

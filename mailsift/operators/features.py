@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from mailsift import vocabulary as V
 from mailsift.functions import links
 from mailsift.functions.numeric import round6
-from mailsift.functions.text import count_char, is_present, strip, uppercase_ratio
+from mailsift.functions.text import count_char, is_present, letters_only, strip, uppercase_share
 
 ADDRESS = r"[^\s<>@]+@[^\s<>@]+"
 
@@ -25,48 +25,65 @@ VECTOR_FIELDS = (
 AUTH_SCORES = {"pass": 1.0, "softfail": -0.5, "fail": -1.0}
 
 
-def header_features(subject: Column, sender: Column, recipients: Column, reply_to: Column) -> Column:
-    def first_address(c: Column) -> Column:
-        return F.nullif(F.lower(F.regexp_extract(c, ADDRESS, 0)), F.lit(""))
+def with_header_features(
+    df: DataFrame, subject: str = "subject", sender: str = "sender", recipients: str = "recipients",
+    reply_to: str = "reply_to", out: str = "header",
+) -> DataFrame:
+    def first_address(name: str) -> Column:
+        return F.lower(F.regexp_extract(name, ADDRESS, 0))
 
+    title = F.col(subject)
     listed = F.filter(F.split(recipients, ","), is_present)
-    return F.struct(
-        is_present(subject).alias("hasSubject"),
-        F.coalesce(F.length(subject), F.lit(0)).alias("subjectLength"),
-        uppercase_ratio(subject).alias("subjectUppercaseRatio"),
-        count_char(subject, "!").alias("subjectExclamationCount"),
-        is_present(sender).alias("hasSender"),
+    own, reply = F.col("_own_address"), F.col("_reply_address")
+    staged = df.withColumns({
+        "_letters": letters_only(title), "_own_address": first_address(sender), "_reply_address": first_address(reply_to),
+    })
+    header = F.struct(
+        is_present(title).alias("hasSubject"),
+        F.coalesce(F.length(title), F.lit(0)).alias("subjectLength"),
+        uppercase_share(F.col("_letters")).alias("subjectUppercaseRatio"),
+        count_char(title, "!").alias("subjectExclamationCount"),
+        is_present(F.col(sender)).alias("hasSender"),
         F.coalesce(F.size(listed), F.lit(0)).alias("recipientCount"),
-        F.coalesce(first_address(sender) != first_address(reply_to), F.lit(False)).alias("replyToDiffersFromFrom"),
+        F.coalesce((own != "") & (reply != "") & (own != reply), F.lit(False)).alias("replyToDiffersFromFrom"),
     )
+    return staged.withColumn(out, header).drop("_letters", "_own_address", "_reply_address")
 
 
-def link_features(body: Column) -> Column:
-    found = F.coalesce(links.urls(body), F.array().cast("array<string>"))
-    hosts = F.filter(F.transform(found, links.url_host), lambda h: h.isNotNull())
-    return F.struct(
-        F.size(found).alias("urlCount"),
-        F.size(F.array_distinct(hosts)).alias("uniqueDomainCount"),
-        F.exists(hosts, lambda h: h.rlike(links.IPV4_HOST)).alias("hasIpUrl"),
-        F.exists(hosts, lambda h: F.instr(h, "xn--") > 0).alias("hasPunycodeDomain"),
-        F.coalesce(F.array_max(F.transform(found, F.length)), F.lit(0)).alias("maxUrlLength"),
+def with_link_features(df: DataFrame, body: str, out: str = "link") -> DataFrame:
+    staged = df.withColumn("_urls", F.coalesce(links.urls(F.col(body)), F.array().cast("array<string>"))).withColumn(
+        "_hosts", F.filter(F.transform("_urls", links.url_host), lambda h: h.isNotNull())
     )
+    link = F.struct(
+        F.size("_urls").alias("urlCount"),
+        F.size(F.array_distinct("_hosts")).alias("uniqueDomainCount"),
+        F.exists("_hosts", lambda h: h.rlike(links.IPV4_HOST)).alias("hasIpUrl"),
+        F.exists("_hosts", lambda h: F.instr(h, "xn--") > 0).alias("hasPunycodeDomain"),
+        F.coalesce(F.array_max(F.transform("_urls", F.length)), F.lit(0)).alias("maxUrlLength"),
+    )
+    return staged.withColumn(out, link).drop("_urls", "_hosts")
 
 
-def text_features(body: Column) -> Column:
-    """Words are counted by their gaps, so long bodies never become arrays of words."""
-    text = F.coalesce(body, F.lit(""))
-    spaced = F.regexp_replace(strip(text), r"\s+", " ")
-    word_chars = F.length(F.replace(spaced, F.lit(" "), F.lit("")))
-    words = F.when(F.length(spaced) == 0, F.lit(0)).otherwise(F.length(spaced) - word_chars + 1)
-    mean = F.coalesce(round6(word_chars / F.nullif(words, F.lit(0))), F.lit(0.0))
-    return F.struct(
+def with_text_features(df: DataFrame, body: str, out: str = "text") -> DataFrame:
+    """Words are counted by their gaps, so long bodies never become arrays of words.
+
+    Each pass over the body is its own projection, which keeps the optimizer from repeating it.
+    """
+    text = F.coalesce(F.col(body), F.lit(""))
+    staged = df.withColumns(
+        {"_spaced": F.regexp_replace(strip(text), r"\s+", " "), "_letters": letters_only(text)}
+    ).withColumn("_word_chars", F.length("_spaced") - count_char(F.col("_spaced"), " "))
+    words = F.when(F.length("_spaced") == 0, F.lit(0)).otherwise(F.length("_spaced") - F.col("_word_chars") + 1)
+    staged = staged.withColumn("_words", words)
+    mean = F.when(F.col("_words") > 0, round6(F.col("_word_chars") / F.col("_words"))).otherwise(F.lit(0.0))
+    features = F.struct(
         F.length(text).alias("charCount"),
-        words.alias("wordCount"),
-        uppercase_ratio(text).alias("uppercaseRatio"),
+        F.col("_words").alias("wordCount"),
+        uppercase_share(F.col("_letters")).alias("uppercaseRatio"),
         count_char(text, "!").alias("exclamationCount"),
         mean.alias("avgWordLength"),
     )
+    return staged.withColumn(out, features).drop("_spaced", "_letters", "_word_chars", "_words")
 
 
 def timing_features(moment: Column) -> Column:
@@ -98,16 +115,18 @@ def extract_features(messages: DataFrame, keep: list[str] | None = None) -> Data
 
     Reads subject, sender, recipients, reply_to, body_raw, body_display, received_at and auth_results.
     """
-    c = F.col
+    grouped = with_header_features(messages, out="_header")
+    grouped = with_link_features(grouped, "body_raw", out="_link")
+    grouped = with_text_features(grouped, "body_display", out="_text")
     features = F.struct(
-        header_features(c("subject"), c("sender"), c("recipients"), c("reply_to")).alias("header"),
-        link_features(c("body_raw")).alias("link"),
-        text_features(c("body_display")).alias("text"),
-        timing_features(c("received_at")).alias("timing"),
-        auth_features(c("auth_results")).alias("auth"),
+        F.col("_header").alias("header"),
+        F.col("_link").alias("link"),
+        F.col("_text").alias("text"),
+        timing_features(F.col("received_at")).alias("timing"),
+        auth_features(F.col("auth_results")).alias("auth"),
         F.lit(None).cast("array<float>").alias("embedding"),
     )
-    return messages.select(
+    return grouped.select(
         "email_id", *(keep or []), F.lit(V.FEATURE_VERSION).alias("feature_version"), features.alias("features")
     )
 

@@ -152,7 +152,8 @@ def recent_near_duplicates(
     before, so work is linear and no sender or text can make a block large.
     """
     block = max(block, recent)
-    rows = prints.select("email_id", F.unix_millis(moment).alias("ms"), "fingerprint")
+    # Fingerprints are read three times below; writing these three numbers out saves hashing the texts again.
+    rows = cut_lineage(prints.select("email_id", F.unix_millis(moment).alias("ms"), "fingerprint"))
     placed = positions(rows.filter("fingerprint <> 0"), ["ms", "email_id"])
     home = F.floor((F.col("position") - 1) / block)
     tail = F.pmod(F.col("position") - 1, F.lit(block)) >= block - recent

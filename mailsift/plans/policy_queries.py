@@ -358,7 +358,8 @@ def verdict_checks(spark, folder):
         .when(kind == 6, F.concat(F.lit("```json\n"), body, F.lit("\n```\n")))
         .otherwise(body)
     )
-    checked = R.events(spark, folder).select("event_id", verdicts.parse_verdict(response).alias("v"))
+    answered = R.events(spark, folder).select("event_id", response.alias("response"))
+    checked = verdicts.with_verdict(answered, "response", out="v")
     return checked.select("event_id", "v.verdict", R6(c("v.spam_prob")).alias("spam_prob"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailsift.functions.text import sender_key
 from mailsift.operators.features import auth_features, reputation_bucket
 from mailsift.operators.scoring import Policy
+from mailsift.session import spread_if_small
 
 READ_AT = "2024-02-01 00:00:00"
 FOLDED_AT = "2024-01-16 00:00:00"
@@ -20,8 +21,12 @@ STRICT = Policy("strict", warn=0.30, quarantine=0.55, block=0.85, slow_path=0.20
 PSEUDONYM_KEY = b"documented-demo-key-for-pseudonyms"
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    stored = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_if_small(stored) if name in TEXT_TABLES else stored
 
 
 def prop_k() -> Column:

@@ -102,8 +102,7 @@ def content_hashes(spark, folder):
            sender IS NOT NULL AS has_sender, 2 AS recipient_count,
            coalesce(lower(sender) <> reply_to, FALSE) AS reply_to_differs FROM messages""", ("messages",))
 def header_features(spark, folder):
-    h = features.header_features(c("subject"), c("sender"), c("recipients"), c("reply_to"))
-    return R.messages(spark, folder).select("email_id", h.alias("h")).select(
+    return features.with_header_features(R.messages(spark, folder), out="h").select(
         "email_id", c("h.hasSubject").alias("has_subject"), c("h.subjectLength").cast("bigint").alias("subject_length"),
         c("h.subjectUppercaseRatio").alias("subject_uppercase_ratio"),
         c("h.subjectExclamationCount").cast("bigint").alias("subject_exclamations"),
@@ -133,7 +132,8 @@ def link_features(spark, folder):
         c("url"), F.lit(" "), c("html"), F.lit(" HTTP://a.b@10.0.0."), (c("page_id") % 256).cast("string"),
         F.lit(":8080/x https://xn--"), page, F.lit(".test?q"),
     )
-    return R.table(spark, folder, "pages").select("page_id", features.link_features(body).alias("l")).select(
+    pages = R.table(spark, folder, "pages").select("page_id", body.alias("body"))
+    return features.with_link_features(pages, "body", out="l").select(
         "page_id", c("l.urlCount").cast("bigint").alias("url_count"),
         c("l.uniqueDomainCount").cast("bigint").alias("unique_domains"), c("l.hasIpUrl").alias("has_ip_url"),
         c("l.hasPunycodeDomain").alias("has_punycode"), c("l.maxUrlLength").cast("bigint").alias("max_url_length"),
@@ -154,7 +154,7 @@ def url_hosts(spark, folder):
            {_count_sql('text', '!')} AS exclamations,
            coalesce({r6('CAST(word_chars AS DOUBLE) / nullif(words, 0)')}, 0.0) AS avg_word_length FROM w""")
 def text_features(spark, folder):
-    return R.table(spark, folder, "documents").select("doc_id", features.text_features(c("text")).alias("t")).select(
+    return features.with_text_features(R.table(spark, folder, "documents"), "text", out="t").select(
         "doc_id", c("t.charCount").cast("bigint").alias("char_count"), c("t.wordCount").cast("bigint").alias("word_count"),
         c("t.uppercaseRatio").alias("uppercase_ratio"), c("t.exclamationCount").cast("bigint").alias("exclamations"),
         c("t.avgWordLength").alias("avg_word_length"),
