@@ -90,15 +90,23 @@ def mask_address(address: Column) -> Column:
     return F.when(F.length(value) > 0, F.when(usable, F.concat(kept, domain)).otherwise(F.lit("***")))
 
 
+# Noncharacters that mark the parts of an address between the passes below.
+_OPEN, _REST, _CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 def redact_emails(text: Column) -> Column:
-    """Mask every address inside free text: long local parts first, then one-character ones.
+    """Mask every address inside free text.
 
-    A match may only begin where a run of local-part characters begins (or the match before ended), and the
-    run is never given back, so a text without addresses is read once.
+    One pass finds the addresses, left to right, and marks first character and rest of the local part; the
+    others turn marks into stars. A match begins where a run of local-part characters begins or where
+    the match before ended, and the run is never given back, so a text is read once.
     """
     begin = rf"(?:\G|(?<!{LOCAL_CLASS}))"
-    longer = F.regexp_replace(text, f"{begin}({LOCAL_CLASS}){LOCAL_CLASS}++@({DOMAIN_PATTERN})", "$1***@$2")
-    masked = F.regexp_replace(longer, f"{begin}{LOCAL_CLASS}@({DOMAIN_PATTERN})", "***@$1")
+    marked = F.regexp_replace(
+        text, f"{begin}({LOCAL_CLASS})({LOCAL_CLASS}*+)@({DOMAIN_PATTERN})", f"{_OPEN}$1{_REST}$2{_CLOSE}@$3"
+    )
+    single = F.regexp_replace(marked, f"{_OPEN}.{_REST}{_CLOSE}", "***")
+    masked = F.regexp_replace(single, f"{_OPEN}(.){_REST}[^{_CLOSE}]+{_CLOSE}", "$1***")
     return F.when(F.contains(text, F.lit("@")), masked).otherwise(text)
 
 

@@ -70,7 +70,7 @@ def _first_shared_key(a: Column, b: Column, combo: Column, blocks: int) -> Colum
 
 
 def close_fingerprints(
-    prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 4096
+    prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 1024
 ) -> DataFrame:
     """Ordered pairs of different fingerprints within ``radius`` bits, each side with its copies.
 
@@ -117,7 +117,7 @@ def close_fingerprints(
     return pairs(calm, plan[0], True).unionByName(pairs(again, wider[0], False))
 
 
-def near_duplicate_neighbours(prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 4096) -> DataFrame:
+def near_duplicate_neighbours(prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 1024) -> DataFrame:
     """Per fingerprint: how many other fingerprints and messages are close, how close, and the first of them.
 
     Pairs are summed where they are found; only one partial row per fingerprint and task is shuffled.
