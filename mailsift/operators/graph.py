@@ -18,14 +18,13 @@ def component_labels(members: DataFrame, relation: str = "relation_id", node: st
     edges = cut_lineage(members.select(F.col(relation).alias("r"), F.col(node).alias("n")).distinct())
     labels = edges.select("n").distinct().withColumn("label", F.col("n"))
     while True:
-        per_relation = edges.join(labels, "n").groupBy("r").agg(F.min("label").alias("label"))
-        lowered = edges.join(per_relation, "r").groupBy("n").agg(F.min("label").alias("label"))
-        hop = lowered.select(F.col("n").alias("label"), F.col("label").alias("further"))
-        moved = (
-            lowered.join(hop, "label").select("n", F.col("further").alias("label"))
-            .join(labels.select("n", F.col("label").alias("old")), "n")
+        held = edges.join(labels, "n")
+        per_relation = held.groupBy("r").agg(F.min("label").alias("lower"))
+        lowered = held.join(per_relation, "r").groupBy("n").agg(
+            F.min("lower").alias("label"), F.min("label").alias("old")
         )
-        moved = cut_lineage(moved)
+        hop = lowered.select(F.col("n").alias("label"), F.col("label").alias("further"))
+        moved = cut_lineage(lowered.join(hop, "label").select("n", F.col("further").alias("label"), "old"))
         labels = moved.select("n", "label")
         if moved.filter("label <> old").isEmpty():
             return labels.select(F.col("n").alias(node), F.col("label").alias("component"))

@@ -22,22 +22,17 @@ def match(condition: Column, tier: str, reason: str) -> Column:
 def denylisted_ids(messages: DataFrame, denylist: DataFrame, text: str = "body_raw", key: str = "email_id") -> DataFrame:
     """Ids of messages that link to a denylisted host or to a sub-domain of one.
 
-    Only distinct hosts are widened to their parent domains, so a host mentioned by a third of
-    all messages is widened once; the two joins are equi-joins on hosts.
+    Bodies are read once. Each distinct host of a message is widened to its parent domains, and those
+    are matched by an equi-join on which Catalyst broadcasts the list when it is small.
     """
-    mentions = messages.select(key, F.explode(links.rule_hosts(F.col(text))).alias("host"))
-    bad = denylist.select(F.lower("host").alias("suffix")).distinct()
-    bad_hosts = (
-        mentions.select("host").distinct()
-        .select("host", F.explode(links.domain_suffixes(F.col("host"))).alias("suffix"))
-        .join(bad, "suffix", "left_semi")
-        .select("host").distinct()
-    )
-    return mentions.join(bad_hosts, "host", "left_semi").select(key).distinct()
+    parents = F.array_distinct(F.flatten(F.transform(links.rule_hosts(F.col(text)), links.domain_suffixes)))
+    mentioned = messages.select(key, F.explode(parents).alias("host"))
+    bad = denylist.select(F.lower("host").alias("host"))
+    return mentioned.join(bad, "host", "left_semi").select(key).distinct()
 
 
 def with_denylist_flag(messages: DataFrame, denylist: DataFrame, text: str = "body_raw", key: str = "email_id") -> DataFrame:
-    """Adds ``links_to_denylist``; bodies are not moved for messages without any link."""
+    """Adds ``links_to_denylist``. Project to the columns needed first: what is passed in may be shuffled by id."""
     hits = denylisted_ids(messages, denylist, text, key).withColumn("links_to_denylist", F.lit(True))
     return messages.join(hits, key, "left").withColumn(
         "links_to_denylist", F.coalesce("links_to_denylist", F.lit(False))

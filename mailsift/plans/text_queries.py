@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsift.functions import hashing, links, text, vectors
+from mailsift.functions import hashing, links, text, vectors, verdicts
 from mailsift.functions.tiers import explanation
 from mailsift.operators import features, lookups, privacy
 from mailsift.plans import roles as R
@@ -369,3 +369,42 @@ def raw_events(spark, folder):
         c("event.emailId").cast("bigint").alias("email_id"), "key", c("event.senderKey").alias("sender_key"),
         c("event.contentHashHex").alias("content_hash"), c("event.ingestSource").alias("ingest_source"),
     )
+
+
+def _dec(value: str, places: int) -> str:
+    return f"printf('%.{places}f', CAST(round(CAST({value} AS DECIMAL(18,6)), {places}) AS DOUBLE))"
+
+
+@query("grounded_contexts", f"""
+    WITH t AS (SELECT m.*, trim(body, {WS}) AS bare, k, value FROM messages m JOIN ev ON email_id = event_id),
+    w AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE len(regexp_extract_all(bare, '\\s+')) + 1 END AS words,
+                 length(regexp_replace(bare, '\\s+', '', 'g')) AS word_chars FROM t)
+    SELECT email_id, md5(concat(
+        '=== GROUNDED CONTEXT (trusted, machine-extracted — not the email''s own words) ===', chr(10),
+        'Why escalated to you: ', CASE WHEN k < 50 THEN '(unspecified)' ELSE 'LOW_MODEL_CONFIDENCE, NEAR_TIER_BOUNDARY' END, chr(10),
+        'Feature version: 1', chr(10), 'Header signals:', chr(10),
+        '  has_subject=', length(trim(subject, {WS})) > 0, ' subject_len=', length(subject), ' subject_uppercase_ratio=', {_dec(_ratio_sql('subject'), 2)},
+        ' subject_exclamations=', {_count_sql('subject', '!')}, ' has_sender=', sender IS NOT NULL, ' recipients=2 reply_to_differs_from_from=',
+        coalesce(lower(sender) <> reply_to, FALSE), chr(10), 'Link signals:', chr(10),
+        '  url_count=0 unique_domains=0 has_ip_url=false has_punycode_domain=false max_url_len=0', chr(10), 'Text signals:', chr(10),
+        '  char_count=', length(body), ' word_count=', words, ' uppercase_ratio=', {_dec(_ratio_sql('body'), 2)}, ' exclamations=', {_count_sql('body', '!')},
+        ' avg_word_len=', {_dec(f"coalesce({r6('CAST(word_chars AS DOUBLE) / nullif(words, 0)')}, 0.0)", 2)}, chr(10),
+        'Authentication: spf=', CASE WHEN auth_results IS NULL THEN 'unknown' WHEN k >= 50 THEN 'pass' ELSE 'softfail' END, ' dkim=unknown dmarc=',
+        CASE WHEN auth_results IS NULL THEN 'unknown' WHEN k % 2 = 0 THEN 'pass' ELSE 'fail' END, chr(10),
+        'Sender reputation: trust_mean=', {_dec('k / 100.0', 3)}, ' evidence_count=', {_dec('value', 1)}, ' uncertainty=', {_dec('k / 1000.0', 3)},
+        ' dmarc_aligned=', k % 2 = 0, chr(10), '=== END GROUNDED CONTEXT ===')) AS context_md5 FROM w""", ("messages",))
+def grounded_contexts(spark, folder):
+    """Context block of every message; standing and reasons come from the event of the same number."""
+    extracted = features.extract_features(R.messages(spark, folder))
+    standing = R.events(spark, folder).select(
+        c("event_id").alias("email_id"),
+        F.struct(
+            (c("k") / 100.0).alias("trust_mean"), c("value").alias("evidence_count"), (c("k") / 1000.0).alias("uncertainty"),
+            (c("k") % 2 == 0).alias("dmarc_aligned"),
+        ).alias("reputation"),
+        F.when(c("k") < 50, F.array().cast("array<string>")).otherwise(
+            F.array(F.lit("LOW_MODEL_CONFIDENCE"), F.lit("NEAR_TIER_BOUNDARY"))
+        ).alias("reasons"),
+    )
+    block = verdicts.grounded_context(c("features"), c("reputation"), c("reasons"))
+    return extracted.join(standing, "email_id").select("email_id", F.md5(block).alias("context_md5"))

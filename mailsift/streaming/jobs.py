@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mailsift import vocabulary as V
 from mailsift.functions.hashing import simhash64
-from mailsift.functions.numeric import month_key
+from mailsift.functions.numeric import age_seconds, month_key
 from mailsift.operators.features import extract_features
 from mailsift.operators.reputation import COUNTS
 from mailsift.operators.scoring import Policy, resolve_pending, score_policies, shadow_decisions
@@ -64,40 +61,29 @@ def embedding_stream(events: DataFrame, messages: DataFrame, encoder: Callable[[
     return encoder(events.select("email_id").join(stored, "email_id"))
 
 
-STATE = "auth_good double, auth_bad double, unauth_good double, unauth_bad double, folded_at double"
+def reputation_state(
+    events: DataFrame, half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00"
+) -> DataFrame:
+    """Decayed counts per sender, folded to the sender's latest event; run in update mode.
 
-
-def reputation_state(events: DataFrame, half_life_seconds: float = V.HALF_LIFE_SECONDS) -> DataFrame:
-    """Decayed counts per sender, one writer per sender, updated with every batch.
-
-    A sender's batch is folded into its four counts per chunk of rows as they arrive; state is the counts
-    and the moment they are folded to. Late events decay by their own age and never move the moment back.
-    Reads sender_key, signal, bucket, weight and occurred_at.
+    Decay composes, so a weight can be kept as what it would have been at a fixed ``epoch`` and plain sums
+    of those are the whole state: events may arrive in any order, a busy sender is summed in
+    every map task first, and no row leaves the JVM. The scale doubles once per half-life, so move
+    ``epoch`` forward before a thousand half-lives have passed.
     """
-
-    def fold(key: tuple[Any], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        *counts, folded_at = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, float("-inf"))
-        for pdf in chunks:
-            seconds = pdf["occurred_at"].astype("int64").to_numpy() / pdf_unit(pdf["occurred_at"])
-            now = max(folded_at, float(seconds.max()))
-            scale = 0.5 ** ((now - folded_at) / half_life_seconds) if folded_at > float("-inf") else 0.0
-            weights = pdf["weight"].to_numpy() * 0.5 ** ((now - seconds) / half_life_seconds)
-            for i, (bucket, signal) in enumerate((b, s) for b in V.BUCKETS for s in V.SIGNALS):
-                chosen = ((pdf["bucket"] == bucket) & (pdf["signal"] == signal)).to_numpy()
-                counts[i] = counts[i] * scale + float(weights[chosen].sum())
-            folded_at = now
-        state.update((*counts, folded_at))
-        yield pd.DataFrame([[key[0], *counts, folded_at]], columns=["sender_key", *COUNTS, "folded_at"])
-
-    key_type = events.schema["sender_key"].dataType.simpleString()
-    return events.groupBy("sender_key").applyInPandasWithState(
-        fold, f"sender_key {key_type}, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout
+    origin = F.lit(epoch).cast("timestamp")
+    halvings = lambda moment: age_seconds(origin, moment) / F.lit(float(half_life_seconds))
+    scaled = F.col("weight") * F.pow(F.lit(2.0), halvings(F.col("occurred_at")))
+    sides = [(b, s) for b in V.BUCKETS for s in V.SIGNALS]
+    sums = events.groupBy("sender_key").agg(
+        *[
+            F.coalesce(F.sum(F.when((F.col("bucket") == b) & (F.col("signal") == s), scaled)), F.lit(0.0)).alias(name)
+            for name, (b, s) in zip(COUNTS, sides)
+        ],
+        F.max("occurred_at").alias("folded_at"),
     )
-
-
-def pdf_unit(series: pd.Series) -> float:
-    """Ticks per second of a pandas timestamp column."""
-    return {"s": 1.0, "ms": 1e3, "us": 1e6, "ns": 1e9}[series.dt.unit]
+    back = F.pow(F.lit(0.5), halvings(F.col("folded_at")))
+    return sums.select("sender_key", *[(F.col(n) * back).alias(n) for n in COUNTS], "folded_at")
 
 
 def sender_velocity(events: DataFrame, moment: str, sender: str, window: str = "60 seconds", slide: str = "1 second", lateness: str = "60 seconds") -> DataFrame:
