@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import vocabulary as V
@@ -14,7 +15,6 @@ from mailsift.operators import metrics, rules, scoring
 from mailsift.operators.features import extract_features, feature_array, reputation_bucket
 from mailsift.operators.reputation import with_sender_reputation
 from mailsift.operators.training import score_classes
-from pyspark.ml.functions import array_to_vector
 
 # Turns rows with ``raw_malicious`` into rows with ``calibrated_confidence``; any Transformer's ``transform`` fits.
 Calibrator = Callable[[DataFrame], DataFrame]
@@ -77,8 +77,11 @@ def quality_report(
     scored: DataFrame, labels: DataFrame, policies: Sequence[scoring.Policy], baseline: str,
     golden: DataFrame | None = None, golden_version: str | None = None,
 ) -> DataFrame:
-    """Replay under every policy, metrics on the judging set, gate, and change against a baseline policy."""
-    judged = metrics.labelled_decisions(scoring.score_policies(scored, policies), labels, golden, golden_version)
+    """Replay under every policy, metrics on the judging set, gate, and change against a baseline policy.
+
+    Only judged messages are replayed: they are found first, then scored once per policy.
+    """
+    judged = scoring.score_policies(metrics.labelled_decisions(scored, labels, golden, golden_version), policies)
     gated = metrics.precision_gate(metrics.policy_metrics(judged))
     reference = gated.filter(F.col("policy_version") == baseline)
     return gated.withColumns(

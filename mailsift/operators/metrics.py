@@ -100,8 +100,8 @@ def route_mix(decisions: DataFrame) -> DataFrame:
     """Decisions and share per route bucket; every bucket is present."""
     counts = decisions.groupBy(route_bucket(F.col("route_used")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
-    spark = decisions.sparkSession
-    buckets = spark.createDataFrame([("rules",), ("reputation",), ("llm",)], "bucket string")
+    names = F.array(*[F.lit(b) for b in ("rules", "reputation", "llm")])
+    buckets = decisions.sparkSession.range(1).select(F.explode(names).alias("bucket"))
     filled = buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
     return filled.withColumn("share", ratio(F.col("n"), total))
 

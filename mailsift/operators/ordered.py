@@ -29,10 +29,12 @@ def running_totals(
 ) -> DataFrame:
     """Adds one running sum per entry of ``totals``, restarted in every ``period``.
 
-    ``order_by`` must end with a unique column so that equal moments can be split over chunks.
+    ``order_by`` must end with a unique column so that equal moments can be split over chunks. A frame
+    that already went through ``ordered_chunks`` with this order keeps its chunks and is not moved again.
     """
     inputs = {f"_in_{name}": value for name, value in totals.items()}
-    chunked = ordered_chunks(df.withColumns(inputs), order_by)
+    ready = df.withColumns(inputs)
+    chunked = ready if CHUNK in df.columns else ordered_chunks(ready, order_by)
     sums = chunked.groupBy(*period, CHUNK).agg(*[F.sum(i).alias(i.replace("_in_", "_sum_")) for i in inputs])
     # Bounded: one row per chunk and period that meet.
     before = Window.partitionBy(*(period or [F.lit(0)])).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)

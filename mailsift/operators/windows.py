@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift import vocabulary as V
 from mailsift.functions.numeric import clamp_unit, day_key, month_key
-from mailsift.operators.ordered import positions, running_totals
+from mailsift.operators.ordered import CHUNK, ordered_chunks, positions, running_totals
 
 
 def trailing_sender_counts(
@@ -39,8 +39,9 @@ def spend_so_far(calls: DataFrame, moment: str, cost: str, key: str) -> DataFram
     periods = calls.withColumn("day", day_key(F.col(moment))).withColumn("month", month_key(F.col(moment)))
     amount = F.col(cost)
     order = [moment, key]
-    by_day = running_totals(periods, {"day_spend": amount}, order, ["day"])
-    return running_totals(by_day, {"month_spend": amount}, order, ["month"])
+    chunks = ordered_chunks(periods, order)
+    by_day = running_totals(chunks, {"day_spend": amount}, order, ["day"])
+    return running_totals(by_day, {"month_spend": amount}, order, ["month"]).drop(CHUNK)
 
 
 def denial_scope(day_total: Column, month_total: Column, daily: float, monthly: float) -> Column:
@@ -66,7 +67,7 @@ def admit_calls(
         .withColumn("day", day_key(F.col(moment))).withColumn("month", month_key(F.col(moment)))
     )
     order = [moment, key]
-    by_day = running_totals(periods, {"day_before": spent}, order, ["day"], inclusive=False)
+    by_day = running_totals(ordered_chunks(periods, order), {"day_before": spent}, order, ["day"], inclusive=False)
     day_ok = by_day.withColumn("in_day", F.col("day_before") + lit(reservation) <= lit(daily))
     charged = F.when(F.col("in_day"), spent).otherwise(lit(0))
     by_month = running_totals(day_ok, {"month_before": charged}, order, ["month"], inclusive=False)

@@ -179,7 +179,7 @@ def latest_decision(spark, folder):
     SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice FROM customer c JOIN LATERAL (
         SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1) ON TRUE""")
 def latest_order_per_customer(spark, folder):
-    history = R.table(spark, folder, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    history = R.table(spark, folder, "orders").select(c("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_totalprice")
     wanted = R.table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return windows.latest_for(wanted, history, "c_custkey", ["o_orderdate", "o_orderkey"]).select(
         "c_custkey", "c_mktsegment", "o_orderkey", "o_totalprice"

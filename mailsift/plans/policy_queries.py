@@ -20,7 +20,7 @@ _BAD = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in DENYLIST)
 
 
 def _denylist(spark):
-    return spark.createDataFrame([(h,) for h in DENYLIST], "host string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(h) for h in DENYLIST])).alias("host"))
 
 
 @query("denylist_hits", f"""
@@ -110,7 +110,8 @@ def shadow_agreement(spark, folder):
 
 
 def _labelled(spark, folder):
-    return metrics.labelled_decisions(_decided(spark, folder), R.truth(spark, folder))
+    judged = metrics.labelled_decisions(R.scored(spark, folder), R.truth(spark, folder))
+    return scoring.score_policies(judged, [R.LIVE, R.STRICT])
 
 
 _METRICS = """metrics AS (
