@@ -157,7 +157,7 @@ _SWEEP = """sweep AS (SELECT k AS sweep_index, k / 100.0 AS malicious_fraction,
 @query("sensitivity_breakdown", f"""
     WITH {_SWEEP}, b AS (SELECT *, ham_drift <= 0.1 AND spam_promotion <= 0.1 AS blunted FROM sweep)
     SELECT count(*) AS points, count_if(blunted)::BIGINT AS blunted_points,
-           min_by(malicious_fraction, sweep_index) FILTER (NOT blunted) AS observed_breakdown_fraction, 15 AS breakdown_bomber_count FROM b""",
+           min_by(malicious_fraction, sweep_index) FILTER (NOT blunted) AS observed_breakdown_fraction, 15::BIGINT AS breakdown_bomber_count FROM b""",
        ("ev",))
 def sensitivity_breakdown(spark, folder):
     drifted = lambda kind: F.coalesce(F.sum(F.when(c("event_type") == kind, c("value"))), F.lit(0.0)) / 10000.0
