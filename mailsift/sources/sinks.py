@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsift.operators.quality import split_valid
+from mailsift.session import cut_lineage
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -60,10 +61,9 @@ def upsert(updates: DataFrame, path: str, keys: list[str], version: list[str], b
     current = read_or_empty(spark, path, marked)
     touched = current.join(marked.select("bucket").distinct(), "bucket", "left_semi")
     merged = upserted(touched, marked, [*keys, "bucket"], version)
-    # The merge reads the folder it replaces, so it is written out first.
-    from mailsift.session import cut_lineage
-
-    cut_lineage(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # The merge reads the folder it replaces, so it is written out first; one task then writes each bucket.
+    settled = cut_lineage(merged.repartition("bucket"))
+    settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def replace_version(rows: DataFrame, path: str, version: str = "model_version") -> None:

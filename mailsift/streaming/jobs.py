@@ -44,7 +44,12 @@ def insert_absent_batches(path: str, keys: list[str], order: list[str]) -> Calla
 
 def upsert_batches(path: str, keys: list[str], version: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda b: b) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, _: int) -> None:
-        sinks.upsert(prepare(batch), path, keys, version)
+        # The merge looks at its updates twice, and a streaming batch is computed again each time it is read.
+        updates = prepare(batch).persist()
+        try:
+            sinks.upsert(updates, path, keys, version)
+        finally:
+            updates.unpersist()
 
     return write
 
