@@ -17,7 +17,7 @@ def bit_table(spark: SparkSession, codes: DataFrame, column: str, bits: int) ->
     """A scalar of ``bits / 64`` longs in which the slot of every code is set: fixed in size, whatever the table."""
     slot = F.pmod(F.col(column), F.lit(bits))
     filled = codes.select(
-        F.shiftrightunsigned(slot, 6).alias("id"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")
+        F.shiftrightunsigned(slot, 6).alias("id"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")
     ).groupBy("id").agg(F.bit_or("bit").alias("bit"))
     dense = spark.range(0, bits // 64, 1, 1).join(filled, "id", "left")
     packed = dense.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))).alias("all"))
