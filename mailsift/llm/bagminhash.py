@@ -39,8 +39,9 @@ REGISTERS = 128
 BAND = 5
 #: Up to so many members a bucket is compared pair by pair, above it tile by tile; the links are the same.
 CROWDED = 8
-#: Shingles of a tile.
-TILE = 100_000
+#: Shingles of a tile; each text counts as ``TEXT_COST`` more, which bounds the texts of a tile too.
+TILE = 250_000
+TEXT_COST = 100
 _AXIS = stream(11, 64)
 _POINT = stream(12, 4)
 
@@ -278,7 +279,7 @@ def _tiles(entries: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
     Classes that fill tiles of their own are not compared with themselves.
     """
-    per_class = entries.groupBy("key", "comp").agg(F.sum("size").alias("bulk"))
+    per_class = entries.groupBy("key", "comp").agg(F.sum(F.col("size") + TEXT_COST).alias("bulk"))
     cell = F.when(F.col("bulk") >= TILE, F.col("comp"))
     pools = per_class.select("key", "comp", "bulk", cell.alias("cell"))
     totals = pools.groupBy("key", "cell").agg(F.sum("bulk").alias("total"))
@@ -309,20 +310,24 @@ def _tile_links(similarity: float):
         values, column, times = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
         kept = times[column] > 1
         named = np.cumsum(times > 1) - 1
-        shared = np.zeros((len(bags), len(bags)), np.float32)
         row, column = row[kept], named[column[kept]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        width = int(times[times > 1].size)
-        for low in range(0, width, 4096):
-            cut = slice(*np.searchsorted(column, [low, low + 4096]))
-            block = np.zeros((len(bags), min(4096, width - low)), np.float32)
-            block[row[cut], column[cut] - low] = 1.0
-            shared += block @ block.T
-        union = sizes[:, None] + sizes[None, :] - shared
-        good = (shared >= similarity * union - 1e-6) & (comps[:, None] != comps[None, :]) & (reps[:, None] > reps[None, :])
-        left, right = np.nonzero(good)
-        return pa.table({"left": reps[left], "right": reps[right]})
+        width = int(np.count_nonzero(times > 1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for top in range(0, len(bags), 512):
+            some = slice(top, top + 512)
+            shared = np.zeros((len(reps[some]), len(bags)), np.float32)
+            for low in range(0, width, 2048):
+                cut = slice(*np.searchsorted(column, [low, low + 2048]))
+                block = np.zeros((len(bags), min(2048, width - low)), np.float32)
+                block[row[cut], column[cut] - low] = 1.0
+                shared += block[some] @ block.T
+            union = sizes[some, None] + sizes[None, :] - shared
+            good = (shared >= similarity * union - 1e-6) & (comps[some, None] != comps[None, :]) & (reps[some, None] > reps[None, :])
+            left, right = np.nonzero(good)
+            found.append((reps[some][left], reps[right]))
+        return pa.table({"left": np.concatenate([x for x, _ in found]), "right": np.concatenate([x for _, x in found])})
 
     return run
 

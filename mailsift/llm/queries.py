@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, positional, substrings, suffixtree
+from mailsift.llm import bagminhash, positional, secrets, substrings, suffixtree, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,3 +70,102 @@ def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# The same models level by level; ^B stands for what is before the start.
+_URL_LEVELS = """
+    l{k} AS (SELECT right(gram, {k} + 1) AS g, left(right(gram, {k} + 1), {k}) AS c, sum(a) AS a, sum(r) AS r FROM top GROUP BY 1, 2),
+    s{k} AS (SELECT c, sum(a) AS ca, sum(r) AS cr, count(*) AS kinds, count(*) FILTER (a > 0) AS ta, count(*) FILTER (r > 0) AS tr
+             FROM l{k} GROUP BY c),"""
+_URL_BLEND = """
+    p{k} AS (SELECT l{k}.g, CASE WHEN ca > 0 THEN (a + ta * pa) / (ca + ta) ELSE pa END AS pa,
+                    CASE WHEN cr > 0 THEN (r + tr * pr) / (cr + tr) ELSE pr END AS pr
+             FROM l{k} JOIN s{k} USING (c) JOIN p{b} ON substr(l{k}.g, 2) = p{b}.g),"""
+
+
+def _url_sql(order: int = urlmodel.ORDER) -> str:
+    levels = "".join(_URL_LEVELS.format(k=k) + (_URL_BLEND.format(k=k, b=k - 1) if k else """
+    p0 AS (SELECT g, (a + 1e0) / (ca + kinds + 1e0) AS pa, (r + 1e0) / (cr + kinds + 1e0) AS pr FROM l0 JOIN s0 USING (c)),""")
+        for k in range(order + 1))
+    fits = "\n".join(
+        f"""WHEN (host = '{r.partition("/")[0]}' OR ends_with(host, '.{r.partition("/")[0]}'))
+                AND starts_with(path, '/{r.partition("/")[2]}') THEN '{r}'"""
+        for r, _ in sorted(urlmodel.RULES, key=lambda x: -len(x[0]))
+    )
+    judged = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urlmodel.RULES)
+    return rf"""
+    WITH parts AS (SELECT page_id, url,
+                          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+    ruled AS (SELECT *, CASE {fits} END AS rule FROM parts),
+    judged AS (SELECT *, CASE rule {judged} END AS verdict FROM ruled),
+    keyed AS (SELECT url, verdict, verdict IS NOT NULL AND {{crc}} % {urlmodel.PARTS} = 0 AS held
+              FROM (SELECT DISTINCT url, verdict FROM judged WHERE url IS NOT NULL)),
+    grams AS (SELECT url, verdict, held, substr(repeat(chr(2), {order}) || url, i, {order} + 1) AS gram
+              FROM (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM keyed)),
+    top AS (SELECT gram, count(*) FILTER (NOT held AND verdict = 'allow') AS a, count(*) FILTER (NOT held AND verdict = 'block') AS r
+            FROM grams GROUP BY gram),
+    {levels}
+    scored AS (SELECT url, verdict, avg(log10(pa) - log10(pr)) AS score FROM grams JOIN p{order} ON gram = g
+               WHERE held OR verdict IS NULL GROUP BY ALL),
+    stats AS (SELECT avg(score) FILTER (verdict = 'allow') AS ma, avg(score) FILTER (verdict = 'block') AS mr,
+                     count(*) FILTER (verdict = 'allow') AS na, count(*) FILTER (verdict = 'block') AS nr,
+                     coalesce(var_pop(score) FILTER (verdict = 'allow'), 0) AS va,
+                     coalesce(var_pop(score) FILTER (verdict = 'block'), 0) AS vr FROM scored),
+    cut AS (SELECT CASE WHEN ma > mr THEN (ma + mr) / 2
+                        - ((va * na + vr * nr) / (na + nr)) * ln(CAST(na AS DOUBLE) / nr) / (ma - mr) ELSE 0 END AS t FROM stats)
+    SELECT page_id, host, path, rule,
+           coalesce(judged.verdict, CASE WHEN coalesce(score, 0) < t THEN 'block' ELSE 'allow' END) AS verdict
+    FROM judged LEFT JOIN (SELECT url, score FROM scored WHERE verdict IS NULL) USING (url), cut
+    """
+
+
+@query("op1_url_filter", _url_sql().replace("{crc}", "({crc})"))
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urlmodel.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _secret_sql() -> str:
+    patterns = {
+        "assign": (r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|"""
+                   r"""[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, "length(v) >= 12"),
+        "access": (r"AKIA[A-Z0-9]+", 0, "length(v) >= 18"),
+        "hex": (r"[0-9a-f]{16,}", 0, "true"),
+        "live": (r"[A-Za-z0-9_-]{20,}", 0,
+                 "regexp_matches(v, '[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[A-Za-z].*[A-Za-z].*[A-Za-z]')"),
+    }
+    each = " UNION ALL ".join(
+        f"""SELECT doc_id, source, {n} AS rank, '{kind}' AS kind, m, v, list_sum(list_transform(g[1:i], x -> length(x))) AS gap,
+                   coalesce(list_sum(list_transform(ms[1:i - 1], x -> length(x))), 0) AS done
+            FROM (SELECT doc_id, source, g, ms, i, ms[i] AS m, vs[i] AS v FROM (
+                  SELECT doc_id, source, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS ms,
+                         regexp_extract_all(t, '{p}', {group}) AS vs, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i
+                  FROM d)) WHERE {test}"""
+        for n, (kind, (p, group, test)) in enumerate(patterns.items(), 1)
+    )
+    return f"""
+    WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+    spans AS (SELECT doc_id, source, rank, kind, v, CAST(gap + done AS BIGINT) AS s, CAST(gap + done + length(m) AS BIGINT) AS e FROM ({each})),
+    own AS (SELECT v, count(DISTINCT source) >= {secrets.COPIED_OWNERS} OR count(DISTINCT doc_id) >= {secrets.COPIED_REPOSITORIES} AS copied
+            FROM spans GROUP BY v),
+    kept AS (SELECT * FROM spans JOIN own USING (v) WHERE kind <> 'live' OR NOT copied),
+    listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                      count(*) FILTER (kind = 'hex') AS n_hex,
+                      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (kind <> 'live') AS base,
+                      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN listed USING (doc_id)
+    """
+
+
+@query("op4_secret_scan", _secret_sql())
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != "live")
+    return found.select(
+        "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
