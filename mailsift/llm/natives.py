@@ -29,3 +29,16 @@ def in_table(table: Column, code: Column, bits: int) -> Column:
     slot = F.pmod(code, F.lit(bits))
     held = F.get(table, F.shiftrightunsigned(slot, 6).cast("int"))
     return F.coalesce(F.getbit(held, (slot % 64).cast("int")) == 1, F.lit(False))
+
+
+BITS = 1 << 22
+
+
+def likely_in(code: Column, keys: DataFrame, key: Column, bits: int = BITS) -> Column:
+    """False only where ``code`` is certainly none of the ``key`` codes of ``keys``.
+
+    For use before a join that decides: rows that cannot match are kept out of the shuffle. The table is fixed in
+    size; once it fills up more rows pass, and the join's result stays the same.
+    """
+    table = bit_table(keys.sparkSession, keys.select(key.alias("code")), "code", bits)
+    return in_table(table, code, bits)

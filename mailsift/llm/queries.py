@@ -100,7 +100,7 @@ def _url_sql(order: int = urlmodel.ORDER) -> str:
                           regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
     ruled AS (SELECT *, CASE {fits} END AS rule FROM parts),
     judged AS (SELECT *, CASE rule {judged} END AS verdict FROM ruled),
-    keyed AS (SELECT url, verdict, verdict IS NOT NULL AND {{crc}} % {urlmodel.PARTS} = 0 AS held
+    keyed AS (SELECT url, verdict, verdict IS NOT NULL AND CAST('0x' || substr(md5(url), 1, 8) AS BIGINT) % {urlmodel.PARTS} = 0 AS held
               FROM (SELECT DISTINCT url, verdict FROM judged WHERE url IS NOT NULL)),
     grams AS (SELECT url, verdict, held, substr(repeat(chr(2), {order}) || url, i, {order} + 1) AS gram
               FROM (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM keyed)),
@@ -121,7 +121,7 @@ def _url_sql(order: int = urlmodel.ORDER) -> str:
     """
 
 
-@query("op1_url_filter", _url_sql().replace("{crc}", "({crc})"))
+@query("op1_url_filter", _url_sql())
 def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urlmodel.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -136,8 +136,8 @@ def _secret_sql() -> str:
                  "regexp_matches(v, '[0-9].*[0-9].*[0-9]') AND regexp_matches(v, '[A-Za-z].*[A-Za-z].*[A-Za-z]')"),
     }
     each = " UNION ALL ".join(
-        f"""SELECT doc_id, source, {n} AS rank, '{kind}' AS kind, m, v, list_sum(list_transform(g[1:i], x -> length(x))) AS gap,
-                   coalesce(list_sum(list_transform(ms[1:i - 1], x -> length(x))), 0) AS done
+        f"""SELECT doc_id, source, {n} AS rank, '{kind}' AS kind, m, v, list_sum([length(x) for x in g[1:i]]) AS gap,
+                   coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS done
             FROM (SELECT doc_id, source, g, ms, i, ms[i] AS m, vs[i] AS v FROM (
                   SELECT doc_id, source, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS ms,
                          regexp_extract_all(t, '{p}', {group}) AS vs, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i

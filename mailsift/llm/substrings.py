@@ -8,7 +8,7 @@ anchors. A maximal run of windows of one document with one anchor is a segment.
 document only can hold no repeated window and stop there; this leaves one short row per about twelve words. Of the
 rest, equal segments are folded: all windows of a segment that an earlier document has go at once. Only where an
 anchor has different segments are the windows of each segment's first document compared one by one. Decisions rest
-on 128-bit codes. No step gathers the rows of an anchor, a segment or a window in one task: minima have partial
+on codes of 96 bits and more. No step gathers the rows of an anchor, a segment or a window in one task: minima have partial
 aggregates, and joins on hot keys can be split.
 
 ``ReferenceAutomaton`` holds the same question against one bounded reference text as a suffix automaton: matching
@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mailsift.llm.words import Words, lists, mix, pieces, signed, split_words, windows
-from mailsift.session import cut_lineage
+from mailsift.llm.natives import likely_in
+from mailsift.llm.storage import stored
+from mailsift.llm.words import Words, mix, pieces, signed, split_words, windows
 
 WINDOW = 50
 _ROW = ["doc_id", "row_key"]
@@ -113,25 +114,24 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def segments(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (text, first word, windows, anchor, two codes of the run's words)."""
+def segments(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: (text, first word, windows, anchor, code of the run's words)."""
     codes, half = words.codes, window // 2
     valid = np.flatnonzero(words.room() >= window)
     if not len(valid):
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
     anchors = sliding_minimum(windows(codes, half, 21), window - half + 1)[valid]
     owner = words.owner()[valid]
     begins = np.ones(len(valid), bool)
     begins[1:] = (anchors[1:] != anchors[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(begins)
     count = np.diff(np.append(at, len(valid)))
-    digests = []
-    for seed in (22, 23):
-        # the run's words are known by its windows taken together
-        folded = mix(np.add.reduceat(mix(windows(codes, window, seed)[valid]) * _odd(valid - np.repeat(valid[at], count)), at))
-        digests.append(folded)
-    return owner[at], valid[at] - words.bounds[owner[at]], count, anchors[at], digests[0], digests[1]
+    # the run's words are known by its windows taken together
+    place = _odd(valid - np.repeat(valid[at], count))
+    with np.errstate(over="ignore"):
+        content = mix(np.add.reduceat(mix(windows(codes, window, 22)[valid]) * place, at))
+    return owner[at], valid[at] - words.bounds[owner[at]], count, anchors[at], content
 
 
 def _odd(steps: np.ndarray) -> np.ndarray:
@@ -142,12 +142,12 @@ def _odd(steps: np.ndarray) -> np.ndarray:
 def _segment_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            owner, start, count, anchor, s1, s2 = segments(split_words(piece.column("text"), lower=False), window)
+            owner, start, count, anchor, content = segments(split_words(piece.column("text"), lower=False), window)
             owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").take(owner), piece.column("row_key").take(owner), pa.array(start.astype(np.int32)),
-                 pa.array(count.astype(np.int32)), *(pa.array(signed(x)) for x in (anchor, s1, s2))],
-                names=["doc_id", "row_key", "start", "count", "anchor", "s1", "s2"],
+                 pa.array(count.astype(np.int32)), pa.array(signed(anchor)), pa.array(signed(content))],
+                names=["doc_id", "row_key", "start", "count", "anchor", "content"],
             )
 
     return run
@@ -175,7 +175,7 @@ def _window_rows(window: int):
             row_ids = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id").take(row_ids), piece.column("row_key").take(row_ids),
-                 pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(signed(one)), pa.array(signed(two))],
+                 pa.array((at - words.bounds[row]).astype(np.int32)), pa.array(signed(one)), pa.array(signed(two) >> 32, pa.int32(), safe=False)],
                 names=["doc_id", "row_key", "start", "w1", "w2"],
             )
 
@@ -237,26 +237,35 @@ def _runs(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed word spans [start, end) of every row."""
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_key"))
-    segment_schema = "doc_id long, row_key long, start int, count int, anchor long, s1 long, s2 long"
-    found = cut_lineage(texts.filter("doc_id IS NOT NULL").mapInArrow(_segment_rows(window), segment_schema))
-    shared = found.groupBy("anchor").agg(
-        F.min("doc_id").alias("anchor_first"), F.max("doc_id").alias("last"),
-        F.min("s1").alias("low1"), F.max("s1").alias("high1"), F.min("s2").alias("low2"), F.max("s2").alias("high2"),
-    ).filter("anchor_first < last").select(
-        "anchor", "anchor_first", ((F.col("low1") < F.col("high1")) | (F.col("low2") < F.col("high2"))).alias("varied")
+    row_code = F.xxhash64(*_ROW)
+    found = texts.filter("doc_id IS NOT NULL").mapInArrow(
+        _segment_rows(window), "doc_id long, row_key long, start int, count int, anchor long, content long"
     )
-    repeated = cut_lineage(found.join(shared, "anchor"))
+    shared = found.groupBy("anchor").agg(
+        F.min("doc_id").alias("anchor_first"), F.max("doc_id").alias("last"), F.min("content").alias("low"), F.max("content").alias("high")
+    ).filter("anchor_first < last").select("anchor", "anchor_first", (F.col("low") < F.col("high")).alias("varied"))
+    shared = stored(shared)
+    near = found.filter(likely_in(F.col("anchor"), shared, F.col("anchor")))  # made again rather than kept: it is the largest table
+    repeated = stored(near.join(shared, "anchor"))
     uniform = repeated.filter("NOT varied AND anchor_first < doc_id").select(*_ROW, "start", "count")
     varied = repeated.filter("varied")
-    firsts = varied.groupBy("anchor", "s1", "s2").agg(F.min("doc_id").alias("first"))
-    judged = cut_lineage(varied.join(firsts, ["anchor", "s1", "s2"]).select(*_ROW, "start", "count", "first"))
+    firsts = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
+    judged = stored(varied.join(firsts, ["anchor", "content"]).select(*_ROW, "start", "count", "first"))
     later = judged.filter("first < doc_id").select(*_ROW, "start", "count")
-    singles = texts.join(_runs(judged.filter("first = doc_id")), _ROW).mapInArrow(
-        _window_rows(window), "doc_id long, row_key long, start int, w1 long, w2 long"
+    unsure = judged.filter("first = doc_id")
+    singles = stored(
+        texts.filter(likely_in(row_code, unsure, row_code)).join(_runs(unsure), _ROW)
+        .mapInArrow(_window_rows(window), "doc_id long, row_key long, start int, w1 long, w2 int")
+    )
+    window_firsts = stored(
+        singles.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        .filter("first < last").select("w1", "w2", "first")
     )
-    singles = cut_lineage(singles)
-    window_firsts = singles.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    alone = singles.join(window_firsts, ["w1", "w2"]).filter("first < doc_id").select(*_ROW, "start", F.lit(1).alias("count"))
-    runs = cut_lineage(_runs(uniform.unionByName(later).unionByName(alone)))
+    alone = singles.filter(likely_in(F.col("w1"), window_firsts, F.col("w1"))).join(window_firsts, ["w1", "w2"])
+    alone = alone.filter("first < doc_id").select(*_ROW, "start", F.lit(1).alias("count"))
+    runs = stored(_runs(uniform.unionByName(later).unionByName(alone)))
+    touched = likely_in(row_code, runs, row_code)
+    untouched = texts.filter(~touched).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
+    with_runs = texts.filter(touched).join(runs, _ROW, "left").select(*untouched.columns)
     schema = "doc_id long, kept_text string, n_words long, n_removed long, spans array<struct<start: long, end: long>>"
-    return texts.join(runs, _ROW, "left").mapInArrow(_kept_rows(window), schema)
+    return with_runs.unionByName(untouched).mapInArrow(_kept_rows(window), schema)

@@ -3,8 +3,8 @@
 Two smoothed variable-order Markov models over characters are learned, one from URLs that rules accept and one from
 URLs that rules reject. A character is predicted from up to ``ORDER`` characters before it; a context gives way to
 the next shorter one by Witten-Bell interpolation, and a context that a model never saw gives way wholly. The score
-of a URL is the mean over its characters of log P(accepted) - log P(rejected). URLs of the rules whose crc32 modulo
-``PARTS`` is 0 are kept out of the models; on their scores a threshold is calibrated: two normal distributions with
+of a URL is the mean over its characters of log P(accepted) - log P(rejected). URLs of the rules in the first of
+``PARTS`` parts by their MD5 are kept out of the models; on their scores a threshold is calibrated: two normal distributions with
 one variance and the observed class shares, equal odds at the threshold.
 
 Everything is DataFrame functions. Distinct URLs are modelled once, so a URL that fills a third of the table is one
@@ -87,6 +87,10 @@ def _ratio_table(grams: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("g").alias("gram"), (F.log10("pa") - F.log10("pr")).alias("ratio"))
 
 
+def url_part(url: Column) -> Column:
+    return F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long") % PARTS
+
+
 def threshold(scored: DataFrame) -> Column:
     """Score at which accepted and rejected are equally likely among held-back URLs of the rules."""
     allow, block = F.col("verdict") == "allow", F.col("verdict") == "block"
@@ -107,7 +111,7 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = urls.select("url", host.alias("host"), path.alias("path")).select("url", rule.alias("rule"), verdict.alias("verdict"))
-    back = F.crc32(F.col("url")) % PARTS == 0
+    back = url_part(F.col("url")) == 0
     judged = cut_lineage(judged.withColumn("held_back", F.col("verdict").isNotNull() & back))
     grams = _grams(judged.select("url", F.when(~F.col("held_back"), F.col("verdict")).alias("verdict")), order)
     ratios = cut_lineage(_ratio_table(grams.select("gram", "verdict"), order))
