@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, positional, secrets, substrings, suffixtree, urlmodel
+from mailsift.llm import bagminhash, kernelquality, positional, secrets, substrings, suffixtree, topk, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,3 +169,22 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op6_exact_top_k", """
+    WITH v AS (SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    terms AS (SELECT vec_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS t FROM v),
+    pairs AS (SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score FROM terms q JOIN terms c ON q.t = c.t
+              WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 5
+    """)
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return kernelquality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
