@@ -28,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from mailsift.llm.natives import likely_in
+from mailsift.llm.storage import stored
 from mailsift.llm.words import grams, lists, mix, pieces, signed, split_words, stream
 from mailsift.operators.graph import component_labels
-from mailsift.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -227,16 +228,18 @@ def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND
 ) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and class_size of every row of ``docs``."""
-    signed_rows = cut_lineage(signatures(docs, registers, band))
+    signed_rows = stored(signatures(docs, registers, band))
     known = signed_rows.filter("size > 0 AND doc_id IS NOT NULL")
     folded = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     spread = known.select("d1", "d2", "doc_id", "size", F.explode("keys").alias("key"))
-    entries = spread.groupBy("key", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
-    members = cut_lineage(entries.join(shared.select("key", "leader"), "key").select("key", "rep", "size", "leader"))
-    candidates = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi")
-    bags = cut_lineage(texts.mapInArrow(_bag_rows, "doc_id long, bag binary"))
+    entries = stored(spread.groupBy("key", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size")).drop("d1", "d2"))
+    shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
+    shared = stored(shared)
+    members = stored(entries.filter(likely_in(F.col("key"), shared, F.col("key"))).join(shared, "key"))
+    candidates = stored(members.select(F.col("rep").alias("doc_id")).distinct())
+    code = F.xxhash64("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").filter(likely_in(code, candidates, code)).join(candidates, "doc_id", "left_semi")
+    bags = stored(texts.mapInArrow(_bag_rows, "doc_id long, bag binary"))
     links = _linked_pairs(members, bags, similarity)
     labels = component_labels(_as_relations(links, folded, known), "relation_id", "doc_id")
     named = signed_rows.join(labels, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
@@ -256,13 +259,13 @@ def _as_relations(links: DataFrame, folded: DataFrame, known: DataFrame) -> Data
 def _linked_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Verified links whose components are those of all links between members of one bucket."""
     first = members.filter("rep <> leader").select(F.col("rep").alias("left"), F.col("leader").alias("right")).distinct()
-    links = cut_lineage(verify(first, bags, similarity))
+    links = stored(verify(first, bags, similarity))
     unsettled = _open(members, links)
     few = F.col("entries") <= CROWDED
     found = _small_buckets(unsettled.filter(few), first, bags, similarity).unionByName(
         _tiles(unsettled.filter(~few), bags, similarity)
     )
-    return links.unionByName(cut_lineage(found))
+    return links.unionByName(stored(found))
 
 
 def _small_buckets(entries: DataFrame, tried: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -290,21 +293,30 @@ def _tiles(entries: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     )
     number = F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / TILE))
     tile = F.struct(F.col("cell").isNull().alias("mixed"), F.coalesce("cell", F.lit(0)).alias("cell"), number.alias("number"))
-    placed = cut_lineage(placed.select("key", "rep", "comp", tile.alias("tile")))
+    placed = stored(placed.select("key", "rep", "comp", tile.alias("tile")))
     tiles = placed.select("key", "tile").distinct()
     both = tiles.select("key", F.col("tile").alias("a")).join(tiles.select("key", F.col("tile").alias("b")), "key").filter(
         (F.col("a") <= F.col("b")) & (F.col("a.mixed") | F.col("b.mixed") | (F.col("a.cell") != F.col("b.cell")))
     )
     sides = both.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    rows = sides.join(placed, ["key", "tile"]).join(bags.select(F.col("doc_id").alias("rep"), "bag"), "rep")
-    return rows.groupBy("key", "a", "b").applyInArrow(_tile_links(similarity), "left long, right long").distinct()
+    short = bags.mapInArrow(_short_bags, "rep long, bag binary")
+    rows = sides.join(placed, ["key", "tile"]).join(short, "rep")
+    likely = rows.groupBy("key", "a", "b").applyInArrow(_tile_links(similarity), "left long, right long").distinct()
+    return verify(likely, bags, similarity)
+
+
+def _short_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The upper halves of all codes: enough to find pairs, which are then verified on the whole codes."""
+    for batch in batches:
+        halves = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("bag").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(halves, pa.binary())], names=["rep", "bag"])
 
 
 def _tile_links(similarity: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         reps, comps = np.asarray(table.column("rep")), np.asarray(table.column("comp"))
-        bags = [np.frombuffer(x, np.uint64) for x in table.column("bag").to_pylist()]
+        bags = [np.frombuffer(x, np.uint32) for x in table.column("bag").to_pylist()]
         sizes = np.array([len(x) for x in bags])
         row = np.repeat(np.arange(len(bags)), sizes)
         values, column, times = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
@@ -324,7 +336,7 @@ def _tile_links(similarity: float):
                 block[row[cut], column[cut] - low] = 1.0
                 shared += block[some] @ block.T
             union = sizes[some, None] + sizes[None, :] - shared
-            good = (shared >= similarity * union - 1e-6) & (comps[some, None] != comps[None, :]) & (reps[some, None] > reps[None, :])
+            good = (shared + 3 >= similarity * union) & (comps[some, None] != comps[None, :]) & (reps[some, None] > reps[None, :])
             left, right = np.nonzero(good)
             found.append((reps[some][left], reps[right]))
         return pa.table({"left": np.concatenate([x for x, _ in found]), "right": np.concatenate([x for _, x in found])})
@@ -333,11 +345,10 @@ def _tile_links(similarity: float):
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets in which more than one class is left."""
-    relations = links.select(F.col("right").alias("relation_id"), F.explode(F.array("left", "right")).alias("node"))
-    labels = component_labels(relations, "relation_id", "node").select(F.col("node").alias("rep"), F.col("component"))
+    """Members of buckets in which the verified links leave more than one class; a class is named by its leader."""
+    labels = links.groupBy(F.col("left").alias("rep")).agg(F.min("right").alias("component"))
     held = members.select("key", "rep", "size").join(labels, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     mixed = held.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("entries")
     ).filter("low < high").select("key", "entries")
-    return cut_lineage(held.join(mixed, "key"))
+    return stored(held.join(mixed, "key"))

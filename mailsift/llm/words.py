@@ -146,12 +146,23 @@ def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _kept_powers[0]
 
 
+def beginnings(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words longer than ``length`` bytes: their numbers and the codes of their first ``length`` bytes (A-Z folded)."""
+    longer = np.flatnonzero(words.ends - words.starts > length)
+    total = np.zeros(len(longer), np.uint64)
+    factors = stream(4 + length, length) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for at in range(length):
+            total += LOWER_BYTE_CODES[words.data[words.starts[longer] + at]] * factors[at]
+        return longer, mix(total + np.uint64(length))
+
+
 def grams(codes: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
     """Codes of the ``n`` words from each word on; the last ``n - 1`` entries reach past the end and mean nothing."""
     factors = stream(seed + n, n) | np.uint64(1)
     out = np.zeros(len(codes), np.uint64)
     with np.errstate(over="ignore"):
-        for step in range(n):
+        for step in range(min(n, len(codes))):
             out[: len(codes) - step] += codes[step:] * factors[step]
         return mix(out)
 
