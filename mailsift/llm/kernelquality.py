@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
 from mailsift.llm.words import Words, grams, pieces, split_words
 
@@ -223,12 +224,31 @@ def once_per_id(labels: DataFrame, label: str) -> DataFrame:
     )
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; learns from labels outside part 2, calibrates on part 3."""
-    stats = stored(text_statistics(docs))
+def train(stats: DataFrame, labels: DataFrame) -> Model:
+    """Fits on the labels outside part 2 and calibrates on part 3; ``stats`` may hold more rows than the labelled ones."""
     part = part_of(F.col("doc_id"))
     labelled = stats.filter(part != 2).join(once_per_id(labels, "quality"), "doc_id").withColumn("calibrate", part == 3)
-    model = fit(stored(labelled))
-    return score(stats, model).select(
-        "doc_id", (part == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    return fit(stored(labelled))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row."""
+    stats = stored(text_statistics(docs))
+    return score(stats, train(stats, labels)).select(
+        "doc_id", (part_of(F.col("doc_id")) == 2).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; texts take part in no shuffle but the labelled ones'."""
+    known = once_per_id(labels, "quality")
+    asked = docs.filter(likely_in(F.xxhash64(F.col("doc_id").cast("long")), known, F.xxhash64("doc_id")))
+    sent = docs.sparkSession.sparkContext.broadcast(train(text_statistics(asked), labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            values = sent.value.score(statistics(split_words(piece.column("text"), lower=False)))
+            yield piece.filter(pa.array(np.clip(values, 0.0, 1.0) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift.llm.natives import bit_table, fold_ascii, in_table
-from mailsift.session import cut_lineage
+from mailsift.llm.storage import stored
 
 WINDOW = 10
 BITS = 1 << 20
@@ -123,9 +123,9 @@ def proximity_hits(index: DataFrame, items: DataFrame, slack: int = WINDOW) -> D
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted ids) of every row."""
-    items = cut_lineage(items_of(benchmark, window))
-    index = cut_lineage(build_index(docs, items))
-    hits = cut_lineage(phrase_hits(index, items))
+    items = stored(items_of(benchmark, window))
+    index = stored(build_index(docs, items))
+    hits = stored(phrase_hits(index, items))
     end = F.col("first") + F.col("words").cast("int") - 1
     places = hits.select(*_DOC, F.explode(F.sequence("first", end)).alias("position")).distinct()
     named = hits.select(*_DOC, "item_id").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, factormachine, kernelquality, positional, secrets, substrings, suffixtree, topk, urlmodel
+from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, topk, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -193,3 +193,8 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return factormachine.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces_tokenizer.encode_texts(table(spark, folder, "documents"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.llm.words import mix, pieces, signed, split_words, stream
-from mailsift.session import cut_lineage
+from mailsift.llm.storage import stored
 
 DEPTH = 3
 SUPPORT = 4e-6
@@ -359,6 +359,6 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
 def score_corpus(docs: DataFrame, out: Column, **options) -> DataFrame:
     """Learns from the rows where ``out`` is false and scores all rows."""
     training = docs.filter(~out)
-    counts = cut_lineage(token_counts(training))
+    counts = stored(token_counts(training))
     tree = fit_tree(training, counts, **options)
     return score_texts(docs, counts, tree)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.llm.natives import fold_ascii
-from mailsift.session import cut_lineage
+from mailsift.llm.storage import stored
 
 ORDER = 4
 PARTS = 5
@@ -59,7 +59,7 @@ def _grams(urls: DataFrame, order: int) -> DataFrame:
 
 def _ratio_table(grams: DataFrame, order: int) -> DataFrame:
     """(gram, ratio): log10 P(accepted) - log10 P(rejected) of its last character after the others."""
-    top = cut_lineage(grams.groupBy("gram").agg(
+    top = stored(grams.groupBy("gram").agg(
         F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("r"),
     ))
@@ -112,12 +112,12 @@ def judge_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = urls.select("url", host.alias("host"), path.alias("path")).select("url", rule.alias("rule"), verdict.alias("verdict"))
     back = url_part(F.col("url")) == 0
-    judged = cut_lineage(judged.withColumn("held_back", F.col("verdict").isNotNull() & back))
+    judged = stored(judged.withColumn("held_back", F.col("verdict").isNotNull() & back))
     grams = _grams(judged.select("url", F.when(~F.col("held_back"), F.col("verdict")).alias("verdict")), order)
-    ratios = cut_lineage(_ratio_table(grams.select("gram", "verdict"), order))
+    ratios = stored(_ratio_table(grams.select("gram", "verdict"), order))
     asked = judged.filter(F.col("verdict").isNull() | F.col("held_back"))
     scored = _grams(asked.select("url"), order).join(ratios, "gram").groupBy("url").agg(F.avg("ratio").alias("score"))
-    scored = cut_lineage(asked.join(scored, "url", "left").select("url", "verdict", F.coalesce("score", F.lit(0.0)).alias("score")))
+    scored = stored(asked.join(scored, "url", "left").select("url", "verdict", F.coalesce("score", F.lit(0.0)).alias("score")))
     cut = threshold(scored.filter("verdict IS NOT NULL"))
     method = scored.filter("verdict IS NULL").select("url", "score")
     host, path = host_and_path(F.col("url"))

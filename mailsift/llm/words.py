@@ -147,8 +147,8 @@ def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def beginnings(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words longer than ``length`` bytes: their numbers and the codes of their first ``length`` bytes (A-Z folded)."""
-    longer = np.flatnonzero(words.ends - words.starts > length)
+    """Of the words of at least ``length`` bytes: their numbers and the codes of their first ``length`` bytes (A-Z folded)."""
+    longer = np.flatnonzero(words.ends - words.starts >= length)
     total = np.zeros(len(longer), np.uint64)
     factors = stream(4 + length, length) | np.uint64(1)
     with np.errstate(over="ignore"):
