@@ -60,6 +60,7 @@ def grounded_context(features: Column, reputation: Column, reasons: Column, vers
             "=== GROUNDED CONTEXT (trusted, machine-extracted — not the email's own words) ===",
             "Why escalated to you: %s",
             "Feature version: %d",
+            "",
             "Header signals:",
             "  has_subject=%s subject_len=%d subject_uppercase_ratio=%.2f subject_exclamations=%d"
             " has_sender=%s recipients=%d reply_to_differs_from_from=%s",

@@ -73,7 +73,7 @@ def baseline_misses(runs: DataFrame, epsilon: float = 1e-6) -> DataFrame:
     ).orderBy(F.desc("run_at"), F.desc("run_id"))
 
 
-def bypass_trend(runs: DataFrame, limit: int = 20) -> DataFrame:
-    """First and latest known rate of the newest ``limit`` finished runs."""
-    recent = recent_then_oldest_first(runs, "run_at", "run_id", limit)
+def bypass_trend(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    """First and latest known rate of all finished runs, or of the newest ``limit``."""
+    recent = runs if limit is None else recent_then_oldest_first(runs, "run_at", "run_id", limit)
     return first_and_latest(recent.withColumn("_at", F.struct("run_at", "run_id")), "_at", "bypass_rate")

@@ -46,10 +46,21 @@ def untrusted_block(sender: Column, subject: Column, body: Column) -> Column:
     part = lambda c, missing: defang(F.coalesce(c, F.lit(missing)))
     return F.concat(
         F.lit(begin + "\nFrom: "), part(sender, "(unknown)"), F.lit("\nSubject: "), part(subject, "(none)"),
-        F.lit("\n"), part(body, ""), F.lit("\n" + end + "\n"),
+        F.lit("\n\n"), part(body, ""), F.lit("\n" + end + "\n"),
     )
 
 
+def with_untrusted_block(
+    messages: DataFrame, sender: str, subject: str, body: str, mask: bool = True, out: str = "untrusted_block"
+) -> DataFrame:
+    """Adds the fenced block of each message: its parts are masked, then defanged. Whole bodies are kept."""
+    parts = {"_sender": sender, "_subject": subject, "_body": body}
+    rows = messages.withColumns({name: F.col(source) for name, source in parts.items()})
+    for name in parts if mask else ():
+        rows = mask_text(rows.withColumnRenamed(name, "_plain"), "_plain", name).drop("_plain")
+    return rows.withColumn(out, untrusted_block(*map(F.col, parts))).drop(*parts)
+
+
 def deidentified_provenance(provenance: Column, key: bytes) -> Column:
     """Scrub of gate provenance, whose fields are known: sender replaced, other text redacted."""
     parsed = F.from_json(provenance, PROVENANCE)
@@ -66,7 +77,7 @@ def deidentified_provenance(provenance: Column, key: bytes) -> Column:
 
 
 def scrub_json(key: bytes, sender_fields: tuple[str, ...] = ("senderKey", "sender")):
-    """A column function that scrubs JSON of any shape and depth."""
+    """A column function that scrubs JSON of any shape and depth; a value that is no JSON becomes null."""
     import hashlib
     import hmac
     import re
@@ -90,12 +101,16 @@ def scrub_json(key: bytes, sender_fields: tuple[str, ...] = ("senderKey", "sende
             return [scrub(child) for child in node]
         return address.sub(redact, node) if isinstance(node, str) else node
 
+    def scrub_text(text: str) -> str | None:
+        try:
+            return json.dumps(scrub(json.loads(text)), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None  # what cannot be read cannot be scrubbed
+
     @F.pandas_udf(StringType())
     def scrubbed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(
-                lambda t: json.dumps(scrub(json.loads(t)), separators=(",", ":"), ensure_ascii=False), na_action="ignore"
-            )
+            yield texts.map(scrub_text, na_action="ignore")
 
     return scrubbed
 

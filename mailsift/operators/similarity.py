@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -15,7 +14,8 @@ from mailsift.functions.hashing import hamming, simhash64
 from mailsift.operators.ordered import positions
 from mailsift.session import cut_lineage
 
-MAX_BROADCAST_QUERIES = 2048
+QUERY_BLOCK = 1024
+CORPUS_BLOCK = 8192
 
 
 def fingerprints(messages: DataFrame, text: str, key: str = "email_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -142,18 +142,44 @@ def _count_back(times: np.ndarray, prints: np.ndarray, window_ms: int, radius: i
 
 def recent_near_duplicates(
     prints: DataFrame, moment: str, window_ms: int = V.BURST_WINDOW_MS, radius: int = V.NEAR_DUPLICATE_RADIUS,
-    recent: int = V.NEAR_DUPLICATE_RECENT, block: int = 100_000,
+    recent: int | None = None, block: int = 100_000,
 ) -> DataFrame:
     """Size of the near-duplicate cluster each message joins on arrival.
 
-    A message is compared with at most the ``recent`` messages before it, over all senders, that are
-    younger than the window; the message itself counts once and a token-free message counts 0. Positions
-    in arrival order cut the stream into equal blocks that carry the last ``recent`` rows of the block
-    before, so work is linear and no sender or text can make a block large.
+    A message is compared with all messages of the window before it, over all senders; the message itself counts
+    once, messages in the same millisecond count each other, and a token-free message counts 0. ``recent`` limits
+    the comparison to that many messages before it, in the order of time and id, as a bounded index would.
     """
-    block = max(block, recent)
-    # Fingerprints are read three times below; writing these three numbers out saves hashing the texts again.
+    # Fingerprints are read several times below; writing these three numbers out saves hashing the texts again.
     rows = cut_lineage(prints.select("email_id", F.unix_millis(moment).alias("ms"), "fingerprint"))
+    counted = _window_counts(rows, window_ms, radius) if recent is None else _last_counts(rows, window_ms, radius, recent, block)
+    silent = rows.filter("fingerprint = 0").select("email_id", F.lit(0).cast("bigint").alias("cluster_size"))
+    return counted.unionByName(silent)
+
+
+def _window_counts(rows: DataFrame, window_ms: int, radius: int) -> DataFrame:
+    """Arrivals fold per fingerprint and millisecond and are handed to the close fingerprints, never to messages.
+
+    Each fold counts in its own window-long slot and the next, so a task holds two windows of milliseconds.
+    """
+    heard = rows.filter("fingerprint <> 0")
+    folded = heard.groupBy("fingerprint", "ms").agg(F.count(F.lit(1)).alias("n"))
+    close = close_fingerprints(heard, radius).select(F.col("fingerprint_a").alias("listener"), F.col("fingerprint_b").alias("fingerprint"))
+    passed_on = folded.join(close, "fingerprint").select("listener", "ms", "n")
+    own = folded.select(F.col("fingerprint").alias("listener"), "ms", "n")
+    traffic = own.unionByName(passed_on).groupBy("listener", "ms").agg(F.sum("n").alias("n"))
+    home = F.floor(F.col("ms") / window_ms)
+    spread = traffic.withColumn("home", home).withColumn("slot", F.explode(F.array("home", F.col("home") + 1)))
+    back = Window.partitionBy("listener", "slot").orderBy("ms").rangeBetween(-(window_ms - 1), 0)
+    counts = spread.withColumn("cluster_size", F.sum("n").over(back)).filter("home = slot").select(
+        F.col("listener").alias("fingerprint"), "ms", "cluster_size"
+    )
+    return heard.join(counts, ["fingerprint", "ms"]).select("email_id", "cluster_size")
+
+
+def _last_counts(rows: DataFrame, window_ms: int, radius: int, recent: int, block: int) -> DataFrame:
+    """Positions in arrival order cut the stream into equal blocks that carry the last ``recent`` rows of the block before."""
+    block = max(block, recent)
     placed = positions(rows.filter("fingerprint <> 0"), ["ms", "email_id"])
     home = F.floor((F.col("position") - 1) / block)
     tail = F.pmod(F.col("position") - 1, F.lit(block)) >= block - recent
@@ -169,10 +195,8 @@ def recent_near_duplicates(
         out = pd.DataFrame({"email_id": pdf["email_id"], "cluster_size": found + 1})
         return out[(pdf["home"] == pdf["block"]).to_numpy()]
 
-    id_type = prints.schema["email_id"].dataType.simpleString()
-    counted = spread.groupBy("block").applyInPandas(count_block, f"email_id {id_type}, cluster_size bigint")
-    silent = rows.filter("fingerprint = 0").select("email_id", F.lit(0).cast("bigint").alias("cluster_size"))
-    return counted.unionByName(silent)
+    id_type = rows.schema["email_id"].dataType.simpleString()
+    return spread.groupBy("block").applyInPandas(count_block, f"email_id {id_type}, cluster_size bigint")
 
 
 def _best_per_query(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,44 +215,40 @@ def _best_per_query(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
 
 def nearest_vectors(
     corpus: DataFrame, queries: DataFrame, k: int, query_key: str = "query_id", key: str = "vec_id",
-    vector: str = "embedding", max_broadcast: int = MAX_BROADCAST_QUERIES,
+    vector: str = "embedding", query_block: int = QUERY_BLOCK, block: int = CORPUS_BLOCK,
 ) -> DataFrame:
     """Exact ``k`` nearest rows by cosine for each query vector, similarity rounded to 1e-9 for ties.
 
-    Query vectors travel with the tasks in checked blocks; each Arrow batch of the corpus keeps only its
-    own best ``k`` per query, so what is shuffled does not grow with the corpus.
+    Every block of queries meets every block of the corpus in a task of its own, which keeps its best ``k`` per
+    query; the bests are then merged. Blocks have a fixed size, so any number of queries is answered, and no vector
+    passes through the driver.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // max_broadcast))
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-    key_type = corpus.schema[key].dataType.simpleString()
-    query_type = queries.schema[query_key].dataType.simpleString()
-    found: DataFrame | None = None
-    for number in range(blocks):
-        held = numbered.filter(F.col("_block") == number).select(query_key, vector).limit(4 * max_broadcast + 1).toPandas()
-        if len(held) > 4 * max_broadcast:
-            raise ValueError("query block is larger than planned; lower max_broadcast")
-        if held.empty:
-            continue
-        names = held[query_key].to_numpy()
-        matrix = _unit_rows(np.stack(held[vector].to_numpy()))
-
-        def scan(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                pdf = pdf.sort_values(key)
-                scores = np.round(matrix @ _unit_rows(np.stack(pdf[vector].to_numpy())).T, 9)
-                ids = pdf[key].to_numpy()
-                q, c = _best_per_query(scores, k)
-                yield pd.DataFrame({query_key: names[q], key: ids[c], "similarity": scores[q, c]})
-
-        part = corpus.select(key, vector).mapInPandas(
-            scan, f"{query_key} {query_type}, {key} {key_type}, similarity double"
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], f"{query_key} {query_type}, {key} {key_type}, similarity double, rank int")
+    asked = cut_lineage(queries.select(F.col(query_key).alias("query"), F.col(vector).cast("array<double>").alias("v")))
+    stored = corpus.select(F.col(key).alias("row"), F.col(vector).cast("array<double>").alias("v"))
+    query_blocks, blocks = max(1, -(-asked.count() // query_block)), max(1, -(-stored.count() // block))
+
+    def dealt(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    query_type, key_type = asked.schema["query"].dataType, stored.schema["row"].dataType
+    sides = asked.select(dealt("query", query_blocks).alias("a"), every(blocks).alias("b"), "query", F.lit(None).cast(key_type).alias("row"), "v").unionByName(
+        stored.select(every(query_blocks).alias("a"), dealt("row", blocks).alias("b"), F.lit(None).cast(query_type).alias("query"), "row", "v")
+    )
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, have = pdf[pdf["row"].isna()], pdf[pdf["row"].notna()].sort_values("row")
+        if ask.empty or have.empty:
+            return pd.DataFrame({query_key: [], key: [], "similarity": []})
+        scores = np.round(_unit_rows(np.stack(ask["v"].to_numpy())) @ _unit_rows(np.stack(have["v"].to_numpy())).T, 9)
+        q, c = _best_per_query(scores, k)
+        return pd.DataFrame({query_key: ask["query"].to_numpy()[q], key: have["row"].to_numpy()[c], "similarity": scores[q, c]})
+
+    found = sides.groupBy("a", "b").applyInPandas(
+        best, f"{query_key} {query_type.simpleString()}, {key} {key_type.simpleString()}, similarity double"
+    )
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("similarity"), key))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -113,15 +113,16 @@ def trust_series(decisions: DataFrame, moment: str, key: str, points: int = 60)
 
 
 def decision_cards(
-    decisions: DataFrame, email: str, classification: str, moment: str, cap: int | None = 100
+    decisions: DataFrame, email: str, classification: str, moment: str, cap: int | None = None
 ) -> DataFrame:
     """One card per message: newest decision, whether it was resolved, newest-first by first sighting.
 
-    Repeated deliveries of one classification fold away first; both steps are mergeable aggregates.
+    Repeated deliveries of one classification fold away first; both steps are mergeable aggregates. Tier and route
+    come from one row, at equal times from the smaller pair. ``cap`` asks for that many of the newest cards.
     """
     once = decisions.groupBy(email, classification).agg(
-        F.min(moment).alias("at"), F.min_by("tier", moment).alias("tier"), F.min_by("route_used", moment).alias("route_used")
-    )
+        F.min(F.struct(F.col(moment).alias("at"), "tier", "route_used")).alias("first")
+    ).select(email, classification, "first.*")
     newest = F.max_by(F.struct("tier", "route_used"), F.struct("at", classification))
     cards = once.groupBy(email).agg(
         newest.alias("_latest"), F.count(F.lit(1)).alias("folded"), F.min("at").alias("first_seen")

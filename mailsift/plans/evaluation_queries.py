@@ -273,7 +273,7 @@ def decision_cards(spark, folder):
 
 @query("newest_cards", f"SELECT * FROM ({_CARD_SQL}) ORDER BY first_seen DESC, conv_id DESC LIMIT 100")
 def newest_cards(spark, folder):
-    return windows.decision_cards(_card_decisions(spark, folder), "conv_id", "classification_id", "at_turn")
+    return windows.decision_cards(_card_decisions(spark, folder), "conv_id", "classification_id", "at_turn", cap=100)
 
 
 @query("stratified_split", """

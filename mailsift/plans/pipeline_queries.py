@@ -28,9 +28,12 @@ def decisions(spark, folder):
     messages = _linked_messages(spark, folder)
     vectors = cut_lineage(features.with_vector(features.extract_features(messages)).select("email_id", "feature_vector", "feature_version"))
     examples, _ = training.join_features(_examples(spark, folder), vectors)
-    model = training.fit_classifier(examples, iterations=50)
-    rate = training.base_rate(examples).first()[0]
-    scored = training.score_classes(model, examples).withColumn("positive", c("label") != "ham")
+    split = cut_lineage(windows.stratified_split(examples, "label", "email_id"))
+    train = split.filter("split_side = 'train'").drop("split_side")
+    model = training.fit_classifier(train)
+    rate = training.base_rate(train).first()[0]
+    held_out = split.filter("split_side = 'eval'").drop("split_side")
+    scored = training.score_classes(model, held_out).withColumn("positive", c("label") != "ham")
     fitted = calibration.fit_isotonic(scored, "raw_malicious", "positive")
     standing = reputation.gated_reputation(
         R.reputation_events(spark, folder).withColumn("sender_key", F.concat("sender_key", F.lit("@src1.example"))), R.READ_AT
@@ -142,9 +145,9 @@ def stream_sender_velocity(spark, folder):
 
 @query("stream_near_duplicates", f"""
     WITH {_PRINTS}, p AS (SELECT doc_id, fp, epoch_us(ts) // 1000 AS ms FROM prints JOIN events ON doc_id = event_id),
-    seen AS (SELECT *, row_number() OVER (ORDER BY ms, doc_id) AS pos FROM p WHERE fp <> 0)
+    seen AS (SELECT * FROM p WHERE fp <> 0)
     SELECT p.doc_id AS email_id, CASE WHEN p.fp = 0 THEN 0 ELSE 1 + coalesce(n, 0) END AS cluster_size FROM p LEFT JOIN (
-        SELECT a.doc_id, count(*) AS n FROM seen a JOIN seen b ON b.pos < a.pos AND b.pos >= a.pos - 512 AND a.ms - b.ms < 86400000
+        SELECT a.doc_id, count(*) AS n FROM seen a JOIN seen b ON b.doc_id <> a.doc_id AND b.ms <= a.ms AND a.ms - b.ms < 86400000
                AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 6 GROUP BY a.doc_id) USING (doc_id)""")
 def stream_near_duplicates(spark, folder):
     arrivals = R.event_stream(spark, folder).select(c("event_id").alias("email_id"), "ts")

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from mailsift.functions.text import sender_key
 from mailsift.operators.features import auth_features, reputation_bucket
 from mailsift.operators.scoring import Policy
-from mailsift.session import spread_if_small
 
 READ_AT = "2024-02-01 00:00:00"
 FOLDED_AT = "2024-01-16 00:00:00"
@@ -21,12 +20,13 @@ STRICT = Policy("strict", warn=0.30, quarantine=0.55, block=0.85, slow_path=0.20
 PSEUDONYM_KEY = b"documented-demo-key-for-pseudonyms"
 
 
-TEXT_TABLES = ("documents", "pages")
+#: Tables with whole texts and their key: rows are dealt by key before per-row work on texts, whatever the file layout.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     stored = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_if_small(stored) if name in TEXT_TABLES else stored
+    return stored.repartition(TEXT_TABLES[name]) if name in TEXT_TABLES else stored
 
 
 def prop_k() -> Column:
@@ -58,7 +58,7 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("mx.test; spf="), F.when(F.col("k") >= 50, F.lit("pass")).otherwise(F.lit("SoftFail")),
         F.lit("; dmarc="), F.when(F.col("k") % 2 == 0, F.lit("pass")).otherwise(F.lit("fail")),
     )
-    joined = docs.join(events(spark, folder), F.col("doc_id") == F.col("event_id"))
+    joined = docs.join(events(spark, folder), F.col("doc_id") == F.col("event_id"), "left")
     return joined.select(
         F.col("doc_id").alias("email_id"),
         F.when(F.col("event_type") != "view", sender).alias("sender"),
@@ -192,7 +192,7 @@ ROLE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                event_type || '-' || lang AS ingest_source,
                CASE WHEN event_type = 'error' THEN 'other@reply.example' END AS reply_to,
                text AS body
-        FROM documents JOIN ev ON doc_id = event_id"""),
+        FROM documents LEFT JOIN ev ON doc_id = event_id"""),
     "keyed": (("messages",), """
         SELECT email_id, lower(coalesce(sender, sender_domain)) AS sender_key,
                CASE WHEN auth_results LIKE '%dmarc=pass%' THEN 'AUTHENTICATED' ELSE 'UNAUTHENTICATED' END AS bucket

@@ -249,7 +249,7 @@ def baseline_misses(spark, folder):
 
 
 @query("bypass_trend", f"""
-    WITH {_RUNS}, recent AS (SELECT * FROM runs ORDER BY run_at DESC, run_id DESC LIMIT 20),
+    WITH {_RUNS}, recent AS (SELECT * FROM runs),
     ends AS (SELECT min_by(bypass_rate, run_at) AS a, max_by(bypass_rate, run_at) AS b FROM recent WHERE bypass_rate IS NOT NULL)
     SELECT {r6('a')} AS first_value, {r6('b')} AS latest_value, b < a AS improved FROM ends""", ("variants",))
 def bypass_trend(spark, folder):

@@ -41,9 +41,9 @@ def near_duplicate_neighbours(spark, folder):
 
 @query("near_duplicate_clusters", f"""
     WITH {_PRINTS}, p AS (SELECT doc_id, fp, epoch_us(ts) // 1000 AS ms FROM prints JOIN events ON doc_id = event_id),
-    seen AS (SELECT *, row_number() OVER (ORDER BY ms, doc_id) AS pos FROM p WHERE fp <> 0)
+    seen AS (SELECT * FROM p WHERE fp <> 0)
     SELECT p.doc_id AS email_id, CASE WHEN p.fp = 0 THEN 0 ELSE 1 + coalesce(n, 0) END AS cluster_size FROM p LEFT JOIN (
-        SELECT a.doc_id, count(*) AS n FROM seen a JOIN seen b ON b.pos < a.pos AND b.pos >= a.pos - 512 AND a.ms - b.ms < 864000000
+        SELECT a.doc_id, count(*) AS n FROM seen a JOIN seen b ON b.doc_id <> a.doc_id AND b.ms <= a.ms AND a.ms - b.ms < 864000000
                AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 6 GROUP BY a.doc_id) USING (doc_id)""")
 def near_duplicate_clusters(spark, folder):
     """Cluster size on arrival with a ten-day window, for the pace of the event table."""

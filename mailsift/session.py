@@ -43,18 +43,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder so that lost executors cannot change or replay it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Spreads a table that fits in a few splits over all cores before heavy per-row work.
-
-    A file of one row group is one task whatever the cluster. Tables larger than one split per core
-    already fill it and are left as they are, so nothing large is ever shuffled for this.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df

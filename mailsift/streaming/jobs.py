@@ -102,23 +102,26 @@ def sender_velocity(events: DataFrame, moment: str, sender: str, window: str = "
 
 def near_duplicate_batches(
     path: str, state_path: str, moment: str, text: str, window_ms: int = V.BURST_WINDOW_MS,
-    radius: int = V.NEAR_DUPLICATE_RADIUS, recent: int = V.NEAR_DUPLICATE_RECENT,
+    radius: int = V.NEAR_DUPLICATE_RADIUS, recent: int | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Sink that stores each message's near-duplicate count on arrival.
 
-    Between batches only the last ``recent`` fingerprints younger than the window are kept, in one
-    folder per batch: a replayed batch reads the state it read before and writes the same rows again.
+    Between batches the fingerprints younger than the window are kept, in one folder per batch: a replayed batch
+    reads the newest state before it, the one it read before, and writes the same rows again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         prints = batch.select("email_id", moment, simhash64(F.col(text)).alias("fingerprint")).persist()
         try:
-            before = sinks.read_or_empty(batch.sparkSession, f"{state_path}/batch={number - 1}", prints)
+            kept = sinks.read_or_empty(batch.sparkSession, state_path, prints.withColumn("batch", F.lit(number)))
+            kept = kept.filter(F.col("batch") < number)
+            before = kept.filter(F.col("batch") == kept.agg(F.max("batch")).scalar()).select(*prints.columns)
             together = before.unionByName(prints)
             counted = recent_near_duplicates(together, moment, window_ms, radius, recent)
             fresh = counted.join(prints.select("email_id"), "email_id", "left_semi")
             fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
-            young = together.filter("fingerprint <> 0").orderBy(F.desc(moment), F.desc("email_id")).limit(recent)
+            latest = together.agg(F.max(F.unix_millis(moment))).scalar()
+            young = together.filter("fingerprint <> 0").filter(F.unix_millis(moment) > latest - window_ms)
             young.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
         finally:
             prints.unpersist()

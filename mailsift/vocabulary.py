@@ -61,7 +61,6 @@ ROUTING_REASONS = ("LOW_MODEL_CONFIDENCE", "NEW_SENDER_UNCERTAINTY", "NEAR_TIER_
 # Slow-path verdicts and the tier each one maps to.
 VERDICT_TIERS = {"LEGITIMATE": "ALLOW", "SPAM": "QUARANTINE", "PHISHING": "BLOCK"}
 MAX_EXPLANATION_CHARS = 600
-PROMPT_BODY_CHARS = 8000
 
 # Sender reputation.
 SIGNALS = ("GOOD", "BAD")

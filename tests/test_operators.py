@@ -258,6 +258,25 @@ def test_near_duplicates_on_arrival_equal_brute_force(spark):
         before = ordered_rows[max(0, pos - 40):pos]
         want[i] = 1 + sum((at - t).total_seconds() < 60 and bin((fp ^ g) & (2**64 - 1)).count("1") <= 6 for _, t, g in before)
     assert found == want
+    found = dict((r["email_id"], r["cluster_size"]) for r in similarity.recent_near_duplicates(frame, "at", 60_000, 6).collect())
+    for i, at, fp in ordered_rows:
+        want[i] = sum(0 <= (at - t).total_seconds() < 60 and bin((fp ^ g) & (2**64 - 1)).count("1") <= 6 for _, t, g in ordered_rows)
+    assert found == want
+
+
+def test_a_burst_of_many_copies_is_counted_whole(spark):
+    data = [(i, DAY0 + timedelta(milliseconds=i), 12345 if i % 2 else 12344) for i in range(1500)]
+    frame = spark.createDataFrame(data, "email_id int, at timestamp, fingerprint long")
+    found = dict((r["email_id"], r["cluster_size"]) for r in similarity.recent_near_duplicates(frame, "at", 60_000, 6).collect())
+    assert found == {i: i + 1 for i in range(1500)}
+
+
+def test_more_queries_than_a_block(spark):
+    corpus = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = corpus.selectExpr("vec_id AS query_id", "embedding")
+    whole = sorted(tuple(r) for r in similarity.nearest_vectors(corpus, asked, 4).collect())
+    tiled = sorted(tuple(r) for r in similarity.nearest_vectors(corpus, asked, 4, query_block=7, block=11).collect())
+    assert whole == tiled and len(whole) == 240
 
 
 @pytest.mark.parametrize("hot_bucket", [4096, 3])
