@@ -295,7 +295,7 @@ def test_nearest_vectors_in_blocks(spark):
     data = rng.standard_normal((300, 8))
     frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>").repartition(5)
     asked = spark.createDataFrame([(i, [float(x) for x in data[i]]) for i in range(9)], "query_id long, embedding array<float>")
-    found = similarity.nearest_vectors(frame, asked, 4, max_broadcast=3).collect()
+    found = similarity.nearest_vectors(frame, asked, 4, query_block=3, block=100).collect()
     unit = data.astype(np.float32).astype(float)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scores = unit[:9] @ unit.T
