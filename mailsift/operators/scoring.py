@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,9 +13,6 @@ from mailsift.functions import numeric
 from mailsift.functions.tiers import lookup, most_severe, severity
 from mailsift.operators.rules import floor_at_rule
 
-MAX_INLINE_POLICIES = 256
-
-
 @dataclass(frozen=True)
 class Policy:
     """Thresholds of one policy version; the ladder must not decrease."""
@@ -38,14 +36,16 @@ class Policy:
             raise ValueError("the burst threshold must be at least 1")
 
     def as_column(self) -> Column:
-        return F.struct(*[F.lit(value).alias(name) for name, value in self.__dict__.items()])
+        return F.struct(*[F.lit(value).alias(name) for name, value in asdict(self).items()])
+
+
+POLICY_FIELDS = ", ".join(f"{f.name}: {dict(str='string', float='double', int='int')[str(f.type)]}" for f in fields(Policy))
 
 
 def under_policies(scored: DataFrame, policies: Sequence[Policy], out: str = "policy") -> DataFrame:
-    """Every row once per policy. Policies are inlined literals, so no join and no shuffle is planned."""
-    if not 0 < len(policies) <= MAX_INLINE_POLICIES:
-        raise ValueError(f"between 1 and {MAX_INLINE_POLICIES} policies can be scored in one pass")
-    return scored.withColumn(out, F.explode(F.array(*[p.as_column() for p in policies])))
+    """Every row once per policy. The policies are one folded literal, whatever their number: no join, no shuffle."""
+    listed = F.from_json(F.lit(json.dumps([asdict(p) for p in policies])), f"array<struct<{POLICY_FIELDS}>>")
+    return scored.withColumn(out, F.explode(listed))
 
 
 def fuse(scored: DataFrame, training_base_rate: float) -> DataFrame:

@@ -24,9 +24,11 @@ def _denylist(spark):
 
 
 @query("denylist_hits", f"""
-    SELECT page_id AS email_id, ({_BAD}) AS links_to_denylist FROM (SELECT page_id, {_AUTHORITY_HOST.format('url')} AS host FROM pages)""")
+    WITH found AS (SELECT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), '(?i)https?://([^/\\s"''>)\\]]+)', 1)) AS authority FROM pages),
+    hosts AS (SELECT page_id, lower(regexp_extract(regexp_replace(authority, '^.*@', ''), '^[^:]*')) AS host FROM found)
+    SELECT page_id AS email_id, coalesce(bool_or({_BAD}), FALSE) AS links_to_denylist FROM pages LEFT JOIN hosts USING (page_id) GROUP BY page_id""")
 def denylist_hits(spark, folder):
-    pages = R.table(spark, folder, "pages").select(c("page_id").alias("email_id"), c("url").alias("body_raw"))
+    pages = R.table(spark, folder, "pages").select(c("page_id").alias("email_id"), F.concat_ws(" ", "url", "html").alias("body_raw"))
     return rules.with_denylist_flag(pages, _denylist(spark)).select("email_id", "links_to_denylist")
 
 

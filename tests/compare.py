@@ -60,7 +60,7 @@ def main() -> None:
 
     folder = sys.argv[1]
     wanted = set(sys.argv[2:])
-    spark = local_session()
+    spark = local_session("3")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     statements = entry.oracle_sql()
