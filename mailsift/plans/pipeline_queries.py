@@ -76,6 +76,13 @@ def _appended(spark, stream, sink=None):
     return spark.read.parquet(f"{folder}/out")
 
 
+def _updated(spark, stream, keys, version):
+    """Runs a windowed stream in update mode and reads the newest row of every key, open windows included."""
+    folder = _workspace(spark)
+    jobs.run_available(stream, f"{folder}/progress", jobs.upsert_batches(f"{folder}/out", keys, version), mode="update")
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("stream_once_per_message", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_once_per_message(spark, folder):
     """Deliveries of (user, type) messages; only the first of each passes."""
@@ -125,22 +132,23 @@ _OWN = """own AS (SELECT *, max(epoch_us(occurred_at)) OVER (PARTITION BY sender
                         ("UNAUTHENTICATED", "GOOD", "unauth_good"), ("UNAUTHENTICATED", "BAD", "unauth_bad")))}
     FROM own GROUP BY sender_key""", ("rep",))
 def stream_reputation(spark, folder):
-    """Keyed accrual: each sender's counts decayed to its own last event."""
-    state = jobs.reputation_state(R.as_reputation_events(R.event_stream(spark, folder)))
-    folder_out = _workspace(spark)
-    sink = jobs.upsert_batches(f"{folder_out}/out", ["sender_key"], ["folded_at"])
-    jobs.run_available(state, f"{folder_out}/progress", sink, mode="update")
-    return spark.read.parquet(f"{folder_out}/out").select("sender_key", *[R6(c(n)).alias(n) for n in reputation.COUNTS])
+    """Keyed accrual, every signal claimed once: each sender's counts decayed to its own last event."""
+    arrivals = R.event_stream(spark, folder)
+    ids = arrivals.withColumn("claim", c("event_id"))
+    signals = R.as_reputation_events(ids, keep=("claim",))
+    out = _workspace(spark)
+    jobs.run_available(signals, f"{out}/progress", jobs.accrual_batches(f"{out}/sums", f"{out}/claims", ["claim"]))
+    return jobs.accrued(spark.read.parquet(f"{out}/sums")).select("sender_key", *[R6(c(n)).alias(n) for n in reputation.COUNTS])
 
 
 @query("stream_sender_velocity", """
     WITH w AS (SELECT user_id, epoch_us(ts) AS us, unnest(range(6)) AS i FROM events)
-    SELECT * FROM (SELECT user_id, (us // 3600000000 - i) * 3600000 + 21600000 AS window_end_ms, count(*) AS sender_count FROM w GROUP BY 1, 2)
-    WHERE window_end_ms <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 3600000""")
+    SELECT user_id, (us // 3600000000 - i) * 3600000 + 21600000 AS window_end_ms, count(*) AS sender_count FROM w GROUP BY 1, 2""")
 def stream_sender_velocity(spark, folder):
-    """Six-hour windows sliding by an hour; only windows the watermark has closed are out."""
+    """Six-hour windows sliding by an hour."""
     stream = jobs.sender_velocity(R.event_stream(spark, folder), "ts", "user_id", "6 hours", "1 hour", "1 hour")
-    return _appended(spark, stream).select("user_id", F.unix_millis("window_end").alias("window_end_ms"), "sender_count")
+    stored = _updated(spark, stream, ["window_end", "user_id"], ["sender_count"])
+    return stored.select("user_id", F.unix_millis("window_end").alias("window_end_ms"), "sender_count")
 
 
 @query("stream_near_duplicates", f"""
@@ -194,42 +202,47 @@ def stream_counters(spark, folder):
 
 
 @query("stream_rates", """
-    SELECT * FROM (SELECT event_type, epoch_us(ts) // 3600000000 * 3600000 AS interval_ms, count(*) AS n FROM events GROUP BY 1, 2)
-    WHERE interval_ms + 3600000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events) - 60000""")
+    SELECT event_type, epoch_us(ts) // 3600000000 * 3600000 AS interval_ms, count(*) AS n FROM events GROUP BY 1, 2""")
 def stream_rates(spark, folder):
     stream = jobs.rate_series(R.event_stream(spark, folder), "ts", "event_type", "1 hour", "1 minute")
-    return _appended(spark, stream).select("event_type", F.unix_millis("interval_start").alias("interval_ms"), "n")
+    stored = _updated(spark, stream, ["interval_start", "event_type"], ["n"])
+    return stored.select("event_type", F.unix_millis("interval_start").alias("interval_ms"), "n")
 
 
 @query("stream_spend", f"""
-    SELECT * FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, {r6('CAST(sum(cost_usd) AS DOUBLE)')} AS cost_usd
-                   FROM scored GROUP BY 1, 2) WHERE CAST(day AS DATE) + 1 <= (SELECT max(ts) FROM scored) - INTERVAL 1 HOUR""", ("scored",))
+    WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m') AS month, sum(cost_usd) AS cost FROM scored GROUP BY 1, 2)
+    SELECT day, month, {r6('CAST(cost AS DOUBLE)')} AS cost_usd, {r6('CAST(sum(cost) OVER (PARTITION BY month) AS DOUBLE)')} AS month_cost_usd
+    FROM days""", ("scored",))
 def stream_spend(spark, folder):
     cost = F.round(c("value").cast("decimal(20,6)") / 10000, 6).cast("decimal(12,6)")
     stream = jobs.spend_series(R.event_stream(spark, folder).withColumn("cost_usd", cost), "ts", "1 hour")
-    return _appended(spark, stream).select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"), "month", R6(c("cost_usd").cast("double")).alias("cost_usd")
+    days = jobs.with_month_total(_updated(spark, stream, ["day"], ["calls"]))
+    return days.select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "month",
+        *[R6(c(n).cast("double")).alias(n) for n in ("cost_usd", "month_cost_usd")],
     )
 
 
 @query("stream_resolution", """
-    WITH p AS (SELECT event_id AS email_id, ts, k, CASE WHEN k < 60 THEN ts + to_seconds(k) END AS verdict_at FROM ev),
-    wm AS (SELECT least(max(ts), max(verdict_at)) - INTERVAL 1 MINUTE AS t FROM p)
-    SELECT email_id, CASE WHEN k <= 30 THEN CASE k % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'QUARANTINE' ELSE 'BLOCK' END ELSE 'QUARANTINE' END AS resolved_tier,
+    SELECT event_id AS email_id, CASE WHEN k <= 30 THEN CASE k % 3 WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'QUARANTINE' ELSE 'BLOCK' END ELSE 'QUARANTINE' END AS resolved_tier,
            CASE WHEN k > 30 THEN 'DEGRADED' WHEN k % 3 = 0 THEN 'PROMOTED' ELSE 'CONFIRMED' END AS resolution_state
-    FROM p, wm WHERE k <= 30 OR ts + INTERVAL 30 SECOND <= t""", ("ev",))
+    FROM ev""", ("ev",))
 def stream_resolution(spark, folder):
     """Every event is pending; those with k below 60 get a verdict k seconds later, in time only up to 30."""
-    pending = R.event_stream(spark, folder).select(
+    asked = [
         c("event_id").alias("email_id"), c("ts").alias("pending_at"), F.lit("QUARANTINE").alias("fast_tier"),
         F.lit(None).cast("string").alias("hard_rule_decision"),
-    )
+    ]
+    pending = R.event_stream(spark, folder).select(*asked)
     names = F.array(F.lit("LEGITIMATE"), F.lit("SPAM"), F.lit("PHISHING"))
     answered = R.event_stream(spark, folder).filter("k < 60").select(
         c("event_id").alias("email_id"), F.get(names, c("k") % 3).alias("verdict"),
         (c("ts") + F.make_dt_interval(secs=c("k").cast("decimal(18,6)"))).alias("verdict_at"),
     )
-    return _appended(spark, jobs.resolutions(pending, answered)).select("email_id", "resolved_tier", "resolution_state")
+    resolved = _appended(spark, jobs.resolutions(pending, answered)).select("email_id", "resolved_tier", "resolution_state")
+    stored = R.events(spark, folder).select(*asked)
+    end = stored.agg(F.max("pending_at")).scalar() + F.expr("interval 1 hour")
+    return resolved.unionByName(jobs.overdue(stored, resolved, end).select(*resolved.columns))
 
 
 @query("stream_poison", """

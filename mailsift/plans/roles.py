@@ -95,7 +95,7 @@ def reputation_events(spark: SparkSession, folder: str) -> DataFrame:
     return as_reputation_events(events(spark, folder))
 
 
-def as_reputation_events(rows: DataFrame) -> DataFrame:
+def as_reputation_events(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Views say nothing about a sender; errors speak against it, all else for it."""
     return rows.filter("event_type <> 'view'").select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender_key"),
@@ -103,7 +103,7 @@ def as_reputation_events(rows: DataFrame) -> DataFrame:
         F.least(F.col("value") / 500.0, F.lit(1.0)).alias("weight"),
         F.when(F.col("event_type") == "click", F.lit("feedback")).otherwise(F.lit("accrual")).alias("source"),
         F.when(F.col("k") % 2 == 0, F.lit("AUTHENTICATED")).otherwise(F.lit("UNAUTHENTICATED")).alias("bucket"),
-        F.col("ts").alias("occurred_at"),
+        F.col("ts").alias("occurred_at"), *keep,
     )
 
 

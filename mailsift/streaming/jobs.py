@@ -69,30 +69,67 @@ def embedding_stream(events: DataFrame, messages: DataFrame, encoder: Callable[[
 def reputation_state(
     events: DataFrame, half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00"
 ) -> DataFrame:
-    """Decayed counts per sender, folded to the sender's latest event; run in update mode.
+    """Decayed counts per sender, folded to the sender's latest event; run in update mode over events without repeats.
 
     Decay composes, so a weight can be kept as what it would have been at a fixed ``epoch`` and plain sums
     of those are the whole state: events may arrive in any order, a busy sender is summed in
     every map task first, and no row leaves the JVM. The scale doubles once per half-life, so move
     ``epoch`` forward before a thousand half-lives have passed.
     """
-    origin = F.lit(epoch).cast("timestamp")
-    halvings = lambda moment: age_seconds(origin, moment) / F.lit(float(half_life_seconds))
-    scaled = F.col("weight") * F.pow(F.lit(2.0), halvings(F.col("occurred_at")))
+    return _decayed(_sums_at_epoch(events, half_life_seconds, epoch), half_life_seconds, epoch)
+
+
+def _halvings(moment: str, half_life_seconds: float, epoch: str) -> Column:
+    return age_seconds(F.lit(epoch).cast("timestamp"), F.col(moment)) / F.lit(float(half_life_seconds))
+
+
+def _sums_at_epoch(events: DataFrame, half_life_seconds: float, epoch: str) -> DataFrame:
+    scaled = F.col("weight") * F.pow(F.lit(2.0), _halvings("occurred_at", half_life_seconds, epoch))
     sides = [(b, s) for b in V.BUCKETS for s in V.SIGNALS]
-    sums = events.groupBy("sender_key").agg(
+    return events.groupBy("sender_key").agg(
         *[
             F.coalesce(F.sum(F.when((F.col("bucket") == b) & (F.col("signal") == s), scaled)), F.lit(0.0)).alias(name)
             for name, (b, s) in zip(COUNTS, sides)
         ],
         F.max("occurred_at").alias("folded_at"),
     )
-    back = F.pow(F.lit(0.5), halvings(F.col("folded_at")))
+
+
+def _decayed(sums: DataFrame, half_life_seconds: float, epoch: str) -> DataFrame:
+    back = F.pow(F.lit(0.5), _halvings("folded_at", half_life_seconds, epoch))
     return sums.select("sender_key", *[(F.col(n) * back).alias(n) for n in COUNTS], "folded_at")
 
 
+def accrual_batches(
+    path: str, claims_path: str, keys: list[str], half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00"
+) -> Callable[[DataFrame, int], None]:
+    """Sink that counts each signal once: a batch first claims the keys no other batch has claimed.
+
+    Claims and sums lie in one folder per batch, so a replayed batch replaces itself and a redelivered signal, in
+    whatever batch, finds its key claimed. ``accrued`` reads the standing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        claimed = sinks.read_or_empty(spark, claims_path, batch.select(*keys).withColumn("batch", F.lit(number)))
+        fresh = sinks.absent_rows(batch, claimed.filter(F.col("batch") != number), keys, ["occurred_at"]).persist()
+        try:
+            _sums_at_epoch(fresh, half_life_seconds, epoch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            fresh.select(*keys).write.mode("overwrite").parquet(f"{claims_path}/batch={number}")
+        finally:
+            fresh.unpersist()
+
+    return write
+
+
+def accrued(stored: DataFrame, half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00") -> DataFrame:
+    """Standing per sender from the sums that ``accrual_batches`` stored."""
+    sums = stored.groupBy("sender_key").agg(*[F.sum(n).alias(n) for n in COUNTS], F.max("folded_at").alias("folded_at"))
+    return _decayed(sums, half_life_seconds, epoch)
+
+
 def sender_velocity(events: DataFrame, moment: str, sender: str, window: str = "60 seconds", slide: str = "1 second", lateness: str = "60 seconds") -> DataFrame:
-    """Messages per sender in sliding windows, closed by the watermark."""
+    """Messages per sender in sliding windows; in update mode every window is out as soon as it has a message."""
     return (
         events.withWatermark(moment, lateness).groupBy(F.window(moment, window, slide), F.col(sender))
         .agg(F.count(F.lit(1)).alias("sender_count"))
@@ -159,7 +196,7 @@ def live_counters(decisions: DataFrame, by: str = "route_used") -> DataFrame:
 
 
 def rate_series(decisions: DataFrame, moment: str, by: str, interval: str = "1 minute", lateness: str = "1 minute") -> DataFrame:
-    """Decisions per tumbling interval, closed by the watermark."""
+    """Decisions per tumbling interval; in update mode the open ones too."""
     return (
         decisions.withWatermark(moment, lateness).groupBy(F.window(moment, interval), by)
         .agg(F.count(F.lit(1)).alias("n"))
@@ -168,14 +205,20 @@ def rate_series(decisions: DataFrame, moment: str, by: str, interval: str = "1 m
 
 
 def spend_series(decisions: DataFrame, moment: str, lateness: str = "1 hour") -> DataFrame:
-    """Spend per UTC day with its month, closed by the watermark."""
+    """Spend per UTC day with its month; in update mode the open day too."""
     return (
         decisions.withWatermark(moment, lateness).groupBy(F.window(moment, "1 day"))
-        .agg(F.sum("cost_usd").alias("cost_usd"))
-        .select(F.col("window.start").alias("day"), month_key(F.col("window.start")).alias("month"), "cost_usd")
+        .agg(F.sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("calls"))
+        .select(F.col("window.start").alias("day"), month_key(F.col("window.start")).alias("month"), "cost_usd", "calls")
     )
 
 
+def with_month_total(days: DataFrame) -> DataFrame:
+    """Stored days with the spend of their month."""
+    months = days.groupBy("month").agg(F.sum("cost_usd").alias("month_cost_usd"))
+    return days.join(months, "month")
+
+
 def resolutions(pending: DataFrame, verdicts: DataFrame, sla_seconds: int = V.SLA_SECONDS, lateness: str = "1 minute") -> DataFrame:
     """Each pending row with the verdict that came within the SLA, else degraded.
 
@@ -192,6 +235,13 @@ def resolutions(pending: DataFrame, verdicts: DataFrame, sla_seconds: int = V.SL
     return resolve_pending(p.join(v, on_time, "left_outer")).drop("verdict_email")
 
 
+def overdue(pending: DataFrame, resolved: DataFrame, now: Column, sla_seconds: int = V.SLA_SECONDS) -> DataFrame:
+    """Stored pending rows whose SLA has passed and that the stream left open, degraded; for when input has ended."""
+    late = pending.filter(F.col("pending_at") + F.expr(f"interval {int(sla_seconds)} seconds") <= now)
+    left = late.join(resolved.select("email_id"), "email_id", "left_anti")
+    return resolve_pending(left.withColumns({"verdict": F.lit(None).cast("string"), "verdict_at": F.lit(None).cast("timestamp")}))
+
+
 def overwrite_batches(path: str) -> Callable[[DataFrame, int], None]:
     """Sink for complete-mode results: the last batch is the whole table."""
 

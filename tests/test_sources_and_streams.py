@@ -211,3 +211,25 @@ def test_golden_freeze_rows(spark):
     split = spark.createDataFrame([(1, "eval"), (2, "train")], "email_id int, split_side string")
     labels = spark.createDataFrame([(1, "ham"), (2, "spam")], "email_id int, label string")
     assert [tuple(r) for r in evalsplit.frozen_golden(split, labels, "g").collect()] == [("g", 1, "ham")]
+
+
+def test_a_redelivered_signal_counts_once(spark, tmp_path):
+    at = DAY0
+    rows = [(i, f"s{i % 3}", "GOOD", 1.0, "AUTHENTICATED", at) for i in range(12)]
+    frame = spark.createDataFrame(rows, "event_id int, sender_key string, signal string, weight double, bucket string, occurred_at timestamp")
+    write = jobs.accrual_batches(str(tmp_path / "sums"), str(tmp_path / "claims"), ["event_id"])
+    write(frame.filter("event_id < 8"), 0)
+    write(frame.filter("event_id < 8"), 0)  # the same batch again
+    write(frame.filter("event_id >= 4"), 1)  # half of it delivered before
+    found = {r.sender_key: r.auth_good for r in jobs.accrued(spark.read.parquet(str(tmp_path / "sums"))).collect()}
+    assert found == {"s0": 4.0, "s1": 4.0, "s2": 4.0}
+
+
+def test_pending_rows_left_open_are_degraded(spark):
+    pending = spark.createDataFrame(
+        [(1, DAY0, "QUARANTINE", None), (2, DAY0, "QUARANTINE", None), (3, DAY0 + timedelta(hours=2), "QUARANTINE", None)],
+        "email_id int, pending_at timestamp, fast_tier string, hard_rule_decision string",
+    )
+    done = spark.createDataFrame([(1,)], "email_id int")
+    late = jobs.overdue(pending, done, F.lit(DAY0 + timedelta(hours=1))).collect()
+    assert [(r.email_id, r.resolution_state) for r in late] == [(2, "DEGRADED")]
