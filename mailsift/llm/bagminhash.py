@@ -299,34 +299,27 @@ def _tiles(entries: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
         (F.col("a") <= F.col("b")) & (F.col("a.mixed") | F.col("b.mixed") | (F.col("a.cell") != F.col("b.cell")))
     )
     sides = both.select("key", "a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
-    short = bags.mapInArrow(_short_bags, "rep long, bag binary")
-    rows = sides.join(placed, ["key", "tile"]).join(short, "rep")
-    likely = rows.groupBy("key", "a", "b").applyInArrow(_tile_links(similarity), "left long, right long").distinct()
-    return verify(likely, bags, similarity)
-
-
-def _short_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The upper halves of all codes: enough to find pairs, which are then verified on the whole codes."""
-    for batch in batches:
-        halves = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("bag").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(halves, pa.binary())], names=["rep", "bag"])
+    rows = sides.join(placed, ["key", "tile"]).join(bags.select(F.col("doc_id").alias("rep"), "bag"), "rep")
+    return rows.groupBy("key", "a", "b").applyInArrow(_tile_links(similarity), "left long, right long").distinct()
 
 
 def _tile_links(similarity: float):
     def run(table: pa.Table) -> pa.Table:
+        """Links that join classes of the tile; a link inside what earlier ones have joined adds nothing and is left out."""
         table = table.combine_chunks()
-        reps, comps = np.asarray(table.column("rep")), np.asarray(table.column("comp"))
-        bags = [np.frombuffer(x, np.uint32) for x in table.column("bag").to_pylist()]
+        reps = np.asarray(table.column("rep"))
+        _, label = np.unique(np.asarray(table.column("comp")), return_inverse=True)
+        bags = [np.frombuffer(x, np.uint64) for x in table.column("bag").to_pylist()]
         sizes = np.array([len(x) for x in bags])
         row = np.repeat(np.arange(len(bags)), sizes)
-        values, column, times = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+        _, column, times = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
         kept = times[column] > 1
         named = np.cumsum(times > 1) - 1
         row, column = row[kept], named[column[kept]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         width = int(np.count_nonzero(times > 1))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        left, right = [], []
         for top in range(0, len(bags), 512):
             some = slice(top, top + 512)
             shared = np.zeros((len(reps[some]), len(bags)), np.float32)
@@ -336,10 +329,16 @@ def _tile_links(similarity: float):
                 block[row[cut], column[cut] - low] = 1.0
                 shared += block[some] @ block.T
             union = sizes[some, None] + sizes[None, :] - shared
-            good = (shared + 3 >= similarity * union) & (comps[some, None] != comps[None, :]) & (reps[some, None] > reps[None, :])
-            left, right = np.nonzero(good)
-            found.append((reps[some][left], reps[right]))
-        return pa.table({"left": np.concatenate([x for x, _ in found]), "right": np.concatenate([x for _, x in found])})
+            good = (shared >= similarity * union - 1e-6) & (label[some, None] != label[None, :])
+            for at in np.flatnonzero(good.any(axis=1)):
+                near = np.flatnonzero(good[at])
+                roots, first = np.unique(label[near], return_index=True)
+                apart = roots != label[top + at]
+                left += [reps[top + at]] * int(apart.sum())
+                right += reps[near[first[apart]]].tolist()
+                label[np.isin(label, roots[apart])] = label[top + at]
+        ends = np.array([left, right], np.int64).reshape(2, -1)
+        return pa.table({"left": ends.max(axis=0), "right": ends.min(axis=0)})
 
     return run
 
