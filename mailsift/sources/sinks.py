@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsift.operators.quality import split_valid
@@ -10,12 +11,12 @@ from mailsift.session import cut_lineage
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at ``path``, or an empty frame of the same shape before the first write."""
-    jvm = spark._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(location) and files.listStatus(location):
+    try:
         return spark.read.schema(like.schema).parquet(path)
-    return like.limit(0)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], like.schema)
 
 
 def first_per_key(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
