@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +14,7 @@ from mailsift.operators.similarity import _unit_rows
 from mailsift.session import cut_lineage
 
 LEADER_BATCH = 4096
+ROW_BLOCK = 8192
 
 
 def centroids(assigned: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:
@@ -35,50 +34,79 @@ def _greedy(ids: list, rows: np.ndarray, threshold: float) -> tuple[list, np.nda
     return [ids[i] for i in chosen], rows[chosen]
 
 
+def _met(rows: DataFrame, leaders: DataFrame, key: str, judge, layout: str, block: int) -> DataFrame:
+    """``judge(rows, leaders)`` for every block of rows, each of which meets all of the given leaders in a task of its own."""
+    blocks = max(1, -(-rows.count() // block))
+    own = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), F.lit(False).alias("_leads"), key, "_v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = leaders.select(every.alias("_block"), F.lit(True).alias("_leads"), key, "_v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        leads = pdf["_leads"].to_numpy(bool)
+        return judge(pdf[~leads], pdf[leads].sort_values(key))
+
+    return own.unionByName(sent).groupBy("_block").applyInPandas(run, layout)
+
+
+def _scores(rows: pd.DataFrame, leaders: pd.DataFrame) -> np.ndarray:
+    """Similarity of each row to each leader."""
+    if rows.empty or leaders.empty:
+        return np.zeros((len(rows), len(leaders)))
+    return np.round(_unit_rows(np.stack(rows["_v"].to_numpy())) @ _unit_rows(np.stack(leaders["_v"].to_numpy())).T, 9)
+
+
 def campaign_leaders(
     vectors: DataFrame, threshold: float = V.CAMPAIGN_SIMILARITY, key: str = "email_id", vector: str = "embedding",
-    batch: int = LEADER_BATCH,
+    batch: int = LEADER_BATCH, block: int = ROW_BLOCK,
 ) -> DataFrame:
     """The (leader, member, similarity) table of greedy clustering in id order.
 
     A message leads a campaign when no earlier leader is within the threshold, and otherwise joins the
-    nearest leader that is. A round takes the first ``batch`` undecided messages, picks the leaders among them,
-    and lets every executor keep the best leader seen so far for each undecided row. Rows are
-    compared with leaders only, never with each other, and one round's leaders bound what is sent out.
+    nearest leader that is. A round takes the first ``batch`` undecided messages and finds the leaders among them in
+    one task of that size; only rows that none of those leaders is close to stay for the next round. Once all leaders
+    are known every row meets them, in batches, and keeps its best. Rows are compared with leaders only, never with each other.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the similarity threshold must be in (0, 1]")
     key_type = vectors.schema[key].dataType.simpleString()
-    layout = f"{key} {key_type}, {vector} array<double>, leader {key_type}, similarity double"
-    undecided = vectors.select(
-        key, F.col(vector).cast("array<double>").alias(vector),
-        F.lit(None).cast(key_type).alias("leader"), F.lit(None).cast("double").alias("similarity"),
-    )
-    state = cut_lineage(undecided)
-    while True:
-        head = state.filter("leader is null").orderBy(key).limit(batch).select(key, vector).toPandas()
-        if head.empty:
-            return state.select(F.col("leader").alias("cluster_id"), key, "similarity", vector)
-        names, rows = _greedy(head[key].tolist(), _unit_rows(np.stack(head[vector].to_numpy())), threshold)
-        leader_ids = np.array(names, dtype=None if key_type in ("int", "bigint") else object)
-
-        def adopt(batches: Iterator[pd.DataFrame], ids=leader_ids, rows=rows) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                scores = np.round(_unit_rows(np.stack(pdf[vector].to_numpy())) @ rows.T, 9)
-                # A leader is always earlier than the rows that may join it.
-                keys = pdf[key].to_numpy()
-                scores[ids[None, :] > keys[:, None]] = -2.0
-                best = scores.argmax(axis=1)
-                top = scores[np.arange(len(pdf)), best]
-                held = pdf["similarity"].fillna(-2.0).to_numpy()
-                better = (top >= threshold) & (top > held)
-                pdf["leader"] = pdf["leader"].astype(object).where(~better, ids[best])
-                pdf["similarity"] = np.where(better, top, pdf["similarity"])
-                yield pdf
-
-        state = cut_lineage(state.mapInPandas(adopt, layout))
+    layout = f"{key} {key_type}, _v array<double>"
+    everything = cut_lineage(vectors.select(key, F.col(vector).cast("array<double>").alias("_v")))
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        names, _ = _greedy(pdf[key].tolist(), _unit_rows(np.stack(pdf["_v"].to_numpy())), threshold)
+        return pdf.loc[pdf[key].isin(names), [key, "_v"]]
+
+    def undecided(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        return rows.loc[~(_scores(rows, leaders) >= threshold).any(axis=1), [key, "_v"]]
+
+    def best(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        scores = _scores(rows, leaders)
+        ids, keys = leaders[key].to_numpy(), rows[key].to_numpy()
+        scores[ids[None, :] > keys[:, None]] = -2.0  # a leader is never later than its members
+        scores[ids[None, :] == keys[:, None]] = 1.0
+        top = scores.max(axis=1, initial=-2.0)
+        found = top >= threshold
+        at = scores.argmax(axis=1)[found] if found.any() else np.zeros(0, int)
+        return pd.DataFrame({"cluster_id": ids[at], key: keys[found], "similarity": top[found]})
+
+    chosen: list[DataFrame] = []
+    left = everything
+    while not left.isEmpty():
+        head = cut_lineage(left.orderBy(key).limit(batch))
+        leaders = cut_lineage(head.groupBy().applyInPandas(lead, layout))
+        chosen.append(leaders)
+        left = cut_lineage(_met(left.join(head.select(key), key, "left_anti"), leaders, key, undecided, layout, block))
+    assigned = f"cluster_id {key_type}, {key} {key_type}, similarity double"
+    if not chosen:
+        return everything.select(F.col(key).alias("cluster_id"), key, F.lit(1.0).alias("similarity"), F.col("_v").alias(vector))
+    parts = [_met(everything, leaders, key, best, assigned, block) for leaders in chosen]
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    nearest = F.min(F.struct((-F.col("similarity")).alias("apart"), "cluster_id")).alias("_best")
+    kept = joined.groupBy(key).agg(nearest).select("_best.cluster_id", key, (-F.col("_best.apart")).alias("similarity"))
+    return kept.join(everything.withColumnRenamed("_v", vector), key).select("cluster_id", key, "similarity", vector)
 
 
 def campaign_clusters(assigned: DataFrame, key: str = "email_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
