@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from mailsift import vocabulary as V
 from mailsift.functions.numeric import clamp_unit, day_key, month_key
 from mailsift.operators.ordered import CHUNK, ordered_chunks, positions, running_totals
+from mailsift.session import cut_lineage
 
 
 def trailing_sender_counts(
@@ -41,7 +42,7 @@ def spend_so_far(calls: DataFrame, moment: str, cost: str, key: str) -> DataFram
     order = [moment, key]
     chunks = ordered_chunks(periods, order)
     by_day = running_totals(chunks, {"day_spend": amount}, order, ["day"])
-    return running_totals(by_day, {"month_spend": amount}, order, ["month"]).drop(CHUNK)
+    return running_totals(cut_lineage(by_day), {"month_spend": amount}, order, ["month"]).drop(CHUNK)
 
 
 def denial_scope(day_total: Column, month_total: Column, daily: float, monthly: float) -> Column:
@@ -68,11 +69,12 @@ def admit_calls(
     )
     order = [moment, key]
     by_day = running_totals(ordered_chunks(periods, order), {"day_before": spent}, order, ["day"], inclusive=False)
-    day_ok = by_day.withColumn("in_day", F.col("day_before") + lit(reservation) <= lit(daily))
+    # Each result is used twice below, so it is written out instead of being derived twice.
+    day_ok = cut_lineage(by_day.withColumn("in_day", F.col("day_before") + lit(reservation) <= lit(daily)))
     charged = F.when(F.col("in_day"), spent).otherwise(lit(0))
     by_month = running_totals(day_ok, {"month_before": charged}, order, ["month"], inclusive=False)
     granted = F.col("in_day") & (F.col("month_before") + lit(reservation) <= lit(monthly))
-    marked = by_month.withColumn("granted", granted)
+    marked = cut_lineage(by_month.select(key, moment, cost, "day", "month", granted.alias("granted")))
     # What a day really spent decides the scope of its denials: its own cap, or a month already used up.
     spent_by_day = marked.groupBy("day").agg(
         F.coalesce(F.sum(F.when(F.col("granted"), spent)), lit(0)).alias("day_granted")

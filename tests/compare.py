@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -60,7 +61,7 @@ def main() -> None:
 
     folder = sys.argv[1]
     wanted = set(sys.argv[2:])
-    spark = local_session("3")
+    spark = local_session(os.environ.get("MAILSIFT_CORES", "8"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
     statements = entry.oracle_sql()
