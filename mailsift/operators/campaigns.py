@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from mailsift import vocabulary as V
+from mailsift.functions.hashing import name_uuid
 from mailsift.functions.vectors import cosine, unit
 from mailsift.operators.similarity import _unit_rows
 from mailsift.session import cut_lineage
@@ -118,6 +119,17 @@ def campaign_clusters(assigned: DataFrame, key: str = "email_id", vector: str =
     return clusters, members
 
 
+def campaign_ids(assigned: DataFrame, key: str = "email_id") -> DataFrame:
+    """A name per cluster that depends on its members only.
+
+    Member digests are added up in 32-bit parts, so the name needs no order and no task gathers a cluster.
+    """
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    part = lambda i: F.sum(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)"))
+    joined = F.concat_ws("-", F.count(F.lit(1)), *[part(i) for i in range(8)])
+    return assigned.groupBy("cluster_id").agg(joined.alias("_all")).select("cluster_id", name_uuid(F.col("_all")).alias("campaign_id"))
+
+
 def membership(members: DataFrame, clusters: DataFrame, ids: DataFrame, version: str, key: str = "email_id") -> DataFrame:
     """Cluster, size and similarity of each requested message under one model version."""
     wanted = members.filter(F.col("model_version") == version).join(ids.select(key).distinct(), key, "left_semi")

@@ -124,6 +124,18 @@ def campaign_clusters(spark, folder):
     return clusters.select("cluster_id", "size", R6(c("centroid")[0]).alias("first_value"))
 
 
+@query("campaign_ids", f"""
+    WITH RECURSIVE {_LEADERS}, d AS (SELECT cluster_id, sha256(CAST(vec_id AS VARCHAR)) AS h FROM best),
+    p AS (SELECT cluster_id, count(*) || '-' || {" || '-' || ".join(f"sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT))" for i in range(8))} AS joined
+          FROM d GROUP BY cluster_id), h AS (SELECT cluster_id, md5(joined) AS m FROM p)
+    SELECT cluster_id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-3' || substr(m, 14, 3) || '-'
+           || substr('89ab', 1 + (CAST('0x' || substr(m, 17, 1) AS INTEGER) & 3), 1) || substr(m, 18, 3) || '-' || substr(m, 21, 12) AS campaign_id
+    FROM h""")
+def campaign_ids(spark, folder):
+    """Each campaign named by its members."""
+    return campaigns.campaign_ids(_assigned(spark, folder), key="vec_id")
+
+
 @query("campaign_membership", f"""
     WITH RECURSIVE {_CLUSTERED} SELECT vec_id, cluster_id, size, {r6('list_cosine_similarity(u, v)')} AS similarity
     FROM unit JOIN best USING (vec_id) JOIN clusters USING (cluster_id) WHERE vec_id IN (SELECT doc_id FROM labels)""")
