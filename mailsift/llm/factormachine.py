@@ -121,7 +121,7 @@ def _ratio(n: np.ndarray, toxic: np.ndarray, rows: float, base: float) -> np.nda
 
 def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> Machine:
     """``training``: doc_id, terms (distinct slots), label (0/1)."""
-    rows = training.repartition(TASKS, "doc_id")
+    rows = training.repartition(TASKS, "doc_id").coalesce(TASKS)
     parts = [np.frombuffer(r.part, np.int64).reshape(4, SLOTS) for r in rows.select("terms", "label").mapInArrow(_slot_counts, "part binary").collect()]
     empty = np.full(SLOTS, -1)
     if not parts:
