@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift import vocabulary as V
 from mailsift.functions.numeric import clamp_unit
@@ -84,6 +86,14 @@ def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, raw: str, out:
     )
 
 
+def interpolated(raw: Column, points: Sequence[tuple[float, float]]) -> Column:
+    """Value on the line through given (raw, calibrated) points, in rising order; clamped outside them."""
+    value = F.lit(float(points[-1][1]))
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
+        value = F.when(raw <= x1, F.lit(float(y0)) + (raw - F.lit(float(x0))) * F.lit((y1 - y0) / (x1 - x0))).otherwise(value)
+    return F.when(raw <= points[0][0], F.lit(float(points[0][1]))).otherwise(value)
+
+
 def calibrate(scored: DataFrame, raw: str, model_version: str, max_ece: float = V.MAX_ECE) -> tuple[IsotonicRegressionModel, DataFrame]:
     """Fit on the train side, measure on the eval side, and judge. Reads split_side and positive."""
     check = enough_samples(scored).first()

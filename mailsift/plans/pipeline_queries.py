@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mailsift.functions.hashing import content_hash
+from mailsift.functions.numeric import raw_malicious
 from mailsift.operators import calibration, decision, features, reputation, similarity, training, windows
 from mailsift.plans import roles as R
 from mailsift.plans.common import R6, r6
-from mailsift.plans.policy_queries import BRANDS, _METRICS, _RATES, _denylist, _golden, _linked_messages
+from mailsift.operators.scoring import Policy
+from mailsift.plans.policy_queries import (
+    BRANDS, _AUTHORITY_HOST, _BAD, _CLAMP, _METRICS, _RATES, _SPOOF, _denylist, _golden, _linked_messages, _logit_sql,
+)
 from mailsift.plans.registry import query
+from mailsift.plans.sender_queries import _GATED
 from mailsift.plans.similarity_queries import _PRINTS
+from mailsift.plans.text_queries import _VECTORS
 from mailsift.plans.training_queries import _examples
 from mailsift.session import cut_lineage, ensure_checkpoint_dir
 from mailsift.sources import events as event_source
@@ -22,6 +29,15 @@ from mailsift.streaming import jobs
 c = F.col
 
 
+def _bursts(messages):
+    """What each message's sender sent, and what was close to it, in the day before."""
+    sent = messages.select("email_id", F.coalesce("sender", "sender_domain").alias("sender"), "ingested_at")
+    velocity = windows.trailing_sender_counts(sent, "sender", "email_id", "ingested_at", 86_400_000)
+    prints = similarity.fingerprints(messages, "body_display", keep=("ingested_at",))
+    copies = similarity.recent_near_duplicates(prints, "ingested_at", 86_400_000)
+    return velocity.join(copies, "email_id").select("email_id", "sender_count", c("cluster_size").alias("duplicate_count"))
+
+
 @query("decisions")
 def decisions(spark, folder):
     """Every message decided: rules, trained model, calibration, sender standing, fusion, bursts, floor. No SQL twin: a model is trained."""
@@ -35,25 +51,103 @@ def decisions(spark, folder):
     held_out = split.filter("split_side = 'eval'").drop("split_side")
     scored = training.score_classes(model, held_out).withColumn("positive", c("label") != "ham")
     fitted = calibration.fit_isotonic(scored, "raw_malicious", "positive")
-    standing = reputation.gated_reputation(
-        R.reputation_events(spark, folder).withColumn("sender_key", F.concat("sender_key", F.lit("@src1.example"))), R.READ_AT
-    )
+    keys = R.keyed_messages(spark, folder).select(c("email_id").alias("event_id"), "sender_key")
+    log = R.as_reputation_events(R.events(spark, folder), keep=("event_id",)).drop("sender_key").join(keys, "event_id")
+    standing = reputation.gated_reputation(log, R.READ_AT)
     rated = decision.score_messages(
         messages, _denylist(spark), decision.classifier(model),
         lambda df: calibration.apply_isotonic(fitted, df, "raw_malicious"), standing, rate, BRANDS,
     )
-    sent = messages.select("email_id", F.coalesce("sender", "sender_domain").alias("sender"), "ingested_at")
-    velocity = windows.trailing_sender_counts(sent, "sender", "email_id", "ingested_at", 86_400_000)
-    prints = similarity.fingerprints(messages, "body_display", keep=("ingested_at",))
-    copies = similarity.recent_near_duplicates(prints, "ingested_at", 86_400_000)
-    bursts = velocity.join(copies, "email_id").select("email_id", "sender_count", c("cluster_size").alias("duplicate_count"))
-    decided = decision.decide(rated, R.LIVE, bursts)
+    decided = decision.decide(rated, R.LIVE, _bursts(messages))
     return decided.select(
         "email_id", "decision", "route_used", F.concat_ws(",", "reason_codes").alias("reasons"),
         F.concat_ws(",", "routing_reasons").alias("routing"), F.round("posterior", 3).alias("posterior"), "explanation",
     )
 
 
+# A given model: per class its bias and the weights of some features, and given calibration points.
+_BASE_RATE = 0.4
+_WEIGHTS = {"spam": (-1.5, {14: 3.0, 15: 0.05, 21: -1.0}), "phish": (-2.0, {6: 2.0, 23: -1.2})}
+_POINTS = ((0.0, 0.02), (0.3, 0.2), (0.7, 0.75), (1.0, 0.98))
+
+
+def _given_classifier(df):
+    f = vector_to_array("feature_vector")
+    lines = {name: sum((f[i] * F.lit(w) for i, w in weights.items()), F.lit(bias)) for name, (bias, weights) in _WEIGHTS.items()}
+    total = F.lit(1.0) + F.exp(lines["spam"]) + F.exp(lines["phish"])
+    scored = df.withColumns({"spam_score": F.exp(lines["spam"]) / total, "phishing_score": F.exp(lines["phish"]) / total})
+    return scored.withColumn("raw_malicious", raw_malicious(c("spam_score"), c("phishing_score")))
+
+
+def _line_sql(name: str) -> str:
+    bias, weights = _WEIGHTS[name]
+    return " + ".join([f"({bias}e0)", *(f"({w}e0) * CAST(CAST(f[{i + 1}] AS FLOAT) AS DOUBLE)" for i, w in weights.items())])
+
+
+def _points_sql(raw: str) -> str:
+    cases = " ".join(
+        f"WHEN {raw} <= {x1}e0 THEN {y0}e0 + ({raw} - {x0}e0) * {(y1 - y0) / (x1 - x0)!r}::DOUBLE"
+        for (x0, y0), (x1, y1) in zip(_POINTS, _POINTS[1:])
+    )
+    return f"CASE WHEN {raw} <= {_POINTS[0][0]}e0 THEN {_POINTS[0][1]}e0 {cases} ELSE {_POINTS[-1][1]}e0 END"
+
+
+@query("decision_chain", f"""
+    WITH rep AS (SELECT keyed.sender_key, CASE WHEN event_type = 'error' THEN 'BAD' ELSE 'GOOD' END AS signal, least(value / 500.0, 1.0) AS weight,
+                        CASE WHEN k % 2 = 0 THEN 'AUTHENTICATED' ELSE 'UNAUTHENTICATED' END AS bucket, ts AS occurred_at
+                 FROM ev JOIN keyed ON email_id = event_id WHERE event_type <> 'view'),
+    {_GATED}, {_VECTORS}, {_PRINTS},
+    linked AS (SELECT email_id, sender, sender_domain, epoch_us(ingested_at) // 1000 AS ms,
+                      coalesce(auth_results LIKE '%dmarc=pass%', FALSE) AS aligned, coalesce({_AUTHORITY_HOST.format('url')}, '') AS host
+               FROM messages LEFT JOIN pages ON email_id = page_id),
+    hit AS (SELECT *, ({_BAD}) AS bad, {_SPOOF} AS spoof FROM linked),
+    ruled AS (SELECT email_id, sender, sender_domain, ms, CASE WHEN bad THEN 'BLOCK' WHEN spoof THEN 'QUARANTINE' END AS rule,
+                     concat_ws(',', CASE WHEN bad THEN 'KNOWN_BAD_URL' END, CASE WHEN spoof THEN 'MALFORMED_AUTH_BRAND_SPOOF' END) AS reasons FROM hit),
+    lines AS (SELECT email_id, exp({_line_sql('spam')}) AS es, exp({_line_sql('phish')}) AS ep FROM v),
+    confident AS (SELECT email_id, {_points_sql('least(1e0, (es + ep) / (1e0 + es + ep))')} AS confidence FROM lines),
+    standing AS (SELECT email_id, coalesce(CASE WHEN bucket = 'AUTHENTICATED' THEN auth_mean ELSE unauth_mean END, 0.5e0) AS mean,
+                        coalesce(CASE WHEN bucket = 'AUTHENTICATED' THEN auth_variance ELSE unauth_variance END, 1 / 12.0e0) AS variance
+                 FROM keyed LEFT JOIN gated USING (sender_key)),
+    logits AS (SELECT *, {_logit_sql('(1.0e0 - mean)')} + {_logit_sql('confidence')} - {_logit_sql(f'{_BASE_RATE}e0')} AS z,
+                      {_CLAMP.format('(1.0e0 - mean)')} AS prior FROM standing JOIN confident USING (email_id)),
+    fused AS (SELECT email_id, confidence, sqrt(variance) AS uncertainty, 1e0 / (1e0 + exp(-z)) AS posterior,
+                     posterior * (1e0 - posterior) * sqrt(variance) / (prior * (1e0 - prior)) AS band FROM logits),
+    routed AS (SELECT r.*, CASE WHEN rule IS NULL THEN posterior END AS posterior,
+                      rule IS NULL AND 2e0 * abs(confidence - 0.5e0) < 0.4e0 AS low, rule IS NULL AND uncertainty >= 0.05e0 AS fresh,
+                      rule IS NULL AND least(abs(f.posterior - 0.5e0), abs(f.posterior - 0.8e0), abs(f.posterior - 0.95e0)) <= 0.05e0 + band AS near,
+                      CASE coalesce(rule, CASE WHEN f.posterior >= 0.95e0 THEN 'BLOCK' WHEN f.posterior >= 0.8e0 THEN 'QUARANTINE'
+                           WHEN f.posterior >= 0.5e0 THEN 'WARN' ELSE 'ALLOW' END) WHEN 'ALLOW' THEN 0 WHEN 'WARN' THEN 1 WHEN 'QUARANTINE' THEN 2 ELSE 3 END AS sev
+               FROM ruled r JOIN fused f USING (email_id)),
+    sent AS (SELECT a.email_id, count(*) AS sender_count FROM ruled a JOIN ruled b ON coalesce(a.sender, a.sender_domain) = coalesce(b.sender, b.sender_domain)
+                    AND b.ms <= a.ms AND a.ms - b.ms < 86400000 GROUP BY a.email_id),
+    heard AS (SELECT email_id, fp, ms FROM ruled JOIN prints ON doc_id = email_id WHERE fp <> 0),
+    alike AS (SELECT a.email_id, count(*) AS duplicate_count FROM heard a JOIN heard b ON b.ms <= a.ms AND a.ms - b.ms < 86400000
+                     AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 6 GROUP BY a.email_id),
+    burst AS (SELECT *, (coalesce(sender_count, 0) > 5 OR coalesce(duplicate_count, 0) > 5) AND sev < 2 AS raised
+              FROM routed LEFT JOIN sent USING (email_id) LEFT JOIN alike USING (email_id))
+    SELECT email_id, CASE CASE WHEN raised THEN 2 ELSE sev END WHEN 0 THEN 'ALLOW' WHEN 1 THEN 'WARN' WHEN 2 THEN 'QUARANTINE' ELSE 'BLOCK' END AS decision,
+           CASE WHEN rule IS NOT NULL THEN 'HARD_RULE' WHEN low OR fresh OR near THEN 'LLM' ELSE 'MODEL' END AS route_used,
+           concat_ws(',', nullif(reasons, ''), CASE WHEN raised THEN 'BURST_OVERRIDE' END) AS reasons,
+           concat_ws(',', CASE WHEN low THEN 'LOW_MODEL_CONFIDENCE' END, CASE WHEN fresh THEN 'NEW_SENDER_UNCERTAINTY' END,
+                     CASE WHEN near THEN 'NEAR_TIER_BOUNDARY' END) AS routing, {r6('posterior')} AS posterior FROM burst""",
+       ("messages", "keyed", "ev"))
+def decision_chain(spark, folder):
+    """Every message decided under a given model and given calibration points: rules, softmax, interpolation, standing, fusion, bursts, floor."""
+    messages = _linked_messages(spark, folder)
+    keys = R.keyed_messages(spark, folder).select(c("email_id").alias("event_id"), "sender_key")
+    log = R.as_reputation_events(R.events(spark, folder), keep=("event_id",)).drop("sender_key").join(keys, "event_id")
+    rated = decision.score_messages(
+        messages, _denylist(spark), _given_classifier,
+        lambda df: df.withColumn("calibrated_confidence", calibration.interpolated(c("raw_malicious"), _POINTS)),
+        reputation.gated_reputation(log, R.READ_AT), _BASE_RATE, BRANDS,
+    )
+    decided = decision.decide(rated, Policy("given", burst=5), _bursts(messages))
+    return decided.select(
+        "email_id", "decision", "route_used", F.concat_ws(",", "reason_codes").alias("reasons"),
+        F.concat_ws(",", "routing_reasons").alias("routing"), R6(c("posterior")).alias("posterior"),
+    )
+
+
 @query("quality_report", "WITH " + _METRICS.format(where="WHERE ts < TIMESTAMP '2024-01-16 00:00:00'") + """
     SELECT m.policy_version, m.total, coalesce(m.total >= 50 AND m."precision" >= 0.95, FALSE) AS passed, """
        + ", ".join(f'{r6(f"m.{chr(34)}{n}{chr(34)} - b.{chr(34)}{n}{chr(34)}")} AS {n}_delta' for n in _RATES)

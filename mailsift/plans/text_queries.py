@@ -190,8 +190,7 @@ def auth_features(spark, folder):
     )
 
 
-@query("feature_vectors", f"""
-    WITH t AS (SELECT *, trim(body, {WS}) AS bare FROM messages),
+_VECTORS = f"""t AS (SELECT *, trim(body, {WS}) AS bare FROM messages),
     w AS (SELECT *, CASE WHEN bare = '' THEN 0 ELSE len(regexp_extract_all(bare, '\\s+')) + 1 END AS words,
                  length(regexp_replace(bare, '\\s+', '', 'g')) AS word_chars FROM t),
     v AS (SELECT email_id, [
@@ -204,7 +203,11 @@ def auth_features(spark, folder):
         CAST(coalesce(isodow(received_at) >= 6, FALSE) AS INTEGER),
         CASE WHEN auth_results LIKE '%spf=pass%' THEN 1.0 WHEN auth_results LIKE '%spf=SoftFail%' THEN -0.5 ELSE 0.0 END, 0.0,
         CASE WHEN auth_results LIKE '%dmarc=pass%' THEN 1.0 WHEN auth_results LIKE '%dmarc=fail%' THEN -1.0 ELSE 0.0 END
-        ]::DOUBLE[] AS f FROM w)
+        ]::DOUBLE[] AS f FROM w)"""
+
+
+@query("feature_vectors", f"""
+    WITH {_VECTORS}
     SELECT email_id, {', '.join(f'CAST(CAST(f[{i + 1}] AS FLOAT) AS DOUBLE) AS v{i:02d}' for i in range(24))} FROM v""", ("messages",))
 def feature_vectors(spark, folder):
     extracted = features.extract_features(R.messages(spark, folder))
