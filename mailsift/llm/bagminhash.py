@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import grams, lists, mix, pieces, signed, split_words, stream
+from mailsift.llm.words import grams, lists, mix, pieces, signed, split_words, stream, tidy
 from mailsift.operators.graph import component_labels
 
 SHINGLE = 5
@@ -167,9 +167,10 @@ def _signature_rows(registers: int, band: int):
                 names=["doc_id", "d1", "d2", "size", "keys"],
             )
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _bag_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         owner, codes, weight, sizes = shingle_bags(piece.column("text"))
@@ -208,7 +209,7 @@ def _verified(similarity: float):
                     [piece.column("left").filter(good), piece.column("right").filter(good)], names=["left", "right"]
                 )
 
-    return run
+    return tidy(run)
 
 
 def signatures(docs: DataFrame, registers: int = REGISTERS, band: int = BAND) -> DataFrame:

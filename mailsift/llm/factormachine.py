@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from mailsift.llm.kernelquality import once_per_id, part_of
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, beginnings, pieces, split_words
+from mailsift.llm.words import Words, beginnings, pieces, split_words, tidy
 
 SLOTS = 1 << 18
 TERMS = 2048
@@ -52,6 +52,7 @@ def hashed_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (np.concatenate(codes) >> np.uint64(46)).astype(np.int64)
 
 
+@tidy
 def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         owner, slot = hashed_terms(split_words(piece.column("text"), lower=True))
@@ -93,7 +94,9 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+@tidy
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows and toxic rows of every slot that a task has seen; slot -1 stands for all rows."""
     counts = np.zeros((2, SLOTS), np.int64)
     rows = np.zeros(2, np.int64)
     for batch in batches:
@@ -105,7 +108,9 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[1] += np.bincount(flat[toxic], minlength=SLOTS)
         rows += [len(label), label.sum()]
     if rows[0]:
-        yield pa.RecordBatch.from_arrays([pa.array([np.vstack([counts, np.pad(rows[:, None], ((0, 0), (0, SLOTS - 1)))]).tobytes()])], names=["part"])
+        seen = np.flatnonzero(counts[0])
+        slot, n, toxic = np.append(seen, -1), np.append(counts[0][seen], rows[0]), np.append(counts[1][seen], rows[1])
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n), pa.array(toxic)], names=["slot", "n", "toxic"])
 
 
 def _ratio(n: np.ndarray, toxic: np.ndarray, rows: float, base: float) -> np.ndarray:
@@ -122,12 +127,13 @@ def _ratio(n: np.ndarray, toxic: np.ndarray, rows: float, base: float) -> np.nda
 def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> Machine:
     """``training``: doc_id, terms (distinct slots), label (0/1)."""
     rows = training.repartition(TASKS, "doc_id").coalesce(TASKS)
-    parts = [np.frombuffer(r.part, np.int64).reshape(4, SLOTS) for r in rows.select("terms", "label").mapInArrow(_slot_counts, "part binary").collect()]
+    counted = rows.select("terms", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
+    sums = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().set_index("slot")
     empty = np.full(SLOTS, -1)
-    if not parts:
+    if sums.empty:
         return Machine(empty, 0.0, np.zeros((1, 1 + factors)), 0.5)
-    total = np.sum(parts, axis=0).astype(float)
-    n, toxic, size, hits = total[0], total[1], total[2, 0], total[3, 0]
+    size, hits = map(float, sums.loc[-1, ["n", "toxic"]])
+    n, toxic = (sums[name].reindex(range(SLOTS), fill_value=0).to_numpy(float) for name in ("n", "toxic"))
     base = hits / size
     if base in (0.0, 1.0):
         return Machine(empty, 0.0, np.zeros((1, 1 + factors)), base)
@@ -165,7 +171,7 @@ def _narrowed(rows: DataFrame, machine: Machine) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([listed, batch.column("label")], names=["terms", "label"])
 
-    return rows.select("terms", F.col("label").cast("int").alias("label")).mapInArrow(run, "terms array<int>, label int")
+    return rows.select("terms", F.col("label").cast("int").alias("label")).mapInArrow(tidy(run), "terms array<int>, label int")
 
 
 def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
@@ -191,8 +197,8 @@ def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()])], names=["part"])
 
-    parts = [np.frombuffer(r.part) for r in narrow.mapInArrow(run, "part binary").collect()]
-    sent.unpersist()
+    parts = [np.frombuffer(r.part) for r in narrow.mapInArrow(tidy(run), "part binary").collect()]
+    sent.destroy()
     return parts
 
 
@@ -210,6 +216,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
             values = sent.value.score(split_words(piece.column("text"), lower=True))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(values)], names=["doc_id", "score"])
 
-    return keyed.mapInArrow(run, "doc_id long, score double").select(
+    return keyed.mapInArrow(tidy(run), "doc_id long, score double").select(
         "doc_id", (part == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )

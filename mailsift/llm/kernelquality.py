@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, grams, pieces, split_words
+from mailsift.llm.words import Words, grams, pieces, split_words, tidy
 
 FEATURES = 256
 RIDGE = 1.0
@@ -85,6 +85,7 @@ def statistics(words: Words) -> np.ndarray:
     return np.stack(columns, axis=1)
 
 
+@tidy
 def _statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         values = statistics(split_words(piece.column("text"), lower=False))
@@ -143,7 +144,7 @@ def _sums(rows: DataFrame, part) -> list[np.ndarray]:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total).tobytes()])], names=["part"])
 
-    return [np.frombuffer(row.part) for row in rows.mapInArrow(run, "part binary").collect()]
+    return [np.frombuffer(row.part) for row in rows.mapInArrow(tidy(run), "part binary").collect()]
 
 
 def pooled(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -165,7 +166,7 @@ def pooled(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model:
     """``labelled``: stats, label (0/1) and calibrate (rows kept for the isotonic curve)."""
-    rows = labelled.select("doc_id", "stats", F.col("label").cast("double").alias("label"), "calibrate").repartition(TASKS, "doc_id")
+    rows = labelled.select("doc_id", "stats", F.col("label").cast("double").alias("label"), "calibrate").repartition(TASKS, "doc_id").coalesce(TASKS)
     for_ridge, for_curve = rows.filter("NOT calibrate"), rows.filter("calibrate")
     moments = _sums(for_ridge, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]))
     if not moments:
@@ -211,7 +212,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
                     values = np.clip(sent.value.score(_matrix(some.column("stats"))), 0.0, 1.0)
                     yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(values)], names=["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double")
+    return stats.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def part_of(doc_id: Column, parts: int = 4) -> Column:
@@ -251,4 +252,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             values = sent.value.score(statistics(split_words(piece.column("text"), lower=False)))
             yield piece.filter(pa.array(np.clip(values, 0.0, 1.0) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, mix, pieces, signed, split_words, windows
+from mailsift.llm.words import Words, mix, pieces, signed, split_words, windows, tidy
 
 WINDOW = 50
 _ROW = ["doc_id", "row_key"]
@@ -150,7 +150,7 @@ def _segment_rows(window: int):
                 names=["doc_id", "row_key", "start", "count", "anchor", "content"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _places(piece: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def _window_rows(window: int):
                 names=["doc_id", "row_key", "start", "w1", "w2"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _kept_rows(window: int):
@@ -227,7 +227,7 @@ def _kept_rows(window: int):
                 names=["doc_id", "kept_text", "n_words", "n_removed", "spans"],
             )
 
-    return run
+    return tidy(run)
 
 
 def _runs(rows: DataFrame) -> DataFrame:

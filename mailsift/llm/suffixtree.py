@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.words import mix, pieces, signed, split_words, stream
+from mailsift.llm.words import mix, pieces, signed, split_words, stream, tidy
 from mailsift.llm.storage import stored
 
 DEPTH = 3
@@ -76,6 +76,7 @@ def _slots(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(44)).astype(np.int64)
 
 
+@tidy
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gathered: list[np.ndarray] = []
 
@@ -123,7 +124,7 @@ def _sieve_rows(depth: int):
                         names=["k", "block", "hits"],
                     )
 
-    return run
+    return tidy(run)
 
 
 def _sum_blocks(table: pa.Table) -> pa.Table:
@@ -169,7 +170,7 @@ def _gram_rows(depth: int, full_slots):
             if sum(map(len, gathered[k])):
                 yield counted(k)
 
-    return run
+    return tidy(run)
 
 
 @dataclass
@@ -321,7 +322,7 @@ def _score_rows(sent):
                 names=["doc_id", "row_key", "code", "head", "times", "known", "logs", "gain"],
             )
 
-    return run
+    return tidy(run)
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:

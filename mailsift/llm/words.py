@@ -7,7 +7,9 @@ cut into pieces of whole texts first; a piece is larger than ``PIECE_BYTES`` onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +81,20 @@ class Words:
         return np.repeat(self.bounds[1:], self.counts) - np.arange(len(self.codes))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker hands the memory it has freed back: workers outlive tasks and wait beside others."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; a null counts as an empty text."""
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
