@@ -51,6 +51,7 @@ def reliability_report(
 
 def calibration_gate(report: DataFrame, model_version: str, max_ece: float = V.MAX_ECE) -> DataFrame:
     passed = F.col("ece_calibrated") <= max_ece
+    # Fixed value: the wording of the message.
     reason = F.format_string(
         "calibrated ECE %.4f %s ceiling %.4f for model %s (raw ECE was %.4f)",
         F.col("ece_calibrated"), F.when(passed, F.lit("within")).otherwise(F.lit("exceeds")),

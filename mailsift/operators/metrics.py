@@ -67,6 +67,7 @@ def precision_gate(metrics: DataFrame, floor: float = V.PRECISION_FLOOR, min_sam
     small = F.col("total") < min_samples
     passed = ~small & (F.col("precision") >= floor)
     sign = F.when(F.col("precision") >= floor, F.lit(">=")).otherwise(F.lit("<"))
+    # The wording of both messages.
     reason = F.when(
         small,
         F.format_string(

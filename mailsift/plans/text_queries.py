@@ -13,6 +13,7 @@ from mailsift.plans.registry import query
 from mailsift.sources import corpus, mime, sinks
 
 c = F.col
+# The address patterns, as the functions have them.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 LOCAL = r"[A-Za-z0-9._%+\-]"
 DOMAIN = r"[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -59,6 +60,7 @@ def redacted_texts(spark, folder):
     return redacted.select("doc_id", F.md5("t").alias("redacted_md5"), F.length("t").cast("bigint").alias("redacted_chars"))
 
 
+# Fixed value: links kept, then addresses, card numbers and phone numbers, in that order.
 _PII = f"(https?://\\S+|www\\.\\S+)|({EMAIL})|(\\b\\d{{4}}(?:[ -]?\\d{{4}}){{2,4}}\\b)|(\\+?\\(?\\d[\\d ().\\-]{{5,}}\\d)"
 
 

@@ -5,38 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DataType, StructType
 
-HEADER = (
-    "struct<hasSubject:boolean,subjectLength:int,subjectUppercaseRatio:double,subjectExclamationCount:int,"
-    "hasSender:boolean,recipientCount:int,replyToDiffersFromFrom:boolean>"
-)
-LINK = "struct<urlCount:int,uniqueDomainCount:int,hasIpUrl:boolean,hasPunycodeDomain:boolean,maxUrlLength:int>"
-TEXT = "struct<charCount:int,wordCount:int,uppercaseRatio:double,exclamationCount:int,avgWordLength:double>"
-TIMING = "struct<hasDate:boolean,hourOfDayUtc:int,dayOfWeek:int,weekend:boolean>"
-AUTH = "struct<spf:string,dkim:string,dmarc:string>"
-FEATURES = f"struct<header:{HEADER},link:{LINK},text:{TEXT},timing:{TIMING},auth:{AUTH},embedding:array<float>>"
-
 TABLES = {
-    "messages": "email_id string, content_hash string, raw_content binary, sender string, sender_domain string, "
-    "recipients string, subject string, received_at timestamp, auth_results string, ingest_source string, "
-    "ingested_at timestamp",
     "ground_truth": "email_id string, label string, dataset_source string, labeled_at timestamp",
     "raw_email_event": "schemaVersion int, emailId string, senderKey string, sender string, senderDomain string, "
     "contentHashHex string, ingestSource string",
-    "reputation_events": "sender_key string, signal string, weight double, decay_factor double, source string, "
-    "bucket string, occurred_at timestamp",
-    "email_features": f"email_id string, feature_version int, features {FEATURES}",
-    "policies": "version string, active boolean, shadow boolean, warn_threshold double, quarantine_threshold double, "
-    "block_threshold double, llm_threshold double, routing_band_width double, burst_threshold int, "
-    "model_version string, created_at timestamp",
-    "replay_decisions": "run_id string, email_id string, policy_version string, decision string, route_used string, "
-    "reason_codes array<string>, routing_reasons array<string>, posterior double",
-    "email_embeddings": "email_id string, model_version string, embedding array<float>",
-    "feedback_events": "email_id string, persona_id string, run_id string, action string, action_confidence double, "
-    "delay_seconds bigint, decision_shown string, ground_truth string",
-    "personas": "persona_id string, name string, click_bias double, report_bias double, risk_tolerance double, "
-    "malicious boolean",
-    "retrain_labels": "email_id string, label string, weight double, source string, provenance string",
-    "content_keys": "email_id string, wrapped_key binary, key_version string, erased_at timestamp",
 }
 
 
