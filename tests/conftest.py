@@ -10,7 +10,7 @@ from mailsift.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session()
+    session = local_session(os.environ.get("MAILSIFT_CORES", "8"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
 
