@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import grams, lists, mix, pieces, signed, split_words, stream, tidy
+from mailsift.llm.words import grams, in_small_batches, lists, mix, pieces, signed, split_words, stream, tidy
 from mailsift.operators.graph import component_labels
 
 SHINGLE = 5
@@ -229,6 +229,7 @@ def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, registers: int = REGISTERS, band: int = BAND
 ) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) and class_size of every row of ``docs``."""
+    docs = in_small_batches(docs)
     signed_rows = stored(signatures(docs, registers, band))
     known = signed_rows.filter("size > 0 AND doc_id IS NOT NULL")
     folded = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from mailsift.llm.kernelquality import once_per_id, part_of
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, beginnings, pieces, split_words, tidy
+from mailsift.llm.words import Words, beginnings, in_small_batches, pieces, split_words, tidy
 
 SLOTS = 1 << 18
 TERMS = 2048
@@ -204,7 +204,7 @@ def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; learns from labels outside part 0."""
-    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    keyed = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text")
     part = part_of(F.col("doc_id"), PARTS)
     known = once_per_id(labels, "toxic").filter(part != 0)
     asked = keyed.filter(part != 0).filter(likely_in(F.xxhash64("doc_id"), known, F.xxhash64("doc_id")))

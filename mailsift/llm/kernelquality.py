@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, grams, pieces, split_words, tidy
+from mailsift.llm.words import Words, grams, in_small_batches, pieces, split_words, tidy
 
 FEATURES = 256
 RIDGE = 1.0
@@ -234,7 +234,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    stats = stored(text_statistics(docs))
+    stats = stored(text_statistics(in_small_batches(docs)))
     return score(stats, train(stats, labels)).select(
         "doc_id", (part_of(F.col("doc_id")) == 2).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -243,7 +243,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``; texts take part in no shuffle but the labelled ones'."""
-    known = once_per_id(labels, "quality")
+    docs, known = in_small_batches(docs), once_per_id(labels, "quality")
     asked = docs.filter(likely_in(F.xxhash64(F.col("doc_id").cast("long")), known, F.xxhash64("doc_id")))
     sent = docs.sparkSession.sparkContext.broadcast(train(text_statistics(asked), labels))
 

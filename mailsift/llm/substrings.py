@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
-from mailsift.llm.words import Words, mix, pieces, signed, split_words, windows, tidy
+from mailsift.llm.words import Words, in_small_batches, mix, pieces, signed, split_words, tidy, windows
 
 WINDOW = 50
 _ROW = ["doc_id", "row_key"]
@@ -236,7 +236,7 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and removed word spans [start, end) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_key"))
+    texts = in_small_batches(docs).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("row_key"))
     row_code = F.xxhash64(*_ROW)
     found = texts.filter("doc_id IS NOT NULL").mapInArrow(
         _segment_rows(window), "doc_id long, row_key long, start int, count int, anchor long, content long"

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mailsift.llm.words import mix, pieces, signed, split_words, stream, tidy
+from mailsift.llm.words import in_small_batches, mix, pieces, signed, split_words, stream, tidy
 from mailsift.llm.storage import stored
 
 DEPTH = 3
@@ -359,7 +359,7 @@ def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
 
 def score_corpus(docs: DataFrame, out: Column, **options) -> DataFrame:
     """Learns from the rows where ``out`` is false and scores all rows."""
-    training = docs.filter(~out)
+    training = in_small_batches(docs).filter(~out)
     counts = stored(token_counts(training))
     tree = fit_tree(training, counts, **options)
     return score_texts(docs, counts, tree)

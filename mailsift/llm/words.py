@@ -15,8 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,6 +97,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return tidied
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; from now on the session hands texts to Python ``BATCH_ROWS`` rows at a time, which bounds both sides' buffers."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs
+
+
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; a null counts as an empty text."""
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
