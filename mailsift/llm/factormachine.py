@@ -126,8 +126,7 @@ def _ratio(n: np.ndarray, toxic: np.ndarray, rows: float, base: float) -> np.nda
 
 def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> Machine:
     """``training``: doc_id, terms (distinct slots), label (0/1)."""
-    rows = training.repartition(TASKS, "doc_id").coalesce(TASKS)
-    counted = rows.select("terms", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
+    counted = training.select("terms", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
     sums = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().set_index("slot")
     empty = np.full(SLOTS, -1)
     if sums.empty:
@@ -145,7 +144,7 @@ def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps:
     rng = np.random.default_rng(seed)
     table = np.hstack([np.zeros((max(len(kept), 1), 1)), rng.normal(size=(max(len(kept), 1), factors)) * 0.05])
     machine = Machine(place, float(np.log(base / (1 - base))), table)
-    narrow = stored(_narrowed(rows, machine))
+    narrow = stored(_narrowed(training, machine).repartition(TASKS, "doc_id").coalesce(TASKS).drop("doc_id"))
     first, second, slope = np.zeros(table.size + 1), np.zeros(table.size + 1), np.zeros(table.size + 1)
     for step in range(1, steps + 1):
         slope = np.sum(_gradients(narrow, machine), axis=0) / size
@@ -169,9 +168,10 @@ def _narrowed(rows: DataFrame, machine: Machine) -> DataFrame:
             owner, term = owner[term >= 0], term[term >= 0]
             bounds = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(term.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([listed, batch.column("label")], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), listed, batch.column("label")], names=["doc_id", "terms", "label"])
 
-    return rows.select("terms", F.col("label").cast("int").alias("label")).mapInArrow(tidy(run), "terms array<int>, label int")
+    whole = rows.select("doc_id", "terms", F.col("label").cast("int").alias("label"))
+    return whole.mapInArrow(tidy(run), "doc_id long, terms array<int>, label int")
 
 
 def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
@@ -208,7 +208,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     part = part_of(F.col("doc_id"), PARTS)
     known = once_per_id(labels, "toxic").filter(part != 0)
     asked = keyed.filter(part != 0).filter(likely_in(F.xxhash64("doc_id"), known, F.xxhash64("doc_id")))
-    training = stored(asked.mapInArrow(_term_rows, "doc_id long, terms array<int>").join(known, "doc_id"))
+    training = stored(asked.mapInArrow(_term_rows, "doc_id long, terms array<int>").join(known.hint("merge"), "doc_id"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(training))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
