@@ -1,17 +1,17 @@
 """Text scoring with a probabilistic suffix tree over words.
 
 Tokens are the words of a text (A-Z lower-cased) and one end. The root predicts a token with (c + 1) / (N + V + 1).
-A context of up to ``DEPTH`` tokens is a candidate state when it is followed often enough: only continuations seen
-at least ``max(2, SUPPORT * N)`` times are recorded, so no level of the tree has more than ``1 / SUPPORT`` entries
-however large the corpus is. A candidate stays a state when the divergence of its next-token distribution from that
-of its longest suffix state passes ``DIVERGENCE`` (log10 units per occurrence). Next-token distributions are
-smoothed: the mass of unrecorded continuations plus ``PRIOR`` counts is spread like the distribution of the suffix
-state, so each sums to one. A token is scored in the longest suffix state of what stands before it in its text.
-
-Passes over the corpus: words are counted; per order, the hits of each of ``SIEVE`` hash slots are counted; a gram
-whose slot is not full enough cannot reach the support, so the next pass counts few grams exactly; the last scores.
-The tree and the frequent words, bounded as above, are broadcast; all rarer words meet their counts in a join, and
-a rarer word has at most ``SUPPORT * N`` occurrences, so no join key is hot.
+A context of up to ``DEPTH`` tokens is a candidate state when some continuation of it is seen at least ``LEAST``
+times, at any corpus size; only such continuations are recorded. A candidate stays a state when the divergence of its
+next-token distribution from that of its longest suffix state passes ``DIVERGENCE`` (log10 units per occurrence).
+Next-token distributions are smoothed: the mass of unrecorded continuations plus ``PRIOR`` counts is spread like the
+distribution of the suffix state, so each sums to one. A token is scored in the longest suffix state of what stands
+before it in its text.
+
+The tree grows with the corpus and is a table of nodes, one row per code of a word, gram or state; nothing of it
+passes the driver. Its levels are joins of one order's counted grams with the order below. To score, texts are cut
+into blocks of about ``BLOCK_BYTES``; the distinct codes of a block meet the nodes in a join, in which a code has at most
+one row per block, and each block is then scored with the nodes it can ask for.
 
 Nulls, empties, repeats: a null text is empty and scored for its end alone. Every row is scored; repeated training
 rows count repeatedly. A row without an id belongs to the training rows. Extra columns are ignored.
@@ -19,6 +19,7 @@ rows count repeatedly. A row without an id belongs to the training rows. Extra c
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +31,14 @@ from mailsift.llm.words import in_small_batches, mix, pieces, signed, split_word
 from mailsift.llm.storage import stored
 
 DEPTH = 3
-SUPPORT = 4e-6
+LEAST = 2
 DIVERGENCE = 0.02
 PRIOR = 2.0
-SIEVE = 1 << 20
 END = np.uint64(0x5DEECE66D1CE4E5B)
 #: Tokens whose counts a task gathers before it hands them on.
 GATHER = 4_000_000
-#: Slots handed on together, and tasks whose slots are summed together.
-BLOCK = 1 << 13
-FAN = 64
+#: Bytes of text scored together.
+BLOCK_BYTES = 1 << 22
 _GRAM = stream(31, 8) | np.uint64(1)
 
 
@@ -72,10 +71,6 @@ def gram_codes(codes: np.ndarray, order: int) -> np.ndarray:
         return mix(total + np.uint64(order))
 
 
-def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(44)).astype(np.int64)
-
-
 @tidy
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gathered: list[np.ndarray] = []
@@ -96,47 +91,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _sieve_rows(depth: int):
+def _gram_rows(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve = {k: np.zeros(SIEVE, np.int64) for k in range(2, depth + 2)}
-        waiting: dict[int, list[np.ndarray]] = {k: [] for k in sieve}
-
-        def settle() -> None:
-            for k in sieve:
-                if waiting[k]:
-                    sieve[k] += np.bincount(np.concatenate(waiting[k]), minlength=SIEVE)
-                    waiting[k] = []
-
-        seen = False
-        for n, piece in enumerate(pieces(batches)):
-            seen = True
-            found = tokens(piece.column("text"))
-            for k in sieve:
-                waiting[k].append(_slots(gram_codes(found.codes, k)[found.place >= k - 1]).astype(np.int32))
-            if n % 16 == 15:
-                settle()
-        settle()
-        if seen:
-            for k in sieve:
-                for block in range(0, SIEVE, BLOCK):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int8()), pa.array([block], pa.int32()), pa.array([sieve[k][block : block + BLOCK].tobytes()])],
-                        names=["k", "block", "hits"],
-                    )
-
-    return tidy(run)
-
-
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    total = np.zeros(BLOCK, np.int64)
-    for hits in table.column("hits").to_pylist():
-        total += np.frombuffer(hits, np.int64)
-    return pa.table({"k": table.column("k").slice(0, 1), "block": table.column("block").slice(0, 1), "hits": pa.array([total.tobytes()])})
-
-
-def _gram_rows(depth: int, full_slots):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = {k: np.unpackbits(v).astype(bool) for k, v in full_slots.value.items()}
         gathered: dict[int, list] = {k: [] for k in range(2, depth + 2)}
         size = 0
 
@@ -157,7 +113,6 @@ def _gram_rows(depth: int, full_slots):
             made = {k: gram_codes(found.codes, k) for k in range(1, depth + 2)}
             for k in range(2, depth + 2):
                 at = np.flatnonzero(found.place >= k - 1)
-                at = at[full[k][_slots(made[k][at])]]
                 gathered[k].append(np.stack([made[k][at], made[k - 1][at - 1], made[k - 1][at]], axis=1))
                 size += len(at)
             if size >= GATHER:
@@ -204,74 +159,83 @@ def token_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(_word_rows, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def slot_sums(training: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Summed hits of every slot, in blocks; the hits of many tasks are summed in two steps."""
-    schema = "k byte, block int, hits binary"
-    raw = training.select("text").mapInArrow(_sieve_rows(depth), schema).withColumn("fan", F.spark_partition_id() % FAN)
-    return raw.groupBy("k", "block", "fan").applyInArrow(_sum_blocks, schema).groupBy("k", "block").applyInArrow(_sum_blocks, schema)
+def gram_counts(training: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """(k, gram, context, lower, n) of the grams of 2 to ``depth + 1`` tokens seen at least ``least`` times."""
+    rows = training.select("text").mapInArrow(_gram_rows(depth), "k byte, gram long, context long, lower long, n long")
+    return rows.groupBy("k", "gram", "context", "lower").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def fit_tree(
-    training: DataFrame, counts: DataFrame, depth: int = DEPTH, support: float = SUPPORT,
-    divergence: float = DIVERGENCE, prior: float = PRIOR,
-) -> Tree:
-    """The tree of the training texts; what reaches the driver is bounded by ``1 / support`` rows a level."""
+@tidy
+def _single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = np.asarray(batch.column("code")).astype(np.int64).view(np.uint64)
+        with np.errstate(over="ignore"):
+            singles = mix(words * _GRAM[0] + np.uint64(1))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(singles)), batch.column("n")], names=["code", "n"])
+
+
+def fit_nodes(
+    training: DataFrame, counts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, prior: float = PRIOR,
+) -> tuple[int, int, DataFrame]:
+    """(tokens, distinct tokens, nodes) of the training texts.
+
+    Nodes have one row per code: ``n`` of a word, ``score`` of a recorded gram in a state, ``rest`` of a state.
+    """
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
-    least = max(2, int(np.ceil(support * total)))
-    frequent = counts.filter(F.col("n") >= least).toPandas()
-    codes = frequent["code"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    full = {k: np.zeros(SIEVE, bool) for k in range(2, depth + 2)}
-    for row in slot_sums(training, depth).collect():
-        full[row.k][row.block : row.block + BLOCK] = np.frombuffer(row.hits, np.int64) >= least
-    packed = {k: np.packbits(v) for k, v in full.items()}
-    sent = training.sparkSession.sparkContext.broadcast(packed)
-    schema = "k byte, gram long, context long, lower long, n long"
-    grams = (
-        training.select("text").mapInArrow(_gram_rows(depth, sent), schema)
-        .groupBy("k", "gram", "context", "lower").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    ).toPandas()
-    return grow(grams, total, distinct, codes[order], frequent["n"].to_numpy()[order], depth, divergence, prior)
-
-
-def grow(
-    grams, total: int, distinct: int, words: np.ndarray, word_counts: np.ndarray, depth: int, divergence: float, prior: float
-) -> Tree:
-    """Chooses the states level by level and smooths their distributions.
-
-    ``score`` of a recorded gram is that of its token in the longest suffix state of its context.
-    """
-    column = {c: grams[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "context", "lower")}
-    level, number = grams["k"].to_numpy(), grams["n"].to_numpy().astype(float)
-    singles = mix(words * _GRAM[0] + np.uint64(1))
-    order = np.argsort(singles)
-    known, count = singles[order], word_counts[order].astype(float)
-    score = np.log10(count + 1.0) - np.log10(total + distinct + 1.0)
-    tree = Tree(total, distinct, words, word_counts, [], [], [], [])
+    n, size, recorded, rest, back, own = map(F.col, ("n", "size", "recorded", "rest", "back", "own"))
+    grams = stored(gram_counts(training, depth, least))
+    words = stored(counts.select("code", "n").mapInArrow(_single_rows, "code long, n long"))
+    nodes = words.selectExpr("code", "n", "CAST(NULL AS DOUBLE) AS score", "CAST(NULL AS DOUBLE) AS rest")
+    known = words.select("code", "n", (F.log10(n + 1.0) - F.lit(float(np.log10(total + distinct + 1.0)))).alias("score"))
     for k in range(2, depth + 2):
-        rows = np.flatnonzero(level == k)
-        rows = rows[np.argsort(column["gram"][rows])]
-        gram, n = column["gram"][rows], number[rows]
-        states, inverse = np.unique(column["context"][rows], return_inverse=True)
-        size = count[_find(known, states)] if len(states) else np.zeros(0)
-        back = score[_find(known, column["lower"][rows])] if len(rows) else np.zeros(0)
-        rest = (size - np.bincount(inverse, weights=n, minlength=len(states)) + prior) / (size + prior)
-        own = np.log10(n / (size + prior)[inverse] + rest[inverse] * 10.0**back)
-        seen = np.bincount(inverse, weights=n * (own - back), minlength=len(states))
-        unseen = np.maximum(size - np.bincount(inverse, weights=n, minlength=len(states)), 0) * np.log10(rest)
-        kept = seen + unseen >= divergence * size
-        mine = kept[inverse]
-        tree.state_codes.append(states[kept])
-        tree.state_rest.append(np.log10(rest[kept]))
-        tree.gram_codes.append(gram[mine])
-        tree.gram_scores.append(own[mine])
-        known, count, score = gram, n, np.where(mine, own, back)
+        rows = grams.filter(F.col("k") == k).drop("k")
+        contexts = rows.groupBy("context").agg(F.sum("n").alias("recorded"))
+        sizes = known.select(F.col("code").alias("context"), n.alias("size"))
+        states = contexts.join(sizes, "context").withColumn("rest", (size - recorded + prior) / (size + prior))
+        backs = known.select(F.col("code").alias("lower"), F.col("score").alias("back"))
+        sized = stored(rows.join(states, "context").join(backs, "lower").select(
+            "gram", "context", "n", "size", "recorded", "rest", "back",
+            F.log10(n / (size + prior) + rest * F.pow(F.lit(10.0), back)).alias("own"),
+        ))
+        judged = sized.groupBy("context", "size", "recorded", "rest").agg(F.sum(n * (own - back)).alias("seen"))
+        unseen = F.greatest(size - recorded, F.lit(0)) * F.log10(rest)
+        kept = stored(judged.filter(F.col("seen") + unseen >= divergence * size).select("context", F.log10(rest).alias("rest")))
+        mine = F.col("mine").isNotNull()
+        known = stored(sized.join(kept.select("context", F.lit(True).alias("mine")), "context", "left").select(
+            F.col("gram").alias("code"), "n", F.when(mine, own).otherwise(back).alias("score"), mine.alias("mine")
+        ))
+        nodes = nodes.unionByName(known.filter("mine").selectExpr("code", "CAST(NULL AS BIGINT) AS n", "score", "CAST(NULL AS DOUBLE) AS rest"))
+        nodes = nodes.unionByName(kept.selectExpr("context AS code", "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS DOUBLE) AS score", "rest"))
+    return total, distinct, nodes.groupBy("code").agg(*(F.max(c).alias(c) for c in ("n", "score", "rest")))
+
+
+def planted(total: int, distinct: int, nodes: pa.Table, depth: int) -> Tree:
+    """The tree of some nodes; its words are codes of one-token grams. A code tells its order, so levels share their arrays."""
+    codes, first = np.unique(nodes.column("code").to_numpy().astype(np.int64).view(np.uint64), return_index=True)
+
+    def held(name: str) -> tuple[np.ndarray, np.ndarray]:
+        values = nodes.column(name).to_numpy().astype(float)[first]
+        there = ~np.isnan(values)
+        return codes[there], values[there]
+
+    (words, number), (grams, score), (states, rest) = map(held, ("n", "score", "rest"))
+    return Tree(total, distinct, words, number, [grams] * depth, [score] * depth, [states] * depth, [rest] * depth)
+
+
+def fit_tree(training: DataFrame, counts: DataFrame, depth: int = DEPTH, least: int = LEAST, **options) -> Tree:
+    """The whole tree on the driver, with word codes as its words: for small training sets only."""
+    total, distinct, nodes = fit_nodes(training, counts, depth, least, **options)
+    tree = planted(total, distinct, nodes.toArrow(), depth)
+    words = counts.toPandas().sort_values("code")
+    codes = words["code"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(codes)
+    tree.words, tree.word_counts = codes[order], words["n"].to_numpy()[order]
     return tree
 
 
 def adjustments(tree: Tree, found: Tokens, rank: np.ndarray) -> np.ndarray:
-    """For each token its log10 probability in its suffix state less that at the root; ``rank`` is its frequent word."""
+    """For each token its log10 probability in its suffix state less that at the root; ``rank`` is its word."""
     root = np.log10(tree.word_counts + 1.0) - tree.root_norm
     out = np.zeros(len(found.codes))
     open_at = np.arange(len(found.codes))
@@ -290,67 +254,78 @@ def adjustments(tree: Tree, found: Tokens, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _score_rows(sent):
+@tidy
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their block, drawn at random; to be stored before use."""
+    size, block = BLOCK_BYTES, 0
+    for piece in pieces(batches):
+        if size >= BLOCK_BYTES:
+            size, block = 0, int.from_bytes(os.urandom(8), "little") >> 1
+        size += piece.column("text").nbytes
+        blocks = pa.array(np.full(piece.num_rows, block, np.int64))
+        yield pa.RecordBatch.from_arrays([blocks, piece.column("doc_id"), piece.column("text")], names=["block", "doc_id", "text"])
+
+
+def _asked_rows(depth: int):
+    """(block, code): distinct codes of words, grams and contexts of a block, as far as one task reads it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree: Tree = sent.value
+        gathered: list[np.ndarray] = []
+        current = None
+
+        def asked() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate(gathered))
+            gathered.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), current, np.int64)), pa.array(signed(codes))], names=["block", "code"])
+
+        for batch in batches:
+            blocks = np.asarray(batch.column("block"))
+            cuts = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1, append=blocks[-1:] + 1))
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if gathered and blocks[first] != current:
+                    yield asked()
+                current = blocks[first]
+                for piece in pieces(iter([batch.slice(first, last - first)])):
+                    found = tokens(piece.column("text"))
+                    for k in range(1, depth + 2):
+                        gathered.append(np.unique(gram_codes(found.codes, k)[found.place >= k - 1]))
+        if gathered:
+            yield asked()
+
+    return tidy(run)
+
+
+def _score_block(total: int, distinct: int, depth: int):
+    def run(texts: pa.Table, nodes: pa.Table) -> pa.Table:
+        tree = planted(total, distinct, nodes, depth)
         logs = np.log10(tree.word_counts + 1.0)
-        for piece in pieces(batches):
+        out = []
+        for piece in pieces(iter(texts.to_batches())):
             found = tokens(piece.column("text"))
-            texts = piece.num_rows
-            owner = np.repeat(np.arange(texts), np.diff(found.bounds))
-            rank = _find(tree.words, found.codes)
-            gain = np.bincount(owner, weights=adjustments(tree, found, rank), minlength=texts)
+            rows, sizes = piece.num_rows, np.diff(found.bounds)
+            owner = np.repeat(np.arange(rows), sizes)
+            rank = _find(tree.words, gram_codes(found.codes, 1))
             known = rank >= 0
-            sums = np.bincount(owner[known], weights=logs[rank[known]], minlength=texts)
-            rare_owner, rare = owner[~known], found.codes[~known]
-            order = np.lexsort((rare, rare_owner))
-            rare_owner, rare = rare_owner[order], rare[order]
-            fresh = np.ones(len(rare), bool)
-            fresh[1:] = (rare[1:] != rare[:-1]) | (rare_owner[1:] != rare_owner[:-1])
-            first = np.flatnonzero(fresh)
-            times = np.diff(np.append(first, len(rare)))
-            rows = pa.array(np.concatenate([np.arange(texts), rare_owner[first]]))
-            heads, tails = np.ones(texts, np.int64), np.zeros(len(first), np.int64)
-            row_keys = np.asarray(piece.column("row_key"))  # spreads the head rows, which match nothing
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").take(rows), piece.column("row_key").take(rows),
-                 pa.array(np.concatenate([signed(stream(32, texts)) ^ row_keys, signed(rare[first])])),
-                 pa.array(np.concatenate([heads, tails])),
-                 pa.array(np.concatenate([np.diff(found.bounds), times]).astype(np.int64)),
-                 pa.array(np.concatenate([np.bincount(owner[known], minlength=texts), tails])),
-                 pa.array(np.concatenate([sums, np.zeros(len(first))])), pa.array(np.concatenate([gain, np.zeros(len(first))]))],
-                names=["doc_id", "row_key", "code", "head", "times", "known", "logs", "gain"],
-            )
+            base = np.bincount(owner[known], weights=logs[rank[known]], minlength=rows) - sizes * tree.root_norm
+            gain = np.bincount(owner, weights=adjustments(tree, found, rank), minlength=rows)
+            out.append(pa.table({
+                "doc_id": piece.column("doc_id"), "n_tokens": pa.array(sizes.astype(np.int64)),
+                "n_known": pa.array(np.bincount(owner[known], minlength=rows).astype(np.int64)),
+                "train_tokens": pa.array(np.full(rows, total, np.int64)), "base_score": pa.array(base), "score": pa.array(base + gain),
+            }))
+        return pa.concat_tables(out)
 
-    return tidy(run)
+    return run
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, tree: Tree) -> DataFrame:
+def score_texts(docs: DataFrame, total: int, distinct: int, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = "doc_id long, row_key long, code long, head long, times long, known long, logs double, gain double"
-    rows = keyed.mapInArrow(_score_rows(sent), schema)
-    joined = rows.join(counts.filter(F.col("n") < _least(tree)), "code", "left")
-    rare = F.col("head") == 0
-    met = rare & F.col("n").isNotNull()
-    per_text = joined.groupBy("doc_id", "row_key").agg(
-        F.sum("head").alias("copies"), F.sum(F.when(~rare, F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(met, F.col("times")).otherwise(F.col("known"))).alias("n_known"),
-        F.sum(F.when(met, F.col("times") * F.log10(F.col("n") + 1.0)).otherwise(F.col("logs"))).alias("logs"),
-        F.sum("gain").alias("gain"),
-    )
-    each = lambda name: F.col(name) / F.col("copies")
-    base = each("logs") - each("n_tokens") * F.lit(tree.root_norm)
-    return per_text.select(
-        "doc_id", each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + each("gain")).alias("score"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-    ).drop("copy")
-
-
-def _least(tree: Tree) -> int:
-    return int(tree.word_counts.min()) if len(tree.word_counts) else 1 << 62
+    keyed = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = stored(keyed.mapInArrow(_block_rows, "block long, doc_id long, text string"))
+    asked = blocks.select("block", "text").mapInArrow(_asked_rows(depth), "block long, code long")
+    met = asked.join(nodes, "code").select("block", "code", "n", "score", "rest")
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(_score_block(total, distinct, depth), schema)
 
 
 def held_out(doc_id: Column, parts: int = 7, part: int = 2) -> Column:
@@ -361,5 +336,4 @@ def score_corpus(docs: DataFrame, out: Column, **options) -> DataFrame:
     """Learns from the rows where ``out`` is false and scores all rows."""
     training = in_small_batches(docs).filter(~out)
     counts = stored(token_counts(training))
-    tree = fit_tree(training, counts, **options)
-    return score_texts(docs, counts, tree)
+    return score_texts(docs, *fit_nodes(training, counts, **options), options.get("depth", DEPTH))

@@ -65,6 +65,16 @@ def test_contexts_help_on_held_out_copies(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + len(out)
 
 
+def test_rare_passages_are_contexts_in_a_large_corpus(spark):
+    """A passage seen three times is learnt, however many other tokens there are (here a million)."""
+    out = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
+    seen = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    data = [(i, "pa pb pc pd pe pf") for i in seen + out] + [(i, "u v " * 2500) for i in range(1000, 1240)]
+    score = {r.doc_id: r for r in run(spark, data)}[out[0]]
+    assert score.train_tokens > 1_000_000
+    assert score.score - score.base_score > 5 * 5
+
+
 def test_distributions_sum_to_one(spark):
     """After every context, over all known words and one unknown, probabilities sum to one."""
     data = [(i, f"a b c d{i % 4} a b c e a b f{i % 9}") for i in range(80)]
