@@ -1,11 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its distinct words (A-Z lower-cased) and their beginnings of 4 to 7 bytes, hashed into ``SLOTS``
-slots. Over all labelled training rows each slot's share of toxic rows is compared with the overall share; the
-``TERMS`` slots with the largest likelihood ratio are kept. The machine adds a weight per kept term and, for every
-two of them, the inner product of their ``FACTORS`` factors, so a pair such as an insult and a group can weigh more
-or less than both alone. It is fitted by full gradients with Adam: every step is one Spark job in which each of
-``TASKS`` tasks adds up the gradient of its rows; what reaches the driver has a fixed size.
+slots. Over all labelled training rows the rows of each slot are counted; every slot with at least ``SUPPORT`` of
+them is kept, whatever its own share of toxic rows. The machine adds a weight per kept term and, for every two of
+them, the inner product of their ``FACTORS`` factors, so a pair such as an insult and a group can weigh more or less
+than both alone, also where each alone tells nothing. It is fitted by full gradients with Adam: every step is one
+Spark job in which each of ``TASKS`` tasks adds up the gradient of its rows; the executors add these up in blocks of
+``BLOCK`` terms, and one gradient, of at most ``SLOTS`` rows, reaches the driver.
 
 Labelled rows only are kept as narrow term lists; all rows are then scored in one pass with the broadcast model,
 whose size is fixed.
@@ -18,11 +19,12 @@ larger one. Without labels of both kinds every score is the mean label, or 0.5 w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mailsift.llm.kernelquality import once_per_id, part_of
 from mailsift.llm.natives import likely_in
@@ -30,7 +32,8 @@ from mailsift.llm.storage import stored
 from mailsift.llm.words import Words, beginnings, in_small_batches, pieces, split_words, tidy
 
 SLOTS = 1 << 18
-TERMS = 2048
+SUPPORT = 2
+BLOCK = 1 << 12
 FACTORS = 8
 STEPS = 60
 RATE = 0.1
@@ -38,6 +41,7 @@ PENALTY = 1e-4
 TASKS = 16
 PARTS = 5
 THRESHOLD = 0.5
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BEGINNINGS = (4, 5, 6, 7)
 
 
@@ -73,11 +77,10 @@ class Machine:
 
     def logits(self, owner: np.ndarray, term: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores of distinct (text, term) entries, and each text's factor sums."""
-        chosen = self.table[term]
         sums = np.zeros((texts, self.table.shape[1]))
-        for column in range(self.table.shape[1]):
-            sums[:, column] = np.bincount(owner, weights=chosen[:, column], minlength=texts)
-        squares = np.bincount(owner, weights=(chosen[:, 1:] ** 2).sum(1), minlength=texts)
+        for column, values in enumerate(np.ascontiguousarray(self.table.T)):
+            sums[:, column] = np.bincount(owner, weights=values[term], minlength=texts)
+        squares = np.bincount(owner, weights=(self.table[:, 1:] ** 2).sum(1)[term], minlength=texts)
         return self.bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(1) - squares), sums[:, 1:]
 
     def score(self, words: Words) -> np.ndarray:
@@ -96,35 +99,20 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 @tidy
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and toxic rows of every slot that a task has seen; slot -1 stands for all rows."""
-    counts = np.zeros((2, SLOTS), np.int64)
+    """Rows of every slot that a task has seen, and how many of slot -1, which stands for all rows, are toxic."""
+    counts = np.zeros(SLOTS, np.int64)
     rows = np.zeros(2, np.int64)
     for batch in batches:
         label = np.asarray(batch.column("label")).astype(np.int64)
-        sizes = np.asarray(pa.compute.list_value_length(batch.column("terms")))
-        flat = np.asarray(pa.compute.list_flatten(batch.column("terms")))
-        toxic = np.repeat(label, sizes) == 1
-        counts[0] += np.bincount(flat, minlength=SLOTS)
-        counts[1] += np.bincount(flat[toxic], minlength=SLOTS)
+        counts += np.bincount(np.asarray(pa.compute.list_flatten(batch.column("terms"))), minlength=SLOTS)
         rows += [len(label), label.sum()]
     if rows[0]:
-        seen = np.flatnonzero(counts[0])
-        slot, n, toxic = np.append(seen, -1), np.append(counts[0][seen], rows[0]), np.append(counts[1][seen], rows[1])
+        seen = np.flatnonzero(counts)
+        slot, n, toxic = np.append(seen, -1), np.append(counts[seen], rows[0]), np.append(np.zeros(len(seen), np.int64), rows[1])
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n), pa.array(toxic)], names=["slot", "n", "toxic"])
 
 
-def _ratio(n: np.ndarray, toxic: np.ndarray, rows: float, base: float) -> np.ndarray:
-    """Twice the log-likelihood gained by giving rows with and without a slot shares of their own."""
-
-    def part(k: np.ndarray, m: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = k / m
-            return np.nan_to_num(k * np.log(share / base)) + np.nan_to_num((m - k) * np.log((1 - share) / (1 - base)))
-
-    return 2 * (part(toxic, n) + part(rows * base - toxic, rows - n))
-
-
-def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> Machine:
+def fit(training: DataFrame, support: int = SUPPORT, factors: int = FACTORS, steps: int = STEPS, seed: int = 5) -> Machine:
     """``training``: doc_id, terms (distinct slots), label (0/1)."""
     counted = training.select("terms", "label").mapInArrow(_slot_counts, "slot long, n long, toxic long")
     sums = counted.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toPandas().set_index("slot")
@@ -132,13 +120,11 @@ def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps:
     if sums.empty:
         return Machine(empty, 0.0, np.zeros((1, 1 + factors)), 0.5)
     size, hits = map(float, sums.loc[-1, ["n", "toxic"]])
-    n, toxic = (sums[name].reindex(range(SLOTS), fill_value=0).to_numpy(float) for name in ("n", "toxic"))
+    n = sums["n"].reindex(range(SLOTS), fill_value=0).to_numpy()
     base = hits / size
     if base in (0.0, 1.0):
         return Machine(empty, 0.0, np.zeros((1, 1 + factors)), base)
-    gain = _ratio(n, toxic, size, base)
-    kept = np.lexsort((np.arange(SLOTS), -gain))[:terms]
-    kept = kept[gain[kept] > 10.0]
+    kept = np.flatnonzero(n >= support)
     place = empty.copy()
     place[kept] = np.arange(len(kept))
     rng = np.random.default_rng(seed)
@@ -147,7 +133,8 @@ def fit(training: DataFrame, terms: int = TERMS, factors: int = FACTORS, steps:
     narrow = stored(_narrowed(training, machine).repartition(TASKS, "doc_id").coalesce(TASKS).drop("doc_id"))
     first, second, slope = np.zeros(table.size + 1), np.zeros(table.size + 1), np.zeros(table.size + 1)
     for step in range(1, steps + 1):
-        slope = np.sum(_gradients(narrow, machine), axis=0) / size
+        with _cleaned(training.sparkSession):
+            slope = _gradient(narrow, machine) / size
         slope[1:] += PENALTY * machine.table.ravel()
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
@@ -174,9 +161,25 @@ def _narrowed(rows: DataFrame, machine: Machine) -> DataFrame:
     return whole.mapInArrow(tidy(run), "doc_id long, terms array<int>, label int")
 
 
-def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
-    """Each task's summed gradient of the log loss."""
-    bias, table = machine.bias, machine.table
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Inside, a query's shuffle files go when it ends, so those of many steps do not pile up."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def _sum_parts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(part.as_buffer(), np.float64) for part in table.column("part"))
+    return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()])})
+
+
+def _gradient(narrow: DataFrame, machine: Machine) -> np.ndarray:
+    """The summed gradient of the log loss; tasks' parts are added up block by block on the executors."""
+    bias, table, step = machine.bias, machine.table, BLOCK * machine.table.shape[1]
     sent = narrow.sparkSession.sparkContext.broadcast((bias, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,16 +193,24 @@ def _gradients(narrow: DataFrame, machine: Machine) -> list[np.ndarray]:
             logits, sums = now.logits(owner, term, len(label))
             error = _logistic(logits) - label
             slope[0] += error.sum()
-            each = error[owner][:, None] * np.hstack([np.ones((len(owner), 1)), sums[owner] - now.table[term, 1:]])
             grid = slope[1:].reshape(now.table.shape)
-            for column in range(grid.shape[1]):
-                grid[:, column] += np.bincount(term, weights=each[:, column], minlength=len(grid))
+            weight = np.bincount(term, weights=error[owner], minlength=len(grid))
+            grid[:, 0] += weight
+            for column in range(1, grid.shape[1]):
+                pulled = np.bincount(term, weights=(error * sums[:, column - 1])[owner], minlength=len(grid))
+                grid[:, column] += pulled - weight * now.table[:, column]
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([slope.tobytes()])], names=["part"])
-
-    parts = [np.frombuffer(r.part) for r in narrow.mapInArrow(tidy(run), "part binary").collect()]
+            for block, first in enumerate(range(0, len(slope), step)):
+                part = slope[first : first + step]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part.tobytes()])], names=["block", "part"])
+
+    schema = "block int, part binary"
+    total = np.zeros(table.size + 1)
+    for row in narrow.mapInArrow(tidy(run), schema).groupBy("block").applyInArrow(_sum_parts, schema).collect():
+        total[row.block * step : (row.block + 1) * step] = np.frombuffer(row.part)
     sent.destroy()
-    return parts
+    return total
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -71,6 +71,32 @@ def test_machine_learns_a_pair():
     assert logits[0] < 0 and logits[1] < 0 and logits[2] > 0
 
 
+def test_terms_that_are_toxic_only_together(spark):
+    """Each of the two words has the base rate as its own share of toxic rows; rows with both or neither are toxic."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(800):
+        first, second = i % 2, i // 2 % 2
+        words = [f"w{rng.randrange(12)}" for _ in range(6)] + ["gr"] * first + ["ins"] * second
+        rng.shuffle(words)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(first == second)))
+    found = factormachine.toxicity_scores(table(spark, docs, "doc_id long, text string"), table(spark, labels, "doc_id long, toxic int"))
+    held = [r for r in found.collect() if r.held_out]
+    assert np.mean([r.predicted == dict(labels)[r.doc_id] for r in held]) > 0.9
+
+
+def test_no_fixed_number_of_terms(spark):
+    """Of three thousand words that are toxic alike, each is known."""
+    docs = [(i, f"bad{i % 3000}x" if i % 2 else f"fine{i % 40}") for i in range(24000)]
+    labels = [(i, i % 2) for i in range(24000)]
+    rows = table(spark, [(i, t, l) for (i, t), (_, l) in zip(docs, labels)], "doc_id long, text string, label int")
+    terms = rows.mapInArrow(factormachine._term_rows, "doc_id long, terms array<int>").join(rows.select("doc_id", "label"), "doc_id")
+    machine = factormachine.fit(terms, steps=2)
+    slots = {int(x) for r in terms.select("terms").collect() for x in r.terms}
+    assert len(slots) > 2048 and all(machine.place[x] >= 0 for x in slots)
+
+
 def test_accepted_keeps_columns(spark):
     docs, labels = corpus("quality")
     d = table(spark, docs, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS stats")
