@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, topk, urlmodel
+from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, tokenfiles, topk, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,3 +198,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces_tokenizer.encode_texts(table(spark, folder, "documents"))
+
+
+@query("op11_token_files")
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenfiles.new_folder(spark)
+    tokenfiles.write_tokens(table(spark, folder, "documents"), path)
+    read = tokenfiles.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("packed").alias("ids_crc32"))
