@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, tokenfiles, topk, urlmodel
+from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, tokenfiles, topk, turnrepair, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,3 +206,80 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenfiles.write_tokens(table(spark, folder, "documents"), path)
     read = tokenfiles.read_tokens(spark, path)
     return read.select("doc_id", "start", "n_tokens", F.crc32("packed").alias("ids_crc32"))
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, byte by byte over the table of the polynomial 0xEDB88320."""
+    entries = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(value)
+    listed = ", ".join(map(str, entries))
+    step = f"lambda c, b: xor(c >> 8, ([{listed}])[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({text}, '')]), {step}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    def plus(cost: str, letter: str, value: str) -> str:
+        return f"printf('%08d', CAST({value}[:8] AS INTEGER) + {cost}) || '{letter}' || {value}[9:]"
+
+    reached = {"b": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    given = {"b": "u", "s": "u", "u": "a", "a": "u"}
+    stays = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    base = []
+    for state in "bsua":
+        ways = [plus("2", "D", f"v.{state}")]
+        ways += [f"CASE WHEN may AND role[:1] = '{i}' THEN {plus(stays, 'K', f'v.{to}')} END" for i, to in reached[state].items()]
+        ways += [f"CASE WHEN may THEN {plus(f'1 + {stays}', 'R', f'v.{given[state]}')} END"]
+        base.append(f"least({', '.join(ways)}) AS {state}")
+    more = lambda state, after: f"least({state}, {plus('5', 'I', after)}) AS {state}"
+    follows = " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in given.items())
+    return rf"""
+    WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate FROM conversations),
+    d AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                 CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                 unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy FROM src WHERE fate <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(role || chr(0) || text), copy) AS pos FROM d),
+    f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                         WHEN regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                 lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM n),
+    g AS (SELECT *, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS may FROM f),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                      count(*) FILTER (pos > 1 AND before[:1] || role[:1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows
+               FROM f GROUP BY conv_id),
+    v AS (SELECT conv_id, rows + 1 AS pos, '00000000' AS b, '00000010II' AS s, '00000005I' AS u, '00000000' AS a FROM counts
+          UNION ALL
+          SELECT conv_id, pos, {more('b', 'u')}, {more('s', 'u')}, u, a FROM (
+            SELECT conv_id, pos, b, s, {more('u', 'a')}, {more('a', 'u')} FROM (
+              SELECT g.conv_id, g.pos, {", ".join(base)} FROM v JOIN g ON g.conv_id IS NOT DISTINCT FROM v.conv_id AND g.pos = v.pos - 1))),
+    best AS (SELECT conv_id, CAST(b[:8] AS BIGINT) AS cost, b[9:] AS audit FROM v WHERE pos = 1),
+    walk AS (SELECT conv_id, 0 AS i, 0::BIGINT AS pos, 'b' AS state, NULL::VARCHAR AS line FROM best
+             UNION ALL
+             SELECT x.conv_id, x.i, x.pos,
+                    CASE x.letter WHEN 'D' THEN x.state WHEN 'K' THEN g.role[:1] ELSE x.goes END,
+                    CASE x.letter WHEN 'K' THEN g.role || ':' || g.text
+                         WHEN 'R' THEN CASE x.goes WHEN 'u' THEN 'user:' ELSE 'assistant:' END || g.text
+                         WHEN 'I' THEN CASE x.goes WHEN 'u' THEN 'user:' ELSE 'assistant:' END END
+             FROM (SELECT walk.conv_id, i + 1 AS i, pos + CASE WHEN audit[i + 1] = 'I' THEN 0 ELSE 1 END AS pos, state, audit[i + 1] AS letter,
+                          CASE state {follows} END AS goes
+                   FROM walk JOIN best ON walk.conv_id IS NOT DISTINCT FROM best.conv_id WHERE i < length(audit)) x
+             LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.pos = x.pos),
+    lines AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS whole FROM walk WHERE line IS NOT NULL GROUP BY conv_id)
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+           sha256(coalesce(whole, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id
+    LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id
+    LEFT JOIN lines ON o.conv_id IS NOT DISTINCT FROM lines.conv_id
+    """
+
+
+@query("op12_conversation_repair", _repair_sql())
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return turnrepair.report(turnrepair.damaged(turns), turns)
