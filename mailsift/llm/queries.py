@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mailsift.llm import bagminhash, factormachine, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, tokenfiles, topk, turnrepair, urlmodel
+from mailsift.llm import bagminhash, factormachine, hardnegatives, kernelquality, pieces_tokenizer, positional, secrets, substrings, suffixtree, tokenfiles, topk, turnrepair, urlmodel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,3 +283,26 @@ def _repair_sql() -> str:
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     return turnrepair.report(turnrepair.damaged(turns), turns)
+
+
+@query("op13_hard_negatives", """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS w FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    terms AS (SELECT vec_id, label, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS t FROM v),
+    pairs AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, sum(a.x * c.x) AS score FROM terms a JOIN terms c ON a.t = c.t
+              WHERE a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id GROUP BY 1, 2, 3),
+    near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+             QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    hard AS (SELECT near.*, vec_id AS negative_id, score AS negative_score,
+                    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+             FROM near JOIN pairs USING (anchor_id)
+             WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, CAST(positive_score AS BIGINT) AS positive_score,
+           CAST(negative_score AS BIGINT) AS negative_score FROM hard WHERE rank <= 3
+    """)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardnegatives.mine(vectors.withColumn("label", noisy), F.col("vec_id") % 50 == 0)
