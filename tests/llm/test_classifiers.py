@@ -63,14 +63,88 @@ def test_pooled_curve_rises_and_keeps_the_mean():
     assert abs((curve * total).sum() - hits.sum()) < 1e-9
 
 
+def machine(terms, factors, seed=0):
+    rng = np.random.default_rng(seed)
+    return factormachine.Machine(np.arange(terms), rng.normal(size=terms), -0.3, rng.normal(size=terms), rng.normal(size=(terms, factors)))
+
+
+def test_pairs_are_the_sum_over_all_pairs():
+    m = machine(6, 3)
+    texts = [[0, 1, 2], [3], [], [1, 2, 4, 5]]
+    owner, term = np.repeat(np.arange(4), [3, 1, 0, 4]), np.concatenate(texts).astype(int)
+    for k, (text, logit) in enumerate(zip(texts, m.logits(owner, term, 4))):
+        x = m.evidence[text]
+        linear = (m.weights[text] * x).sum() / max(np.sqrt((x**2).sum()), 1e-6)
+        pairs = sum(m.factors[a] @ m.factors[b] for i, a in enumerate(text) for b in text[i + 1 :]) / max(len(text), 1)
+        assert abs(logit - (m.bias + linear + pairs)) < 1e-9, k
+
+
+def test_slopes_are_finite_differences():
+    m = machine(5, 2, 3)
+    owner, term = np.array([0, 0, 1, 1, 1, 2]), np.array([0, 3, 1, 2, 3, 4])
+    label = np.array([1.0, 0.0, 1.0])
+    rows = factormachine.Rows(m, owner, term, label)
+
+    def loss(change, key, at):
+        moved = {"bias": m.bias, "weights": m.weights.copy(), "factors": m.factors.copy()}
+        if key == "bias":
+            moved["bias"] += change
+        else:
+            moved[key][at] += change
+        n = factormachine.Machine(m.place, m.evidence, **moved)
+        pairs = key != "weights"
+        logits = n.logits(owner, term, 3) if pairs else rows.linear_part(n)
+        penalty = factormachine.PAIR_PENALTY * (n.factors**2).sum() if pairs else factormachine.PENALTY * (n.weights**2).sum()
+        return factormachine._losses(logits, label).mean() + penalty / 2
+
+    near = lambda key, at: (loss(1e-5, key, at) - loss(-1e-5, key, at)) / 2e-5
+    by_weight = factormachine.linear_slope(m, rows)[1]
+    by_bias, by_factor = factormachine.factor_slope(m, rows, rows.linear_part(m))
+    assert abs(by_bias[0] - near("bias", None)) < 1e-7
+    assert all(abs(by_weight[k] - near("weights", k)) < 1e-7 for k in range(5))
+    assert all(abs(by_factor[k, f] - near("factors", (k, f))) < 1e-7 for k in range(5) for f in range(2))
+
+
 def test_machine_learns_a_pair():
     """Two terms that are harmless alone and toxic together: the factors carry what weights cannot."""
-    table_ = np.array([[0.0, 2.0], [0.0, 2.0]])
-    machine = factormachine.Machine(np.arange(2), -2.0, table_)
-    logits, _ = machine.logits(np.array([0, 1, 2, 2]), np.array([0, 1, 0, 1]), 3)
+    m = factormachine.Machine(np.arange(2), np.ones(2), -2.0, np.zeros(2), np.full((2, 1), 3.0))
+    logits = m.logits(np.array([0, 1, 2, 2]), np.array([0, 1, 0, 1]), 3)
     assert logits[0] < 0 and logits[1] < 0 and logits[2] > 0
 
 
+def ranked(scores, labels):
+    """The chance that a toxic row scores above another."""
+    toxic, other = scores[labels == 1], scores[labels == 0]
+    return np.mean([(t > other).mean() + 0.5 * (t == other).mean() for t in toxic])
+
+
+def test_long_mixed_texts(spark):
+    """Few toxic rows, long texts of many rare words: held-out scores must rank, not only training ones."""
+    rng = random.Random(11)
+    bad = [f"{a}{b}" for a in ("zzid", "qqsc", "vvtr") for b in ("iot", "um", "ash", "ot")]
+    docs, labels = [], []
+    for i in range(1200):
+        words = [f"w{int(rng.paretovariate(0.7)) % 30000}" for _ in range(rng.randrange(5, 600))]
+        toxic = int(rng.random() < 0.12)
+        for _ in range(rng.randrange(1, 4) * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    found = factormachine.toxicity_scores(table(spark, docs, "doc_id long, text string"), table(spark, labels, "doc_id long, toxic int")).collect()
+    held = [r for r in found if r.held_out]
+    score, label = np.array([r.score for r in held]), np.array([dict(labels)[r.doc_id] for r in held])
+    assert ranked(score, label) > 0.97 and (score[label == 1] >= 0.5).mean() > 0.75 and (score[label == 0] >= 0.5).mean() < 0.02
+    assert len(set(score)) > 0.9 * len(held)
+
+
+def test_given_tables_are_ranked(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    found = factormachine.toxicity_scores(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    score, label = np.array([r.score for r in found]), np.array([r.toxic for r in found])
+    assert ranked(score, label) > 0.93 and len(set(score)) > 0.9 * len(found)
+
+
 def test_terms_that_are_toxic_only_together(spark):
     """Each of the two words has the base rate as its own share of toxic rows; rows with both or neither are toxic."""
     rng = random.Random(3)
@@ -92,7 +166,7 @@ def test_no_fixed_number_of_terms(spark):
     labels = [(i, i % 2) for i in range(24000)]
     rows = table(spark, [(i, t, l) for (i, t), (_, l) in zip(docs, labels)], "doc_id long, text string, label int")
     terms = rows.mapInArrow(factormachine._term_rows, "doc_id long, terms array<int>").join(rows.select("doc_id", "label"), "doc_id")
-    machine = factormachine.fit(terms, steps=2)
+    machine = factormachine.fit(terms, rows=500)
     slots = {int(x) for r in terms.select("terms").collect() for x in r.terms}
     assert len(slots) > 2048 and all(machine.place[x] >= 0 for x in slots)
 
