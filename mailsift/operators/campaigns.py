@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,11 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from mailsift import vocabulary as V
 from mailsift.functions.hashing import name_uuid
 from mailsift.functions.vectors import cosine, unit
+from mailsift.operators.graph import component_labels
 from mailsift.operators.similarity import _unit_rows
+from mailsift.operators.vectorjoin import joining_links, vector_classes
 from mailsift.session import cut_lineage
 
 LEADER_BATCH = 4096
 ROW_BLOCK = 8192
+ARRIVALS = 256
 
 
 def centroids(assigned: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:
@@ -110,6 +115,100 @@ def campaign_leaders(
     return kept.join(everything.withColumnRenamed("_v", vector), key).select("cluster_id", key, "similarity", vector)
 
 
+class RunningCampaigns:
+    """Campaigns of one component, row after row: a row joins the campaign whose running centroid is nearest, or founds one.
+
+    Rows come in blocks: a block meets all centroids in one product, and only centroids that moved since are scored again.
+    """
+
+    def __init__(self, threshold: float, dimension: int) -> None:
+        self.threshold = threshold
+        self.founders: list = []
+        self.sums = np.zeros((0, dimension))
+        self.units = np.zeros((0, dimension))
+
+    def add(self, ids: list, rows: np.ndarray) -> tuple[list, np.ndarray]:
+        """Founder and similarity on joining of every row of the block."""
+        known = len(self.founders)
+        before = np.round(rows @ self.units.T, 9)
+        room = np.zeros((len(rows), rows.shape[1]))
+        sums, units = np.concatenate([self.sums, room]), np.concatenate([self.units, room])
+        moved: list[int] = []
+        joined, found = [], np.ones(len(rows))
+        for i, row in enumerate(rows):
+            score = np.full(len(self.founders), -2.0)
+            score[:known] = before[i]
+            if moved:
+                score[moved] = np.round(units[moved] @ row, 9)
+            best = int(score.argmax()) if len(score) else -1
+            if best >= 0 and score[best] >= self.threshold:
+                found[i] = score[best]
+            else:
+                best = len(self.founders)
+                self.founders.append(ids[i])
+            sums[best] += row
+            length = np.linalg.norm(sums[best])
+            units[best] = sums[best] / length if length > 0 else 0.0
+            if best not in moved:
+                moved.append(best)
+            joined.append(self.founders[best])
+        self.sums, self.units = sums[: len(self.founders)], units[: len(self.founders)]
+        return joined, found
+
+
+def independent_parts(vectors: DataFrame, threshold: float, key: str = "email_id", vector: str = "embedding") -> DataFrame:
+    """key and part of every row with a direction, such that no campaign spans two parts.
+
+    A row joins only where its cosine with the centroid reaches the threshold t. The sum of k members that each joined at t or
+    more is at least 1 + (k - 1)t long, so a row that joins has a mean product with the members above t * t, hence a member
+    that close. Components of the pairs with a cosine of t * t or more are therefore independent.
+    """
+    classes = cut_lineage(vector_classes(vectors, key, vector))
+    links = cut_lineage(joining_links(classes.select("class_id", "v"), threshold * threshold - 1e-8))
+    sides = links.select(F.concat_ws("-", "id_a", "id_b").alias("relation_id"), F.explode(F.array("id_a", "id_b")).alias("class_id"))
+    labels = component_labels(sides, "relation_id", "class_id")
+    return classes.join(labels, "class_id", "left").select(key, F.coalesce("component", "class_id").alias("part"))
+
+
+def running_campaigns(
+    vectors: DataFrame, threshold: float = V.CAMPAIGN_SIMILARITY, key: str = "email_id", vector: str = "embedding", block: int = ARRIVALS,
+) -> DataFrame:
+    """The (cluster_id, member, similarity) table of greedy clustering in id order around running centroids.
+
+    A row joins the campaign with the nearest running centroid (unit mean of its members so far; ties to the older campaign) if
+    that is within the threshold, and otherwise founds one. Independent parts run side by side; a part's rows pass one task in id
+    order, a block at a time, because each depends on all before it. Such a task holds the part's centroids and one block of
+    rows, never the part. A row without a direction is a campaign of its own.
+    """
+    if not 0.0 < threshold <= 1.0:
+        raise ValueError("the similarity threshold must be in (0, 1]")
+    kind = vectors.schema[key].dataType.simpleString()
+    everything = cut_lineage(vectors.select(key, F.col(vector).cast("array<double>").alias("_v")))
+    parts = cut_lineage(independent_parts(everything, threshold, key, "_v"))
+    alone = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("part")
+    crowd = parts.join(alone, "part", "left_anti").join(everything, key)
+    ordered = crowd.repartition("part").sortWithinPartitions("part", key).select("part", key, "_v")
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, now = None, None
+        for frame in frames:
+            edges = np.flatnonzero(frame["part"].to_numpy()[1:] != frame["part"].to_numpy()[:-1]) + 1
+            for first, last in zip([0, *edges], [*edges, len(frame)]):
+                if first == last:
+                    continue
+                if now is None or frame["part"].iat[first] != part:
+                    part, now = frame["part"].iat[first], RunningCampaigns(threshold, len(frame["_v"].iat[first]))
+                for begin in range(first, last, block):
+                    some = frame.iloc[begin : min(begin + block, last)]
+                    joined, score = now.add(some[key].tolist(), _unit_rows(np.stack(some["_v"].to_numpy())))
+                    yield pd.DataFrame({"cluster_id": joined, key: some[key], "similarity": score})
+
+    followed = ordered.mapInPandas(follow, f"cluster_id {kind}, {key} {kind}, similarity double")
+    rest = everything.select(key).join(crowd.select(key), key, "left_anti")
+    single = rest.select(F.col(key).alias("cluster_id"), key, F.lit(1.0).alias("similarity"))
+    return followed.unionByName(single).join(everything.withColumnRenamed("_v", vector), key).select("cluster_id", key, "similarity", vector)
+
+
 def campaign_clusters(assigned: DataFrame, key: str = "email_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(clusters, members): centroid and size per campaign, and each member's similarity to the centroid."""
     clusters = centroids(assigned, "cluster_id", vector)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mailsift.functions import vectors
-from mailsift.operators import campaigns, similarity
+from mailsift.operators import campaigns, similarity, vectorjoin
 from mailsift.plans import roles as R
 from mailsift.plans.common import R6, r6
 from mailsift.plans.registry import query
@@ -146,3 +146,48 @@ def campaign_membership(spark, folder):
     asked = R.table(spark, folder, "labels").select(c("doc_id").alias("vec_id"))
     found = campaigns.membership(members.select("*", version), clusters.select("*", version), asked, "v1", "vec_id")
     return found.withColumn("similarity", R6(c("similarity")))
+
+
+_CLASSES = """first AS (SELECT min(vec_id) AS id, embedding FROM embeddings GROUP BY embedding),
+    u AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u
+          FROM first)"""
+
+
+@query("similar_vectors", f"""
+    WITH {_CLASSES} SELECT a.id AS id_a, b.id AS id_b, {r6('round(list_dot_product(a.u, b.u), 9)')} AS similarity
+    FROM u a JOIN u b ON a.id < b.id AND round(list_dot_product(a.u, b.u), 9) >= {TAU}e0""")
+def similar_vectors(spark, folder):
+    """All pairs of different vectors whose cosine reaches the threshold; copies are one class."""
+    pairs = vectorjoin.cosine_join(vectorjoin.vector_classes(_vectors(spark, folder)), TAU)
+    return pairs.withColumn("similarity", R6(c("similarity")))
+
+
+@query("vector_links", f"""
+    WITH {_CLASSES}, p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.id < b.id AND round(list_dot_product(a.u, b.u), 9) >= {TAU}e0),
+    n AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+    SELECT vec_id, first.id AS class_id, coalesce(links, 0) AS links FROM embeddings JOIN first USING (embedding) LEFT JOIN n ON n.id = first.id""")
+def vector_links(spark, folder):
+    """Every row with its class and how many other classes are close to it."""
+    classes = vectorjoin.vector_classes(_vectors(spark, folder))
+    counts = vectorjoin.link_counts(vectorjoin.cosine_join(classes, TAU)).withColumnRenamed("id", "class_id")
+    return classes.join(counts, "class_id", "left").select("vec_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("running_campaigns", f"""
+    WITH RECURSIVE unit AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)
+                                / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS u FROM embeddings),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY vec_id) AS i FROM unit),
+    walk AS (SELECT 1::BIGINT AS i, [{{'id': vec_id, 's': u, 'c': u}}] AS held, vec_id AS cluster_id, 1e0 AS similarity FROM ranked WHERE i = 1
+        UNION ALL SELECT i, CASE WHEN top >= {TAU}e0 THEN list_concat(list_concat(held[1:spot - 1], [{{'id': held[spot].id, 's': grown,
+                  'c': list_transform(grown, lambda x: x / sqrt(list_dot_product(grown, grown)))}}]), held[spot + 1:len(held)])
+                  ELSE list_append(held, {{'id': vec_id, 's': u, 'c': u}}) END,
+             CASE WHEN top >= {TAU}e0 THEN held[spot].id ELSE vec_id END, CASE WHEN top >= {TAU}e0 THEN top ELSE 1e0 END
+        FROM (SELECT *, list_transform(held[spot].s, lambda x, k: x + u[k]) AS grown FROM (
+              SELECT *, list_max(scores) AS top, list_position(scores, list_max(scores)) AS spot FROM (
+              SELECT r.i, r.vec_id, r.u, held, list_transform(held, lambda h: round(list_dot_product(h.c, r.u), 9)) AS scores
+              FROM walk w JOIN ranked r ON r.i = w.i + 1))))
+    SELECT vec_id, walk.cluster_id, {r6('similarity')} AS similarity FROM walk JOIN ranked USING (i)""")
+def running_campaigns(spark, folder):
+    """Greedy clustering around running centroids, in id order."""
+    found = campaigns.running_campaigns(_vectors(spark, folder), TAU, key="vec_id")
+    return found.select("vec_id", "cluster_id", R6(c("similarity")).alias("similarity"))
