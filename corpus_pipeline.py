@@ -7,27 +7,54 @@ empties, repeats and extra columns as its operator's module states.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsift.llm import bagminhash, kernelquality, pieces_tokenizer, positional, secrets
 from mailsift.llm.natives import likely_in
 from mailsift.llm.storage import stored
+from mailsift.operators.ordered import positions
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _split(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows that may have one of ``ids``, and rows that certainly have none; only the former need a shuffle."""
-    code = F.xxhash64(F.col("doc_id").cast("long"))
-    hit = F.col("doc_id").isNotNull() & likely_in(code, ids, F.xxhash64("doc_id"))
+def _key() -> Column:
+    """Id and text of a row."""
+    return F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"))
+
+
+def _split(docs: DataFrame, keys: DataFrame, key: Column, held: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``key`` may be one of the ``held`` keys, and rows whose certainly is none; only the former need a shuffle."""
+    hit = likely_in(F.xxhash64(key), keys, F.xxhash64(held))
     return docs.filter(hit), docs.filter(~hit)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    some, rest = _split(docs, ids)
-    return some.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose id and text are one of ``keys`` (__key); an id may be null."""
+    some, rest = _split(docs, keys, _key(), F.col("__key"))
+    return some.withColumn("__key", _key()).join(keys, "__key", "left_anti").select(*docs.columns).unionByName(rest)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__sid``: its id, or behind all ids a number of its own for each text under a null or repeated id.
+
+    Rows equal in id and text are folded to one.
+    """
+    number = F.col("doc_id").cast("long")
+    ids = docs.select(number.alias("doc_id"))
+    repeated = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.struct("doc_id").alias("__id")))
+    if repeated.isEmpty():
+        return docs.withColumn("__sid", number)
+    own = F.struct(number.alias("doc_id"))
+    some, rest = _split(docs, repeated, own, F.col("__id"))
+    marked = stored(some.withColumn("__id", own).join(repeated.withColumn("__again", F.lit(True)), "__id", "left").drop("__id"))
+    odd = marked.filter("__again").drop("__again").withColumn("__key", _key())
+    last = F.coalesce(ids.agg(F.max("doc_id")).scalar(), F.lit(0))
+    distinct = odd.select("__key").distinct().select("__key", F.col("__key.doc_id").alias("a"), F.col("__key.row_key").alias("b"))
+    places = positions(distinct, ["a", "b"]).select("__key", (last + F.col("position")).alias("__sid"))
+    plain = marked.filter("__again IS NULL").drop("__again").unionByName(rest).withColumn("__sid", number)
+    return plain.unionByName(odd.join(places, "__key").drop("__key").dropDuplicates(["__sid"]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +63,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate class; one row of each id. Rows without an id stay."""
-    classes = stored(bagminhash.near_duplicates(docs).filter("doc_id IS NOT NULL"))
-    dropped = stored(classes.filter("doc_id <> class_id").select("doc_id").distinct())
-    repeated = stored(classes.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"))
-    some, rest = _split(_without(docs, dropped), repeated)
-    return some.dropDuplicates(["doc_id"]).unionByName(rest)
+    """The first document of each near-duplicate class, in order of ids; texts under a null or repeated id come last and are
+    judged one by one, and rows equal in id and text are one."""
+    numbered = _numbered(docs)
+    own = F.col("__sid").alias("doc_id")
+    classes = bagminhash.near_duplicates(numbered.select(own, "text")).filter("doc_id <> class_id")
+    dropped = stored(classes.select(F.col("doc_id").alias("__sid")).distinct())
+    some, rest = _split(numbered, dropped, F.col("__sid"), F.col("__sid"))
+    return some.join(dropped, "__sid", "left_anti").unionByName(rest, allowMissingColumns=True).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
-    found = positional.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    return _without(docs, stored(found.filter("n_hit > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()))
+    """Documents that share no window of words with the benchmark, whether they have an id or not."""
+    found = positional.contamination(docs, _table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "row_key").alias("__key")
+    return _without(docs, stored(found.select(key).distinct()))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +86,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their token ids."""
+    """All documents with their token ids; a column named like one of the encoder's gives way to it."""
     return pieces_tokenizer.encode_texts(docs, keep=tuple(docs.columns))
 
 
