@@ -122,7 +122,7 @@ def proximity_hits(index: DataFrame, items: DataFrame, slack: int = WINDOW) -> D
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids) of every row."""
+    """doc_id, row_key (the hash of its text), n_words, n_hit, items (sorted ids) of every row."""
     items = stored(items_of(benchmark, window))
     index = stored(build_index(docs, items))
     hits = stored(phrase_hits(index, items))
@@ -135,8 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     found = both.groupBy(F.struct(*_DOC).alias("doc_key")).agg(
         F.sum("hit").alias("n_hit"), F.sort_array(F.collect_list("item_id")).alias("items")
     )
-    heads = index.filter("term IS NULL").select("doc_id", F.struct(*_DOC).alias("doc_key"), F.col("position").cast("long").alias("n_words"))
+    heads = index.filter("term IS NULL").select(*_DOC, F.struct(*_DOC).alias("doc_key"), F.col("position").cast("long").alias("n_words"))
     return heads.join(found, "doc_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        *_DOC, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

@@ -147,7 +147,7 @@ def _secret_sql() -> str:
     return f"""
     WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
     spans AS (SELECT doc_id, source, rank, kind, v, CAST(gap + done AS BIGINT) AS s, CAST(gap + done + length(m) AS BIGINT) AS e FROM ({each})),
-    own AS (SELECT v, count(DISTINCT source) >= {secrets.COPIED_OWNERS} OR count(DISTINCT doc_id) >= {secrets.COPIED_REPOSITORIES} AS copied
+    own AS (SELECT v, count(DISTINCT source) >= {secrets.COPIED_OWNERS} AS copied
             FROM spans GROUP BY v),
     kept AS (SELECT * FROM spans JOIN own USING (v) WHERE kind <> 'live' OR NOT copied),
     listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,

@@ -31,8 +31,6 @@ HEX = r"[0-9a-f]{16,}"
 TOKEN = r"[A-Za-z0-9_-]{20,}"
 
 COPIED_OWNERS = 3
-#: Read by the SQL statement only, which still calls a value copied that so many repositories of one owner hold.
-COPIED_REPOSITORIES = 10
 _DOC = ["doc_id", "row_key"]
 
 
