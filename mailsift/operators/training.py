@@ -131,50 +131,58 @@ def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> Dat
 
 
 def fit_encoder(
-    hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION, passes: int = 6, oversample: int = 8, seed: int = V.EVAL_SEED
+    hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION, settled: float = 1e-3, oversample: int = 8, seed: int = V.EVAL_SEED
 ) -> np.ndarray:
     """Leading right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
 
     Randomised subspace iteration: every pass multiplies the corpus with a basis of fixed size on the
-    executors and sums one partial product per task, so neither rows nor pairs of rows reach the driver.
+    executors and sums one partial product per task, so neither rows nor pairs of rows reach the driver. Passes end when
+    the energy that the leading directions keep grows by less than a ``settled`` part.
     """
     width = min(dimension + oversample, V.HASH_DIMENSION)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((V.HASH_DIMENSION, width)))
     corpus = hashed.select("buckets", "values").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = 0.0
     try:
-        for _ in range(passes):
-            basis, strength, _ = np.linalg.svd(_gram_times(corpus, basis), full_matrices=False)
+        while True:
+            product = _gram_times(corpus, basis)
+            # Energies of the corpus within the basis, and the directions that have them.
+            energy, turned = np.linalg.eigh(basis.T @ product)
+            energy, turned = energy[::-1], turned[:, ::-1]
+            found = int((energy > max(energy[0], 0.0) * 1e-9).sum())
+            before, kept = kept, float(energy[:dimension].clip(0).sum())
+            if kept - before <= settled * kept:
+                return (basis @ turned)[:, : min(dimension, found)]
+            basis, _ = np.linalg.qr(product)
     finally:
         corpus.unpersist()
-    found = int((strength > strength[0] * 1e-9).sum())
-    return basis[:, : min(dimension, found)]
-
-
-def _project_rows(buckets: pd.Series, values: pd.Series, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(projection of each row, flat buckets, flat values, row of each flat entry) of sparse rows."""
-    sizes = buckets.map(len).to_numpy()
-    projected = np.zeros((len(sizes), matrix.shape[1]))
-    if not sizes.sum():
-        return projected, np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    at = np.concatenate(buckets.to_numpy()).astype(np.int64)
-    flat = np.concatenate(values.to_numpy()).astype(float)
-    filled = np.flatnonzero(sizes)
-    starts = (np.cumsum(sizes) - sizes)[filled]
-    projected[filled] = np.add.reduceat(flat[:, None] * matrix[at], starts, axis=0)
-    return projected, at, flat, np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _gram_of_rows(buckets: pd.Series, values: pd.Series, matrix: np.ndarray, chunk: int = 512) -> np.ndarray:
-    total = np.zeros_like(matrix)
+
+
+def encoder_facts(hashed: DataFrame, encoder: np.ndarray) -> DataFrame:
+    """One row: documents with text, their energy, the part the encoder keeps, and how far it is from the leading subspace.
+
+    ``skew`` is the largest entry of B'B - I; ``off`` is the length of what the corpus adds to the basis outside it,
+    over the length of what it adds: 0 for an exact subspace.
+    """
+    product = _gram_times(hashed.select("buckets", "values"), encoder)
+    inside = encoder @ (encoder.T @ product)
+    skew = float(np.abs(encoder.T @ encoder - np.eye(encoder.shape[1])).max(initial=0))
+    kept = float((encoder * product).sum())
+    off = float(np.linalg.norm(product - inside) / max(np.linalg.norm(product), 1e-300))
+    energy = F.aggregate("values", F.lit(0.0), lambda total, x: total + F.coalesce(x * x, F.lit(0.0)))
+    return hashed.agg(F.count_if(F.size("buckets") > 0).alias("texts"), F.coalesce(F.sum(energy), F.lit(0.0)).alias("energy")).select(
+        "texts", "energy", F.lit(encoder.shape[1]).alias("dimension"), F.lit(kept).alias("kept"), F.lit(skew).alias("skew"), F.lit(off).alias("off")
+    )
+
+
+def _dense_rows(buckets: pd.Series, values: pd.Series, chunk: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, block of at most ``chunk`` dense rows)."""
     for begin in range(0, len(buckets), chunk):
-        part = slice(begin, begin + chunk)
-        projected, at, flat, row = _project_rows(buckets.iloc[part], values.iloc[part], matrix)
-        if len(at):
-            order = np.argsort(at, kind="stable")
-            ordered = at[order]
-            starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-            total[ordered[starts]] += np.add.reduceat(flat[order, None] * projected[row[order]], starts, axis=0)
-    return total
+        some, own = buckets.iloc[begin : begin + chunk], values.iloc[begin : begin + chunk]
+        block = np.zeros((len(some), V.HASH_DIMENSION))
+        for row, (at, x) in enumerate(zip(some, own)):
+            block[row, np.asarray(at, np.int64)] = np.asarray(x, float)
+        yield begin, block
 
 
 def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -185,7 +193,8 @@ def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
         matrix, total = shared.value, None
         for pdf in batches:
             total = np.zeros_like(matrix) if total is None else total
-            total += _gram_of_rows(pdf["buckets"], pdf["values"], matrix)
+            for _, block in _dense_rows(pdf["buckets"], pdf["values"]):
+                total += block.T @ (block @ matrix)
         if total is not None:
             touched = np.flatnonzero(total.any(axis=1))
             yield pd.DataFrame({"bucket": touched, "partial": list(total[touched])})
@@ -206,7 +215,8 @@ def encode(hashed: DataFrame, encoder: np.ndarray, key: str = "email_id", out: s
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def project(buckets: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series(list(_project_rows(buckets, values, shared.value)[0]))
+        parts = [block @ shared.value for _, block in _dense_rows(buckets, values)]
+        return pd.Series(list(np.concatenate(parts)) if parts else [])
 
     encoded = project(F.col("buckets"), F.col("values"))
     return hashed.select(key, encoded.alias("_encoded")).select(key, unit(F.col("_encoded")).alias(out))

@@ -24,7 +24,7 @@ from mailsift.plans.text_queries import _VECTORS
 from mailsift.plans.training_queries import _examples
 from mailsift.session import cut_lineage, ensure_checkpoint_dir
 from mailsift.sources import events as event_source
-from mailsift.streaming import jobs
+from mailsift.streaming import jobs, velocity
 
 c = F.col
 
@@ -205,11 +205,11 @@ def stream_features(spark, folder):
 
 
 @query("stream_embeddings", """
-    SELECT doc_id AS email_id, 8 AS dimension, 1e0 AS length FROM documents JOIN events ON doc_id = event_id""")
+    SELECT doc_id AS email_id, CAST(least(128, (SELECT count(DISTINCT text) FROM documents WHERE trim(text) <> '')) AS INTEGER) AS dimension, 1e0 AS length FROM documents JOIN events ON doc_id = event_id""")
 def stream_embeddings(spark, folder):
     """Unit vectors of announced messages under an encoder fitted beforehand."""
     texts = R.messages(spark, folder).select("email_id", c("body_display").alias("text"))
-    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"), dimension=8)
+    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"))
     announced = R.event_stream(spark, folder).select(c("event_id").alias("email_id"))
     stream = jobs.embedding_stream(
         announced, R.messages(spark, folder), lambda df: training.encode(training.hashed_vectors(df, "text"), encoder)
@@ -247,6 +247,23 @@ def stream_sender_velocity(spark, folder):
     return stored.select("user_id", F.unix_millis("window_end").alias("window_end_ms"), "sender_count")
 
 
+@query("stream_message_velocity", """
+    SELECT CAST(event_id AS VARCHAR) AS message, CAST(user_id AS VARCHAR) AS sender,
+           count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 RANGE BETWEEN 21599999 PRECEDING AND CURRENT ROW) AS sender_count FROM events""")
+def stream_message_velocity(spark, folder):
+    """Messages of the same sender in the six hours up to each message, from keyed state inside the stream."""
+    name, provider = velocity.PROVIDER
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        counted = velocity.trailing_counts(R.event_stream(spark, folder), "ts", "user_id", "event_id", 21_600_000, "1 hour")
+        out = _workspace(spark)
+        jobs.run_available(counted, f"{out}/progress", velocity.largest_counts(f"{out}/out"), mode="update")
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{out}/out").select("message", "sender", "sender_count")
+
+
 @query("stream_near_duplicates", f"""
     WITH {_PRINTS}, p AS (SELECT doc_id, fp, epoch_us(ts) // 1000 AS ms FROM prints JOIN events ON doc_id = event_id),
     seen AS (SELECT * FROM p WHERE fp <> 0)

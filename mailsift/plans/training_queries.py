@@ -149,16 +149,31 @@ def classifier_scores(spark, folder):
     return scored.select("email_id", *[F.round(n, 4).alias(n) for n in names])
 
 
-@query("text_embeddings", "SELECT doc_id AS email_id, 16 AS dimension, CASE WHEN trim(text) <> '' THEN 1e0 ELSE 0e0 END AS length FROM documents")
+@query("text_embeddings", "SELECT doc_id AS email_id, CAST(least(128, (SELECT count(DISTINCT text) FROM documents WHERE trim(text) <> '')) AS INTEGER) AS dimension, CASE WHEN trim(text) <> '' THEN 1e0 ELSE 0e0 END AS length FROM documents")
 def text_embeddings(spark, folder):
-    """Sixteen-value unit vectors of all texts, from a truncated decomposition of the hashed corpus."""
+    """Unit vectors of all texts at the encoder's own size, from a truncated decomposition of the hashed corpus."""
     docs = R.table(spark, folder, "documents").select(c("doc_id").alias("email_id"), "text")
     hashed = training.hashed_vectors(docs, "text")
-    encoder = training.fit_encoder(hashed, dimension=16)
+    encoder = training.fit_encoder(hashed)
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
     return training.encode(hashed, encoder).select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
 
 
+@query("encoder_facts", f"""
+    SELECT count(*) FILTER (trim(text) <> '') AS texts, {r6("CAST(count(*) FILTER (trim(text) <> '') AS DOUBLE)")} AS energy,
+           CAST(least(128, count(DISTINCT text) FILTER (trim(text) <> '')) AS INTEGER) AS dimension, TRUE AS orthonormal, TRUE AS settled, TRUE AS kept_most
+    FROM documents""")
+def encoder_facts(spark, folder):
+    """The fitted encoder judged: an orthonormal basis of a settled subspace that keeps most of the corpus's energy."""
+    docs = R.table(spark, folder, "documents").select(c("doc_id").alias("email_id"), "text")
+    hashed = training.hashed_vectors(docs, "text")
+    facts = training.encoder_facts(hashed, training.fit_encoder(hashed))
+    return facts.select(
+        "texts", R6(c("energy")).alias("energy"), "dimension", (c("skew") < 1e-9).alias("orthonormal"), (c("off") < 0.05).alias("settled"),
+        (c("kept").between(0.5 * c("energy"), c("energy") * 1.000001)).alias("kept_most"),
+    )
+
+
 def _hmac_sql(message: str) -> str:
     key = R.PSEUDONYM_KEY.ljust(64, b"\0")
     pads = ["".join(f"\\x{b ^ flip:02X}" for b in key) for flip in (0x36, 0x5C)]
