@@ -37,7 +37,8 @@ def score_messages(
 ) -> DataFrame:
     """Rules, model, calibration, reputation and fusion of every message, one row each.
 
-    Bodies are read once, in the first projection; every join after it moves ids, tokens and numbers only.
+    Bodies are read by the features (twice), the link hosts and the fingerprints, each in a projection of its own; the joins move ids,
+    tokens and numbers only.
     A message a rule decided gets no model scores, so it is neither fused nor routed.
     """
     extracted = extract_features(messages, keep=["sender", "sender_domain", "auth_results"])

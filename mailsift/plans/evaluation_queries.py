@@ -39,9 +39,10 @@ _FAMILIES = f"""{_RELATIONS},
 
 def _members(spark, folder):
     """Three relations: same noisy sender, exact copies, and variants of a seed message."""
-    sent = R.table(spark, folder, "documents").join(R.events(spark, folder), c("doc_id") == c("event_id"))
+    docs = R.table(spark, folder, "documents")
+    sent = docs.join(R.events(spark, folder), c("doc_id") == c("event_id"))
     noisy = graph.relations_of(sent.filter("event_type = 'error'"), "user_id", "doc_id", "sender")
-    copies = graph.relations_of(sent.select("doc_id", F.md5("text").alias("digest")), "digest", "doc_id", "copy")
+    copies = graph.relations_of(docs.select("doc_id", F.md5("text").alias("digest")), "digest", "doc_id", "copy")
     lineage = graph.lineage_relations(sent.filter("k = 0"), "doc_id", "user_id")
     return noisy.unionByName(copies).unionByName(lineage)
 
@@ -76,6 +77,17 @@ _SPLIT = f"""{_CORPUS},
     split AS (SELECT email_id, group_key, event_time, label, split_side FROM keyed_corpus JOIN sides USING (group_key))"""
 
 
+@query("family_split", f"""
+    WITH RECURSIVE {_FAMILIES}, {_CORPUS},
+    keyed_corpus AS (SELECT corpus.*, coalesce('fam:' || component, 'own:' || email_id) AS group_key FROM corpus LEFT JOIN families ON email_id = node),
+    {_SPLIT[_SPLIT.index("fams AS"):]} SELECT email_id, group_key, split_side FROM split""", ("truth", "messages", "ev"))
+def family_split(spark, folder):
+    """Families resolved over all relations, then kept whole by the split: no variant of a training message is judged on."""
+    keyed = _corpus(spark, folder).join(_families(spark, folder), "email_id", "left").withColumnRenamed("family_key", "group_id")
+    split = evalsplit.time_forward_split(keyed, tie_hash=F.md5(F.concat(c("group_key"), F.lit("42"))))
+    return split.select("email_id", "group_key", "split_side")
+
+
 @query("eval_split", f"WITH {_SPLIT} SELECT email_id, group_key, label, split_side FROM split", ("truth", "messages"))
 def eval_split(spark, folder):
     return _split(spark, folder).select("email_id", "group_key", "label", "split_side")

@@ -74,7 +74,6 @@ HALF_LIFE_SECONDS = 7 * 24 * 3600.0
 BURST_WINDOW_MS = 60_000
 BURST_TIER = "QUARANTINE"
 NEAR_DUPLICATE_RADIUS = 6
-NEAR_DUPLICATE_RECENT = 512
 
 # Feedback corroboration.
 MALICIOUS_TRUST = 0.1
