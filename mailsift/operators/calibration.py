@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from mailsift import vocabulary as V
 from mailsift.functions.numeric import clamp_unit
+from mailsift.operators.ordered import CHUNK, ordered_chunks
+from mailsift.session import cut_lineage
 
 
 def reliability_curve(
@@ -79,6 +83,58 @@ def fit_isotonic(scored: DataFrame, raw: str, positive: str) -> IsotonicRegressi
     return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(points)
 
 
+def pool(low: np.ndarray, high: np.ndarray, weight: np.ndarray, total: np.ndarray) -> list[tuple[float, float, float, float, int]]:
+    """Blocks in rising order of scores with every pair of adjacent violators pooled: (low, high, weight, total, first row)."""
+    done: list[tuple[float, float, float, float, int]] = []
+    for at, (a, b, w, t) in enumerate(zip(low.tolist(), high.tolist(), weight.tolist(), total.tolist())):
+        block = (a, b, w, t, at)
+        # Means are compared by cross products, which are exact for counts.
+        while done and done[-1][3] * block[2] >= block[3] * done[-1][2]:
+            last = done.pop()
+            block = (last[0], block[1], last[2] + block[2], last[3] + block[3], last[4])
+        done.append(block)
+    return done
+
+
+def isotonic_blocks(scored: DataFrame, raw: str, positive: str) -> DataFrame:
+    """low, high, n and value of the blocks of the isotonic fit, in which no rows reach the driver.
+
+    Equal scores are one weighted point. Points lie in range chunks; a round pools adjacent violators inside every two
+    neighbouring chunks, the pairs shifted by one from round to round, until no chunk begins at or below the mean its
+    neighbour ends with. Pooling may go in any order, so the blocks are those of one pass over all points; a task
+    holds two chunks, and a block that spans many chunks is one row. Rows without a score or a label teach nothing.
+    """
+    known = scored.filter(F.col(raw).isNotNull() & F.col(positive).isNotNull())
+    points = known.groupBy(F.col(raw).cast("double").alias("low")).agg(
+        F.count(F.lit(1)).cast("double").alias("weight"), F.sum(F.col(positive).cast("double")).alias("total")
+    )
+    layout = f"low double, high double, weight double, total double, {CHUNK} int"
+    blocks = ordered_chunks(points.withColumn("high", F.col("low")), ["low"]).select("low", "high", "weight", "total", CHUNK)
+
+    def pooled(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("low")
+        found = pool(*(frame[n].to_numpy() for n in ("low", "high", "weight", "total")))
+        rows = pd.DataFrame([b[:4] for b in found], columns=["low", "high", "weight", "total"])
+        return rows.assign(**{CHUNK: frame[CHUNK].to_numpy()[[b[4] for b in found]]})
+
+    turn = 0
+    while True:
+        # Chunks that still hold blocks, numbered in order; one row a chunk.
+        ends = blocks.groupBy(CHUNK).agg(
+            F.min_by(F.struct("weight", "total"), "low").alias("first"), F.max_by(F.struct("weight", "total"), "low").alias("last")
+        )
+        along = Window.partitionBy(F.lit(0)).orderBy(CHUNK)
+        placed = cut_lineage(ends.withColumn("place", F.row_number().over(along)).withColumn("before", F.lag("last").over(along)))
+        falls = F.col("before.total") * F.col("first.weight") >= F.col("first.total") * F.col("before.weight")
+        if turn > 1 and placed.filter(falls).isEmpty():
+            break
+        pair = F.floor((F.col("place") + turn % 2) / 2)
+        dealt = blocks.join(placed.select(CHUNK, pair.alias("pair")), CHUNK)
+        blocks = cut_lineage(dealt.groupBy("pair").applyInPandas(pooled, layout))
+        turn += 1
+    return blocks.select("low", "high", F.col("weight").cast("long").alias("n"), (F.col("total") / F.col("weight")).alias("value"))
+
+
 def apply_isotonic(model: IsotonicRegressionModel, df: DataFrame, raw: str, out: str = "calibrated_confidence") -> DataFrame:
     """Clamped outside the fitted range, linear between fitted points."""
     return (

@@ -78,6 +78,25 @@ def isotonic_calibration(spark, folder):
     return calibration.apply_isotonic(model, fitted, "raw").select("email_id", "split_side", R6(c("calibrated_confidence")).alias("calibrated_confidence"))
 
 
+@query("isotonic_blocks", f"""
+    WITH {_SPLIT},
+    fitted AS (SELECT c.email_id, c.confidence AS raw, CAST(t.label <> 'ham' AS DOUBLE) AS positive, s.split_side
+               FROM scored c JOIN truth t ON c.email_id = t.email_id JOIN split s ON s.email_id = c.email_id WHERE confidence IS NOT NULL),
+    points AS (SELECT raw AS x, avg(positive) AS y, count(*) AS w, row_number() OVER (ORDER BY raw) AS i
+               FROM fitted WHERE split_side = 'train' GROUP BY raw),
+    ranges AS (SELECT a.i AS a, b.i AS b, sum(p.y * p.w) / sum(p.w) AS m
+               FROM points a JOIN points b ON a.i <= b.i JOIN points p ON p.i BETWEEN a.i AND b.i GROUP BY 1, 2),
+    lowest AS (SELECT p.i, r.a, min(m) AS m FROM points p JOIN ranges r ON p.i BETWEEN r.a AND r.b GROUP BY 1, 2),
+    curve AS (SELECT x, v FROM points JOIN (SELECT i, max(m) AS v FROM lowest GROUP BY i) USING (i))
+    SELECT {r6('min(x)')} AS low, {r6('max(x)')} AS high, CAST(sum(w) AS BIGINT) AS n, {r6('v')} AS value FROM curve JOIN points USING (x) GROUP BY v""",
+       ("scored", "truth", "messages"))
+def isotonic_blocks(spark, folder):
+    """The blocks of the fit on the train side, pooled chunk by chunk."""
+    sides = _split(spark, folder).filter("split_side = 'train'").select("email_id")
+    blocks = calibration.isotonic_blocks(_confident(spark, folder).join(sides, "email_id"), "raw", "positive")
+    return blocks.select(R6(c("low")).alias("low"), R6(c("high")).alias("high"), "n", R6(c("value")).alias("value"))
+
+
 def _examples(spark, folder):
     """Ground truth weighted by arrival value, with features; two sources."""
     arrived = R.events(spark, folder).select(
