@@ -17,7 +17,8 @@ with the first member, so a group of copies costs comparisons linear in its size
 are left are compared in full between the classes: small ones pair by pair, crowded ones in tiles of bounded size.
 
 Nulls, empties, repeats: a null text has no words. Documents without words, and rows without an id, are in no
-class with others (class = own id). Rows with equal ids are one document. Extra columns are ignored.
+class with others (class = own id). Rows with equal ids are one document. Very long texts are signed and
+compared whole. Of equal candidates the smaller id leads. An empty table gives no rows. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations

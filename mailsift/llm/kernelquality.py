@@ -9,7 +9,8 @@ Texts are read once; a narrow table of statistics serves fitting and scoring. La
 
 Nulls, empties, repeats: a null text is empty, an empty text has statistics 0 and a score like any other. Rows are
 scored one by one. Labels that are null, or without an id, teach nothing; repeated labels of an id count once, the
-larger one. Without labels of both kinds every score is the mean label, or 0.5 without any. Extra columns are ignored.
+larger one. Without labels of both kinds every score is the mean label, or 0.5 without any. Very long texts are
+read whole. Equal statistics score alike. An empty table gives no rows. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations

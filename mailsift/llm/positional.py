@@ -15,7 +15,8 @@ left to skew-join splitting; no aggregate needs the rows of a term together.
 
 Nulls, empties, repeats: a null or empty text has no words and no hits. An item without id or words is ignored;
 items with one id count once. Rows with equal id and text are repeated in the result. Rows without an id are
-documents like others. Extra columns are ignored.
+documents like others. Very long texts are indexed whole. Terms of equal rarity are taken in order of place. An empty table of
+documents gives no rows, an empty benchmark no hits. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations

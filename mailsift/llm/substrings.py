@@ -15,7 +15,8 @@ aggregates, and joins on hot keys can be split.
 statistics of a streamed text, maximal spans of at least ``WINDOW`` words.
 
 Nulls, empties, repeats: a null or empty text has no words. Rows without an id neither remove nor lose words. Rows
-with equal ids do not remove from each other. Extra columns are ignored.
+with equal ids do not remove from each other. Very long texts are handled whole. An empty table gives no rows. Extra columns,
+of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ into blocks of about ``BLOCK_BYTES``; the distinct codes of a block meet the nod
 one row per block, and each block is then scored with the nodes it can ask for.
 
 Nulls, empties, repeats: a null text is empty and scored for its end alone. Every row is scored; repeated training
-rows count repeatedly. A row without an id belongs to the training rows. Extra columns are ignored.
+rows count repeatedly. A row without an id belongs to the training rows. Very long texts are scored whole.
+An empty table gives no rows.
+Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ candidates, as an exhaustive search must be; the shuffle carries packed blocks o
 Nulls, empties, repeats: a vector that is null or holds a null or non-finite component takes no part, nor does a
 row without an id. An empty vector scores 0 with all. Components missing in the shorter of two vectors count as 0.
 Candidates with the query's id are left out; repeated candidates are ranked as rows of their own; repeated query ids
-are asked once, with their smallest vector. Ties go to the smaller id. Extra columns are ignored.
+are asked once, with their smallest vector. Ties go to the smaller id. An empty
+table gives no rows. Sums of products must fit 63 bits (64 components of up to 2**28, say). Extra columns are ignored.
 """
 
 from __future__ import annotations

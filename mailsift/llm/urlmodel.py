@@ -12,7 +12,8 @@ row until the last join. All counts have partial aggregates.
 
 Nulls, empties, repeats: a null URL, or one without ``://``, has an empty host and path, so no rule fits; an empty
 or null URL has no characters, scores 0 and passes when the threshold is not above 0. Without rejected or accepted
-training URLs the threshold is 0. Repeated rows are all judged. Extra columns are ignored.
+training URLs the threshold is 0. Repeated rows are all judged, equal URLs alike. A very long URL
+is scored whole. An empty table gives no rows. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
