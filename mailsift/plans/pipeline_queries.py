@@ -27,6 +27,8 @@ from mailsift.sources import events as event_source
 from mailsift.streaming import jobs, velocity
 
 c = F.col
+#: Parts of the key ledgers here; the tables are small, and every part is a file per batch.
+PARTS = 8
 
 
 def _bursts(messages):
@@ -186,9 +188,9 @@ def stream_once_per_message(spark, folder):
 
 @query("stream_ledger", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_ledger(spark, folder):
-    """Unbounded duplicate horizon: the stored table itself is the ledger."""
+    """Unbounded duplicate horizon: a key ledger, of which a batch reads the parts it can meet."""
     stream = R.event_stream(spark, folder).select("user_id", "event_id")
-    return _appended(spark, stream, lambda path: jobs.insert_absent_batches(path, ["user_id"], ["event_id"]))
+    return _appended(spark, stream, lambda path: jobs.insert_absent_batches(path, ["user_id"], ["event_id"], PARTS)).drop("part")
 
 
 @query("stream_features", """
@@ -233,7 +235,7 @@ def stream_reputation(spark, folder):
     ids = arrivals.withColumn("claim", c("event_id"))
     signals = R.as_reputation_events(ids, keep=("claim",))
     out = _workspace(spark)
-    jobs.run_available(signals, f"{out}/progress", jobs.accrual_batches(f"{out}/sums", f"{out}/claims", ["claim"]))
+    jobs.run_available(signals, f"{out}/progress", jobs.accrual_batches(f"{out}/sums", f"{out}/claims", ["claim"], parts=PARTS))
     return jobs.accrued(spark.read.parquet(f"{out}/sums")).select("sender_key", *[R6(c(n)).alias(n) for n in reputation.COUNTS])
 
 
@@ -286,7 +288,7 @@ def stream_replay(spark, folder):
     stream = jobs.replay_scoring(asked, R.scored(spark, folder), [R.LIVE, R.STRICT])
     kept = stream.select("run_id", "email_id", "policy_version", "decision", "route_used", "posterior")
     keys = ["run_id", "email_id", "policy_version"]
-    stored = _appended(spark, kept, lambda path: jobs.insert_absent_batches(path, keys, ["posterior"]))
+    stored = _appended(spark, kept, lambda path: jobs.insert_absent_batches(path, keys, ["posterior"], PARTS))
     return stored.select("email_id", "policy_version", "decision", "route_used")
 
 
@@ -382,7 +384,7 @@ def stream_cards(spark, folder):
         c("user_id").alias("email_id"), c("event_id").alias("classification_id"), c("ts").alias("at"),
         c("event_type").alias("tier"), F.lit("model").alias("route_used"),
     )
-    log = _appended(spark, feed, jobs.decision_log)
+    log = _appended(spark, feed, lambda path: jobs.decision_log(path, PARTS)).drop("part")
     return windows.decision_cards(log, "email_id", "classification_id", "at", cap=None).select("email_id", "tier", "resolved")
 
 

@@ -14,7 +14,7 @@ from mailsift.operators.features import extract_features
 from mailsift.operators.reputation import COUNTS
 from mailsift.operators.scoring import Policy, resolve_pending, score_policies, shadow_decisions
 from mailsift.operators.similarity import recent_near_duplicates
-from mailsift.sources import sinks
+from mailsift.sources import ledger, sinks
 from mailsift.sources.events import good_records, poison_records
 
 
@@ -33,11 +33,14 @@ def once_per_message(events: DataFrame, moment: str, keys: Sequence[str], horizo
     return events.withWatermark(moment, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-def insert_absent_batches(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """Sink with an unbounded duplicate horizon: a key already stored is never stored again."""
+def insert_absent_batches(path: str, keys: list[str], order: list[str], parts: int = ledger.PARTS) -> Callable[[DataFrame, int], None]:
+    """Sink with an unbounded duplicate horizon: a key already stored is never stored again; ``ledger.rows`` reads it.
+
+    A batch reads only the ledger's parts in which one of its keys may lie.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        sinks.insert_if_absent(batch, path, keys, order)
+        ledger.insert(batch, path, keys, order, parts)
 
     return write
 
@@ -101,23 +104,27 @@ def _decayed(sums: DataFrame, half_life_seconds: float, epoch: str) -> DataFrame
 
 
 def accrual_batches(
-    path: str, claims_path: str, keys: list[str], half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00"
+    path: str, claims_path: str, keys: list[str], half_life_seconds: float = V.HALF_LIFE_SECONDS, epoch: str = "2020-01-01 00:00:00",
+    parts: int = ledger.PARTS,
 ) -> Callable[[DataFrame, int], None]:
     """Sink that counts each signal once: a batch first claims the keys no other batch has claimed.
 
     Claims and sums lie in one folder per batch, so a replayed batch replaces itself and a redelivered signal, in
-    whatever batch, finds its key claimed. ``accrued`` reads the standing.
+    whatever batch, finds its key claimed. Claims are a ledger: a batch reads only the parts of it in which one of its keys
+    may lie. ``accrued`` reads the standing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        claimed = sinks.read_or_empty(spark, claims_path, batch.select(*keys).withColumn("batch", F.lit(number)))
-        fresh = sinks.absent_rows(batch, claimed.filter(F.col("batch") != number), keys, ["occurred_at"]).persist()
+        signals = batch.persist()
         try:
-            _sums_at_epoch(fresh, half_life_seconds, epoch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-            fresh.select(*keys).write.mode("overwrite").parquet(f"{claims_path}/batch={number}")
+            fresh = ledger.unseen(signals, claims_path, keys, ["occurred_at"], parts, number).persist()
+            try:
+                _sums_at_epoch(fresh, half_life_seconds, epoch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+                ledger.record(fresh.select(*keys), claims_path, keys, parts, number)
+            finally:
+                fresh.unpersist()
         finally:
-            fresh.unpersist()
+            signals.unpersist()
 
     return write
 
@@ -274,9 +281,9 @@ def divert_poison(path: str, poison_path: str) -> Callable[[DataFrame, int], Non
     return write
 
 
-def decision_log(path: str) -> Callable[[DataFrame, int], None]:
+def decision_log(path: str, parts: int = ledger.PARTS) -> Callable[[DataFrame, int], None]:
     """Sink behind the live cards: every classification once, however often it is delivered.
 
     ``windows.decision_cards`` folds the stored log to cards, so a replay can neither double nor retract one.
     """
-    return insert_absent_batches(path, ["email_id", "classification_id"], ["at"])
+    return insert_absent_batches(path, ["email_id", "classification_id"], ["at"], parts)
