@@ -18,6 +18,7 @@ batch to batch, as the hash tells an integer from a long.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from mailsift.sources.sinks import first_per_key, read_or_empty
@@ -39,7 +40,8 @@ def _placed(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
 
 
 def _sketches(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("part", "_slot").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    """Bitmaps per part and slot. Rows move to their part first: a bitmap per task and slot would be larger than its keys."""
+    return placed.select("part", "_slot", "_at").repartition("part").groupBy("part", "_slot").agg(F.bitmap_construct_agg("_at").alias("_bits"))
 
 
 def _is_set() -> Column:
@@ -53,6 +55,17 @@ def _numbers(rows: DataFrame) -> list[int]:
     return [r["part"] for r in rows.select("part").distinct().collect()]
 
 
+def _begun(spark: SparkSession, path: str) -> bool:
+    """Whether anything was stored at ``path``; a sketch is there before any row."""
+    try:
+        spark.read.schema("part int").parquet(sketch_path(path))
+        return True
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def suspects(first: DataFrame, path: str, keys: list[str], parts: int = PARTS) -> DataFrame:
     """``first`` (one row per key) with ``part`` and ``_maybe``: false where the sketch rules out that the key is stored."""
     placed = _placed(first, keys, parts)
@@ -68,7 +81,10 @@ def unseen(
     own = {"part"} if number is None else {"part", "batch"}
     if own & {name.lower() for name in batch.columns}:
         raise ValueError(f"columns {sorted(own)} are the ledger's own")
-    asked = suspects(first_per_key(batch, keys, order), path, keys, parts)
+    first = first_per_key(batch, keys, order)
+    if not _begun(batch.sparkSession, path):
+        return first.select(*batch.columns)
+    asked = suspects(first, path, keys, parts)
     like = asked.select(*keys, "part", *([] if number is None else [F.lit(number).alias("batch")]))
     stored = read_or_empty(batch.sparkSession, path, like).filter(F.col("part").isin(_numbers(asked.filter("_maybe"))))
     if number is not None:
@@ -85,7 +101,7 @@ def record(fresh: DataFrame, path: str, keys: list[str], parts: int = PARTS, num
     """Stores rows of new keys, sketch first; a numbered batch replaces itself."""
     placed = _placed(fresh, keys, parts)
     mode, under = ("append", "") if number is None else ("overwrite", f"/batch={number}")
-    _sketches(placed).repartition("part").write.mode(mode).partitionBy("part").parquet(sketch_path(path) + under)
+    _sketches(placed).write.mode(mode).partitionBy("part").parquet(sketch_path(path) + under)
     placed.drop("_slot", "_at").repartition("part").write.mode(mode).partitionBy("part").parquet(path + under)
 
 
