@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mailsift.operators import arena, feedback, metrics, reputation
 from mailsift.plans import roles as R
 from mailsift.plans.common import R6, r6
 from mailsift.plans.registry import query
+from mailsift.session import ensure_checkpoint_dir
+from mailsift.sources import ledger
 
 c = F.col
 HALF_LIFE = 604800.0
@@ -108,6 +112,18 @@ def reputation_emissions(spark, folder):
     return emitted.withColumn("weight", R6(c("weight")))
 
 
+@query("emitted_once", f"""
+    SELECT run_id || '|' || sender_key || '|' || signal || '|' || bucket AS claim_key, sender_key, signal, bucket,
+           {r6('least(aggregate_weight, 5.0e0)')} AS weight, 'feedback' AS source FROM groups WHERE trusted""", ("groups",))
+def emitted_once(spark, folder):
+    """The gate run twice into one ledger of claims: the second run stores nothing."""
+    path = f"{ensure_checkpoint_dir(spark)}/emissions-{uuid.uuid4().hex}"
+    emitted = feedback.reputation_emissions(feedback.corroborate(_weighted(spark, folder)))
+    for _ in range(2):
+        ledger.insert(emitted, path, ["claim_key"], ["claim_key"], parts=8)
+    return ledger.rows(spark, path, emitted).withColumn("weight", R6(c("weight")))
+
+
 @query("retrain_emissions", f"""
     SELECT feedback_id, w.email_id, ground_truth AS label, {r6('weight')} AS weight, run_id || '|' || sender_key AS origin,
            corroborators FROM weighted w JOIN groups USING (run_id, sender_key, signal, bucket) WHERE trusted AND weight > 0""", ("groups",))

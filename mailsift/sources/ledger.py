@@ -118,9 +118,10 @@ def insert(batch: DataFrame, path: str, keys: list[str], order: list[str], parts
         rows.unpersist()
 
 
-def rows(spark: SparkSession, path: str) -> DataFrame:
-    """What the ledger holds."""
-    return spark.read.parquet(path).drop("part", "batch")
+def rows(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """What the ledger holds; with ``like``, a frame of the stored columns, also where nothing was ever stored."""
+    table = spark.read.parquet(path) if like is None else read_or_empty(spark, path, like)
+    return table.drop("part", "batch")
 
 
 def rebuilt(spark: SparkSession, path: str, to: str, keys: list[str], parts: int = PARTS) -> None:

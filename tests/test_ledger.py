@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mailsift.operators import feedback
 from mailsift.sources import ledger
 from mailsift.streaming import jobs
 
@@ -78,6 +79,9 @@ def test_nulls_ties_empty_batches_and_clashing_columns(spark, tmp_path):
     ledger.insert(_frame(spark, [(None, "a", 2), (None, "b", 1), (1, None, None), (1, None, None)]), path, ["k"], ["n"], 4)
     ledger.insert(_frame(spark, [(None, "c", 0), (2, "d", 0)]), path, ["k"], ["n"], 4)
     ledger.insert(_frame(spark, []), path, ["k"], ["n"], 4)
+    nothing = str(tmp_path / "nothing")
+    ledger.insert(_frame(spark, []), nothing, ["k"], ["n"], 4)
+    assert ledger.rows(spark, nothing, _frame(spark, [])).collect() == []
     held = sorted(map(tuple, ledger.rows(spark, path).collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     assert held == [(None, "b", 1), (1, None, None), (2, "d", 0)]
     with pytest.raises(ValueError):
@@ -102,3 +106,14 @@ def test_two_streams_into_one_ledger(spark, tmp_path):
         jobs.run_available(stream, str(tmp_path / run), jobs.insert_absent_batches(str(tmp_path / "l"), ["k"], ["n"], 4))
     found = {r["k"]: r["n"] for r in ledger.rows(spark, str(tmp_path / "l")).collect()}
     assert found == {k: k for k in range(40)} and ledger.rows(spark, str(tmp_path / "l")).count() == 40
+
+
+def test_a_gate_run_again_emits_nothing_new(spark, tmp_path):
+    groups = [("r", "s", "BAD", "AUTHENTICATED", 9.0, True), ("r", "t", "GOOD", "AUTHENTICATED", 2.0, True), ("r", "u", "BAD", "AUTHENTICATED", 0.1, False)]
+    shape = "run_id string, sender_key string, signal string, bucket string, aggregate_weight double, trusted boolean"
+    path = str(tmp_path / "l")
+    for weight in (1.0, 2.0):  # evidence has grown by the second run; what was emitted stays as it was
+        emitted = feedback.reputation_emissions(spark.createDataFrame(groups, shape).withColumn("aggregate_weight", F.col("aggregate_weight") * weight))
+        ledger.insert(emitted, path, ["claim_key"], ["claim_key"], 4)
+    assert {r["claim_key"]: r["weight"] for r in ledger.rows(spark, path).collect()} == {"r|s|BAD|AUTHENTICATED": 5.0, "r|t|GOOD|AUTHENTICATED": 2.0}
+    assert ledger.rows(spark, path).count() == 2
