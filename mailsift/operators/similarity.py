@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb, log2
 
@@ -16,6 +17,12 @@ from mailsift.session import cut_lineage
 
 QUERY_BLOCK = 1024
 CORPUS_BLOCK = 8192
+#: Fingerprints of one side of a task.
+PRINT_BLOCK = 131_072
+#: Blocks that a table of less than that many full ones is cut into.
+SPREAD = 32
+#: Fingerprints whose distances tell which others cannot be close.
+OUTLOOKS = 4
 
 
 def fingerprints(messages: DataFrame, text: str, key: str = "email_id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -117,16 +124,135 @@ def close_fingerprints(
     return pairs(calm, plan[0], True).unionByName(pairs(again, wider[0], False))
 
 
-def near_duplicate_neighbours(prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, hot_bucket: int = 1024) -> DataFrame:
+def _outlook(prints: np.ndarray) -> np.ndarray:
+    """Distance of every fingerprint to a few that lie far apart; which ones changes the cost only."""
+    some = prints[:: max(1, len(prints) // 1024)]
+    nearest = np.full(len(some), 65)
+    far, columns = 0, []
+    for _ in range(OUTLOOKS):
+        nearest = np.minimum(nearest, np.bitwise_count(some ^ some[far]))
+        columns.append(np.bitwise_count(prints ^ some[far]).astype(np.int16))
+        far = int(nearest.argmax())
+    return np.stack(columns, axis=1)
+
+
+def _by_place(outlook: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """An order in which near fingerprints stand together and copies side by side."""
+    home = outlook.argmin(axis=1)
+    return np.lexsort((prints, outlook[np.arange(len(prints)), home], home))
+
+
+def _meetings(
+    left: np.ndarray, right: np.ndarray, outlook: tuple[np.ndarray, np.ndarray], radius: int, strip: int = 64, block: int = 512, width: int = 4096,
+) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows of ``left``, rows of ``right``, distances) of every pair that may be within ``radius``.
+
+    A strip and a block whose distances to one outlook differ by more than ``radius`` hold no close pair. Both sides
+    should stand ``_by_place``. The distances lie in a buffer that the next step overwrites.
+    """
+    if not len(left) or not len(right):
+        return
+    edges = np.arange(0, len(right), block)
+    low, high = np.minimum.reduceat(outlook[1], edges), np.maximum.reduceat(outlook[1], edges)
+    xors, distances = np.empty(strip * width, np.uint64), np.empty(strip * width, np.uint8)
+    for begin in range(0, len(left), strip):
+        some = slice(begin, min(begin + strip, len(left)))
+        seen = outlook[0][some]
+        near = ((low - seen.max(axis=0) <= radius) & (seen.min(axis=0) - high <= radius)).all(axis=1)
+        columns = np.flatnonzero(np.repeat(near, block)[: len(right)])
+        for first in range(0, len(columns), width):
+            chosen = columns[first : first + width]
+            shape = (some.stop - begin, len(chosen))
+            xor, distance = xors[: shape[0] * shape[1]].reshape(shape), distances[: shape[0] * shape[1]].reshape(shape)
+            np.bitwise_xor(left[some, None], right[chosen], out=xor)
+            yield some, chosen, np.bitwise_count(xor, out=distance)
+
+
+def _neighbour_sums(
+    prints: tuple[np.ndarray, np.ndarray], copies: tuple[np.ndarray, np.ndarray], names: tuple[np.ndarray, np.ndarray], radius: int, same: bool,
+) -> list[dict[str, np.ndarray]]:
+    """For both sides of a tile: neighbours, near_messages, closest and the smallest neighbour's name of each fingerprint."""
+    outlooks = _outlook(np.concatenate(prints))
+    outlooks = (outlooks[: len(prints[0])], outlooks[len(prints[0]) :])
+    order = [_by_place(o, p) for o, p in zip(outlooks, prints)]
+    prints, outlooks = tuple(p[i] for p, i in zip(prints, order)), tuple(o[i] for o, i in zip(outlooks, order))
+    copies, names = [n[i] for n, i in zip(copies, order)], [n[i] for n, i in zip(names, order)]
+    count, near = [np.zeros(len(p), np.int64) for p in prints], [np.zeros(len(p), np.int64) for p in prints]
+    closest, first = [np.full(len(p), 65, np.int64) for p in prints], [np.full(len(p), np.iinfo(np.int64).max) for p in prints]
+    for some, chosen, distance in _meetings(*prints, outlooks, radius):
+        hits = np.flatnonzero(distance <= radius)
+        if not len(hits):
+            continue
+        row, column = np.divmod(hits, len(chosen))
+        apart = distance.ravel()[hits].astype(np.int64)
+        met = (row + some.start, chosen[column])
+        for me, other in ((0, 1),) if same else ((0, 1), (1, 0)):
+            mine, theirs = (met[me], met[other])
+            use = apart > 0
+            mine, theirs, steps = (mine[use], theirs[use], apart[use])
+            np.add.at(count[me], mine, 1)
+            np.add.at(near[me], mine, copies[other][theirs])
+            np.minimum.at(closest[me], mine, steps)
+            np.minimum.at(first[me], mine, names[other][theirs])
+    out = []
+    for side in (0,) if same else (0, 1):
+        found = count[side] > 0
+        out.append({
+            "fingerprint": prints[side][found].view(np.int64), "neighbours": count[side][found], "near_messages": near[side][found],
+            "closest": closest[side][found], "name": first[side][found],
+        })
+    return out
+
+
+def near_duplicate_neighbours(
+    prints: DataFrame, radius: int = V.NEAR_DUPLICATE_RADIUS, block: int = PRINT_BLOCK, least: int = 4096,
+) -> DataFrame:
     """Per fingerprint: how many other fingerprints and messages are close, how close, and the first of them.
 
-    Pairs are summed where they are found; only one partial row per fingerprint and task is shuffled.
+    Copies are folded; blocks of fingerprints meet pair by pair in tasks of one size, which hand on one partial row per
+    fingerprint and never a pair. Texts of one language differ in few bits, so keys on agreeing bits would meet most pairs anyway, several times.
     """
-    return close_fingerprints(prints, radius, hot_bucket).groupBy("fingerprint_a").agg(
-        F.first("first_id_a").alias("first_id"), F.first("copies_a").alias("copies"),
-        F.count(F.lit(1)).alias("neighbours"), F.sum("copies_b").alias("near_messages"),
-        F.min("distance").alias("closest"), F.min("first_id_b").alias("first_neighbour"),
-    ).withColumnRenamed("fingerprint_a", "fingerprint")
+    folded = cut_lineage(
+        prints.filter("fingerprint <> 0").groupBy("fingerprint").agg(
+            F.count(F.lit(1)).alias("copies"), F.min("email_id").alias("first_id")
+        )
+    )
+    distinct = folded.count()
+    blocks = max(1, -(-distinct // block), min(SPREAD, -(-distinct // least)))
+    own = F.pmod(F.xxhash64("fingerprint"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tiles = folded.withColumn("own", own).withColumn("other", other).select(
+        F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("later"),
+        "fingerprint", "copies", "first_id",
+    )
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        same = bool(pdf["a"].iat[0] == pdf["b"].iat[0])
+        ids = pdf["first_id"].to_numpy()
+        ordered = np.argsort(ids, kind="stable")
+        names = np.empty(len(ids), np.int64)
+        names[ordered] = np.arange(len(ids))
+        later = pdf["later"].to_numpy(bool)
+        sides = (np.ones(len(pdf), bool),) * 2 if same else (~later, later)
+        value = pdf["fingerprint"].to_numpy(np.int64).view(np.uint64)
+        found = _neighbour_sums(
+            *(tuple(column[side] for side in sides) for column in (value, pdf["copies"].to_numpy(np.int64), names)), radius, same
+        )
+        out = pd.concat([pd.DataFrame(part) for part in found], ignore_index=True)
+        out["first_neighbour"] = ids[ordered[out.pop("name").to_numpy(np.int64)]]
+        return out
+
+    id_type = folded.schema["first_id"].dataType.simpleString()
+    partial = tiles.groupBy("a", "b").applyInPandas(
+        meet, f"fingerprint bigint, neighbours bigint, near_messages bigint, closest int, first_neighbour {id_type}"
+    )
+    summed = partial.groupBy("fingerprint").agg(
+        F.sum("neighbours").alias("neighbours"), F.sum("near_messages").alias("near_messages"),
+        F.min("closest").alias("closest"), F.min("first_neighbour").alias("first_neighbour"),
+    )
+    return folded.join(summed, "fingerprint").select(
+        "fingerprint", "first_id", "copies", "neighbours", "near_messages", "closest", "first_neighbour"
+    )
 
 
 def _count_back(times: np.ndarray, prints: np.ndarray, window_ms: int, radius: int, recent: int) -> np.ndarray:
@@ -157,23 +283,100 @@ def recent_near_duplicates(
     return counted.unionByName(silent)
 
 
-def _window_counts(rows: DataFrame, window_ms: int, radius: int) -> DataFrame:
-    """Arrivals fold per fingerprint and millisecond and are handed to the close fingerprints, never to messages.
+def _weights_near(
+    asked: np.ndarray, said: np.ndarray, weights: np.ndarray, outlook: tuple[np.ndarray, np.ndarray], radius: int
+) -> np.ndarray:
+    """For each of ``asked`` the weights of all ``said`` within ``radius``; both stand ``_by_place``."""
+    total = np.zeros(len(asked), np.int64)
+    heavy = weights > 1
+    for some, _, distance in _meetings(asked, said, outlook, radius):
+        total[some] += np.count_nonzero(distance <= radius, axis=1)
+    for some, chosen, distance in _meetings(asked, said[heavy], (outlook[0], outlook[1][heavy]), radius):
+        row, column = np.divmod(np.flatnonzero(distance <= radius), len(chosen))
+        np.add.at(total, row + some.start, weights[heavy][chosen[column]] - 1)
+    return total
+
+
+def _folded(prints: np.ndarray, weights: np.ndarray, outlook: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Copies that stand side by side as one row."""
+    if not len(prints):
+        return prints, weights, outlook
+    starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+    return prints[starts], np.add.reduceat(weights, starts), outlook[starts]
 
-    Each fold counts in its own window-long slot and the next, so a task holds two windows of milliseconds.
+
+def _heard_in_window(
+    asked: tuple[np.ndarray, np.ndarray], said: tuple[np.ndarray, np.ndarray, np.ndarray], window_ms: int, radius: int, together: int = 2048,
+) -> np.ndarray:
+    """For each (moment, fingerprint) asked the weight of what was said close to it in ``(moment - window, moment]``.
+
+    ``asked`` is ordered by moment and answered some rows at a time: what lies in the window of all of them is folded to
+    fingerprints, and only what lies in the window of some is compared by moment as well.
+    """
+    ms, prints = asked
+    outlooks = _outlook(np.concatenate([prints, said[1]]))
+    mine, theirs = outlooks[: len(prints)], outlooks[len(prints) :]
+    order = _by_place(theirs, said[1])
+    when, what, weight, place = said[0][order], said[1][order], said[2][order], theirs[order]
+    total = np.zeros(len(ms), np.int64)
+    for begin in range(0, len(ms), together):
+        some = np.arange(begin, min(begin + together, len(ms)))
+        some = some[_by_place(mine[some], prints[some])]
+        low, high = ms[some].min(), ms[some].max()
+        whole = (when > high - window_ms) & (when <= low)
+        ask, _, ask_place = _folded(prints[some], np.ones(len(some), np.int64), mine[some])
+        number = np.cumsum(np.concatenate([[0], prints[some][1:] != prints[some][:-1]]))
+        total[some] += _weights_near(ask, *_fold_as_asked(what[whole], weight[whole], place[whole], ask_place), radius)[number]
+        part = np.flatnonzero(~whole & (when > low - window_ms) & (when <= high))
+        for rows, chosen, distance in _meetings(prints[some], what[part], (mine[some], place[part]), radius):
+            row, column = np.divmod(np.flatnonzero(distance <= radius), len(chosen))
+            hit, said_at = some[rows][row], part[chosen[column]]
+            back = ms[hit] - when[said_at]
+            use = (back >= 0) & (back < window_ms)
+            np.add.at(total, hit[use], weight[said_at[use]])
+    return total
+
+
+def _fold_as_asked(prints: np.ndarray, weights: np.ndarray, outlook: np.ndarray, asked: np.ndarray):
+    prints, weights, outlook = _folded(prints, weights, outlook)
+    return prints, weights, (asked, outlook)
+
+
+def _window_counts(rows: DataFrame, window_ms: int, radius: int, block: int = PRINT_BLOCK, least: int = 4096) -> DataFrame:
+    """Arrivals fold per fingerprint and millisecond and are cut into blocks of one size in order of time.
+
+    A block meets the blocks that reach into its windows, each pair in a task of its own that hands on one count per row and
+    never a pair of messages.
     """
     heard = rows.filter("fingerprint <> 0")
-    folded = heard.groupBy("fingerprint", "ms").agg(F.count(F.lit(1)).alias("n"))
-    close = close_fingerprints(heard, radius).select(F.col("fingerprint_a").alias("listener"), F.col("fingerprint_b").alias("fingerprint"))
-    passed_on = folded.join(close, "fingerprint").select("listener", "ms", "n")
-    own = folded.select(F.col("fingerprint").alias("listener"), "ms", "n")
-    traffic = own.unionByName(passed_on).groupBy("listener", "ms").agg(F.sum("n").alias("n"))
-    home = F.floor(F.col("ms") / window_ms)
-    spread = traffic.withColumn("home", home).withColumn("slot", F.explode(F.array("home", F.col("home") + 1)))
-    back = Window.partitionBy("listener", "slot").orderBy("ms").rangeBetween(-(window_ms - 1), 0)
-    counts = spread.withColumn("cluster_size", F.sum("n").over(back)).filter("home = slot").select(
-        F.col("listener").alias("fingerprint"), "ms", "cluster_size"
+    folded = cut_lineage(heard.groupBy("fingerprint", "ms").agg(F.count(F.lit(1)).alias("n")))
+    size = min(block, max(least, -(-folded.count() // SPREAD)))
+    placed = cut_lineage(
+        positions(folded, ["ms", "fingerprint"]).withColumn("block", F.floor((F.col("position") - 1) / size).cast("int")).drop("position")
+    )
+    # Bounded: one row per block.
+    spans = placed.groupBy("block").agg(F.min("ms").alias("low"), F.max("ms").alias("high"))
+    later = spans.select(F.col("block").alias("asker"), F.col("low").alias("from"), F.col("high").alias("to"))
+    reached = spans.join(later, (F.col("low") <= F.col("to")) & (F.col("high") > F.col("from") - window_ms))
+    tiles = cut_lineage(reached.select("block", "asker"))
+    asks = placed.join(F.broadcast(tiles.select(F.col("asker").alias("block"), F.col("block").alias("speaker"))), "block")
+    says = placed.join(F.broadcast(tiles), "block")
+    sides = asks.select(F.col("block").alias("a"), F.col("speaker").alias("b"), F.lit(True).alias("asks"), "ms", "fingerprint", "n").unionByName(
+        says.select(F.col("asker").alias("a"), F.col("block").alias("b"), F.lit(False).alias("asks"), "ms", "fingerprint", "n")
     )
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        ask, say = pdf[asks].sort_values("ms"), pdf[~asks]
+        value = lambda frame: frame["fingerprint"].to_numpy(np.int64).view(np.uint64)
+        found = _heard_in_window(
+            (ask["ms"].to_numpy(), value(ask)), (say["ms"].to_numpy(), value(say), say["n"].to_numpy()), window_ms, radius
+        )
+        out = pd.DataFrame({"fingerprint": ask["fingerprint"], "ms": ask["ms"], "found": found})
+        return out[found > 0]
+
+    partial = sides.groupBy("a", "b").applyInPandas(meet, "fingerprint bigint, ms bigint, found bigint")
+    counts = partial.groupBy("fingerprint", "ms").agg(F.sum("found").alias("cluster_size"))
     return heard.join(counts, ["fingerprint", "ms"]).select("email_id", "cluster_size")
 
 
