@@ -1,16 +1,17 @@
 """Exact trailing counts per message inside a stream, as keyed state with expiry.
 
-A message is handed to its own window-long slot and to the next, so the state of a busy sender is many keys and each
-holds at most two windows. A key keeps how many messages each millisecond has and which messages it has seen; a
-redelivered message counts nothing. Counts go out when a message arrives, and again when a later arrival of an earlier
-moment raises them; they only grow, so the sink keeps the largest. Once the watermark is past a slot no message can
-change its counts, and a timer drops the key. Rows behind the watermark on arrival change nothing.
+A message is handed to its own window-long slot and to the next. Senders are dealt over a fixed number of lanes and a key is
+one lane in one slot, so its state holds at most two windows of its senders and is read and written once a batch, however
+many senders and messages. A redelivered message counts nothing. Counts go out when a message arrives, and again when a
+later arrival of an earlier moment raises them; they only grow, so the sink keeps the largest. Once the watermark is past a
+slot no message can change its counts, and a timer drops the key. Rows behind the watermark on arrival change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,60 +22,52 @@ from mailsift.sources import sinks
 #: Keyed state with timers needs this state store.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+#: Senders share that many keys a slot: a sender of few messages costs no calls to the state store of its own.
+LANES = 16
+
 
 class TrailingCounts(StatefulProcessor):
-    """State of one (sender, slot)."""
+    """State of one (lane, slot): the messages of all senders of the lane, as three arrays that are read and written once a batch."""
 
     def __init__(self, window_ms: int) -> None:
         self.window_ms = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.moments = handle.getMapState("moments", "ms long", "n long")
-        self.seen = handle.getMapState("seen", "message string", "ms long")
+        self.seen = handle.getValueState("seen", "senders array<string>, messages array<string>, moments array<long>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sender, slot = key
-        watermark = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[str, int] = {}
-        for frame in rows:
-            for message, ms in zip(frame["message"], frame["ms"]):
-                ms = int(ms)
-                known = fresh.get(message)
-                if ms >= watermark and not self.seen.containsKey((message,)) and (known is None or ms < known):
-                    fresh[message] = ms
-        if not fresh:
+        slot = int(key[1])
+        arrived = pd.concat([frame[["sender", "message", "ms"]] for frame in rows], ignore_index=True)
+        arrived = arrived[arrived["ms"] >= timerValues.getCurrentWatermarkInMs()]
+        if arrived.empty:
+            return
+        stored = self.seen.get()
+        known = pd.DataFrame({name: list(values) for name, values in zip(("sender", "message", "ms"), stored or ([], [], []))})
+        # A stored message stands before all deliveries; of new ones the earliest counts.
+        arrived = arrived.sort_values("ms", kind="stable")
+        both = pd.concat([known.assign(fresh=False), arrived.assign(fresh=True)], ignore_index=True).drop_duplicates(
+            ["sender", "message"], ignore_index=True
+        )
+        if not both["fresh"].any():
             return
-        if not self.moments.exists():
-            self.handle.registerTimer((int(slot) + 1) * self.window_ms + 1)
-        counts = {int(k[0]): int(v[0]) for k, v in self.moments.iterator()} if self.moments.exists() else {}
-        for message, ms in fresh.items():
-            counts[ms] = counts.get(ms, 0) + 1
-            self.seen.updateValue((message,), (ms,))
-        for ms in set(fresh.values()):
-            self.moments.updateValue((ms,), (counts[ms],))
+        if stored is None:
+            self.handle.registerTimer((slot + 1) * self.window_ms + 1)
+        self.seen.update((both["sender"].tolist(), both["message"].tolist(), [int(ms) for ms in both["ms"]]))
         # Only messages of this slot whose window reaches back to a fresh moment have a new count.
-        first, home = min(fresh.values()), int(slot) * self.window_ms
-        changed = fresh if first > max((ms for ms in counts if ms not in set(fresh.values())), default=-1) else {
-            k[0]: int(v[0]) for k, v in self.seen.iterator()
-        }
-        asked = sorted({ms for ms in changed.values() if ms >= home and ms >= first})
-        ordered = sorted(counts)
-        total, low, high, running = {}, 0, 0, 0
-        for ms in asked:
-            while high < len(ordered) and ordered[high] <= ms:
-                running += counts[ordered[high]]
-                high += 1
-            while ordered[low] <= ms - self.window_ms:
-                running -= counts[ordered[low]]
-                low += 1
-            total[ms] = running
-        out = [(message, sender, total[ms]) for message, ms in changed.items() if ms in total]
-        if out:
-            yield pd.DataFrame(out, columns=["message", "sender", "sender_count"])
+        ms, fresh = both["ms"].to_numpy(np.int64), both["fresh"].to_numpy(bool)
+        sender = pd.factorize(both["sender"], use_na_sentinel=False)[0]
+        first = np.full(sender.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, sender[fresh], ms[fresh])
+        # Senders lie more than a window apart on one line, so one search answers all of them.
+        line = sender * (ms.max() - ms.min() + 2 * self.window_ms) + (ms - ms.min())
+        ordered = np.sort(line)
+        total = np.searchsorted(ordered, line, "right") - np.searchsorted(ordered, line - self.window_ms, "right")
+        asked = (ms >= slot * self.window_ms) & (ms >= first[sender])
+        if asked.any():
+            yield both.loc[asked, ["message", "sender"]].assign(sender_count=total[asked])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.moments.clear()
         self.seen.clear()
         yield pd.DataFrame({"message": pd.Series(dtype=str), "sender": pd.Series(dtype=str), "sender_count": pd.Series(dtype="int64")})
 
@@ -83,18 +76,20 @@ class TrailingCounts(StatefulProcessor):
 
 
 def trailing_counts(
-    events: DataFrame, moment: str, sender: str, message: str, window_ms: int = V.BURST_WINDOW_MS, lateness: str = "60 seconds"
+    events: DataFrame, moment: str, sender: str, message: str, window_ms: int = V.BURST_WINDOW_MS, lateness: str = "60 seconds",
+    lanes: int = LANES,
 ) -> DataFrame:
     """message, sender and sender_count: messages of the sender in ``(t - window, t]``, in update mode.
 
-    Messages in the same millisecond count each other, as in ``windows.trailing_sender_counts``.
+    Messages in the same millisecond count each other, as in ``windows.trailing_sender_counts``. Senders are dealt over
+    ``lanes``; a query that has state must keep the number it began with.
     """
     home = F.floor(F.col("ms") / window_ms)
     rows = events.select(F.col(moment).alias("moment"), F.col(sender).cast("string").alias("sender"), F.col(message).cast("string").alias("message"))
     spread = rows.withWatermark("moment", lateness).withColumn("ms", F.unix_millis("moment")).withColumn(
         "slot", F.explode(F.array(home, home + 1))
-    )
-    return spread.groupBy("sender", "slot").transformWithStateInPandas(
+    ).withColumn("lane", F.pmod(F.xxhash64("sender"), F.lit(lanes)).cast("int"))
+    return spread.groupBy("lane", "slot").transformWithStateInPandas(
         TrailingCounts(window_ms), "message string, sender string, sender_count long", "Update", "EventTime"
     )
 

@@ -48,3 +48,11 @@ def test_late_rows_change_nothing(spark, tmp_path, keyed_state):
     early = [(1000.0 + i, "a", f"m{i}") for i in range(5)]
     found = streamed(spark, tmp_path, [early, [(5000.0, "a", "far")], [(1001.5, "a", "late"), (5001.0, "a", "next")]], lateness="10 seconds")
     assert found == batch(spark, early) | {"far": 1, "next": 2}
+
+
+def test_many_senders_share_keys(spark, tmp_path, keyed_state):
+    """More senders than lanes are counted apart."""
+    rows = [(1000 + i % 37 / 10, f"s{i % 300}", f"m{i}") for i in range(900)]
+    assert velocity.LANES < 300
+    found = streamed(spark, tmp_path, [rows[:500], rows[500:]])
+    assert found == batch(spark, rows)
