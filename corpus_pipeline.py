@@ -75,7 +75,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark, whether they have an id or not."""
-    found = positional.contamination(docs, _table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
+    found = positional.contamination(docs, _table(spark, sf_dir, "benchmark"), keyed=True).filter("n_hit > 0")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), "row_key").alias("__key")
     return _without(docs, stored(found.select(key).distinct()))
 

@@ -122,8 +122,8 @@ def proximity_hits(index: DataFrame, items: DataFrame, slack: int = WINDOW) -> D
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_key (the hash of its text), n_words, n_hit, items (sorted ids) of every row."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keyed: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, items (sorted ids) of every row; ``keyed`` adds row_key, the hash of its text, after doc_id."""
     items = stored(items_of(benchmark, window))
     index = stored(build_index(docs, items))
     hits = stored(phrase_hits(index, items))
@@ -138,6 +138,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
     heads = index.filter("term IS NULL").select(*_DOC, F.struct(*_DOC).alias("doc_key"), F.col("position").cast("long").alias("n_words"))
     return heads.join(found, "doc_key", "left").select(
-        *_DOC, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        *(_DOC if keyed else _DOC[:1]), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
