@@ -16,6 +16,9 @@ from mailsift import vocabulary as V
 FNV_OFFSET = 0xCBF29CE484222325
 FNV_PRIME = 0x100000001B3
 
+#: Characters of text that a worker takes apart together.
+PIECE_CHARS = 1 << 19
+
 _TOKEN = re.compile("[a-z0-9]+")
 _ASCII_TOKEN = re.compile(b"[a-z0-9]+")
 
@@ -55,6 +58,17 @@ def _numbered(tokens_per_text: list[list]) -> tuple[np.ndarray, list, np.ndarray
     return codes, list(distinct), sizes
 
 
+def in_pieces(texts: pd.Series, limit: int = PIECE_CHARS) -> Iterator[pd.Series]:
+    """The same texts in order, at most ``limit`` characters (or one text) at a time: tokens take many times the room of their text."""
+    total = np.cumsum([len(t) if t else 0 for t in texts])
+    first = 0
+    while first < len(texts):
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield texts.iloc[first:last]
+        first = last
+
+
 def simhash_batch(texts: pd.Series, chunk: int = 256) -> pd.Series:
     """64-bit SimHash of every text in one Arrow batch, as signed longs; 0 without a token."""
     codes, distinct, sizes = _numbered([_TOKEN.findall(t.lower()) if t else [] for t in texts])
@@ -77,7 +91,8 @@ def simhash_batch(texts: pd.Series, chunk: int = 256) -> pd.Series:
 @F.pandas_udf(LongType())
 def simhash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield simhash_batch(texts)
+        for some in in_pieces(texts):
+            yield simhash_batch(some)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -134,8 +149,9 @@ def ngram_counts(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
 def hash_ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Signed feature hashing into ``HASH_DIMENSION`` buckets, as parallel sparse arrays."""
     for texts in batches:
-        found = ngram_counts(texts)
-        yield pd.DataFrame({"buckets": [b for b, _ in found], "counts": [c for _, c in found]})
+        for some in in_pieces(texts):
+            found = ngram_counts(some)
+            yield pd.DataFrame({"buckets": [b for b, _ in found], "counts": [c for _, c in found]})
 
 
 def name_uuid(name: Column) -> Column:
