@@ -24,6 +24,10 @@ from mailsift.session import cut_lineage
 PIVOTS = 256
 BLOCK = 4096
 STRIP = 256
+#: Scores, or placed rows, that a task holds at once outside tiles.
+PLACED = 1 << 18
+#: Rows outside the largest component that may meet every row in place of a join in cells.
+REST = 4096
 #: Rounding of angles; widens every bound.
 SLACK = 1e-6
 
@@ -183,13 +187,69 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
     return kept
 
 
-def joining_links(classes: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """id_a and id_b of links that have the components of all close pairs; a tile hands on fewer links than it has rows."""
+def _links_to(rows: DataFrame, few: list, threshold: float) -> DataFrame:
+    """Links that have the components of all close pairs between ``rows`` and a few of them.
+
+    Each row is linked to the first it is close to; others it is close to are linked to that one, once a batch if at all.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r.id for r in few]), _unit([r.v for r in few])))
+
+    def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, units = sent.value
+        step = max(1, PLACED // len(names))
+        for frame in frames:
+            for begin in range(0, len(frame), step):
+                some = frame.iloc[begin : begin + step]
+                near = np.round(_unit(some["v"].tolist()) @ units.T, 9) >= threshold
+                first, linked = near.argmax(axis=1), near.any(axis=1)
+                row, other = np.nonzero(near)
+                a, b = np.divmod(np.unique(first[row] * len(names) + other), len(names))
+                among = _forest(names[a], names[b])
+                own = pd.DataFrame({"id_a": names[first[linked]], "id_b": some["id"].to_numpy()[linked]})
+                yield pd.concat([own[own["id_a"] != own["id_b"]], pd.DataFrame(among, columns=["id_a", "id_b"]).astype(own.dtypes)])
+
+    return rows.select("id", "v").mapInPandas(link, f"id_a {kind}, id_b {kind}")
+
+
+def _outside(rows: DataFrame, links: DataFrame, few: list) -> DataFrame:
+    """The rows that links to a few rows leave outside the largest component; of the links only those among the few pass the driver."""
+    names = rows.sparkSession.createDataFrame([(r.id,) for r in few], rows.select("id").schema)
+    inner = links.join(F.broadcast(names.withColumnRenamed("id", "id_a")), "id_a").join(F.broadcast(names.withColumnRenamed("id", "id_b")), "id_b")
+    among = inner.select("id_a", "id_b").distinct().collect()
+    top = {r.id: r.id for r in few}
+    for x, y in _forest(np.array([r.id_a for r in among]), np.array([r.id_b for r in among])):
+        old, new = top[y], top[x]
+        top = {name: new if label == old else label for name, label in top.items()}
+    labels = rows.sparkSession.createDataFrame(list(top.items()), rows.select("id", F.col("id").alias("label")).schema)
+    own = links.select(F.col("id_b").alias("id"), F.col("id_a").alias("few")).unionByName(names.select("id", F.col("id").alias("few")))
+    labelled = own.join(F.broadcast(labels.withColumnRenamed("id", "few")), "few").select("id", "label").distinct()
+    largest = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").select("label").limit(1)
+    return rows.join(labelled.join(F.broadcast(largest), "label").select("id"), "id", "left_anti")
+
+
+def joining_links(classes: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK, rest: int = REST) -> DataFrame:
+    """id_a and id_b of links that have the components of all close pairs.
+
+    Rows are linked to the pivots they are close to first. If at most ``rest`` rows stay outside the largest component so found,
+    these meet every row, which is all that can be missing: pairs inside a component join nothing. Otherwise close pairs are
+    found in cells, where a tile hands on fewer links than it has rows.
+    """
     kind = classes.schema["class_id"].dataType.simpleString()
 
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(*_close(frame, threshold)[:2]), columns=["id_a", "id_b"])
 
+    if not 0.0 < threshold <= 1.0:
+        raise ValueError("the similarity threshold must be in (0, 1]")
+    rows = cut_lineage(classes.groupBy(F.col("class_id").alias("id")).agg(F.first("v").alias("v")))
+    few = rows.orderBy(F.xxhash64("v")).limit(pivots).collect()
+    if few:
+        links = cut_lineage(_links_to(rows, few, threshold))
+        # At most ``rest`` rows and one reach the driver.
+        left = _outside(rows, links, few).limit(rest + 1).collect()
+        if len(left) <= rest:
+            return links.unionByName(_links_to(rows, left, threshold)) if left else links
     return _joined(classes, threshold, pivots, block, judge, f"id_a {kind}, id_b {kind}")
 
 
