@@ -17,15 +17,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
 
 from mailsift.session import cut_lineage
 
 PIVOTS = 256
 BLOCK = 4096
 STRIP = 256
-#: Scores, or placed rows, that a task holds at once outside tiles.
+#: Scores that a task holds at once outside tiles.
 PLACED = 1 << 18
+#: Rows that a task hands on at once, each with its vector, while it places them in cells.
+PLACED_ROWS = 1 << 14
+#: Close pairs that a tile hands on at once.
+HANDED = 1 << 16
 #: Rows outside the largest component that may meet every row in place of a join in cells.
 REST = 4096
 #: Rounding of angles; widens every bound.
@@ -40,11 +46,20 @@ def vector_classes(vectors: DataFrame, key: str = "vec_id", vector: str = "embed
     return pointing.join(first, "v").select("class_id", key, "v")
 
 
-def _unit(rows: list) -> np.ndarray:
-    matrix = np.stack(rows).astype(np.float64)
+def _unit_matrix(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    if len(set(vectors.value_lengths().to_pylist())) > 1:
+        raise ValueError("vectors differ in length")
+    return np.asarray(vectors.flatten()).reshape(len(vectors), -1)
+
+
+def _unit(rows: list) -> np.ndarray:
+    return _unit_matrix(np.stack(rows).astype(np.float64))
+
+
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
@@ -58,22 +73,24 @@ def _placed(rows: DataFrame, threshold: float, pivots: int) -> DataFrame:
     centre = rows.sparkSession.sparkContext.broadcast(_unit([r.v for r in chosen]))
     reach = 2 * float(np.arccos(min(1.0, threshold))) + SLACK
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for first in range(0, len(frame), 1024):
-                some = frame.iloc[first : first + 1024]
-                angle = _angles(_unit(some["v"].tolist()), centre.value)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PLACED_ROWS // len(centre.value))
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                some = batch.slice(first, step)
+                angle = _angles(_unit_matrix(_matrix(some.column("v"))), centre.value)
                 home = angle.argmin(axis=1)
-                near = angle <= angle[np.arange(len(some)), home][:, None] + reach
+                near = angle <= angle[np.arange(len(home)), home][:, None] + reach
                 near &= np.arange(angle.shape[1]) >= home[:, None]
                 row, cell = np.nonzero(near)
-                yield pd.DataFrame({
-                    "cell": cell.astype(np.int32), "home": cell == home[row], "angle": angle[row, cell],
-                    "id": some["id"].to_numpy()[row], "v": some["v"].to_numpy()[row],
-                })
+                sent = some.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), pa.array(angle[row, cell]), sent.column("id"), sent.column("v")],
+                    names=["cell", "home", "angle", "id", "v"],
+                )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "v").mapInPandas(place, f"cell int, home boolean, angle double, id {kind}, v array<double>")
+    added = StructType().add("cell", IntegerType()).add("home", BooleanType()).add("angle", DoubleType())
+    return rows.select("id", "v").mapInArrow(place, StructType([*added.fields, *rows.select("id", "v").schema.fields]))
 
 
 def _tiles(placed: DataFrame, block: int) -> DataFrame:
@@ -114,47 +131,55 @@ def scored_strips(
             yield np.arange(len(ids[0]))[left], np.arange(len(ids[1]))[right], units[0][left] @ units[1][right].T
 
 
-def _close(frame: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Ids of the close pairs of a tile, their rounded cosines, and how many pairs were scored."""
+def _close(frame: pd.DataFrame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Strip by strip of a tile: ids of the close pairs, their rounded cosines, and how many pairs were scored."""
     same = bool(frame["first"].iat[0] == frame["second"].iat[0])
     frame = frame.sort_values("angle", kind="stable")
     sides = [frame[frame["side"] == side] for side in (0, 1)]
     if same:
         sides[1] = sides[0]
-    empty = np.zeros(0, frame["id"].to_numpy().dtype)
     if any(side.empty for side in sides):
-        return empty, empty, np.zeros(0), 0
+        return
     ids = tuple(side["id"].to_numpy() for side in sides)
     units = tuple(_unit(side["v"].tolist()) for side in sides)
     angles = tuple(side["angle"].to_numpy() for side in sides)
-    found, scored = [(empty, empty, np.zeros(0))], 0
     for left, right, score in scored_strips(ids, units, angles, float(np.arccos(min(1.0, threshold))) + SLACK, same):
-        scored += score.size
+        scored = score.size
         score = np.round(score, 9)
         row, column = np.nonzero(score >= threshold)
         if same:
             once = left[row] < right[column]
             row, column = row[once], column[once]
-        found.append((ids[0][left[row]], ids[1][right[column]], score[row, column]))
-    a, b, score = (np.concatenate(part) for part in zip(*found))
-    return np.minimum(a, b), np.maximum(a, b), score, scored
+        a, b = ids[0][left[row]], ids[1][right[column]]
+        yield np.minimum(a, b), np.maximum(a, b), score[row, column], scored
 
 
 def _joined(classes: DataFrame, threshold: float, pivots: int, block: int, judge: Callable, layout: str) -> DataFrame:
+    """What ``judge`` hands on of every tile, frame by frame."""
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the similarity threshold must be in (0, 1]")
     rows = cut_lineage(classes.groupBy(F.col("class_id").alias("id")).agg(F.first("v").alias("v")))
     placed = cut_lineage(_placed(rows, threshold, pivots))
-    return _tiles(placed, block).groupBy("cell", "first", "second").applyInPandas(judge, layout)
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from judge(pd.concat(frames, ignore_index=True))
+
+    return _tiles(placed, block).groupBy("cell", "first", "second").applyInPandas(judged, layout)
 
 
 def cosine_join(classes: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """id_a < id_b and similarity of all pairs of classes whose cosine, rounded to 1e-9, reaches the threshold."""
     kind = classes.schema["class_id"].dataType.simpleString()
 
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b, score, _ = _close(frame, threshold)
-        return pd.DataFrame({"id_a": a, "id_b": b, "similarity": score})
+    def judge(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for *found, _ in _close(frame, threshold):
+            held.append(found)
+            if sum(len(part[0]) for part in held) >= HANDED:
+                yield pd.DataFrame(dict(zip(("id_a", "id_b", "similarity"), map(np.concatenate, zip(*held)))))
+                held = []
+        if held:
+            yield pd.DataFrame(dict(zip(("id_a", "id_b", "similarity"), map(np.concatenate, zip(*held)))))
 
     return _joined(classes, threshold, pivots, block, judge, f"id_a {kind}, id_b {kind}, similarity double")
 
@@ -162,16 +187,17 @@ def cosine_join(classes: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
 def join_cost(classes: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """Per tile: its rows, the pairs it scored and those it found."""
 
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        a, _, _, scored = _close(frame, threshold)
-        return pd.DataFrame({"rows": [len(frame)], "scored": [scored], "found": [len(a)]})
+    def judge(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        strips = [(scored, len(a)) for a, _, _, scored in _close(frame, threshold)]
+        scored, found = map(sum, zip(*strips)) if strips else (0, 0)
+        yield pd.DataFrame({"rows": [len(frame)], "scored": [scored], "found": [found]})
 
     return _joined(classes, threshold, pivots, block, judge, "rows long, scored long, found long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """Links that join what earlier ones had not joined."""
-    parent: dict = {}
+def _forest(a: np.ndarray, b: np.ndarray, parent: dict | None = None) -> list[tuple]:
+    """Links that join what earlier ones had not joined; ``parent`` remembers these from call to call."""
+    parent = {} if parent is None else parent
 
     def root(x):
         while parent.setdefault(x, x) != x:
@@ -237,8 +263,10 @@ def joining_links(classes: DataFrame, threshold: float, pivots: int = PIVOTS, bl
     """
     kind = classes.schema["class_id"].dataType.simpleString()
 
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(*_close(frame, threshold)[:2]), columns=["id_a", "id_b"])
+    def judge(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        parent: dict = {}
+        for a, b, _, _ in _close(frame, threshold):
+            yield pd.DataFrame(_forest(a, b, parent), columns=["id_a", "id_b"])
 
     if not 0.0 < threshold <= 1.0:
         raise ValueError("the similarity threshold must be in (0, 1]")

@@ -1,6 +1,7 @@
 """Components of close vectors without a join in cells where a few rows already link them."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mailsift.operators import vectorjoin
@@ -37,3 +38,17 @@ def test_components_equal_all_pairs(spark, monkeypatch, strays, rest, cells):
 
 def test_no_rows(spark):
     assert vectorjoin.joining_links(spark.createDataFrame([], "class_id long, v array<double>"), 0.6).collect() == []
+
+
+def test_a_crowded_tile_hands_on_its_pairs_in_parts(spark, monkeypatch):
+    rows = np.eye(8)[0] + np.random.default_rng(6).standard_normal((700, 8)) * 0.01
+    frame = pd.DataFrame({"cell": 0, "first": 0, "second": 0, "side": 0, "angle": np.linspace(0, 0.01, 700), "id": range(700), "v": list(rows)})
+    strips = list(vectorjoin._close(frame, 0.9))
+    assert len(strips) > 3 and max(len(a) for a, *_ in strips) <= vectorjoin.STRIP**2
+    pairs = [pair for a, b, *_ in strips for pair in zip(a.tolist(), b.tolist())]
+    assert len(pairs) == len(set(pairs)) == 700 * 699 // 2 and all(a < b for a, b in pairs)
+    handed = []
+    monkeypatch.setattr(vectorjoin, "HANDED", 1000)
+    monkeypatch.setattr(vectorjoin, "_joined", lambda classes, threshold, pivots, block, judge, layout: handed.extend(judge(frame)))
+    vectorjoin.cosine_join(spark.createDataFrame([], "class_id long, v array<double>"), 0.9)
+    assert len(handed) > 3 and sorted(zip(*(pd.concat(handed)[c] for c in ("id_a", "id_b")))) == sorted(pairs)
