@@ -281,6 +281,23 @@ def joining_links(classes: DataFrame, threshold: float, pivots: int = PIVOTS, bl
     return _joined(classes, threshold, pivots, block, judge, f"id_a {kind}, id_b {kind}")
 
 
+def close_counts(classes: DataFrame, threshold: float, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """id and links of the classes that are close to another: ``link_counts`` of the join, counted where pairs are found.
+
+    A tile hands on at most one count a row, however many pairs it holds.
+    """
+    kind = classes.schema["class_id"].dataType.simpleString()
+
+    def judge(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids = np.unique(frame["id"].to_numpy())
+        links = np.zeros(len(ids), np.int64)
+        for a, b, _, _ in _close(frame, threshold):
+            links += np.bincount(np.searchsorted(ids, np.concatenate([a, b])), minlength=len(ids))
+        yield pd.DataFrame({"id": ids[links > 0], "links": links[links > 0]})
+
+    return _joined(classes, threshold, pivots, block, judge, f"id {kind}, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def link_counts(pairs: DataFrame) -> DataFrame:
     """id and how many close classes it has; both sides of a pair count."""
     sides = F.explode(F.array("id_a", "id_b"))

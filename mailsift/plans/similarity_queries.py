@@ -169,7 +169,7 @@ def similar_vectors(spark, folder):
 def vector_links(spark, folder):
     """Every row with its class and how many other classes are close to it."""
     classes = vectorjoin.vector_classes(_vectors(spark, folder))
-    counts = vectorjoin.link_counts(vectorjoin.cosine_join(classes, TAU)).withColumnRenamed("id", "class_id")
+    counts = vectorjoin.close_counts(classes, TAU).withColumnRenamed("id", "class_id")
     return classes.join(counts, "class_id", "left").select("vec_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
