@@ -21,6 +21,8 @@ from mailsift.session import cut_lineage
 LEADER_BATCH = 4096
 ROW_BLOCK = 8192
 ARRIVALS = 256
+#: Similarities that a task holds at once.
+SCORES = 1 << 20
 
 
 def centroids(assigned: DataFrame, cluster: str, vector: str = "embedding") -> DataFrame:
@@ -47,13 +49,22 @@ def _met(rows: DataFrame, leaders: DataFrame, key: str, judge, layout: str, bloc
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sent = leaders.select(every.alias("_block"), F.lit(True).alias("_leads"), key, "_v")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(frames, ignore_index=True)
         leads = pdf["_leads"].to_numpy(bool)
-        return judge(pdf[~leads], pdf[leads].sort_values(key))
+        yield from judge(pdf[~leads], pdf[leads].sort_values(key))
 
     return own.unionByName(sent).groupBy("_block").applyInPandas(run, layout)
 
 
+def _strips(rows: pd.DataFrame, leaders: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows with their similarity to each leader, at most about ``SCORES`` numbers at a time."""
+    step = max(1, SCORES // max(1, len(leaders)))
+    for begin in range(0, len(rows), step):
+        some = rows.iloc[begin : begin + step]
+        yield some, _scores(some, leaders)
+
+
 def _scores(rows: pd.DataFrame, leaders: pd.DataFrame) -> np.ndarray:
     """Similarity of each row to each leader."""
     if rows.empty or leaders.empty:
@@ -83,18 +94,20 @@ def campaign_leaders(
         names, _ = _greedy(pdf[key].tolist(), _unit_rows(np.stack(pdf["_v"].to_numpy())), threshold)
         return pdf.loc[pdf[key].isin(names), [key, "_v"]]
 
-    def undecided(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        return rows.loc[~(_scores(rows, leaders) >= threshold).any(axis=1), [key, "_v"]]
-
-    def best(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        scores = _scores(rows, leaders)
-        ids, keys = leaders[key].to_numpy(), rows[key].to_numpy()
-        scores[ids[None, :] > keys[:, None]] = -2.0  # a leader is never later than its members
-        scores[ids[None, :] == keys[:, None]] = 1.0
-        top = scores.max(axis=1, initial=-2.0)
-        found = top >= threshold
-        at = scores.argmax(axis=1)[found] if found.any() else np.zeros(0, int)
-        return pd.DataFrame({"cluster_id": ids[at], key: keys[found], "similarity": top[found]})
+    def undecided(rows: pd.DataFrame, leaders: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for some, scores in _strips(rows, leaders):
+            yield some.loc[~(scores >= threshold).any(axis=1), [key, "_v"]]
+
+    def best(rows: pd.DataFrame, leaders: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        ids = leaders[key].to_numpy()
+        for some, scores in _strips(rows, leaders):
+            keys = some[key].to_numpy()
+            scores[ids[None, :] > keys[:, None]] = -2.0  # a leader is never later than its members
+            scores[ids[None, :] == keys[:, None]] = 1.0
+            top = scores.max(axis=1, initial=-2.0)
+            found = top >= threshold
+            at = scores.argmax(axis=1)[found] if found.any() else np.zeros(0, int)
+            yield pd.DataFrame({"cluster_id": ids[at], key: keys[found], "similarity": top[found]})
 
     chosen: list[DataFrame] = []
     left = everything

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from mailsift.operators import vectorjoin
+from mailsift.operators import campaigns, vectorjoin
 
 
 def parts(n, links):
@@ -52,3 +52,21 @@ def test_a_crowded_tile_hands_on_its_pairs_in_parts(spark, monkeypatch):
     monkeypatch.setattr(vectorjoin, "_joined", lambda classes, threshold, pivots, block, judge, layout: handed.extend(judge(frame)))
     vectorjoin.cosine_join(spark.createDataFrame([], "class_id long, v array<double>"), 0.9)
     assert len(handed) > 3 and sorted(zip(*(pd.concat(handed)[c] for c in ("id_a", "id_b")))) == sorted(pairs)
+
+
+def test_links_are_counted_in_tiles(spark):
+    rows = vectors(0.8, 20)
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "class_id long, v array<double>")
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    close = (np.round(unit @ unit.T, 9) >= 0.6).sum(axis=1) - 1
+    found = {r.id: r.links for r in vectorjoin.close_counts(classes, 0.6, pivots=5, block=40).collect()}
+    assert found == {i: int(n) for i, n in enumerate(close) if n}
+
+
+def test_leaders_are_scored_in_strips(spark, monkeypatch):
+    monkeypatch.setattr(campaigns, "SCORES", 100)
+    frame = pd.DataFrame({"vec_id": range(50), "_v": [v for v in vectors(0.8, 0)[:50]]})
+    parts = list(campaigns._strips(frame, frame[:8]))
+    assert all(scores.size <= 100 for _, scores in parts) and pd.concat([some for some, _ in parts]).equals(frame)
+    assert np.array_equal(np.concatenate([scores for _, scores in parts]), campaigns._scores(frame, frame[:8]))
+    assert [scores.shape for _, scores in campaigns._strips(frame, frame[:0])] == [(50, 0)]
