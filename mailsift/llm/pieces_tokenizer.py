@@ -3,12 +3,13 @@
 The model file is protobuf; its pieces, scores, types, normaliser settings and byte fallback are read from the wire
 format and rebuilt as a ``tokenizers`` model: unigram scores as they are, or for a BPE model the merges that the
 piece scores imply. Texts are marked with the metaspace and cut before every run of marks; that is exact when no
-piece holds a mark after another character, which is checked, otherwise the whole text is one segment. A segment is
-encoded once per worker, in multithreaded batches, and checked there: against the sentencepiece library (parity) and
-by spelling its ids out again (round trip). Memory is bounded by ``KEPT`` segments and one piece of texts.
+piece holds a mark after another character, which is checked, otherwise the whole text is one segment. A worker remembers
+the ids of segments, which it encodes in multithreaded batches. Every row is then checked whole: the sentencepiece library encodes
+its text (parity) and decodes its ids (round trip; the tokenizers library does where nothing is verified). Memory is bounded by ``KEPT`` segments and one
+piece of texts.
 
 Nulls, empties, repeats: a null or empty text has no ids, parity and a round trip. A text that itself holds the
-metaspace character decodes to a space there, so its round trip is false. Every row is encoded, very long
+metaspace character decodes to a space there, so its round trip is false. Every row is encoded and checked, very long
 texts whole, repeated rows alike. An empty table gives no rows. Extra columns are ignored, or kept where asked.
 """
 
@@ -177,7 +178,6 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.ids: list[np.ndarray] = []
         self.sizes: list[np.ndarray] = []
-        self.good: list[np.ndarray] = []
 
     def segments(self, text: str) -> list[str]:
         """Segments of a text, each without its first mark."""
@@ -201,19 +201,24 @@ class Encoder:
         return [*out, MARK * run + parts[-1]]
 
     def learn(self, fresh: list[str]) -> None:
-        """Encodes new segments and checks them; ``good`` holds (parity, round trip)."""
+        """Encodes new segments."""
         first = MARK if self.model.dummy_prefix else ""
-        whole = [first + segment for segment in fresh]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([first + segment for segment in fresh], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        good = np.ones((len(fresh), 2), bool)
-        good[:, 1] = self.spelled(flat, sizes, whole)
-        if self.reference is not None:
-            good[:, 0] = [a == b for a, b in zip(self.reference.encode(fresh, num_threads=1), ids)]
-        self.ids.append(flat)
+        self.ids.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
         self.sizes.append(sizes)
-        self.good.append(good)
+
+    def checked(self, texts: list[str], ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """(parity, round trip) of whole texts: the reference's ids are the same, and decoding gives the text back."""
+        flat, cuts = ids.tolist(), bounds.tolist()
+        rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        fine = np.ones((len(texts), 2), bool)
+        if self.reference is not None:
+            fine[:, 0] = [a == b for a, b in zip(self.reference.encode(texts, num_threads=1), rows)]
+        wanted = texts if self.normalizer is None else map(self.normalizer.normalize_str, texts)
+        back = self.decode(rows) if self.reference is None else self.reference.decode(rows, num_threads=1)
+        fine[:, 1] = [MARK not in text and a == b for text, a, b in zip(texts, back, wanted)]
+        return fine
 
     def spelled(self, flat: np.ndarray, sizes: np.ndarray, marked: list[str]) -> np.ndarray:
         """For each text of marked words whether the bytes of its ``sizes`` ids are its own."""
@@ -246,10 +251,10 @@ class Encoder:
                 self.learn(fresh[first : first + TOGETHER])
         if not number:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64), np.ones((len(texts), 2), bool)
-        for store in (self.ids, self.sizes, self.good):
+        for store in (self.ids, self.sizes):
             if len(store) > 1:
                 store[:] = [np.concatenate(store)]
-        ids, sizes, good = self.ids[0], self.sizes[0], self.good[0]
+        ids, sizes = self.ids[0], self.sizes[0]
         starts = np.cumsum(sizes) - sizes
         which = np.concatenate(listed)
         length = sizes[which]
@@ -257,10 +262,9 @@ class Encoder:
         source = np.arange(int(length.sum())) + np.repeat(starts[which] - ends + length, length)
         cuts = np.concatenate([[0], np.cumsum(per_text)])
         bounds = np.concatenate([[0], ends])[cuts]
-        bad = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(~good[which], axis=0)])[cuts]
-        fine = np.diff(bad, axis=0) == 0
-        fine[:, 1] &= np.array([MARK not in text for text in texts])
-        return ids[source], bounds, fine
+        found = ids[source]
+        with without_cycle_search():
+            return found, bounds, self.checked(texts, found, bounds)
 
     def decode(self, rows: list[list[int]]) -> list[str]:
         texts = self.tokenizer.decode_batch(rows, skip_special_tokens=False)

@@ -84,3 +84,25 @@ def test_more_new_segments_than_one_round_and_repeated_rows(spark, reference, mo
         ids, bounds, fine = encoder.encode(some)
         assert fine.all()
         assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [reference.encode(t) for t in some]
+
+
+def test_every_row_is_checked_whole():
+    encoder = P.Encoder(open(P.MODEL, "rb").read())
+    texts = ["one two", "", "one two", "two  one é", "a▁b"]
+    library, asked, decoded = encoder.reference, [], []
+
+    class Reference:
+        def encode(self, some, **options):
+            asked.extend(some)
+            return [ids[:-1] if text == "two  one é" else ids for text, ids in zip(some, library.encode(some, **options))]
+
+        def decode(self, rows, **options):
+            decoded.extend(rows)
+            return [t.replace("one two", "one") for t in library.decode(rows, **options)]
+
+    encoder.reference = Reference()
+    ids, bounds, fine = encoder.encode(texts)
+    assert asked == texts and decoded == [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
+    assert fine.tolist() == [[True, False], [True, True], [True, False], [False, True], [True, False]]
+    encoder.reference = None
+    assert encoder.encode(texts)[2].tolist() == [[True, True]] * 4 + [[True, False]]
