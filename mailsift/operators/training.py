@@ -21,6 +21,9 @@ from mailsift.functions.numeric import raw_malicious
 from mailsift.functions.tiers import is_abuse, lookup
 from mailsift.functions.vectors import unit
 
+#: Training rows of a partition that an optimiser step reads as one task.
+FIT_ROWS = 1 << 17
+
 
 def join_features(export: DataFrame, features: DataFrame, version: int = V.FEATURE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(examples with features, one-row count of labels dropped for want of them)."""
@@ -88,19 +91,21 @@ def label_index(label: Column) -> Column:
 def fit_classifier(examples: DataFrame, vector: str = "feature_vector", strength: float = 1.0, iterations: int = 200) -> PipelineModel:
     """Weighted multinomial logistic regression on standardised features.
 
-    ``strength`` is the inverse penalty on the summed loss; Spark penalises the mean loss.
+    ``strength`` is the inverse penalty on the summed loss; Spark penalises the mean loss. Every optimiser step is a job over all
+    rows, so these are held in as many partitions as run at once, or ``FIT_ROWS`` rows each where that is more.
     """
     needed = examples.select(vector, "weight", label_index(F.col("label")).alias("_label"))
     labelled = needed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        weight = labelled.agg(F.sum("weight")).first()[0]
+        weight, rows = labelled.agg(F.sum("weight"), F.count(F.lit(1))).first()
+        parts = max(examples.sparkSession.sparkContext.defaultParallelism, -(-rows // FIT_ROWS))
         scaler = StandardScaler(inputCol=vector, outputCol="_scaled", withMean=True, withStd=True)
         model = LogisticRegression(
             featuresCol="_scaled", labelCol="_label", weightCol="weight", family="multinomial",
             regParam=1.0 / (strength * weight), standardization=False, maxIter=iterations,
             probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_raw",
         )
-        return Pipeline(stages=[scaler, model]).fit(labelled)
+        return Pipeline(stages=[scaler, model]).fit(labelled.coalesce(parts))
     finally:
         labelled.unpersist()
 

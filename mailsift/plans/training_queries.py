@@ -11,7 +11,7 @@ from mailsift.plans.common import R6, r6
 from mailsift.plans.evaluation_queries import _SPLIT, _retrain, _split
 from mailsift.plans.registry import query
 from mailsift.sources import sinks
-from mailsift.session import ensure_checkpoint_dir
+from mailsift.session import cut_lineage, ensure_checkpoint_dir
 
 c = F.col
 
@@ -160,7 +160,8 @@ def dataset_version(spark, folder):
 @query("classifier_scores")
 def classifier_scores(spark, folder):
     """Class probabilities of every message under a model trained on the labelled ones; the optimiser has no SQL twin."""
-    vectors = features.with_vector(features.extract_features(R.messages(spark, folder))).select("email_id", "feature_vector", "feature_version")
+    extracted = features.with_vector(features.extract_features(R.messages(spark, folder)))
+    vectors = cut_lineage(extracted.select("email_id", "feature_vector", "feature_version"))  # texts are read once: for the fit and the scores
     examples, _ = training.join_features(_examples(spark, folder), vectors)
     model = training.fit_classifier(examples)
     scored = training.score_classes(model, vectors)
