@@ -64,18 +64,26 @@ def _without_hubs(members: DataFrame, limit: int) -> DataFrame:
     return cut_lineage(reduce(DataFrame.unionByName, done))
 
 
+def linking(members: DataFrame) -> DataFrame:
+    """The rows (r, n), each there once, of relations with several members; joined by both columns, so no relation gathers in one task."""
+    single = members.groupBy("r").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")).filter(F.col("rows") == 1)
+    return cut_lineage(members.join(single.select("r", "n"), ["r", "n"], "left_anti"))
+
+
 def component_labels(members: DataFrame, relation: str = "relation_id", node: str = "email_id", hub: int = HUB) -> DataFrame:
     """Smallest node of the component each node belongs to.
 
     ``members`` lists which node is in which relation. Crowded relations and nodes are cut into parts first, so every
     join below deals in keys of bounded size. A round takes the smallest label inside every relation, hands it back, and follows
     each label one step further, so long chains halve; a label that very many nodes have is looked up by salted keys.
+    A relation of one member links nothing and takes no part in the rounds; a node in no other is a component of its own.
     A row without a node or a relation joins nothing and is left out.
     """
     if hub < 2:
         raise ValueError("a part needs at least two members")
     named = members.select(F.col(relation).alias("r"), F.col(node).alias("n")).filter("r IS NOT NULL AND n IS NOT NULL").distinct()
-    edges = _without_hubs(cut_lineage(named), hub)
+    named = cut_lineage(named)
+    edges = _without_hubs(linking(named), hub)
     labels = edges.select("n", "alias").distinct().withColumn("label", F.col("n"))
     while True:
         held = edges.join(labels, ["n", "alias"])
@@ -93,7 +101,9 @@ def component_labels(members: DataFrame, relation: str = "relation_id", node: st
         moved = cut_lineage(moved.select("n", "alias", F.col("further").alias("label"), "old"))
         labels = moved.select("n", "alias", "label")
         if moved.filter("label <> old").isEmpty():
-            return labels.filter("alias = 0").select(F.col("n").alias(node), F.col("label").alias("component"))
+            found = labels.filter("alias = 0").select("n", F.col("label").alias("component"))
+            alone = named.select("n").distinct().join(found, "n", "left_anti").select("n", F.col("n").alias("component"))
+            return found.unionByName(alone).withColumnRenamed("n", node)
 
 
 def resolve_families(
