@@ -102,3 +102,59 @@ def test_word_codes_do_not_depend_on_the_batch():
     whole = split_words(texts, lower=True)
     parts = np.concatenate([split_words(texts.slice(i, 1), lower=True).codes for i in range(5)])
     assert whole.codes.tolist() == parts.tolist() and whole.counts.tolist() == [2, 0, 0, 2, 1]
+
+
+def test_scores_equal_a_whole_tree(spark):
+    """Sums of one number per code, met in passes, are the scores of a tree held whole."""
+    data = rows()
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    training = docs.filter(~suffixtree.held_out(F.col("doc_id")))
+    tree = suffixtree.fit_tree(training, suffixtree.token_counts(training))
+    assert sum(map(len, tree.state_codes)) > 30
+    found = {r.doc_id: r for r in run(spark, data)}
+    for i, text in data:
+        whole = suffixtree.tokens(pa.array([text], pa.string()))
+        rank = suffixtree._find(tree.words, whole.codes)
+        gain = suffixtree.adjustments(tree, whole, rank).sum()
+        assert found[i].score - found[i].base_score == pytest.approx(gain, rel=1e-9, abs=1e-9)
+
+
+def test_grams_equal_brute_force_and_no_shuffle_is_wider_than_two_codes(spark):
+    """Of each order the grams seen twice, their context and count; one order in a shuffle, packed."""
+    data = rows()
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for k in (2, 3, 4):
+        expected = Counter()
+        for _, text in data:
+            words = toks(text)
+            expected.update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+        found = suffixtree.gram_counts(docs, k).collect()
+        assert sorted(r.n for r in found) == sorted(n for n in expected.values() if n >= 2)
+        assert len({r.gram for r in found}) == len(found)
+        assert len({r.context for r in found}) == len({g[:-1] for g, n in expected.items() if n >= 2})
+    packed = list(suffixtree._gram_rows(4, 0, 1)(iter([pa.record_batch({"text": [" ".join(f"w{i * i % 977}" for i in range(50000))]})])))
+    distinct = sum(len(suffixtree._codes(c)) for batch in packed for c in batch.column("codes"))
+    assert distinct and sum(b.nbytes for b in packed) < 24 * distinct + (1 << 17)
+
+
+def test_tables_of_a_fit_are_emptied(spark, tmp_path):
+    """After scoring, no counted grams and no level of the tree are left on disk, only nodes and texts."""
+    from mailsift.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    made = []
+    keep = suffixtree.stored
+
+    def noted(df):
+        made.append(keep(df))
+        return made[-1]
+
+    suffixtree.stored = noted
+    try:
+        run(spark, rows())
+    finally:
+        suffixtree.stored = keep
+    columns = [tuple(df.columns) for df in made]
+    left = [c for df, c in zip(made, columns) if spark.read.schema(df.schema).parquet(df.inputFiles()[0].rsplit("/", 1)[0]).count()]
+    assert ("gram", "context", "n") in columns and ("gram", "context", "n") not in left
+    assert not any("lower" in c for c in left)
