@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
@@ -20,7 +23,6 @@ FNV_PRIME = 0x100000001B3
 PIECE_CHARS = 1 << 19
 
 _TOKEN = re.compile("[a-z0-9]+")
-_ASCII_TOKEN = re.compile(b"[a-z0-9]+")
 
 
 def content_hash(content: Column) -> Column:
@@ -100,49 +102,74 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 SPARSE_COUNTS = StructType().add("buckets", ArrayType(IntegerType())).add("counts", ArrayType(IntegerType()))
-_WORD = np.uint64(0xFFFFFFFF)
 
+#: Bytes as they are hashed: digits and letters in lower case, all else as zero.
+_HASHED = np.zeros(256, np.uint8)
+for _symbol in b"abcdefghijklmnopqrstuvwxyz0123456789":
+    _HASHED[_symbol] = _HASHED[ord(chr(_symbol).upper())] = _symbol
 
-def _java_hash(tokens: list[str]) -> np.ndarray:
-    """31-polynomial string hash, as unsigned 32-bit values."""
-    return _fold_characters(tokens, 0, lambda h, ch: (h * np.uint64(31) + ch) & _WORD)
+#: Base of the string hash and its inverse, modulo 2**32.
+_BASE, _INVERSE = 31, pow(31, -1, 1 << 32)
 
 
-def ngram_counts(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Signed bucket counts of the 1- and 2-grams of each text, ordered by bucket, zero sums dropped.
+@functools.lru_cache(4)
+def _powers(base: int, bits: int) -> np.ndarray:
+    """The first ``2**bits`` powers of ``base``, modulo 2**32."""
+    factors = np.full(1 << bits, base, np.uint32)
+    factors[0] = 1
+    return np.multiply.accumulate(factors, dtype=np.uint32)
+
+
+def _token_hashes(written: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(31-polynomial string hash as unsigned 32-bit value, length, number of the text) of every token, in order.
 
-    The hash of ``"a b"`` is put together from the hashes of ``a`` and ``b``, so only distinct tokens are
-    hashed character by character.
+    ``written`` holds the bytes of all texts end to end, ``bounds`` where each begins and the last ends. With ``P`` the sum of every
+    character over the power of 31 at its place, a token's hash is the difference of ``P`` at its ends times the power at its last
+    character: one pass over the characters, whatever the tokens.
     """
-    codes, distinct, sizes = _numbered(
-        [_ASCII_TOKEN.findall(t.encode("ascii", "replace").lower()) if t else [] for t in texts]
-    )
-    nothing = (np.zeros(0, np.int32), np.zeros(0, np.int32))
-    if not distinct:
-        return [nothing] * len(texts)
-    lengths = np.fromiter((len(t) for t in distinct), np.int64, len(distinct))
-    powers = np.ones(int(lengths.max()) + 2, np.uint64)
-    for i in range(1, len(powers)):
-        powers[i] = powers[i - 1] * np.uint64(31) & _WORD
-    hashes = _java_hash(distinct)
-    rows = np.repeat(np.arange(len(texts)), sizes)
-    first, second = codes[:-1], codes[1:]
-    joined = (
-        hashes[first] * powers[lengths[second] + 1]
-        + np.uint64(ord(" ")) * powers[lengths[second]]
-        + hashes[second]
-    ) & _WORD
-    together = rows[:-1] == rows[1:]
-    grams = np.concatenate([hashes[codes], joined[together]])
-    owners = np.concatenate([rows, rows[:-1][together]])
-    slots = owners * V.HASH_DIMENSION + (grams % np.uint64(V.HASH_DIMENSION)).astype(np.int64)
-    signs = np.where(grams >= np.uint64(1 << 31), -1, 1)
-    used, where = np.unique(slots, return_inverse=True)
-    sums = np.bincount(where, weights=signs).astype(np.int32)
-    used, sums = used[sums != 0], sums[sums != 0]
-    edges = np.searchsorted(used, np.arange(len(texts) + 1) * V.HASH_DIMENSION)
-    buckets = (used % V.HASH_DIMENSION).astype(np.int32)
-    return [(buckets[a:b], sums[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    characters = _HASHED[written]
+    inside = np.concatenate([[False], characters != 0, [False]])
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    # Texts touch; no token reaches from one into the next.
+    cuts = bounds[(bounds > 0) & (bounds < len(written))]
+    first[cuts], last[cuts - 1] = inside[cuts + 1], inside[cuts]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    bits = len(written).bit_length()
+    sums = np.zeros(len(written) + 1, np.uint32)
+    np.cumsum(characters * _powers(_INVERSE, bits)[: len(written)], dtype=np.uint32, out=sums[1:])
+    hashes = (sums[last + 1] - sums[first]) * _powers(_BASE, bits)[last]
+    return hashes, last - first + 1, np.searchsorted(bounds, first, "right") - 1
+
+
+def ngram_table(written: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, signed counts, bounds of each text's share) of the 1- and 2-grams of texts whose bytes lie end to end; as ``ngram_counts``.
+
+    Bytes above 127 are parts of other characters and hash to nothing, as in ASCII with such characters replaced.
+    The hash of ``"a b"`` is put together from the hashes of ``a`` and ``b``.
+    """
+    hashes, lengths, rows = _token_hashes(written, bounds)
+    powers = _powers(_BASE, int(lengths.max(initial=0) + 1).bit_length())
+    together = np.flatnonzero(rows[:-1] == rows[1:])
+    second, size = hashes[together + 1], lengths[together + 1]
+    joined = hashes[together] * powers[size + 1] + np.uint32(ord(" ")) * powers[size] + second
+    grams = np.concatenate([hashes, joined])
+    slots = np.concatenate([rows, rows[together]]) * V.HASH_DIMENSION + grams % np.uint32(V.HASH_DIMENSION)
+    # Sorted with the sign as last bit, so that the grams of a slot lie side by side.
+    ordered = np.sort(slots * 2 + (grams < np.uint32(1 << 31)))
+    slots, signs = ordered >> 1, (ordered & 1).astype(np.int32) * 2 - 1
+    firsts = np.flatnonzero(np.diff(slots, prepend=-1))
+    sums = np.add.reduceat(signs, firsts, dtype=np.int32) if len(firsts) else signs
+    used, sums = slots[firsts][sums != 0], sums[sums != 0]
+    edges = np.searchsorted(used, np.arange(len(bounds)) * V.HASH_DIMENSION)
+    return (used % V.HASH_DIMENSION).astype(np.int32), sums, edges
+
+
+def ngram_counts(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Signed bucket counts of the 1- and 2-grams of each text, ordered by bucket, zero sums dropped."""
+    written = [t.encode("ascii", "replace") if t else b"" for t in texts]
+    bounds = np.cumsum([0, *(len(w) for w in written)])
+    buckets, counts, edges = ngram_table(np.frombuffer(b"".join(written), np.uint8), bounds)
+    return [(buckets[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
 
 @F.pandas_udf(SPARSE_COUNTS)
@@ -154,6 +181,26 @@ def hash_ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"buckets": [b for b, _ in found], "counts": [c for _, c in found]})
 
 
+def ngram_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (key, ``buckets``, ``values``): the counts of ``hash_ngrams`` over their length, some texts at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, texts = batch.columns
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        written = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PIECE_CHARS, "right")) - 1)
+            buckets, counts, edges = ngram_table(written[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
+            squares = np.concatenate([[0], np.cumsum(counts.astype(np.int64) ** 2)])
+            values = counts / np.repeat(np.sqrt(np.diff(squares[edges])), np.diff(edges))
+            arrays = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat)) for flat in (buckets, values)]
+            yield pa.RecordBatch.from_arrays([key.slice(first, last - first), *arrays], [batch.schema.names[0], "buckets", "values"])
+            first = last
+
+
 def name_uuid(name: Column) -> Column:
     """Version-3 UUID of a name's bytes, without a namespace."""
     digest = F.md5(name)

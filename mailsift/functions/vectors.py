@@ -22,8 +22,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """L2-normalised doubles; a zero vector stays zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / F.nullif(size, F.lit(0.0))))
+
+    def over(size: Column) -> Column:
+        return F.transform(a, lambda x: F.when(size == 0, F.lit(0.0)).otherwise(x.cast("double") / F.nullif(size, F.lit(0.0))))
+
+    # An array of the norm alone: named in the inner lambda itself, the norm would be computed again for every element.
+    return F.transform(F.array(norm(a)), over)[0]
 
 
 def to_literal(a: Column) -> Column:

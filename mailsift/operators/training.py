@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -13,10 +15,10 @@ from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from mailsift import vocabulary as V
-from mailsift.functions.hashing import hash_ngrams
+from mailsift.functions.hashing import ngram_vectors
 from mailsift.functions.numeric import raw_malicious
 from mailsift.functions.tiers import is_abuse, lookup
 from mailsift.functions.vectors import unit
@@ -24,6 +26,9 @@ from mailsift.functions.vectors import unit
 #: Training rows of a partition that an optimiser step reads as one task.
 FIT_ROWS = 1 << 17
 
+#: Rows that are written out in full at once to be multiplied with themselves, and rows of the product that are computed at once.
+GRAM_ROWS, GRAM_TILE = 1 << 10, 1 << 9
+
 
 def join_features(export: DataFrame, features: DataFrame, version: int = V.FEATURE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(examples with features, one-row count of labels dropped for want of them)."""
@@ -123,16 +128,8 @@ def score_classes(model: PipelineModel, messages: DataFrame) -> DataFrame:
 
 def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> DataFrame:
     """Unit-length n-gram counts per message, as parallel sparse arrays ``buckets`` and ``values``."""
-    counts = F.col("_counts.counts")
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, n: acc + n * n))
-    return (
-        messages.select(key, hash_ngrams(F.col(text)).alias("_counts"))
-        .withColumn("_length", F.nullif(length, F.lit(0.0)))
-        .select(
-            key, F.col("_counts.buckets").alias("buckets"),
-            F.transform(counts, lambda n: n / F.col("_length")).alias("values"),
-        )
-    )
+    taken = messages.select(key, text)
+    return taken.mapInArrow(ngram_vectors, StructType([taken.schema[0]]).add("buckets", ArrayType(IntegerType())).add("values", ArrayType(DoubleType())))
 
 
 def fit_encoder(
@@ -140,27 +137,23 @@ def fit_encoder(
 ) -> np.ndarray:
     """Leading right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
 
-    Randomised subspace iteration: every pass multiplies the corpus with a basis of fixed size on the
-    executors and sums one partial product per task, so neither rows nor pairs of rows reach the driver. Passes end when
-    the energy that the leading directions keep grows by less than a ``settled`` part.
+    Randomised subspace iteration on the Gram matrix of the buckets, which has a fixed size and is summed in one pass over the corpus,
+    so neither rows nor pairs of rows reach the driver. Iterations end when the energy that the leading directions keep
+    grows by less than a ``settled`` part.
     """
     width = min(dimension + oversample, V.HASH_DIMENSION)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((V.HASH_DIMENSION, width)))
-    corpus = hashed.select("buckets", "values").persist(StorageLevel.MEMORY_AND_DISK)
-    kept = 0.0
-    try:
-        while True:
-            product = _gram_times(corpus, basis)
-            # Energies of the corpus within the basis, and the directions that have them.
-            energy, turned = np.linalg.eigh(basis.T @ product)
-            energy, turned = energy[::-1], turned[:, ::-1]
-            found = int((energy > max(energy[0], 0.0) * 1e-9).sum())
-            before, kept = kept, float(energy[:dimension].clip(0).sum())
-            if kept - before <= settled * kept:
-                return (basis @ turned)[:, : min(dimension, found)]
-            basis, _ = np.linalg.qr(product)
-    finally:
-        corpus.unpersist()
+    gram, kept = _gram(hashed.select("buckets", "values")), 0.0
+    while True:
+        product = gram @ basis
+        # Energies of the corpus within the basis, and the directions that have them.
+        energy, turned = np.linalg.eigh(basis.T @ product)
+        energy, turned = energy[::-1], turned[:, ::-1]
+        found = int((energy > max(energy[0], 0.0) * 1e-9).sum())
+        before, kept = kept, float(energy[:dimension].clip(0).sum())
+        if kept - before <= settled * kept:
+            return (basis @ turned)[:, : min(dimension, found)]
+        basis, _ = np.linalg.qr(product)
 
 
 def encoder_facts(hashed: DataFrame, encoder: np.ndarray) -> DataFrame:
@@ -190,6 +183,52 @@ def _dense_rows(buckets: pd.Series, values: pd.Series, chunk: int = 256) -> Iter
         yield begin, block
 
 
+def _full_blocks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Sparse rows (``buckets``, ``values``) written out in full, at most ``GRAM_ROWS`` at a time; a block is overwritten by the next."""
+    room = np.zeros((min(batch.num_rows, GRAM_ROWS), V.HASH_DIMENSION))
+    for begin in range(0, batch.num_rows, GRAM_ROWS):
+        some = batch.slice(begin, GRAM_ROWS)
+        sizes = pc.fill_null(pc.list_value_length(some.column("buckets")), 0).to_numpy(zero_copy_only=False)
+        slots = np.repeat(np.arange(some.num_rows) * V.HASH_DIMENSION, sizes) + some.column("buckets").flatten().to_numpy()
+        room.ravel()[slots] = some.column("values").flatten().to_numpy(zero_copy_only=False)
+        yield room[: some.num_rows]
+        room.ravel()[slots] = 0.0
+
+
+def _gram(corpus: DataFrame) -> np.ndarray:
+    """``A' A`` for the sparse corpus ``A``: ``HASH_DIMENSION`` squared, whatever the corpus.
+
+    Only tiles on and below the diagonal are computed. A task sends what is below once, and there are at most as many tasks as run at once.
+    """
+    edges = [(a, min(a + GRAM_TILE, V.HASH_DIMENSION)) for a in range(0, V.HASH_DIMENSION, GRAM_TILE)]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: list[np.ndarray] = []
+        room = np.empty(GRAM_TILE * V.HASH_DIMENSION)
+        for batch in batches:
+            tiles = tiles or [np.zeros((b - a, b)) for a, b in edges]
+            for block in _full_blocks(batch):
+                for (a, b), tile in zip(edges, tiles):
+                    tile += np.matmul(block[:, a:b].T, block[:, :b], out=room[: tile.size].reshape(tile.shape))
+        for (a, b), tile in zip(edges, tiles):
+            rows = np.flatnonzero(tile.any(axis=1))
+            ends = pa.array(np.cumsum([0, *(rows + a + 1)]), pa.int32())
+            below = tile[rows][rows[:, None] + a >= np.arange(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows + a), pa.ListArray.from_arrays(ends, below)], ["bucket", "partial"])
+
+    tasks = max(1, corpus.sparkSession.sparkContext.defaultParallelism)
+    partials = corpus.coalesce(tasks).mapInArrow(multiply, "bucket bigint, partial array<double>")
+    summed = partials.groupBy("bucket").agg(vector_to_array(Summarizer.sum(array_to_vector("partial"))).alias("row"))
+    gram = np.zeros((V.HASH_DIMENSION, V.HASH_DIMENSION))
+    for batch in summed.toArrow().to_batches():
+        for bucket, row in zip(batch.column("bucket").to_pylist(), batch.column("row")):
+            gram[bucket, : len(row)] = row.values.to_numpy()
+    for a, b in edges:
+        gram[a:b, a:b] += np.tril(gram[a:b, a:b], -1).T
+        gram[a:b, b:] = gram[b:, a:b].T
+    return gram
+
+
 def _gram_times(corpus: DataFrame, basis: np.ndarray) -> np.ndarray:
     """``A' A basis`` for the sparse corpus ``A``."""
     shared = corpus.sparkSession.sparkContext.broadcast(basis)
