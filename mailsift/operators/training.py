@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from mailsift import vocabulary as V
@@ -29,6 +30,9 @@ FIT_ROWS = 1 << 17
 #: Rows that are written out in full at once to be multiplied with themselves, and rows of the product that are computed at once.
 GRAM_ROWS, GRAM_TILE = 1 << 10, 1 << 9
 
+#: Rows that are worth a task of their own: the sum that a task sends has one size, however few rows it read.
+GRAM_TASK_ROWS = 1 << 14
+
 
 def join_features(export: DataFrame, features: DataFrame, version: int = V.FEATURE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(examples with features, one-row count of labels dropped for want of them)."""
@@ -133,17 +137,18 @@ def hashed_vectors(messages: DataFrame, text: str, key: str = "email_id") -> Dat
 
 
 def fit_encoder(
-    hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION, settled: float = 1e-3, oversample: int = 8, seed: int = V.EVAL_SEED
+    hashed: DataFrame, dimension: int = V.ENCODER_DIMENSION, settled: float = 1e-3, oversample: int = 8, seed: int = V.EVAL_SEED,
+    rows: int | None = None,
 ) -> np.ndarray:
     """Leading right singular vectors of the hashed corpus: ``HASH_DIMENSION`` by at most ``dimension``.
 
     Randomised subspace iteration on the Gram matrix of the buckets, which has a fixed size and is summed in one pass over the corpus,
     so neither rows nor pairs of rows reach the driver. Iterations end when the energy that the leading directions keep
-    grows by less than a ``settled`` part.
+    grows by less than a ``settled`` part. ``rows``, about how many the corpus has, only spares tasks where these are few.
     """
     width = min(dimension + oversample, V.HASH_DIMENSION)
     basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((V.HASH_DIMENSION, width)))
-    gram, kept = _gram(hashed.select("buckets", "values")), 0.0
+    gram, kept = _gram(hashed.select("buckets", "values"), rows), 0.0
     while True:
         product = gram @ basis
         # Energies of the corpus within the basis, and the directions that have them.
@@ -183,6 +188,18 @@ def _dense_rows(buckets: pd.Series, values: pd.Series, chunk: int = 256) -> Iter
         yield begin, block
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int = GRAM_ROWS) -> Iterator[None]:
+    """Jobs run inside hand Python at most ``rows`` rows at a time: a hashed row may take tens of kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _full_blocks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     """Sparse rows (``buckets``, ``values``) written out in full, at most ``GRAM_ROWS`` at a time; a block is overwritten by the next."""
     room = np.zeros((min(batch.num_rows, GRAM_ROWS), V.HASH_DIMENSION))
@@ -195,7 +212,7 @@ def _full_blocks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         room.ravel()[slots] = 0.0
 
 
-def _gram(corpus: DataFrame) -> np.ndarray:
+def _gram(corpus: DataFrame, rows: int | None = None) -> np.ndarray:
     """``A' A`` for the sparse corpus ``A``: ``HASH_DIMENSION`` squared, whatever the corpus.
 
     Only tiles on and below the diagonal are computed. A task sends what is below once, and there are at most as many tasks as run at once.
@@ -211,16 +228,20 @@ def _gram(corpus: DataFrame) -> np.ndarray:
                 for (a, b), tile in zip(edges, tiles):
                     tile += np.matmul(block[:, a:b].T, block[:, :b], out=room[: tile.size].reshape(tile.shape))
         for (a, b), tile in zip(edges, tiles):
-            rows = np.flatnonzero(tile.any(axis=1))
-            ends = pa.array(np.cumsum([0, *(rows + a + 1)]), pa.int32())
-            below = tile[rows][rows[:, None] + a >= np.arange(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows + a), pa.ListArray.from_arrays(ends, below)], ["bucket", "partial"])
+            used = np.flatnonzero(tile.any(axis=1))
+            ends = pa.array(np.cumsum([0, *(used + a + 1)]), pa.int32())
+            below = tile[used][used[:, None] + a >= np.arange(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(used + a), pa.ListArray.from_arrays(ends, below)], ["bucket", "partial"])
 
     tasks = max(1, corpus.sparkSession.sparkContext.defaultParallelism)
+    if rows is not None:
+        tasks = max(1, min(tasks, -(-rows // GRAM_TASK_ROWS)))
     partials = corpus.coalesce(tasks).mapInArrow(multiply, "bucket bigint, partial array<double>")
     summed = partials.groupBy("bucket").agg(vector_to_array(Summarizer.sum(array_to_vector("partial"))).alias("row"))
     gram = np.zeros((V.HASH_DIMENSION, V.HASH_DIMENSION))
-    for batch in summed.toArrow().to_batches():
+    with batches_of(corpus.sparkSession):
+        collected = summed.toArrow()
+    for batch in collected.to_batches():
         for bucket, row in zip(batch.column("bucket").to_pylist(), batch.column("row")):
             gram[bucket, : len(row)] = row.values.to_numpy()
     for a, b in edges:

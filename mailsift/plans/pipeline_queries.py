@@ -211,13 +211,15 @@ def stream_features(spark, folder):
 def stream_embeddings(spark, folder):
     """Unit vectors of announced messages under an encoder fitted beforehand."""
     texts = R.messages(spark, folder).select("email_id", c("body_display").alias("text"))
-    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"))
+    encoder = training.fit_encoder(training.hashed_vectors(texts, "text"), rows=R.table(spark, folder, "documents").count())
     announced = R.event_stream(spark, folder).select(c("event_id").alias("email_id"))
     stream = jobs.embedding_stream(
         announced, R.messages(spark, folder), lambda df: training.encode(training.hashed_vectors(df, "text"), encoder)
     )
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
-    return _appended(spark, stream).select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
+    with training.batches_of(spark):
+        stored = _appended(spark, stream)
+    return stored.select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
 
 
 _OWN = """own AS (SELECT *, max(epoch_us(occurred_at)) OVER (PARTITION BY sender_key) AS last FROM rep)"""

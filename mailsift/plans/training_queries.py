@@ -174,7 +174,7 @@ def text_embeddings(spark, folder):
     """Unit vectors of all texts at the encoder's own size, from a truncated decomposition of the hashed corpus."""
     docs = R.table(spark, folder, "documents").select(c("doc_id").alias("email_id"), "text")
     hashed = training.hashed_vectors(docs, "text")
-    encoder = training.fit_encoder(hashed)
+    encoder = training.fit_encoder(hashed, rows=docs.count())
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
     return training.encode(hashed, encoder).select("email_id", F.size("embedding").alias("dimension"), R6(length).alias("length"))
 

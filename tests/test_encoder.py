@@ -1,13 +1,16 @@
 """The encoder: hashing straight from Arrow, the Gram matrix of the corpus, and unit vectors."""
 
+from datetime import datetime
 import random
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from mailsift import vocabulary as V
 from mailsift.functions import hashing, vectors
 from mailsift.operators import training
@@ -51,7 +54,8 @@ def test_gram_of_many_blocks_and_tasks(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(some_texts(700))), "email_id long, text string").repartition(20)
     hashed = training.hashed_vectors(frame, "text")
     full = dense(hashed)
-    assert np.allclose(training._gram(hashed), full.T @ full, rtol=0, atol=1e-11)
+    for rows in (None, 0, 700):
+        assert np.allclose(training._gram(hashed, rows), full.T @ full, rtol=0, atol=1e-11)
 
 
 def test_fit_with_a_task_without_tokens(spark):
@@ -88,3 +92,26 @@ def test_unit_keeps_nulls_and_zeros(one):
     assert one(vectors.unit(F.array(F.lit(1.0), F.lit(None).cast("double")))) == [None, None]
     assert one(vectors.unit(F.array().cast("array<double>"))) == []
     assert one(vectors.unit(F.array(F.lit(3), F.lit(-4)))) == [0.6, -0.8]
+
+
+@pytest.mark.parametrize("texts, dimension", [(["", None, "?!"], 0), (["a b", None, "c d e", ""], 2)])
+def test_streamed_vectors_of_texts_with_and_without_tokens(spark, tmp_path, texts, dimension):
+    n = len(texts)
+    docs = {"doc_id": range(n), "text": pa.array(texts, pa.string()), "lang": ["en"] * n, "source": ["web"] * n, "n_chars": range(n)}
+    events = {
+        "event_id": range(n), "ts": pa.array([datetime(2024, 1, 1)] * n, pa.timestamp("us")), "user_id": range(n),
+        "event_type": ["view"] * n, "value": [1.0] * n, "props": ['{"k": 1}'] * n,
+    }
+    for name, columns in (("documents", docs), ("events", events)):
+        pq.write_table(pa.table({k: pa.array(v) for k, v in columns.items()}), tmp_path / f"{name}.parquet")
+    for name in ("text_embeddings", "stream_embeddings"):
+        found = {r.email_id: (r.dimension, r.length) for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+        assert found == {i: (dimension, float(any(map(str.isalnum, t or "")))) for i, t in enumerate(texts)}, name
+
+
+def test_few_rows_reach_python_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with training.batches_of(spark, 100):
+        sizes = [r.n for r in spark.range(1050).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == 1050 and max(sizes) <= 100 and spark.conf.get(name) == before
